@@ -6,15 +6,18 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it; installed copies need nothing."""
+    """Let Python workers import this package from where the driver has it, and send them texts in small batches."""
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(":")
     if ROOT not in paths:
         env["PYTHONPATH"] = ":".join([ROOT, *filter(None, paths)])
+    if spark.conf.get(BATCH) == "10000":  # Spark's default suits narrow rows; whole texts take kilobytes each
+        spark.conf.set(BATCH, "1000")
     return spark
 
 
