@@ -15,7 +15,7 @@ import xxhash
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15)
 NONE = U64(0xFFFFFFFFFFFFFFFF)
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: A-Z lower, ASCII other than letters and digits to a blank, other bytes as they are.
 _WORD_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -39,7 +39,7 @@ class _Hashes(dict):
     """Word to hash, emptied when it is full, so a worker's memory stays bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
