@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import near_dedup, sql
+from gleaner.llm import decontaminate, line_dedup, near_dedup, packing, quality, sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +19,33 @@ def op2_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_bfd_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_matrices(_table(spark, sf_dir, "documents"))
+
+
+def op5_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents")).drop("row")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.drop_frequent_lines(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op10_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_hierarchically(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_superminhash_dedup": op2_superminhash_dedup,
+    "op4_bfd_matrices": op4_bfd_matrices,
+    "op5_winnowing_decontamination": op5_winnowing_decontamination,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_hierarchical_packing": op10_hierarchical_packing,
 }
 ORACLES: dict[str, str] = {k: v for k, v in sql.ORACLES.items() if k in QUERIES}
