@@ -7,18 +7,55 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontaminate, line_dedup, near_dedup, packing, quality, sql
+from gleaner.llm import chat, decontaminate, line_dedup, near_dedup, packing, pii, quality, repeats, sql, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def crawl(pages: DataFrame) -> DataFrame:
+    """Archive records made from every page by fixed formulas: a full response and two later or earlier revisits."""
+    n = F.col("page_id")
+    md5 = F.md5(F.coalesce("html", F.lit("")))
+    tag = F.concat(F.lit('"'), F.substring(md5, 1, 16), F.lit('"'))
+    at = n * 7919 % 2_592_000
+    modified = F.when(n % 3 != 0, F.concat(F.lit("day "), (n % 29).cast("string")))
+    some = lambda **fields: F.map_filter(F.create_map(*[x for k, v in fields.items() for x in (F.lit(k.replace("_", "-")), v)]), lambda _, v: v.isNotNull())
+    full = some(ETag=F.when(n % 5 != 0, tag), Last_Modified=modified, Content_Type=F.lit("text/html"), Cache_Control=F.lit("max-age=60"), Content_Length=F.length("html").cast("string"))
+    second = some(
+        etag=F.when(n % 7 == 0, F.lit('"other"')).when(n % 5 != 0, F.concat(F.lit("W/"), tag)), Last_Modified=modified, Content_Type=F.lit("none"),
+        Cache_Control=F.concat(F.lit("max-age="), (n % 100).cast("string")), Content_Length=F.lit("0"), Age=F.lit("1"),
+    )
+    third = some(Last_Modified=modified, Date=F.lit("later"))
+    record = lambda i, url, ts, kind, headers, digest: F.struct(
+        (n * 3 + i).alias("record_id"), url.alias("url"), F.timestamp_seconds(F.lit(1_700_000_000) + ts).alias("ts"), F.lit(kind).alias("kind"), headers.alias("headers"), digest.alias("digest")
+    )
+    rows = F.array(
+        record(0, F.col("url"), at, "response", full, md5),
+        record(1, F.concat("url", F.lit("#again")), at + 3600 + n % 400_000, "revisit", second, F.lit(None).cast("string")),
+        record(2, F.col("url"), at - 50_000 + n % 200_000, "revisit", third, md5),
+    )
+    return pages.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(crawl(_table(spark, sf_dir, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e.key, F.lit(": "), e.value))
+    return found.select(
+        "record_id", "canonical_url", "refers_to", "status", F.when(F.col("headers").isNotNull(), F.array_join(lines, "\n")).alias("headers")
+    )
+
+
 def op2_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find_spans(_table(spark, sf_dir, "documents")))
+
+
 def op4_bfd_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_matrices(_table(spark, sf_dir, "documents"))
 
@@ -27,6 +64,26 @@ def op5_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_recurring_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+def op7_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    back = chat.read_back(chat.format_paths(chat.reply_paths(chat.chain(turns.unionByName(planted)))))
+    said_again = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return back.select(
+        F.col("tree").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said_again, 256).alias("turns_sha256"),
+        F.length("masked").cast("long").alias("loss_chars"),
+        F.sha2("masked", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents")).drop("row")
 
@@ -41,9 +98,13 @@ def op10_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_revisits": op1_warc_revisits,
     "op2_superminhash_dedup": op2_superminhash_dedup,
+    "op3_pii": op3_pii,
     "op4_bfd_matrices": op4_bfd_matrices,
     "op5_winnowing_decontamination": op5_winnowing_decontamination,
+    "op6_recurring_passages": op6_recurring_passages,
+    "op7_reply_trees": op7_reply_trees,
     "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
     "op10_hierarchical_packing": op10_hierarchical_packing,
