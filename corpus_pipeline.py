@@ -1,12 +1,74 @@
-"""The corpus pipeline: quality rules, line dedup, near-dedup, decontamination and packing, in this order."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, decontamination and packing, in this order.
+
+Every stage works on all documents that its predecessor kept.  The first four return the columns of their
+input; the last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleaner import prepare
+from gleaner.llm import decontaminate, line_dedup, near_dedup, packing, quality, support
+
+
+def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that ``verdicts(doc_id, kept)`` keeps; where ids repeat, one keeps for all of its id."""
+    keep = verdicts.where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are not depleted of their lines."""
+    prepare(spark)
+    return _keep(docs, quality.quality(docs))
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without the lines that at least ten documents share; ``n_chars`` follows the text."""
+    prepare(spark)
+    cut = line_dedup.drop_frequent_lines(docs, columns=True)
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return cut.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, the one with the smallest id."""
+    prepare(spark)
+    return _keep(docs, near_dedup.near_duplicates(docs))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by the benchmark."""
+    prepare(spark)
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _keep(docs, found.select("doc_id", (~F.col("contaminated")).alias("kept")))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packed pieces of all documents left."""
+    prepare(spark)
+    return packing.pack_hierarchically(docs)
+
 
-STAGES: list = []
-ORACLE_SQL = None
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup_stage),
+    ("minhash_near_dedup", near_dedup_stage),
+    ("benchmark_decontamination", decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
+#: Similarity components and packing are not SQL; tests compare the rows with a brute-force version.
+ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the documents; each stage's table is written and read again by the next."""
+    prepare(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = support.materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
