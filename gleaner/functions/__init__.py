@@ -1 +1 @@
-
+"""Column functions: text, dates, citations, vectors.  All run inside the JVM."""

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ROOT = str(Path(__file__).resolve().parent.parent)
@@ -21,6 +22,16 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage by files in the shared checkpoint folder, which survive lost executors."""
+    context = df.sparkSession.sparkContext
+    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="gleaner-"))
+    return df.checkpoint()
+
+
 def local(cores: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
     """A session for tests, benchmarks and notebooks on one machine."""
     settings = {

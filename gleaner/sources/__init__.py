@@ -1 +1 @@
-
+"""Readers, corpora, embeddings on disk and their registries."""
