@@ -21,7 +21,7 @@ def curate(
     if order not in ("edges", "relevance"):
         raise ValueError(f"order must be edges or relevance, got {order!r}")
     w = Window.partitionBy("qid")
-    source = F.coalesce("source_id", "id") if "source_id" in passages.columns else F.col("id")
+    source = F.coalesce(F.col("source_id").cast("string"), F.col("id").cast("string")) if "source_id" in passages.columns else F.col("id")
     df = passages.withColumn("__key", F.substring(tx.collapse(F.col("text")), 1, KEY_CHARS)).where(F.col("__key") != "").withColumn("__source", source)
     df = df.withColumn("__copy", F.row_number().over(Window.partitionBy("qid", "__key").orderBy("rank")))
     df = df.withColumn("dropped_duplicates", F.sum((F.col("__copy") > 1).cast("long")).over(w)).where("__copy = 1")

@@ -124,7 +124,7 @@ def clean_judgements(replies: DataFrame) -> DataFrame:
     """``(…, criterion, score, rationale, claims)`` with scores as whole numbers from 1 to 5 and blank claims gone."""
     number = F.expr("try_cast(score as double)")
     score = F.when(number.isNotNull() & ~F.isnan(number), F.greatest(F.lit(1), F.least(F.lit(5), F.bround(number).cast("int"))))
-    claims = F.filter(F.transform(F.coalesce("claims", F.array().cast("array<string>")), F.trim), lambda c: F.coalesce(c, F.lit("")) != "")
+    claims = F.filter(F.transform(F.coalesce("claims", F.array().cast("array<string>")), lambda x: F.trim(x)), lambda c: F.coalesce(c, F.lit("")) != "")
     return replies.withColumn("score", score).withColumn("rationale", F.trim(F.coalesce("rationale", F.lit("")))).withColumn("claims", claims)
 
 
@@ -142,8 +142,8 @@ def review_flags(judged: DataFrame) -> DataFrame:
 
 def clean_rewrites(replies: DataFrame, *, max_queries: int = 3) -> DataFrame:
     """``(qid, question, queries)`` of ``(qid, question, replies array)``: trimmed, distinct whatever their case, capped; the question when none is left."""
-    trimmed = F.filter(F.transform(F.coalesce("replies", F.array().cast("array<string>")), F.trim), lambda q: F.coalesce(q, F.lit("")) != "")
-    folded = F.transform(trimmed, F.lower)
+    trimmed = F.filter(F.transform(F.coalesce("replies", F.array().cast("array<string>")), lambda x: F.trim(x)), lambda q: F.coalesce(q, F.lit("")) != "")
+    folded = F.transform(trimmed, lambda x: F.lower(x))
     first = F.filter(F.transform(trimmed, lambda q, i: F.when(F.array_position(folded, F.lower(q)) == i + 1, q)), lambda q: q.isNotNull())
     kept = F.slice(first, 1, max_queries)
     return replies.select("qid", "question", F.when(F.size(kept) > 0, kept).otherwise(F.array("question")).alias("queries"))

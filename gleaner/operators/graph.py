@@ -33,7 +33,7 @@ def source_ids(df: DataFrame) -> Column:
         else:
             text = column.cast("string")
             listed = F.coalesce(tx.list_literal(text), F.split(text, r"[;|]"), none)
-    listed = F.filter(F.transform(listed, F.trim), lambda x: F.coalesce(x, F.lit("")) != "")
+    listed = F.filter(F.transform(listed, lambda x: F.trim(x)), lambda x: F.coalesce(x, F.lit("")) != "")
     if "source_id" in df.columns:
         one = F.trim(F.col("source_id").cast("string"))
         listed = F.when(F.size(listed) > 0, listed).otherwise(F.when(F.coalesce(one, F.lit("")) != "", F.array(one)).otherwise(none))
@@ -168,6 +168,10 @@ class Graph:
         """``(qid, facts…)`` one hop around the entities that each question names, for all questions at once."""
         named = self.find_entities(questions.select(F.col("qid").alias("id"), F.col("question").alias("text")))
         seeds = named.select(F.col("id").alias("qid"), F.posexplode("entities").alias("fr", "name")).select("qid", "fr", tx.collapse(F.col("name")).alias("key"))
+        return self.around(seeds, max_facts=max_facts)
+
+    def around(self, seeds: DataFrame, *, max_facts: int = 15) -> DataFrame:
+        """The first facts of each question's seeds ``(qid, fr, key)``, by seed and position."""
         hit = self.adjacency().join(seeds, "key").groupBy("qid", POSITION).agg(F.min("fr").alias("fr"))
         hit = hit.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("fr", POSITION))).where(F.col("n") <= max_facts)
         return self.facts.join(hit, POSITION).orderBy("qid", "n").drop("fr", "n")

@@ -50,7 +50,7 @@ def rerank(
     """From ``(qid, question, retrieval_rank, id, source_id, text)``: the kept rows with ``rerank_score, rank, rank_change, skipped_over_source_limit``."""
     scored = candidates.withColumn("rerank_score", scorer(F.col("question"), F.substring("text", 1, max_chars)))
     order = [F.desc(F.round("rerank_score", 9)), "retrieval_rank"]
-    source = F.coalesce("source_id", "id") if "source_id" in candidates.columns else F.col("id")
+    source = F.coalesce(F.col("source_id").cast("string"), F.col("id").cast("string")) if "source_id" in candidates.columns else F.col("id")
     within = F.row_number().over(Window.partitionBy("qid", "__source").orderBy(*order))
     scored = scored.withColumn("__source", source)
     scored = scored.withColumn("__ok", F.lit(True) if max_per_source is None else within <= max_per_source)
