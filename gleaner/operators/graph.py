@@ -160,7 +160,7 @@ class Graph:
         met = grams.select("id", "n", "g.*").join(names, ["gram", "n"])
         per = met.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("n")).alias("m"), "name"))).alias("ms"))
         start = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("out"))
-        step = lambda a, m: F.when(m.at > a.end, F.struct((m.at - m.m - 1).alias("end"), F.concat(a.out, F.array(m.name)).alias("out"))).otherwise(a)
+        step = lambda a, m: F.when(m.at > a.end, F.struct((m.at - m.m - 1).alias("end"), F.concat(a.out, F.array(m["name"])).alias("out"))).otherwise(a)
         found = per.select("id", F.array_distinct(F.aggregate("ms", start, step, lambda a: a.out)).alias("entities"))
         return texts.select("id").join(found, "id", "left").select("id", F.coalesce("entities", F.array().cast("array<string>")).alias("entities"))
 
