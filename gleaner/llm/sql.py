@@ -1,3 +1,133 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from gleaner.llm import chat, pii, warc
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+SPACE = r"[^\x20\x09-\x0D]+"
+ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+GRAMS = "list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n} - 1], ' '))"
+
+OP2 = f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '{SPACE}') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct({GRAMS.format(n=5)}) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM d),
+u AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id, doc_id AS m FROM s UNION SELECT e.b, r.m FROM r JOIN e ON r.doc_id = e.a)
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, min(m) AS component_id, min(m) = s.doc_id AS kept FROM s JOIN r USING (doc_id) GROUP BY s.doc_id, s"""
+
+OP5 = f"""WITH d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '{ALNUM}') AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({LOWERED}, '{ALNUM}') AS w FROM benchmark WHERE item_id IS NOT NULL),
+iw AS (SELECT DISTINCT item, least(13, len(w)) AS n, unnest(list_transform(range(1, len(w) - least(13, len(w)) + 2), lambda k: array_to_string(w[k:k + least(13, len(w)) - 1], ' '))) AS g FROM i WHERE len(w) > 0),
+ns AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS p, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k + n - 1], ' '))) AS g FROM d JOIN ns ON len(w) >= n),
+h AS (SELECT doc_id, p, n, item FROM dw JOIN iw USING (n, g)),
+hw AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT doc_id, p, n FROM h)) GROUP BY doc_id),
+hi AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)"""
+
+OP6 = f"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{SPACE}') AS w FROM documents),
+x AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS p, unnest({GRAMS.format(n=35)}) AS g FROM d WHERE len(w) >= 35),
+c AS (SELECT doc_id, p, count(*) OVER (PARTITION BY g) AS n FROM x),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS q FROM c WHERE n > 1),
+k AS (SELECT doc_id, q, t FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS q, unnest(w) AS t FROM d) ANTI JOIN gone USING (doc_id, q)),
+j AS (SELECT doc_id, count(*) AS n, string_agg(t, ' ' ORDER BY q) AS t FROM k GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN j USING (doc_id)"""
+
+_LENGTH = "length({}) + len(regexp_extract_all({}, '\\\\')) + len(regexp_extract_all({}, '" + chat._ANGLE + "')) + len(regexp_extract_all({}, '" + chat._SQUARE + "'))"
+
+
+def _escaped_length(column: str) -> str:
+    return "(" + _LENGTH.format(*[column] * 4) + ")"
+
+
+OP7 = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) v(conv_id, turn, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+CAST(sum({len(chat.START) + len(chat.END) + 2} + {_escaped_length('role')} + {_escaped_length('text')}) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id"""
+
+OP8 = f"""WITH d AS (SELECT doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{SPACE}') AS w, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+r AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS p, unnest({GRAMS.format(n=5)}) AS g FROM d WHERE len(w) >= 5),
+rr AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS n FROM r) WHERE n > 1),
+rw AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + 5)) AS q FROM rr) GROUP BY doc_id),
+ln AS (SELECT doc_id, host, unnest(l) AS line FROM d),
+lk AS (SELECT doc_id, host, line, translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), '{UPPER}', '{LOWER}') AS k, len(regexp_extract_all(line, '{SPACE}')) AS n FROM ln WHERE regexp_matches(line, '{SPACE}')),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lk GROUP BY doc_id),
+one AS (SELECT host, text, min(doc_id) AS doc_id FROM d GROUP BY host, text),
+hosts AS (SELECT host, count(*) AS n FROM one GROUP BY host),
+freq AS (SELECT lk.host, k, count(DISTINCT doc_id) AS n FROM lk SEMI JOIN one USING (doc_id) GROUP BY lk.host, k HAVING count(DISTINCT doc_id) >= 20),
+bad AS (SELECT f.host, k FROM freq f JOIN hosts h ON f.host = h.host AND f.n >= 0.2::DOUBLE * h.n),
+gone AS (SELECT doc_id, sum(n) AS n FROM lk SEMI JOIN bad USING (host, k) GROUP BY doc_id),
+m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+coalesce(dup.n, 0) AS n_dup_lines, coalesce(rw.n, 0) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed FROM d LEFT JOIN rw USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN gone USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (n_removed > 0 AND (n_words - n_removed < 10 OR n_words - n_removed < 0.2::DOUBLE * n_words)) AS kept FROM m"""
+
+_KEY = f"translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), '{UPPER}', '{LOWER}')"
+OP9 = f"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+k AS (SELECT doc_id, i, line, {_KEY} AS k FROM l),
+f AS (SELECT k FROM k WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10),
+t AS (SELECT k.doc_id, i, line, f.k IS NOT NULL AS gone FROM k LEFT JOIN f ON k.k = f.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM t GROUP BY doc_id"""
+
+#: The base patterns as the contract writes them; this engine has no need of possessive repeats.
+_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?", "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+}
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda j: CASE WHEN j % 2 = 1 THEN CAST(reverse({_DIGITS})[j] AS INTEGER) ELSE CAST(reverse({_DIGITS})[j] AS INTEGER) * 2 - CASE WHEN CAST(reverse({_DIGITS})[j] AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+_FOLDED = "list_reduce(list_prepend(0, list_transform(string_split(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4), ''), lambda c: ascii(c))), lambda a, c: CASE WHEN c < 58 THEN (a * 10 + c - 48) % 97 ELSE (a * 100 + c - 55) % 97 END) = 1"
+_CHECKS = {
+    "email": "true", "ip": "len(list_filter(string_split(m, '.'), lambda x: TRY_CAST(ltrim(x, '0') AS INTEGER) > 255 OR length(ltrim(x, '0')) > 3)) = 0",
+    "card": f"length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}", "phone": f"length({_DIGITS}) BETWEEN 10 AND 15", "iban": _FOLDED,
+    "ssn": "NOT regexp_matches(right(g, 1), '[0-9-]') AND NOT regexp_matches(left(a, 1), '[0-9-]')",
+}
+
+
+def _pii() -> str:
+    parts = []
+    for rank, (kind, _, _, own, words) in enumerate(pii.KINDS):
+        p = _PATTERNS[kind]
+        near = f"regexp_matches(lower(right(g, {pii.REACH}) || ' ' || left(a, {pii.REACH})), '{words}')"
+        score = f"{own}::DOUBLE + CASE WHEN {near} THEN {pii.CONTEXT}::DOUBLE ELSE 0 END"
+        ok = _CHECKS[kind] + ("" if kind in pii.BASE else f" AND {score} >= 0.5::DOUBLE")
+        parts.append(f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, before + length(g) AS s, before + length(g) + length(m) AS e, {score} AS score FROM (
+SELECT doc_id, m[i] AS m, g[i] AS g, g[i + 1] AS a, coalesce(list_sum(list_transform(range(1, i), lambda j: length(m[j]) + length(g[j]))), 0)::BIGINT AS before FROM (
+SELECT doc_id, m, string_split_regex(text, '{p}') AS g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{p}') AS m FROM documents))) WHERE {ok}""")
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in (*pii.BASE, "iban", "ssn"))
+    joined = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank)"
+    return f"""WITH f AS ({' UNION ALL '.join(parts)}),
+g AS (SELECT doc_id, {counts}, {joined} FILTER (WHERE rank < {len(pii.BASE)}) AS b, {joined} AS spans, max(score) AS max_score FROM f GROUP BY doc_id)
+SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in (*pii.BASE, 'iban', 'ssn'))}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(max_score, 0) AS max_score FROM documents LEFT JOIN g USING (doc_id)"""
+
+
+def _warc() -> str:
+    bare = "regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '')"
+    host = "regexp_replace(regexp_replace(lower(regexp_replace(regexp_extract(b, '^([^/?]*)', 1), '^.*@', '')), ':(80|443)$', ''), '^www[0-9]*\\.', '')"
+    path = "regexp_replace(regexp_extract(b, '^[^/?]*([^?]*)', 1), '/+$', '')"
+    kept = f"array_to_string(list_sort(list_filter(string_split(regexp_extract(b, '\\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '{warc.TRACKING}'))), '&')"
+    line = lambda name, value: f"'{name}: ' || {value}"
+    return f"""WITH p AS (SELECT page_id AS n, url, md5(coalesce(html, '')) AS md5, length(html) AS size, page_id * 7919 % 2592000 AS begun, CASE WHEN page_id % 3 <> 0 THEN 'day ' || (page_id % 29) END AS modified,
+CASE WHEN page_id % 5 <> 0 THEN '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' END AS tag FROM pages),
+c AS (SELECT *, {host} || {path} || CASE WHEN {kept} = '' THEN '' ELSE '?' || {kept} END AS canon FROM (SELECT *, {bare} AS b FROM p)),
+full_ AS (SELECT n * 3 AS id, canon, begun AS t, tag, modified, md5, size FROM c),
+rev AS (SELECT n * 3 + 1 AS id, canon, begun + 3600 + n % 400000 AS t, CASE WHEN n % 7 = 0 THEN '"other"' WHEN tag IS NOT NULL THEN 'W/' || tag END AS tag, modified, NULL AS md5, n, 1 AS kind FROM c
+UNION ALL SELECT n * 3 + 2, canon, begun - 50000 + n % 200000, NULL, modified, md5, n, 2 FROM c),
+one AS (SELECT canon, t, max(id) AS id FROM full_ GROUP BY canon, t),
+j AS (SELECT r.*, o.id AS f FROM rev r ASOF LEFT JOIN one o ON r.canon = o.canon AND r.t > o.t),
+m AS (SELECT j.*, x.tag AS ftag, x.modified AS fmodified, x.md5 AS fmd5, x.size AS fsize, coalesce(regexp_replace(j.tag, '^W/', '') = x.tag, j.modified = x.modified, j.md5 = x.md5) AS ok FROM j LEFT JOIN full_ x ON x.id = j.f),
+s AS (SELECT *, CASE WHEN f IS NULL THEN 'no_response' WHEN ok IS NULL THEN 'unverified' WHEN ok THEN 'not_modified' ELSE 'validator_mismatch' END AS status FROM m)
+SELECT id AS record_id, canon AS canonical_url, f AS refers_to, status, CASE WHEN status IN ('not_modified', 'unverified') THEN array_to_string(list_filter([
+CASE WHEN kind = 1 THEN 'age: 1' END, {line('cache-control', "'max-age=' || CASE WHEN kind = 1 THEN n % 100 ELSE 60 END")}, {line('content-length', 'fsize')}, 'content-type: text/html',
+CASE WHEN kind = 2 THEN 'date: later' END, {line('etag', 'coalesce(tag, ftag)')}, {line('last-modified', 'coalesce(modified, fmodified)')}], lambda v: v IS NOT NULL), chr(10)) END AS headers FROM s"""
+
+
+ORACLES: dict[str, str] = {
+    "op1_warc_revisits": _warc(), "op2_superminhash_dedup": OP2, "op3_pii": _pii(), "op5_winnowing_decontamination": OP5, "op6_recurring_passages": OP6,
+    "op7_reply_trees": OP7, "op8_quality_rules": OP8, "op9_line_dedup": OP9,
+}
