@@ -77,10 +77,13 @@ class Encoder:
         """Pieces of the text that are tokenised alone."""
         if not text:
             return []
-        n = len(text.split())
-        if n == text.count(" ") + text.count("\n") + 1:  # single blanks and newlines between words, no others
-            return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") if "\x00" not in text else [text]
-        if n == len(text.encode().split()):
+        words = text.split()
+        blanks = len(text) - sum(map(len, words))
+        plain = text.count(" ") + text.count("\n")
+        if blanks == plain == len(words) - 1 and "\x00" not in text:  # one space or newline between words, no other blank
+            return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
+        data = text.encode()
+        if blanks == len(data) - sum(map(len, data.split())):  # ASCII blanks only
             return _PIECES.findall(text)
         return [text]
 
