@@ -7,6 +7,10 @@ blocks are taken by a window per record when steps are small, in the row otherwi
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +61,44 @@ def chunk_spans(df: DataFrame, text: Column, *, size: int = 200, overlap: int =
     )
 
 
+@lru_cache(maxsize=4)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def file_spans(path: str) -> Callable[[str], list[tuple[int, int]]]:
+    """Places of a tokenizer file's tokens, without special ones; loaded once per worker."""
+    return lambda text: _tokenizer(path).encode(text, add_special_tokens=False).offsets
+
+
+def token_chunks(df: DataFrame, text: Column, spans: Callable[[str], list[tuple[int, int]]], *, size: int = 200, overlap: int = 0) -> DataFrame:
+    """The same columns as ``chunk_spans``, counted in the tokens of ``spans(text) -> [(start, end)]``, in Arrow batches."""
+    check_size(size, overlap)
+    step, own = size - overlap, len(df.columns)
+    added = ["chunk_index", "chunk_count", "tokens", "token_start", "token_end", "char_start", "char_end"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, cut = [], []
+            for i, t in enumerate(batch.column(own).to_pylist()):
+                at = [s for s in spans(t or "") if s[1] > s[0]]
+                count = 0 if not at else 1 if len(at) <= size else -(-(len(at) - size) // step) + 1
+                for k in range(count):
+                    a, b = k * step, min(k * step + size, len(at))
+                    start, end = at[a][0], at[b - 1][1]
+                    rows.append((i, k, count, b - a, a, b, start, end))
+                    cut.append(t[start:end])
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 8
+            at_row = pa.array(columns[0], pa.int32())
+            arrays = [c.take(at_row) for c in batch.columns[:own]] + [pa.array(c, pa.int32()) for c in columns[1:]] + [pa.array(cut, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:own], *added, "chunk_text"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.withColumn("__t", text).mapInArrow(run, ", ".join([fields, *(f"{c} int" for c in added), "chunk_text string"]))
+
+
 def sentence_chunks(df: DataFrame, text: Column, *, size: int = 200, max_sentences: int | None = None) -> DataFrame:
     """Whole sentences packed up to ``size`` words (or ``max_sentences``); a longer sentence is a chunk of its own."""
     sentences = F.filter(F.split(F.trim(F.coalesce(text, F.lit(""))), r"(?<=[.!?])\s+"), lambda s: F.trim(s) != "")
@@ -89,9 +131,9 @@ def with_context(chunks: DataFrame, context: Column | None) -> DataFrame:
 
 def chunk_corpus(
     corpus: Corpus, *, size: int = 200, overlap: int = 0, context: Column | None = None, context_name: str = "none", variant: str | None = None,
-    name: str | None = None,
+    name: str | None = None, spans: Callable[[str], list[tuple[int, int]]] | None = None,
 ) -> Corpus:
-    """A corpus of chunks ``<source id>#<k>`` that keeps its parents' metadata."""
+    """A corpus of chunks ``<source id>#<k>`` that keeps its parents' metadata; by words, or by the tokens of ``spans``."""
     default = corpus.name + (f"_{variant}" if variant else "") + f"_size{size}_overlap{overlap}" + (f"_{context_name}" if context_name != "none" else "")
     name = name or default
     if name == corpus.name:
@@ -99,7 +141,8 @@ def chunk_corpus(
     own = {"id", "source_id", "text", "context", "chunk_text", "chunk_index", "chunk_count", "tokens", "token_start", "token_end", "char_start", "char_end"}
     meta = [c for c in corpus.df.columns if c not in own | {corpus.id_field, corpus.text_field, POSITION}]
     parent = corpus.df.select(F.col(POSITION).alias("__parent"), corpus.id.alias("source_id"), corpus.text.alias("__text"), *[F.col(f"`{c}`") for c in meta])
-    rows = with_context(chunk_spans(parent, F.col("__text"), size=size, overlap=overlap), context).drop("__text")
+    cut = chunk_spans(parent, F.col("__text"), size=size, overlap=overlap) if spans is None else token_chunks(parent, F.col("__text"), spans, size=size, overlap=overlap)
+    rows = with_context(cut, context).drop("__text")
     rows = rows.withColumn("id", F.concat("source_id", F.lit("#"), F.col("chunk_index").cast("string")))
     rows = numbered(rows, ["__parent", "chunk_index"]).drop("__parent")
     return Corpus.of(rows, name, id_field="id", text_field="text", source=corpus.source)

@@ -443,14 +443,14 @@ def contextualizer_names() -> list[str]:
 
 
 class ChunkBySizeTool(BaseTool):
-    """Hooks: ``chunk(corpus, settings) -> Corpus``, ``context(corpus, settings) -> Column`` and ``corpus_name``."""
+    """Hooks: ``chunk(corpus, settings) -> Corpus``, ``context``, ``spans`` and ``corpus_name``."""
 
     tool_name, prefix, stage, variant = "chunk_by_size", "chunk_", "preprocess", None
     description = "Split a corpus into overlapping chunks of a number of words."
-    input_schema = _object([], input=_STRING, corpus=_STRING, size=_INT, overlap={"type": "integer", "minimum": 0}, context=_STRING, name=_STRING)
+    input_schema = _object([], input=_STRING, corpus=_STRING, size=_INT, overlap={"type": "integer", "minimum": 0}, context=_STRING, name=_STRING, tokenizer=_STRING)
 
     def settings(self, args: dict[str, Any]) -> dict[str, Any]:
-        s = {"size": self.int_arg(args, "size", 200), "overlap": self.int_arg(args, "overlap", 0, minimum=0), "context": self.choice_arg(args, "context", "none", _contexts), "name": self.text_arg(args, "name") or None}
+        s = {"size": self.int_arg(args, "size", 200), "overlap": self.int_arg(args, "overlap", 0, minimum=0), "context": self.choice_arg(args, "context", "none", _contexts), "name": self.text_arg(args, "name") or None, "tokenizer": self.text_arg(args, "tokenizer") or None}
         if s["overlap"] >= s["size"]:
             raise self.input_error(f"overlap must be less than size, got {s['overlap']} and {s['size']}.", argument="overlap", value=s["overlap"])
         return s
@@ -461,10 +461,14 @@ class ChunkBySizeTool(BaseTool):
     def corpus_name(self, corpus: Corpus, settings: dict[str, Any]) -> str | None:
         return settings["name"]
 
+    def spans(self, settings: dict[str, Any]) -> Any:
+        """A function from a text to its tokens' places; None for words."""
+        return chunking.file_spans(settings["tokenizer"]) if settings["tokenizer"] else None
+
     def chunk(self, corpus: Corpus, settings: dict[str, Any]) -> Corpus:
         return chunking.chunk_corpus(
             corpus, size=settings["size"], overlap=settings["overlap"], context=self.context(corpus, settings), context_name=settings["context"],
-            variant=self.variant, name=self.corpus_name(corpus, settings),
+            variant=self.variant, name=self.corpus_name(corpus, settings), spans=self.spans(settings),
         )
 
     def run(self, args: dict[str, Any], *, context: ToolContext) -> dict[str, Any]:

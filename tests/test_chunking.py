@@ -56,3 +56,12 @@ def test_sentences_are_packed(spark):
     assert got == ["One two. Three!", "Four five six seven?", "End"]
     got = [r.chunk_text for r in chunking.sentence_chunks(df, F.col("text"), size=100, max_sentences=2).orderBy("chunk_index").collect()]
     assert got == ["One two. Three!", "Four five six seven? End"]
+
+
+def test_chunks_of_any_tokenizer(spark):
+    texts = ["ab cd  ef", None, "", "one two three four five"]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    spans = lambda t: [(m.start(), m.end()) for m in re.finditer(r"\S+", t)]
+    got = chunking.token_chunks(df, F.col("text"), spans, size=2, overlap=1).collect()
+    found = sorted((r.n, r.chunk_index, r.tokens, r.token_start, r.token_end, r.char_start, r.char_end, r.chunk_text) for r in got)
+    assert found == sorted((n, *c) for n, t in enumerate(texts) for c in brute(t or "", 2, 1))
