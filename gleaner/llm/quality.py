@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import support
-from gleaner.llm.words import Bag, as_long, covered, grams, slices, space_words
+from gleaner.llm.words import Bag, as_long, covered, grams, make_room, slices, space_words
 
 BLANKS = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
@@ -89,6 +89,7 @@ def quality(
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             texts = batch.column(2).to_pylist()

@@ -7,6 +7,9 @@ vector operations for the slice, however many documents it has.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -48,6 +51,17 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def make_room() -> None:
+    """Give back the token cache that a packing task may have left in this worker."""
+    tokens = sys.modules.get("gleaner.llm.tokens")
+    if tokens is None or not tokens.encoder.cache_info().currsize:
+        return
+    tokens.encoder.cache_clear()
+    gc.collect()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def hashed(words: Sequence[bytes]) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), U64, len(words))
 
