@@ -163,8 +163,9 @@ def matches(df: DataFrame, filters: dict[str, Sequence]) -> Column:
 
 def recency(date: Column, reference: Column, half_life_days: float) -> Column:
     """``0.5 ** (age / half_life)``; later than the reference is age 0, undated is 0."""
-    age = F.greatest(F.lit(0), F.datediff(reference, tx.published(date)))
-    return F.coalesce(F.pow(F.lit(0.5), age / F.lit(float(half_life_days))), F.lit(0.0))
+    day = tx.published(date)
+    age = F.greatest(F.lit(0), F.datediff(reference, day))
+    return F.when(day.isNull(), 0.0).otherwise(F.pow(F.lit(0.5), age / F.lit(float(half_life_days))))
 
 
 def boosted(scores: DataFrame, boosts: DataFrame) -> DataFrame:
