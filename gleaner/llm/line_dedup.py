@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm import support
+
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -43,6 +45,8 @@ def drop_frequent_lines(
 
     counted = keyed.select(F.explode(F.array_distinct("hs")).alias("h")).where("h is not null")
     frequent = counted.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select(F.col("h").alias("f"))
+    # Written, so that the join with all lines below is planned by its size: broadcast when small, else with split keys.
+    frequent = support.materialize(frequent, "frequent")
     placed = keyed.select("self", F.posexplode("hs").alias("pos", "h")).where("h is not null")
     gone = placed.join(frequent, F.col("h") == F.col("f")).groupBy("self").agg(F.collect_set("pos").alias("gone"))
 
