@@ -15,16 +15,25 @@ from gleaner import prepare
 from gleaner.llm import decontaminate, line_dedup, near_dedup, packing, quality, support
 
 
-def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that ``verdicts(doc_id, kept)`` keeps; where ids repeat, one keeps for all of its id."""
-    keep = verdicts.where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` written once with a key of each row, and the key's name: ids may be null or repeat."""
+    row = "__row"
+    while row in docs.columns:
+        row += "_"
+    return support.materialize(docs.withColumn(row, F.monotonically_increasing_id()), "keyed"), row
+
+
+def _keep(keyed: DataFrame, row: str, kept: DataFrame) -> DataFrame:
+    """Rows of ``keyed`` whose key is in the first column of ``kept``, without the key."""
+    keep = kept.select(F.col(kept.columns[0]).alias("__kept_key"))
+    return keyed.join(keep, keyed[row] == F.col("__kept_key"), "left_semi").drop(row)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are not depleted of their lines."""
     prepare(spark)
-    return _keep(docs, quality.quality(docs))
+    keyed, row = _keyed(docs)
+    return _keep(keyed, row, quality.quality(keyed, id_col=row).where("kept"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,16 +45,21 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id."""
+    """One row of each near-duplicate group: the smallest id, nulls last, and of equal ids the first row."""
     prepare(spark)
-    return _keep(docs, near_dedup.near_duplicates(docs))
+    keyed, row = _keyed(docs)
+    found = near_dedup.near_duplicates(keyed, id_col=row).select(F.col("doc_id").alias("r"), "component_id")
+    ids = keyed.select(F.col(row).alias("r"), F.col("doc_id").alias("id"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "r")
+    return _keep(keyed, row, found.join(ids, "r").groupBy("component_id").agg(F.min(order).alias("least")).select("least.r"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
     prepare(spark)
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _keep(docs, found.select("doc_id", (~F.col("contaminated")).alias("kept")))
+    keyed, row = _keyed(docs)
+    found = decontaminate.contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=row)
+    return _keep(keyed, row, found.where("not contaminated"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
