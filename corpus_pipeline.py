@@ -30,10 +30,10 @@ def _keep(keyed: DataFrame, row: str, kept: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are not depleted of their lines."""
+    """Documents that pass the base rules and are not depleted of the lines that 20 distinct contents of their host have."""
     prepare(spark)
     keyed, row = _keyed(docs)
-    return _keep(keyed, row, quality.quality(keyed, id_col=row).where("kept"))
+    return _keep(keyed, row, quality.quality(keyed, id_col=row, min_share=0.0).where("kept"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

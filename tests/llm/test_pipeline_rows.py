@@ -41,3 +41,12 @@ def test_contaminated_rows_go_whatever_their_id(spark, edge, tmp_path, which):
     want = Counter(p for p, r in zip(pairs, brute.contamination(pairs, [(1, item)]), strict=True) if not r[-1])
     assert sum(want.values()) < len(pairs)
     assert counted(corpus_pipeline.decontamination(spark, edge, str(tmp_path))) == want
+
+
+def test_line_limit_does_not_grow_with_the_host(spark):
+    """A line in 25 of a host's 226 contents is boilerplate; only the page that has little else goes."""
+    line = " ".join(f"menu{j}" for j in range(12))
+    body = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    docs = [(i, f"{line}\n{body(i)}" if i < 24 else body(i), "h") for i in range(225)] + [(900, line + "\nshort", "h"), (901, line + "\nshort", "other")]
+    got = corpus_pipeline.quality_rules(spark, spark.createDataFrame(docs, "doc_id long, text string, source string"), "")
+    assert {r.doc_id for r in got.collect()} == {*range(225), 901}
