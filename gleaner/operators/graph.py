@@ -18,8 +18,8 @@ from gleaner.sources.corpus import POSITION
 
 CORE = ("subject", "relation", "object")
 FIELDS = "subject string, relation string, object string, subject_type string, object_type string, source_ids array<string>, date string"
-#: Most entity names that go into one pattern; more are found by word n-grams in a join.
-PATTERN_NAMES = 10_000
+#: A run of what patterns with (?U) take as word characters.
+_RUN = r"(?U)(\w+)"
 
 
 def source_ids(df: DataFrame) -> Column:
@@ -134,35 +134,37 @@ class Graph:
 
     def find_entities(self, texts: DataFrame) -> DataFrame:
         """``(id, entities)`` of ``(id, text)``: names found longest first, whole words, any case, without overlap."""
-        names = self.entities.select("key", "name")
-        n = names.limit(PATTERN_NAMES + 1).count()
-        if n > PATTERN_NAMES:
-            return self._find_by_ngrams(texts)
-        listed = sorted(names.collect(), key=lambda r: (-len(r.key), r.key))  # at most PATTERN_NAMES names
-        pattern = r"(?iU)(?<!\w)(" + "|".join(_literal(r.key) for r in listed) + r")(?!\w)"
-        lookup = F.create_map(*[F.lit(x) for r in listed for x in (r.key, r.name)])
-        flat = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", " ")
-        found = F.transform(F.regexp_extract_all(flat, F.lit(pattern), F.lit(1)), lambda m: F.try_element_at(lookup, tx.collapse(m)))
-        return texts.select("id", F.array_distinct(F.array_compact(found)).alias("entities"))
+        return self._find_by_ngrams(texts)
 
     def _find_by_ngrams(self, texts: DataFrame) -> DataFrame:
-        """The same by joining word n-grams of the texts with the names: no pattern, any number of names.
+        """One way for any number of names: joins propose names for a text, a pattern of those alone finds them.
 
-        Words are runs of letters and digits, so names that differ only in punctuation are one here.
+        A name's key is its words, or all of it when it has none; every name that a text has shares a key with it.
         """
-        word = lambda c: F.regexp_extract_all(tx.collapse(c), F.lit(tx.WORD), F.lit(1))
-        names = self.entities.select(word(F.col("key")).alias("w"), "name").select(F.array_join("w", " ").alias("gram"), F.size("w").alias("n"), "name")
-        names = names.where("n > 0").groupBy("gram", "n").agg(F.min("name").alias("name"))
-        longest = names.agg(F.max("n")).first()[0] or 0
-        cut = texts.select("id", word(F.col("text")).alias("w"))
-        grams = cut.select("id", "w", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("n")).where(F.size("w") >= F.col("n"))
-        grams = grams.select("id", "n", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.struct(i.alias("at"), F.array_join(F.slice("w", i, F.col("n")), " ").alias("gram")))).alias("g"))
-        met = grams.select("id", "n", "g.*").join(names, ["gram", "n"])
-        per = met.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", (-F.col("n")).alias("m"), "name"))).alias("ms"))
-        start = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("out"))
-        step = lambda a, m: F.when(m.at > a.end, F.struct((m.at - m.m - 1).alias("end"), F.concat(a.out, F.array(m["name"])).alias("out"))).otherwise(a)
-        found = per.select("id", F.array_distinct(F.aggregate("ms", start, step, lambda a: a.out)).alias("entities"))
-        return texts.select("id").join(found, "id", "left").select("id", F.coalesce("entities", F.array().cast("array<string>")).alias("entities"))
+        names = self.entities.where("key <> ''").select("key", "name", F.regexp_extract_all(_folded(F.col("key")), F.lit(_RUN), F.lit(1)).alias("w"))
+        names = names.select("key", "name", F.size("w").alias("n"), F.when(F.size("w") > 0, F.array_join("w", " ")).otherwise(_folded(F.col("key"))).alias("gram"))
+        sizes = sorted(r.n for r in names.select("n").distinct().collect())  # as many as there are lengths of a name in words
+        flat = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", " ")
+        # Texts whose hashes collide share their proposals, which the pattern sorts out.
+        told = texts.select("id", flat.alias("flat"), F.xxhash64(flat).alias("h"))
+        cut = told.select("h", _folded(F.col("flat")).alias("t")).select("h", "t", F.regexp_extract_all("t", F.lit(_RUN), F.lit(1)).alias("w"))
+        sized = cut.select("h", "w", F.explode(F.array(*[F.lit(n) for n in sizes if n]).cast("array<int>")).alias("n")).where(F.size("w") >= F.col("n"))
+        gram = lambda i: F.array_join(F.slice("w", i, F.col("n")), " ")
+        grams = sized.select("h", "n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), gram))).alias("gram"))
+        if 0 in sizes:
+            longest = names.where("n = 0").agg(F.max(F.length("gram"))).first()[0]
+            gaps = cut.select("h", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"(?U)(\W+)"), F.lit(1)))).alias("gap"))
+            pieces = gaps.select("h", "gap", F.explode(F.sequence(F.lit(1), F.least(F.length("gap"), F.lit(longest)))).alias("m"))
+            part = lambda i: F.substring(F.col("gap"), i, F.col("m"))
+            grams = grams.unionByName(pieces.select("h", F.lit(0).alias("n"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("gap") - F.col("m") + 1), part))).alias("gram")))
+        met = grams.distinct().join(names, ["gram", "n"])
+        per = met.groupBy("h").agg(F.array_sort(F.collect_set(F.struct((-F.length("key")).alias("m"), "key", "name"))).alias("ms"))
+        escaped = F.transform("ms", lambda m: F.regexp_replace(m["key"], r"([!-/:-@\[-^`{-~])", r"\\$1"))
+        pattern = F.concat(F.lit(r"(?iU)(?<!\w)("), F.array_join(escaped, "|"), F.lit(r")(?!\w)"))
+        lookup = F.map_from_entries(F.transform("ms", lambda m: F.struct(m["key"], m["name"])))
+        own = told.join(per.select("h", pattern.alias("pattern"), lookup.alias("lookup")), "h", "left")
+        found = F.transform(F.regexp_extract_all("flat", F.col("pattern"), F.lit(1)), lambda m: F.try_element_at("lookup", tx.collapse(m)))
+        return own.select("id", F.coalesce(F.array_distinct(F.array_compact(found)), F.array().cast("array<string>")).alias("entities"))
 
     def evidence(self, questions: DataFrame, *, max_facts: int = 15) -> DataFrame:
         """``(qid, facts…)`` one hop around the entities that each question names, for all questions at once."""
@@ -186,9 +188,9 @@ class Graph:
         }
 
 
-def _literal(name: str) -> str:
-    """A name as a pattern for exactly itself."""
-    return "".join(c if c.isalnum() or c == " " or c == "_" else "\\" + c for c in name)
+def _folded(text: Column) -> Column:
+    """A text so that letters that patterns with (?iU) take as equal are the same."""
+    return F.translate(F.lower(F.upper(F.translate(text, "\u0130", "i"))), "\u03c2", "\u03c3")
 
 
 def described(facts: DataFrame) -> DataFrame:

@@ -86,8 +86,5 @@ def kg_co_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {FACTS_SQL} SELECT i AS qid, f.pos, subject, relation, object FROM (VALUES (0, 'nation_6'), (1, 'africa')) v(i, k) JOIN LATERAL (SELECT *, row_number() OVER (ORDER BY pos) AS n FROM facts WHERE lower(subject) = k OR lower(object) = k) f ON true WHERE n <= 15")
 def kg_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = facts(spark, sf_dir)
-    small = graph.Graph(g.facts.where("relation = 'part_of'"))
     asked = spark.createDataFrame([(0, "who trades in Nation_6?"), (1, "and in Africa?")], "qid int, question string")
-    named = small.find_entities(asked.select(F.col("qid").alias("id"), F.col("question").alias("text")))
-    seeds = named.select(F.col("id").alias("qid"), F.explode("entities").alias("name")).select("qid", tx.collapse(F.col("name")).alias("key"))
-    return g.around(seeds.withColumn("fr", F.lit(0)), max_facts=15).select("qid", F.col(POSITION).alias("pos"), "subject", "relation", "object")
+    return g.evidence(asked, max_facts=15).select("qid", F.col(POSITION).alias("pos"), "subject", "relation", "object")
