@@ -6,8 +6,8 @@ very many of them stays cheap.  The patterns are written with possessive repeats
 not change what matches but keep the engine linear on long runs of letters or digits.
 
 Base kinds: ``email``; ``ip`` with parts up to 255; ``card`` of 14 to 19 digits passing Luhn; ``phone`` of 10 to 15
-digits.  A span that fails its check is dropped, without another try.  Added kinds: ``iban`` passing mod-97, and
-``ssn``, which has no checksum and so counts only with a context word beside it.  A span's score is its kind's
+digits.  A span that fails its check is dropped, without another try.  Added kinds: ``iban`` passing mod-97, of its
+country's length or else of the longest that passes; and ``ssn``, which has no checksum and so counts only with a context word beside it.  A span's score is its kind's
 own plus ``CONTEXT`` when one of the kind's words stands within ``REACH`` characters in the gap on either side;
 added spans need ``threshold``, base spans always stay.
 
@@ -22,13 +22,32 @@ from pyspark.sql import functions as F
 
 REACH = 40
 CONTEXT = 0.4
+#: Characters of an account number by the country that it starts with.
+LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_CODES = "|".join(LENGTHS.values()).replace(" ", "|")
+
+
+def _of_length(n: int, codes: str) -> str:
+    fours, rest = divmod(n - 4, 4)
+    return rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{fours}}}" + (rf"\x20?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+#: The length of the country if it ends there, else any; an account number of any length stops before a blank and the start of another.
+IBAN = (
+    r"(?=[A-Z]{2}[0-9]{2})(?:(?:" + "|".join(_of_length(n, c) for n, c in LENGTHS.items()) + r")(?![A-Z0-9])"
+    rf"|[A-Z]{{2}}[0-9]{{2}}(?:(?!\x20(?:{_CODES})[0-9]{{2}})\x20?[A-Z0-9]{{4}}){{3,7}}(?:\x20?[A-Z0-9]{{1,3}})?)"
+)
 #: kind, pattern, condition of a cheap first look, own score, context words
 KINDS: list[tuple[str, str, str, float, str]] = [
     ("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "contains(t, '@')", 0.6, "mail|contact|write"),
     ("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "contains(t, '.')", 0.4, "ip|server|host|login"),
     ("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])", "true", 0.6, "card|visa|credit|pay"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "contains(t, '+')", 0.5, "phone|tel|call|mobile|fax"),
-    ("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?", "true", 0.6, "iban|bank|account"),
+    ("iban", IBAN, "true", 0.6, "iban|bank|account"),
     ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "contains(t, '-')", 0.3, "ssn|social|security"),
 ]
 BASE = ("email", "ip", "card", "phone")
@@ -54,10 +73,17 @@ def confirmed(kind: str, match: str) -> str:
     if kind == "phone":
         return f"length({digits}) between 10 and 15"
     if kind == "iban":
-        return _on("s", f"replace({match}, ' ', '')", _on("d", "concat(substring(s, 5), substring(s, 1, 4))", _MOD97))
+        return f"{_iban_length(match)} > 0"
     return "true"
 
 
+def _iban_length(match: str) -> str:
+    """SQL for the characters of the longest start of a match that ends before no letter or digit and passes mod-97, else 0."""
+    passes = _on("s", "replace(left(m, n), ' ', '')", _on("d", "concat(substring(s, 5), substring(s, 1, 4))", _MOD97))
+    ends = "filter(sequence(length(m), 15, -1), n -> substring(m, n, 1) <> ' ' and substring(m, n + 1, 1) in ('', ' '))"
+    return _on("m", match, f"coalesce(get(filter({ends}, n -> {passes}), 0), 0)")
+
+
 def running_sums(steps: str) -> str:
     """SQL for the sum of the steps before each step of an array of longs, in blocks of about its square root."""
     total = "aggregate({}, 0L, (a, x) -> a + x)"
@@ -83,7 +109,10 @@ def find_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 def _scored(rank: int, of: tuple[str, str, str, float, str], threshold: float) -> Column:
     kind, _, _, own, words = of
     m, g, o = f"get(m_{kind}, i)", f"get(g_{kind}, i)", f"get(o_{kind}, i)"
-    after = f"get(g_{kind}, i + 1)"
+    after, size = f"get(g_{kind}, i + 1)", f"length({m})"
+    if kind == "iban":
+        size = _iban_length(m)
+        after = f"concat(substring({m}, {size} + 1), {after})"
     beside = f"lower(concat(right({g}, {REACH}), ' ', left({after}, {REACH}))) rlike '{words}'"
     ok = confirmed(kind, m)
     if kind == "ssn":
@@ -93,7 +122,7 @@ def _scored(rank: int, of: tuple[str, str, str, float, str], threshold: float) -
         ok = f"({ok}) and {score} >= {threshold}D"
     places = f"filter(transform(m_{kind}, (m, i) -> i), i -> {ok})"
     span = f"{o} + length({g})"
-    return F.expr(f"transform({places}, i -> struct({span} as start, {rank} as rank, {span} + length({m}) as stop, '{kind}' as kind, {score} as score))")
+    return F.expr(f"transform({places}, i -> struct({span} as start, {rank} as rank, {span} + {size} as stop, '{kind}' as kind, {score} as score))")
 
 
 def digests(found: DataFrame) -> DataFrame:
