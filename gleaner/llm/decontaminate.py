@@ -11,7 +11,7 @@ fixed; the join itself is an equi-join on the hash, so the benchmark may be of a
 
 Defined cases: null or wordless documents have no words, no hits and are clean; null or wordless items match
 nothing; every input row gives one row, repeated ids included; items with one id count once; items
-without an id are not looked up.  Other columns are not read.
+without an id count for hits and verdicts, but not for ``n_items`` and ``items_sha256``.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -86,7 +86,6 @@ def contamination(
     """
     kind = support.type_of(docs, id_col)
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
-    items = items.where("item_id is not null")
 
     def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
