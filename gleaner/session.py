@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -19,6 +20,8 @@ def prepare(spark: SparkSession) -> SparkSession:
         env["PYTHONPATH"] = ":".join([ROOT, *filter(None, paths)])
     if spark.conf.get(BATCH) == "10000":  # Spark's default suits narrow rows; whole texts take kilobytes each
         spark.conf.set(BATCH, "1000")
+    if spark.conf.get(BATCH_BYTES, None) in ("67108864b", "64MB", "67108864"):
+        spark.conf.set(BATCH_BYTES, "8MB")
     return spark
 
 
