@@ -2,19 +2,26 @@
 
 1. Each window is owned by its minimum k-gram (the last of equal ones), so equal windows have equal owners.
    A text sends one row per owner: the k-gram, and a hash of all the windows it owns there.
-2. Owner groups found twice hold recurring windows only.  Where one k-gram owns several different groups, one
-   text of each distinct group is read again and its windows are counted singly.  So passages are confirmed
-   exactly, while rows number a fourteenth of the words and copies collapse before they are expanded.
-3. The documents with confirmed passages are read in shards.  Each shard compiles an Aho-Corasick automaton
-   over word numbers from the distinct confirmed passages of its documents, and streams the documents through
-   it to locate every occurrence; the words covered are removed.  A shard's automaton is bounded by the
-   shard's own text (``shard_chars``), however many passages the corpus shares.
+2. Passages are confirmed.  An owner group found twice is a passage: all its windows recur.  Where one k-gram
+   owns several different groups, one text of each group is read again and its windows are counted singly;
+   runs of windows that recur are passages.  So rows number a fourteenth of the words, and copies collapse
+   before they are expanded.
+3. Documents are dealt into shards by a hash of their key.  A shard asks for the passages whose owner groups
+   its documents have, each once however many of its documents share it; their words are read from one
+   confirmed example each.  Nothing says where a document has them.
+4. Each shard compiles an Aho-Corasick automaton over word numbers from its passages and streams its documents
+   through it, which locates every occurrence; the words covered are removed.  Documents without any flagged
+   owner have no passage and are not shuffled.
 
-Keys are 128 bits wide (owner and group, or owner and window).  All groupings are by these keys with map-side
-combination, so a passage that a third of all documents share makes one counted key, not one large group.
+A passage found anywhere covers recurring windows only, and each recurring window lies in a confirmed passage
+of its own owner, so the words located are exactly those to remove.  An automaton is bounded by its shard
+(``shard_chars`` on average, more only for a longer text).  A passage that a third of all documents share is
+one row a group when counted and one row a shard when asked for, never one large group of documents.
+
+Keys are 128 bits wide (owner and group, or owner and window).
 
 Defined cases: a null or wordless text has no words; repeated rows and ids give one row each and count as
-separate occurrences; other columns are not read.
+separate occurrences; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,12 +32,11 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import support
-from gleaner.llm.words import BASE, U64, Bag, as_long, covered, grams, mix, sliding_argmin, slices, space_words
+from gleaner.llm.words import BASE, U64, Bag, as_long, covered, grams, make_room, mix, sliding_argmin, slices, space_words
 
 _INVERSE = U64(pow(int(BASE), -1, 1 << 64))
 
@@ -76,13 +82,13 @@ def remove_repeats(
 ) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_removed, kept_sha256, kept_text`` (null where nothing was removed)."""
     kind = support.type_of(docs, id_col)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    base = base.withColumn("content", F.struct(F.xxhash64("text").alias("a"), F.hash("text").alias("b")))
+    table, row = support.keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    base = table.select(F.col(row).alias("row"), "doc_id", "text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 33
+        make_room()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for a, b in slices(texts):
                 cut = [space_words(t) for t in texts[a:b]]
                 bag = Bag(cut)
@@ -92,106 +98,160 @@ def remove_repeats(
                 first = bag.at[d]
                 lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(v)) for v in (
                     (lo - first).astype(np.int32), (hi - first).astype(np.int32), (p - first).astype(np.int32), as_long(gram), as_long(group))]
+                whole = [hashlib.sha256(b" ".join(w)).hexdigest() for w in cut]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(a, b - a),
-                        batch.column(2).slice(a, b - a),
-                        pa.array(range(row, row + b - a), pa.int64()),
-                        pa.array(bag.n, pa.int64()),
-                        pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in cut]),
-                        *lists,
-                    ],
-                    ["doc_id", "content", "row", "n_words", "whole", "lo", "hi", "p", "gram", "grp"],
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(bag.n, pa.int64()), pa.array(whole), *lists],
+                    ["row", "doc_id", "n_words", "whole", *OWNER],
                 )
-                row += b - a
 
-    fields = "lo array<int>, hi array<int>, p array<int>, gram array<long>, grp array<long>"
-    seen = support.materialize(
-        base.select("doc_id", "text", "content").mapInArrow(scan, f"doc_id {kind}, content struct<a: long, b: int>, row long, n_words long, whole string, {fields}"), "owners"
-    )
-    rows = seen.select("row", F.explode(F.arrays_zip("lo", "hi", "p", "gram", "grp")).alias("o")).select("row", "o.*")
+    seen = support.materialize(base.mapInArrow(support.lean(scan), f"row long, doc_id {kind}, n_words long, whole string, {_LISTS}"), "owners")
+    often = seen.select(F.explode("gram").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    often = support.materialize(often, "often")
+    rows = _flagged(seen, support.bitmap(often, F.col("gram")), "gram")
     groups = rows.groupBy("gram", "grp").agg(F.count("*").alias("n"), F.min(F.struct("row", "lo", "hi", "p")).alias("at"))
     groups = support.materialize(groups, "groups")
     several = groups.groupBy("gram").agg(F.count("*").alias("ways"), F.sum("n").alias("all")).where("all > 1")
-    recurring = support.materialize(groups.join(several, "gram"), "recurring")
+    recurring = support.materialize(groups.join(several, "gram").select("gram", "grp", "n", "ways", "at.*"), "recurring")
 
     # Windows of grams that own different groups, counted singly from one text of each group.
-    asked = recurring.where("ways > 1").select("at.row", F.struct("at.lo", "at.hi", "at.p", "gram", "grp", "n").alias("q"))
-    asked = support.materialize(asked.groupBy("row").agg(F.collect_list("q").alias("qs")), "asked")
-    wanted = asked.join(seen.select("row", "doc_id", "content"), "row")
+    asked = recurring.where("ways > 1").groupBy("row").agg(F.collect_list(F.struct("lo", "hi", "p", "gram", "grp", "n")).alias("qs"))
+    asked = support.materialize(asked, "asked")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, qs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 bag = Bag([space_words(text)])
-                lo, hi, gram, grp, n = (np.array([q[f] for q in qs], np.int64) for f in ("lo", "hi", "gram", "grp", "n"))
-                p = np.array([q["p"] for q in qs], np.int64)
+                lo, hi, p, gram, grp, n = (np.array([q[f] for q in qs], np.int64) for f in ("lo", "hi", "p", "gram", "grp", "n"))
                 size = hi - lo + 1
-                step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                start = np.repeat(lo, size) + step
-                win = mix(Ranges(bag.h).of(start, start + span) * BASE + (np.repeat(p, size) - start).astype(U64))
-                cols = [np.repeat(gram, size), as_long(win), np.repeat(grp, size), step, np.repeat(n, size)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["gram", "win", "grp", "step", "n"])
-
-    singly = _texts(base, wanted).select("text", "qs").mapInArrow(windows, "gram long, win long, grp long, step long, n long")
-    singly = support.materialize(singly, "windows")
-    twice = singly.groupBy("gram", "win").agg(F.sum("n").alias("all")).where("all > 1").select("gram", "win")
-    steps = singly.join(twice, ["gram", "win"], "left_semi").groupBy("gram", "grp").agg(F.collect_set("step").alias("steps"))
-    confirmed = recurring.select("gram", "grp", "n").join(steps, ["gram", "grp"], "left").where("n > 1 or steps is not null")
-    confirmed = confirmed.select("gram", "grp", F.when(F.col("n") == 1, F.col("steps")).alias("steps"))
-
-    # Every occurrence of a confirmed group, back at its document.
-    found = rows.join(confirmed, ["gram", "grp"]).groupBy("row").agg(F.collect_list(F.struct("lo", "hi", "steps")).alias("spans"))
-    found = support.materialize(found.join(seen.select("row", "doc_id", "content"), "row"), "found")
-
-    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, cut, spans in _shards(batches, shard_chars):
-            number: dict[bytes, int] = {}
-            coded = [[number.setdefault(w, len(number)) for w in words] for words in cut]
-            passages = set()
-            for code, found_here in zip(coded, spans, strict=True):
-                starts = np.concatenate([s["lo"] + np.array(s["steps"] if s["steps"] is not None else range(s["hi"] - s["lo"] + 1)) for s in found_here])
-                flags = np.diff(np.concatenate([[0], covered(len(code), starts.astype(np.int64), span).astype(np.int8), [0]]))
-                passages.update(tuple(code[a:b]) for a, b in zip(np.flatnonzero(flags == 1), np.flatnonzero(flags == -1), strict=True))
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-            for passage in passages:
-                automaton.add_word(passage)
-            automaton.make_automaton()
+                ends = np.cumsum(size)
+                start = np.repeat(lo - (ends - size), size) + np.arange(ends[-1])
+                win = as_long(mix(Ranges(bag.h).of(start, start + span) * BASE + (np.repeat(p, size) - start).astype(U64)))
+                wins = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(win))
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(grp), pa.array(n), wins], ["gram", "grp", "n", "wins"])
+
+    singly = support.rows_of(base.select("row", "text"), asked).select("text", "qs").mapInArrow(support.lean(windows), "gram long, grp long, n long, wins array<long>")
+    each = support.materialize(singly, "windows").select("gram", "grp", "n", F.posexplode("wins").alias("step", "win"))
+    twice = each.groupBy("gram", "win").agg(F.sum("n").alias("all")).where("all > 1").select("gram", "win")
+    steps = each.where("n = 1").join(twice, ["gram", "win"], "left_semi").groupBy("gram", "grp").agg(F.sort_array(F.collect_set("step")).alias("steps"))
+    confirmed = recurring.join(steps, ["gram", "grp"], "left").where("n > 1 or steps is not null")
+    confirmed = confirmed.select("gram", "grp", "lo", "hi", F.col("row").alias("example"), F.when(F.col("n") == 1, F.col("steps")).alias("steps"))
+    confirmed = support.materialize(confirmed, "confirmed")
+
+    # What each shard asks for, and the words of it.
+    n_shards = F.lit(max(1, -(-(base.agg(F.sum(F.length("text"))).first()[0] or 0) // shard_chars)))
+    shard = F.pmod(F.xxhash64("row"), n_shards).alias("shard")
+    calls = _flagged(seen, support.bitmap(confirmed, F.col("gram").bitwiseXOR(F.col("grp"))), "gram", "grp").select("row", "gram", "grp")
+    calls = support.materialize(calls, "calls")
+    wanted = calls.select(shard, "gram", "grp").distinct().join(confirmed, ["gram", "grp"])
+    wanted = wanted.groupBy("shard", F.col("example").alias("row")).agg(F.collect_list(F.struct("lo", "hi", "steps")).alias("parts"))
+    wanted = support.materialize(wanted, "wanted")
+
+    def cut_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The passages of an example that one shard wants: runs of words, and the bounds of the passages in them."""
+        for batch in batches:
             out = []
-            for r, words, code in zip(row, cut, coded, strict=True):
-                met = np.array(list(automaton.iter(tuple(code))), np.int64).reshape(-1, 2)
-                gone = covered(len(words), met[:, 0] - met[:, 1] + 1, met[:, 1])
-                kept = b" ".join([w for w, g in zip(words, gone, strict=True) if not g])
-                out.append((r, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass")))
-            cols = list(zip(*out, strict=True))
-            types = (pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["row", "n_removed", "kept", "kept_text"])
+            for of, text, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = space_words(text)
+                bounds = np.array(sorted({b for part in parts for b in _bounds(part, span)}), np.int64)
+                flags = covered(len(words), bounds[:, 0], bounds[:, 1] - bounds[:, 0])
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
+                for a, b in edge.reshape(-1, 2):
+                    inside = bounds[(bounds[:, 0] >= a) & (bounds[:, 1] <= b)] - a
+                    out.append((of, b" ".join(words[a:b]).decode("utf-8", "surrogatepass"), inside.ravel()))
+            cols = list(zip(*out, strict=True)) if out else [()] * 3
+            types = (pa.int64(), pa.string(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["shard", "text", "bounds"])
 
-    cleaned = _texts(base, found).select("row", "text", "spans").mapInArrow(locate, "row long, n_removed long, kept string, kept_text string")
-    out = seen.select("doc_id", "row", "n_words", "whole").join(cleaned.dropDuplicates(["row"]), "row", "left")
+    passages = support.rows_of(base.select("row", "text"), wanted).select("shard", "text", "parts").mapInArrow(support.lean(cut_passages), "shard long, text string, bounds array<int>")
+    streamed = support.pass_bitmap(base.select("row", "text"), F.xxhash64("row"), support.bitmap(calls.select("row").distinct(), F.xxhash64("row")))
+    # In each shard the passages come first, so one pass compiles the automaton and streams the documents.
+    both = passages.select("shard", F.lit(-1).cast("long").alias("row"), "text", "bounds").unionByName(
+        streamed.select(shard, "row", "text", F.lit(None).cast("array<int>").alias("bounds"))
+    )
+    cleaned = both.repartition("shard").sortWithinPartitions("shard", "row").mapInArrow(support.lean(_locate), "row long, n_removed long, kept string, kept_text string")
+    out = seen.select("doc_id", "row", "n_words", "whole").join(cleaned, "row", "left")
     return out.select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "whole").alias("kept_sha256"), "kept_text"
     )
 
 
-def _texts(base: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted(doc_id, content, ...)`` with texts; only rows that a bitmap of contents lets pass are shuffled."""
-    flags = support.bitmap(wanted.select("content"), F.col("content.a"))
-    near = support.pass_bitmap(base, F.col("content.a"), flags).select(F.col("doc_id").alias("i"), F.col("content").alias("c"), "text")
-    return near.join(wanted, (F.col("c") == F.col("content")) & F.col("i").eqNullSafe(F.col("doc_id")))
+OWNER = ("lo", "hi", "p", "gram", "grp")
+_LISTS = "lo array<int>, hi array<int>, p array<int>, gram array<long>, grp array<long>"
+
+
+def _flagged(seen: DataFrame, flags: support.Flags, *key: str) -> DataFrame:
+    """The owners ``row, lo, hi, p, gram, grp`` of all texts whose XOR of ``key`` is flagged, a row each."""
+    shared = seen.sparkSession.sparkContext.broadcast(flags.packed)
+    at = [OWNER.index(c) for c in key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        local = support.Flags(shared.value)
+        for batch in batches:
+            flat = [c.flatten().to_numpy() for c in batch.columns[1:]]
+            slot = flat[at[0]] if len(at) == 1 else flat[at[0]] ^ flat[at[1]]
+            keep = np.flatnonzero(local.has(slot))
+            row = np.repeat(batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (row, *flat)], ["row", *OWNER])
+
+    return seen.select("row", *OWNER).mapInArrow(support.lean(run), "row long, lo int, hi int, p int, gram long, grp long")
+
+
+def _bounds(part: dict, span: int) -> list[tuple[int, int]]:
+    """First and end word of the passages in a confirmed group: all of it, or the runs of its recurring windows."""
+    lo, steps = part["lo"], part["steps"]
+    if steps is None:
+        return [(lo, part["hi"] + span)]
+    steps = np.array(steps)
+    cut = np.flatnonzero(np.diff(steps) > 1) + 1
+    return [(lo + int(run[0]), lo + int(run[-1]) + span) for run in np.split(steps, cut)]
+
+
+class _Shard:
+    """Passages of one shard and their automaton over word numbers; words that no passage has are 0."""
 
+    def __init__(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.passages: set[tuple[int, ...]] = set()
+        self.automaton = None
 
-def _shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list[int], list[list[bytes]], list]]:
-    """Documents of about ``limit`` characters at a time: row, words, confirmed windows."""
-    row, cut, spans, size = [], [], [], 0
+    def add(self, words: list[bytes], bounds: list[int]) -> None:
+        code = [self.number.setdefault(w, len(self.number) + 1) for w in words]
+        self.passages.update(tuple(code[a:b]) for a, b in zip(bounds[::2], bounds[1::2], strict=True))
+
+    def compile(self) -> None:
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+        for passage in self.passages:
+            self.automaton.add_word(passage)
+        self.passages.clear()
+        self.automaton.make_automaton()
+
+    def covered(self, words: list[bytes]) -> np.ndarray:
+        """Flags of the words inside any passage."""
+        if self.automaton is None and self.passages:
+            self.compile()
+        if self.automaton is None:
+            return np.zeros(len(words), bool)
+        number = self.number
+        met = np.array(list(self.automaton.iter(tuple([number.get(w, 0) for w in words]))), np.int64).reshape(-1, 2)
+        return covered(len(words), met[:, 0] - met[:, 1] + 1, met[:, 1])
+
+
+def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with removed words, of rows ``shard, row, text, bounds`` sorted by shard with its passages (row -1) first."""
+    now, shard = None, _Shard()
     for batch in batches:
-        for r, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row and size + len(text) > limit:
-                yield row, cut, spans
-                row, cut, spans, size = [], [], [], 0
-            row.append(r)
-            cut.append(space_words(text))
-            spans.append(found)
-            size += len(text)
-    if row:
-        yield row, cut, spans
+        out = []
+        for of, row, text, bounds in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if of != now:
+                now, shard = of, _Shard()
+            words = space_words(text)
+            if row < 0:
+                shard.add(words, bounds)
+                continue
+            gone = shard.covered(words)
+            if gone.any():
+                kept = b" ".join([w for w, g in zip(words, gone, strict=True) if not g])
+                out.append((row, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass")))
+        cols = list(zip(*out, strict=True)) if out else [()] * 4
+        types = (pa.int64(), pa.int64(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["row", "n_removed", "kept", "kept_text"])
