@@ -5,13 +5,17 @@ Equal sets become one node.  A node's SuperMinHash signature gives band keys; no
 candidates, and a link counts only after both full sets were compared.
 
 No bucket is expanded into pairs.  First each member is compared with its bucket's smallest node, which
-settles a bucket of copies in linear work.  Buckets that still hold several components are then searched in
-blocks against blocks: signatures find members that may have a partner in another component, the sets of
-those alone are read, and each block reports a spanning forest of verified links.  So no partner is capped
-or skipped, and one task never holds more than two blocks.
+settles a bucket of copies in linear work; the members of a crowded bucket are dealt into slices, each with
+its own copy of that node's set, so no task reads a whole bucket.  Buckets that still hold several components
+are then searched in blocks against blocks: signatures find members that may have a partner in another
+component, the sets of those alone are read, and each block reports a spanning forest of verified links.  So
+no partner is capped or skipped, and one task never holds more than two blocks, whose number follows from the
+members and from the bytes of their sets.
 
 Recall: at similarity 0.75 one of 32 bands of 4 rows agrees with probability 0.316, so a link is missed with
-probability 5e-6 (less above 0.75); nothing below the threshold is ever linked.
+probability 5e-6 (less above 0.75); nothing below the threshold is ever linked.  In the second search a pair
+is passed over when its signatures agree in fewer places than six standard deviations below the threshold:
+for two sets at 0.75 that has a probability of 8e-9 a pair (independent hashes; theirs vary less).
 
 Defined cases: a null or wordless text has an empty set, is linked with nothing and keeps its own id; a null
 id is ignored when a component takes its smallest id; repeated rows are grouped like any other copies;
@@ -33,6 +37,8 @@ from gleaner.llm import support
 from gleaner.llm.words import BASE, NONE, U64, Bag, as_long, grams, hashed, lower_space_words, mix, slices
 
 CHUNK = 1 << 16
+#: Members of a bucket that one copy of its smallest node's set is compared with, and bytes of sets in a block.
+SLICE, BLOCK_BYTES = 2048, 4 << 20
 #: Offsets that give each step of a signature its own hash of an element.
 STRIDE = np.arange(1, 1025, dtype=U64) * BASE
 
@@ -173,7 +179,7 @@ def near_duplicates(
                 )
                 row += b - a
 
-    signed = support.materialize(base.mapInArrow(sign, f"doc_id {kind}, row long, n long, set binary, bands array<long>, sig binary"), "signed")
+    signed = support.materialize(base.mapInArrow(support.lean(sign), f"doc_id {kind}, row long, n long, set binary, bands array<long>, sig binary"), "signed")
     # Equal sets are one node, named by its smallest row; its text is read through that row's id.
     grouped = signed.where("n > 0").groupBy("set").agg(
         F.min("row").alias("node"), F.min("doc_id").alias("least"), F.min_by("doc_id", "row").alias("home")
@@ -186,7 +192,7 @@ def near_duplicates(
 
     pairs = members.where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
     sets = _Texts(base, nodes, signed, kind, shingle)
-    links = support.materialize(_verify(pairs, sets, percent, shingle), "links")
+    links = support.materialize(_verify(pairs, sets, percent), "links")
     roots = support.components(links)
 
     # Buckets that are not settled: members of several components (a node without links is its own).
@@ -195,7 +201,7 @@ def near_duplicates(
     left = support.materialize(named.join(loose.select("key", "size"), "key"), "loose")
     marked = support.materialize(_may_link(left, signed, block, percent, m), "marked")
     if not marked.isEmpty():
-        more = _link_blocks(marked, sets, block, percent, shingle)
+        more = _link_blocks(marked, sets, percent)
         links = support.materialize(links.unionByName(more), "links")
         roots = support.components(links)
 
@@ -222,8 +228,7 @@ class _Texts:
     def of(self, wanted: DataFrame) -> DataFrame:
         """``(node, text)`` for the distinct nodes in ``wanted(node)``; a repeated id may give a node twice."""
         need = support.materialize(self.nodes.join(wanted.distinct(), "node", "left_semi").select("node", "home", "set"), "need")
-        flags = support.bitmap(need, F.xxhash64("home"))
-        near = support.pass_bitmap(self.base, F.xxhash64("doc_id"), flags)
+        near = support.pass_bitmap(self.base, F.xxhash64("doc_id"), support.bitmap(need, F.xxhash64("home")))
         both = near.join(need, F.col("doc_id").eqNullSafe(F.col("home")))
         shingle = self.shingle
 
@@ -238,16 +243,19 @@ class _Texts:
                     whole = pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(part, pa.binary())], ["node", "shingles"])
                     yield whole.filter(ok)
 
-        found = both.select("node", "set", "text").mapInArrow(same, "node long, shingles binary")
+        found = both.select("node", "set", "text").mapInArrow(support.lean(same), "node long, shingles binary")
         return support.materialize(found, "sets")
 
 
-def _verify(pairs: DataFrame, sets: _Texts, percent: int, shingle: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
+def _verify(pairs: DataFrame, sets: _Texts, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar enough; a node with many partners is dealt to several slices."""
     pairs = support.materialize(pairs, "pairs")
     have = sets.of(pairs.select(F.explode(F.array("u", "v")).alias("node")))
-    left = have.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
-    right = have.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
+    hubs = pairs.groupBy("v").agg(F.ceil(F.count("*") / F.lit(SLICE)).cast("int").alias("slices"))
+    dealt = pairs.join(hubs, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("slices")).cast("int").alias("slice"))
+    left = dealt.join(have.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
+    copies = hubs.select("v", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    right = copies.join(have.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,16 +263,15 @@ def _verify(pairs: DataFrame, sets: _Texts, percent: int, shingle: int) -> DataF
             ok = [similar(np.frombuffer(a[i].as_buffer(), U64), np.frombuffer(b[i].as_buffer(), U64), percent) for i in range(len(a))]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    joined = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")
-    return joined.mapInArrow(run, "u long, v long")
+    joined = left.join(right, ["v", "slice"]).select("u", "v", "a", "b")
+    return joined.mapInArrow(support.lean(run), "u long, v long")
 
 
-def _blocked(left: DataFrame, block: int) -> DataFrame:
-    """Each member once for every pair of blocks of its bucket in which its own block takes part."""
-    n = F.ceil(F.col("size") / F.lit(block)).cast("int")
-    own = F.pmod(F.hash("node"), n)
-    others = F.sequence(F.lit(0), n - 1)
-    return left.select(
+def _blocked(members: DataFrame) -> DataFrame:
+    """Each member once for every pair of the ``blocks`` of its bucket in which its own block takes part."""
+    own = F.pmod(F.hash("node"), F.col("blocks"))
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    return members.select(
         "*", own.alias("own"), F.explode(F.transform(others, lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j")))).alias("at")
     )
 
@@ -289,21 +296,23 @@ def _may_link(left: DataFrame, signed: DataFrame, block: int, percent: int, m: i
             near = other[(sig[other] == sig[x]).mean(axis=1) >= need] if len(other) else other
             hit[near] = True
             hit[x] |= len(near) > 0
-        return rows.select(["key", "node", "root"]).filter(pa.array(hit))
+        return rows.select(["key", "node", "root", "n"]).filter(pa.array(hit))
 
-    spread = _blocked(left, block).join(signed.select(F.col("row").alias("node"), "sig"), "node")
-    flat = spread.select("key", "node", "root", "own", "sig", F.col("at.i").alias("i"), F.col("at.j").alias("j"))
-    found = flat.groupBy("key", "i", "j").applyInArrow(run, "key long, node long, root long").distinct()
-    sizes = found.groupBy("key").agg(F.count("*").alias("size"))
-    return found.join(sizes, "key")
+    counted = left.withColumn("blocks", F.ceil(F.col("size") / F.lit(block)).cast("int"))
+    spread = _blocked(counted).join(signed.select(F.col("row").alias("node"), "sig", "n"), "node")
+    flat = spread.select("key", "node", "root", "n", "own", "sig", F.col("at.i").alias("i"), F.col("at.j").alias("j"))
+    found = flat.groupBy("key", "i", "j").applyInArrow(run, "key long, node long, root long, n long").distinct()
+    sizes = found.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.col("n") * 8).alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("size") / F.lit(block), F.col("bytes") / F.lit(BLOCK_BYTES))).cast("int")
+    return found.drop("n").join(sizes.select("key", blocks.alias("blocks")), "key")
 
 
-def _link_blocks(marked: DataFrame, sets: _Texts, block: int, percent: int, shingle: int) -> DataFrame:
+def _link_blocks(marked: DataFrame, sets: _Texts, percent: int) -> DataFrame:
     """Verified links across components, a spanning forest for each pair of blocks."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         node, root, own = (np.asarray(rows.column(c)) for c in ("node", "root", "own"))
-        shingles = [np.frombuffer(x, U64) for x in rows.column("shingles").to_pylist()]
+        shingles = [np.frombuffer(x.as_buffer(), U64) for x in rows.column("shingles")]
         i, j = key[1].as_py(), key[2].as_py()
         up: dict[int, int] = {}
 
@@ -324,6 +333,6 @@ def _link_blocks(marked: DataFrame, sets: _Texts, block: int, percent: int, shin
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     have = sets.of(marked.select("node")).dropDuplicates(["node"])
-    spread = _blocked(marked, block).join(have, "node")
+    spread = _blocked(marked).join(have, "node")
     flat = spread.select("key", "node", "root", "own", "shingles", F.col("at.i").alias("i"), F.col("at.j").alias("j"))
     return flat.groupBy("key", "i", "j").applyInArrow(run, "u long, v long").distinct()
