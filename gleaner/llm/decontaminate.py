@@ -46,7 +46,7 @@ def _salted(h: np.ndarray, length: int) -> np.ndarray:
 _FOUND = pa.list_(pa.struct([("h", pa.int64()), ("p", pa.int32()), ("lead", pa.int32()), ("ctx", pa.binary())]))
 
 
-def _fingerprints(bag: Bag, docs: list, k: int, span: int, flags: np.ndarray | None, short: tuple[int, ...]) -> list[list | None]:
+def _fingerprints(bag: Bag, docs: list, k: int, span: int, flags: support.Flags | None, short: tuple[int, ...]) -> list[list | None]:
     """Per document: hash, place, words before the gram in the context, and the context's words."""
     out: list[list | None] = [None] * len(docs)
     left = bag.left()
@@ -55,7 +55,7 @@ def _fingerprints(bag: Bag, docs: list, k: int, span: int, flags: np.ndarray | N
         ok = chosen[: len(h)].copy() if chosen is not None else left[: len(h)] >= n
         h = _salted(h, n if chosen is None else span)
         if flags is not None:
-            ok &= flags[(h & U64(len(flags) - 1)).astype(np.int64)]
+            ok &= flags.has(as_long(h))
         for p in np.flatnonzero(ok):
             d = bag.doc[p]
             at = int(p - bag.at[d])
@@ -78,7 +78,6 @@ def contamination(
     span: int = 13,
     k: int = 8,
     share: int = 20,
-    bits: int = 24,
 ) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``.
 
@@ -103,14 +102,14 @@ def contamination(
                 )
 
     fields = "found array<struct<h: long, p: int, lead: int, ctx: binary>>"
-    prints = items.mapInArrow(of_items, f"item_id string, n int, {fields}")
+    prints = items.mapInArrow(support.lean(of_items), f"item_id string, n int, {fields}")
     prints = support.materialize(prints.select("item_id", "n", F.explode("found").alias("f")).select("item_id", "n", "f.*"), "prints")
-    flags = support.bitmap(prints, F.col("h"), bits)
+    flags = support.bitmap(prints, F.col("h"))
     short = tuple(r.n for r in prints.where(F.col("n") < span).select("n").distinct().collect())  # fewer than ``span`` lengths
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(flags))
+    shared = docs.sparkSession.sparkContext.broadcast(flags.packed)
 
     def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        local = np.unpackbits(shared.value).view(np.bool_)
+        local = support.Flags(shared.value)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -129,7 +128,7 @@ def contamination(
                 row += b - a
 
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    seen = support.materialize(base.mapInArrow(of_docs, f"doc_id {kind}, row long, n_words long, {fields}"), "seen")
+    seen = support.materialize(base.mapInArrow(support.lean(of_docs), f"doc_id {kind}, row long, n_words long, {fields}"), "seen")
     probes = seen.where("found is not null").select("row", F.explode("found").alias("f")).select("row", "f.*")
     there = prints.select("h", "item_id", "n", F.col("lead").alias("item_lead"), F.col("ctx").alias("item_ctx"))
 
@@ -162,7 +161,7 @@ def contamination(
             )
 
     met = probes.join(there, "h").select("row", "item_id", "n", "p", "lead", "ctx", "item_lead", "item_ctx")
-    spans = support.materialize(met.mapInArrow(extend, "row long, item_id string, a int, b int").distinct(), "spans")
+    spans = support.materialize(met.mapInArrow(support.lean(extend), "row long, item_id string, a int, b int").distinct(), "spans")
     # Words in any span: spans by start, each adding what reaches beyond all spans before it.
     before = F.max("b").over(Window.partitionBy("row").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
     distinct = spans.select("row", "a", "b").distinct()

@@ -190,7 +190,7 @@ def pack_matrices(
             yield flush(buffer, first)
 
     fields = "pieces array<int>, starts array<long>, cu_seqlens array<int>, resets array<int>, n_tokens long, id_bytes int, ids binary"
-    return base.mapInArrow(run, f"sequence_id long, doc_ids array<{kind}>, {fields}")
+    return base.mapInArrow(support.lean(run), f"sequence_id long, doc_ids array<{kind}>, {fields}")
 
 
 def write_matrices(packed: DataFrame, path: str) -> None:
@@ -241,7 +241,7 @@ def pack_hierarchically(
 
     names = ["doc_id", "piece", "start", "length", "crc", "node", "bin", "offset", "ordinal"]
     schema = ", ".join([f"doc_id {kind}", *(f"{n} long" for n in names[1:])])
-    now = support.materialize(base.mapInArrow(local, schema), "pieces")
+    now = support.materialize(base.mapInArrow(support.lean(local), schema), "pieces")
     number = lambda level: F.lit(level << 60) + F.shiftleft("node", 32) + F.col("bin")
     now = now.withColumn("sequence_id", F.when(F.col("bin") >= 0, number(0)))
     waiting = now.where("bin < 0")

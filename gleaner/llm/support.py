@@ -9,13 +9,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from gleaner.llm import words
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -45,6 +46,20 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` written once with a key of each row, and the key's name: ids may be null or repeat."""
+    row = unused(docs, "__row")
+    return materialize(docs.withColumn(row, F.monotonically_increasing_id()), "keyed"), row
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as make it no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 @atexit.register
 def release() -> None:
     """Delete the intermediate tables of this driver; lazy results that read them end with it."""
@@ -62,46 +77,78 @@ def type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-# -- fixed-size bitmaps --------------------------------------------------------------------------------
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``; a worker that waits for its next task gives back what the last one held."""
+
+    def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            words.free()
+
+    return freed
+
+
+# -- bitmaps -------------------------------------------------------------------------------------------
 
 
-def bitmap(keys: DataFrame, key: Column, bits: int = 23) -> np.ndarray:
-    """A set of ``key`` hashes as ``2**bits`` flags: a filter without false negatives.
+class Flags:
+    """A set of hashes as ``2**bits`` flags: a filter without false negatives."""
 
-    Its size (1 MB at 23 bits) depends on ``bits`` alone, never on the data; a full map lets everything pass
-    and only costs speed.  Executors OR the flags together; the driver gets at most ``2**bits / 64`` words.
+    def __init__(self, packed: np.ndarray):
+        self.packed, self.size = packed, 8 * len(packed)
+
+    def has(self, slot: np.ndarray) -> np.ndarray:
+        """Whether each hash of ``slot`` is flagged; only its low bits count."""
+        at = slot.astype(np.int64) & (self.size - 1)
+        return ((self.packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(np.bool_)
+
+    @property
+    def share(self) -> float:
+        return float(np.unpackbits(self.packed).mean())
+
+
+def bitmap(keys: DataFrame, key: Column, most: int = 26) -> Flags:
+    """The flags of the ``key`` hashes of ``keys``, eight for each of them, but never more than ``2**most``.
+
+    So a broadcast map has 8 MB at most, however many keys there are; a full map lets everything pass and only
+    costs speed.  Executors OR the flags together; the driver gets at most ``2**most / 64`` words.
     """
+    bits = min(most, max(16, (8 * keys.count()).bit_length()))
     slot = F.pmod(key, F.lit(1 << bits))
     words = (
         keys.select(slot.alias("s"))
         .select(F.shiftright("s", 6).alias("w"), F.expr("shiftleft(1L, cast(s & 63 as int))").alias("m"))
         .groupBy("w")
         .agg(F.expr("bit_or(m)").alias("m"))
-        .collect()
+        .toArrow()
     )
-    flags = np.zeros(1 << (bits - 6), np.uint64)
-    for w, m in words:
-        flags[w] = m & 0xFFFFFFFFFFFFFFFF
-    return np.unpackbits(flags.view(np.uint8), bitorder="little").view(np.bool_)
+    flags = np.zeros(1 << (bits - 6), np.int64)
+    flags[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    return Flags(flags.view(np.uint8))
 
 
-def pass_bitmap(df: DataFrame, key: Column, flags: np.ndarray) -> DataFrame:
+def pass_bitmap(df: DataFrame, key: Column, flags: Flags) -> DataFrame:
     """Rows of ``df`` whose ``key`` hash is flagged, before a shuffle of wide rows."""
-    if flags.mean() > 0.5:
+    if flags.share > 0.5:
         return df
-    packed = df.sparkSession.sparkContext.broadcast(np.packbits(flags))
-    size = len(flags)
+    shared = df.sparkSession.sparkContext.broadcast(flags.packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        local = np.unpackbits(packed.value).view(np.bool_)
+        local = Flags(shared.value)
         for batch in batches:
-            slot = batch.column(0).to_numpy(zero_copy_only=False)
-            kept = batch.filter(pa.array(local[slot]))
+            kept = batch.filter(pa.array(local.has(batch.column(0).to_numpy(zero_copy_only=False))))
             if kept.num_rows:
                 yield kept.select(list(range(1, kept.num_columns)))
 
-    slotted = df.select(F.pmod(key, F.lit(size)).alias("__slot"), *[F.col(f"`{c}`") for c in df.columns])
-    return slotted.mapInArrow(run, df.schema)
+    slotted = df.select(F.pmod(key, F.lit(flags.size)).alias("__slot"), *[F.col(f"`{c}`") for c in df.columns])
+    return slotted.mapInArrow(lean(run), df.schema)
+
+
+def rows_of(base: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of the written table ``base`` whose key ``row`` is in ``wanted``, joined with it; others are not shuffled."""
+    key = F.xxhash64("row")
+    return pass_bitmap(base, key, bitmap(wanted, key)).join(wanted, "row")
 
 
 # -- union-find grouping -------------------------------------------------------------------------------
@@ -136,7 +183,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     Tasks first contract their own links by union-find to a forest; then large-star and small-star rounds
     meet across tasks, with one written table a round, until the links no longer change.
     """
-    edges = materialize(links.select("u", "v").mapInArrow(_forest, "u long, v long"), "forest")
+    edges = materialize(links.select("u", "v").mapInArrow(lean(_forest), "u long, v long"), "forest")
     seen = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -154,6 +201,3 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     own = edges.select(F.col("v").alias("node"), F.col("v").alias("root"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(own).distinct()
-
-
-LONG = T.LongType()

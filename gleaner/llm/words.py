@@ -13,6 +13,7 @@ import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 U64 = np.uint64
@@ -52,12 +53,17 @@ _hashes = _Hashes()
 
 
 def make_room() -> None:
-    """Give back the token cache that a packing task may have left in this worker."""
+    """Drop the token cache that a packing task may have left in this worker."""
     tokens = sys.modules.get("gleaner.llm.tokens")
-    if tokens is None or not tokens.encoder.cache_info().currsize:
-        return
-    tokens.encoder.cache_clear()
-    gc.collect()
+    if tokens is not None and tokens.encoder.cache_info().currsize:
+        tokens.encoder.cache_clear()
+        gc.collect()
+
+
+def free() -> None:
+    """Empty the word cache and hand free memory back to the system."""
+    _hashes.clear()
+    pa.default_memory_pool().release_unused()
     if sys.platform == "linux":
         ctypes.CDLL(None).malloc_trim(0)
 
