@@ -1,33 +1,35 @@
 """Quality rules: whole-text repetition rules and cross-document line frequency by host.
 
-Lines are normalised (blanks stripped, A-Z lowered) and hashed.  Per host, each distinct document content is
-counted once for each of its lines; lines found in at least ``min_docs`` contents and at least ``min_share`` of
-the host's contents are boilerplate and removed.  A document that is left with fewer than ``min_words`` words,
-or less than ``min_left`` of its words, is depleted and rejected, as are documents that fail the base rules.
-Copies of one content count once, so that copying alone makes no line boilerplate and no clean document fails
+Lines are normalised (blanks stripped, A-Z lowered) and hashed.  Per host, each distinct document is counted
+once for each of its lines; lines with words that at least ``min_docs`` distinct documents of the host have are
+boilerplate and are removed from every text of the host.  The limit is a fixed number, so it does not grow with
+the host.  A document that is left with fewer than ``min_words`` words, or less than ``min_left`` of its words,
+is depleted and rejected, as are documents that fail the base rules.  Rows of one host with the same whole text
+are one document in this count, so that copying alone makes no line boilerplate and no clean document fails
 for it; copies are the business of the deduplication operators.
 
-Counting pre-aggregates before each shuffle and groups by (host, line), never by host, so one host with a
-third of all rows stays spread over all tasks.
+Rows are keyed once in a written table.  Counting pre-aggregates before each shuffle and groups by (host, line),
+never by host, so one host with a third of all rows stays spread over all tasks.  Only texts that lose a line
+are shuffled, by their key.
 
 Defined cases: a null or wordless text has no words and fails the base rules; a null host is a host of its
-own; repeated rows and ids give one row each; an empty table gives an empty result.  Other columns are not
-read.
+own; lines without words are never removed; repeated rows and ids give one row each; an empty table gives an
+empty result.  Other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import support
-from gleaner.llm.words import Bag, as_long, covered, grams, make_room, slices, space_words
+from gleaner.llm.words import Bag, as_long, covered, grams, make_room, slices
 
 BLANKS = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
@@ -53,6 +55,10 @@ def repeated_words(bag: Bag, width: int = 5) -> np.ndarray:
     return np.bincount(bag.doc[hit], minlength=len(bag.n)).astype(np.int64) if hit.any() else out
 
 
+def _line_hash(line: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(line.strip(BLANKS).lower())
+
+
 def _lines(data: bytes) -> tuple[int, np.ndarray, np.ndarray]:
     """Repeated lines; hash and words of each distinct normalised line that has words."""
     seen: set[bytes] = set()
@@ -66,77 +72,95 @@ def _lines(data: bytes) -> tuple[int, np.ndarray, np.ndarray]:
             again += 1
         else:
             seen.add(line)
-        h = xxhash.xxh3_64_intdigest(line.strip(BLANKS).lower())
+        h = _line_hash(line)
         words[h] = words.get(h, 0) + n
     return again, np.fromiter(words.keys(), np.uint64, len(words)), np.fromiter(words.values(), np.int64, len(words))
 
 
+def _bytes(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
 def quality(
     docs: DataFrame,
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
     host_col: str = "source",
+    row_col: str | None = None,
     least_words: int = 10,
     repeat_percent: int = 20,
-    min_docs: int = 20,
-    min_share: float = 0.2,
+    min_docs: int = 10,
     min_words: int = 10,
-    min_left: float = 0.2,
+    min_left: float = 0.7,
 ) -> DataFrame:
-    """One row per document: the base counts, ``n_removed`` (words in boilerplate lines), ``base_failed``, ``kept``, ``row``."""
+    """One row per document: its counts, ``n_removed`` (words in boilerplate lines), ``base_failed``, ``kept``, ``kept_sha256``, ``kept_text``, ``row``.
+
+    ``kept_text`` is the text without boilerplate lines, null where nothing was removed; ``kept_sha256`` is the
+    digest of what is left in either case.  ``row_col`` names a key of the rows, if the table already has one.
+    """
+    if row_col is None:
+        docs, row_col = support.keyed(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys((id_col, host_col, text_col))]))
     kind = support.type_of(docs, id_col)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(
+        F.col(row_col).alias("row"), F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text")
+    )
+    content = F.struct(F.xxhash64("text").alias("a"), F.hash("text").alias("b"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make_room()
-        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            texts = batch.column(2).to_pylist()
+            texts = batch.column(4).to_pylist()
             for a, b in slices(texts):
-                data = [(t or "").encode("utf-8", "surrogatepass") for t in texts[a:b]]
-                bag = Bag([space_words(t) for t in texts[a:b]])
+                data = [_bytes(t) for t in texts[a:b]]
+                bag = Bag([x.split() for x in data])
                 lines = [_lines(x) for x in data]
                 cols = [
-                    batch.column(0).slice(a, b - a),
-                    batch.column(1).slice(a, b - a),
-                    pa.array(range(row, row + b - a), pa.int64()),
-                    pa.array([xxhash.xxh3_128_digest(x) for x in data], pa.binary()),
+                    *(batch.column(i).slice(a, b - a) for i in range(4)),
                     pa.array(bag.n, pa.int64()),
                     pa.array([len(x.translate(None, _KEEP_STARTS)) for x in data], pa.int64()),
                     pa.array([len(x) - len(x.translate(*_DROP_SYMBOLS)) for x in data], pa.int64()),
                     pa.array([n for n, _, _ in lines], pa.int64()),
                     pa.array(repeated_words(bag), pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in data]),
                     pa.array([as_long(h) for _, h, _ in lines], pa.list_(pa.int64())),
                     pa.array([n for _, _, n in lines], pa.list_(pa.int64())),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names)
-                row += b - a
 
-    names = ["doc_id", "host", "row", "content", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words"]
-    schema = f"doc_id {kind}, host string, row long, content binary, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<long>"
-    seen = support.materialize(base.mapInArrow(measure, schema), "measured")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for text, drop in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                gone = {h & 0xFFFFFFFFFFFFFFFF for h in drop}
+                kept.append(b"\n".join([x for x in _bytes(text).split(b"\n") if not x.split() or _line_hash(x) not in gone]))
+            cols = [batch.column(0), batch.column(1), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array([x.decode("utf-8", "surrogatepass") for x in kept])]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "n_removed", "cut_sha256", "kept_text"])
+
+    names = ["row", "doc_id", "host", "content", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "whole", "lines", "line_words"]
+    schema = (
+        f"row long, doc_id {kind}, host string, content struct<a: long, b: int>, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+        "whole string, lines array<long>, line_words array<long>"
+    )
+    seen = base.select("row", "doc_id", "host", content.alias("content"), "text").mapInArrow(support.lean(measure), schema)
+    seen = support.materialize(seen, "measured")
     contents = seen.groupBy("host", "content").agg(F.min("row").alias("row"))
-    # Documents of each host: at most one row a host; counted from pre-aggregated contents.
-    hosts = contents.groupBy("host").agg(F.count("*").alias("host_docs"))
     lines = seen.select("host", "row", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select(
         "host", "row", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words")
     )
     one = lines.join(contents.select("row"), "row", "left_semi")
-    counted = one.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    limit = F.col("n") >= min_share * F.col("host_docs")
-    same_host = counted["host"].eqNullSafe(hosts["host"])
-    common = counted.join(hosts, same_host).where(limit).select(counted["host"].alias("h"), F.col("line").alias("l"))
-    gone = (
-        lines.join(common, (F.col("line") == F.col("l")) & F.col("host").eqNullSafe(F.col("h")))
-        .groupBy("row")
-        .agg(F.sum("words").alias("n_removed"))
-    )
+    common = one.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    # Written, so that the join with all lines is planned by its size.
+    common = support.materialize(common.select(F.col("host").alias("h"), F.col("line").alias("l")), "boilerplate")
+    gone = lines.join(common, (F.col("line") == F.col("l")) & F.col("host").eqNullSafe(F.col("h")))
+    gone = support.materialize(gone.groupBy("row").agg(F.sum("words").alias("n_removed"), F.collect_list("line").alias("drop")), "gone")
+    cleaned = support.rows_of(base.select("row", "text"), gone).select("row", "n_removed", "text", "drop").mapInArrow(support.lean(cut), "row long, n_removed long, cut_sha256 string, kept_text string")
+
     n, removed = F.col("n_words"), F.coalesce("n_removed", F.lit(0)).cast("long")
     failed = (n < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * n)
     depleted = (removed > 0) & ((n - removed < min_words) | (n - removed < min_left * n))
-    out = seen.drop("lines", "line_words", "content", "host").join(gone, "row", "left")
+    out = seen.drop("lines", "line_words", "content", "host").join(cleaned, "row", "left")
     return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        removed.alias("n_removed"), failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "row",
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", removed.alias("n_removed"),
+        failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), F.coalesce("cut_sha256", "whole").alias("kept_sha256"), "kept_text", "row",
     )

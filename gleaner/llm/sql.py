@@ -50,24 +50,24 @@ CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT)
 sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
 CAST(sum({len(chat.START) + len(chat.END) + 2} + {_escaped_length('role')} + {_escaped_length('text')}) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id"""
 
+_KEY = f"translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), '{UPPER}', '{LOWER}')"
+
 OP8 = f"""WITH d AS (SELECT doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{SPACE}') AS w, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 r AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS p, unnest({GRAMS.format(n=5)}) AS g FROM d WHERE len(w) >= 5),
 rr AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS n FROM r) WHERE n > 1),
 rw AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + 5)) AS q FROM rr) GROUP BY doc_id),
-ln AS (SELECT doc_id, host, unnest(l) AS line FROM d),
-lk AS (SELECT doc_id, host, line, translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), '{UPPER}', '{LOWER}') AS k, len(regexp_extract_all(line, '{SPACE}')) AS n FROM ln WHERE regexp_matches(line, '{SPACE}')),
-dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lk GROUP BY doc_id),
+ln AS (SELECT doc_id, host, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM d),
+lk AS (SELECT doc_id, host, line, i, {_KEY} AS k, len(regexp_extract_all(line, '{SPACE}')) AS n FROM ln),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lk WHERE n > 0 GROUP BY doc_id),
 one AS (SELECT host, text, min(doc_id) AS doc_id FROM d GROUP BY host, text),
-hosts AS (SELECT host, count(*) AS n FROM one GROUP BY host),
-freq AS (SELECT lk.host, k, count(DISTINCT doc_id) AS n FROM lk SEMI JOIN one USING (doc_id) GROUP BY lk.host, k HAVING count(DISTINCT doc_id) >= 20),
-bad AS (SELECT f.host, k FROM freq f JOIN hosts h ON f.host = h.host AND f.n >= 0.2::DOUBLE * h.n),
-gone AS (SELECT doc_id, sum(n) AS n FROM lk SEMI JOIN bad USING (host, k) GROUP BY doc_id),
+bad AS (SELECT lk.host, k FROM lk SEMI JOIN one USING (doc_id) WHERE n > 0 GROUP BY lk.host, k HAVING count(DISTINCT doc_id) >= 10),
+t AS (SELECT lk.*, b.k IS NOT NULL AS gone FROM lk LEFT JOIN bad b ON lk.host = b.host AND lk.k = b.k AND lk.n > 0),
+c AS (SELECT doc_id, sum(n) FILTER (WHERE gone) AS n, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone) AS left_ FROM t GROUP BY doc_id),
 m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
-coalesce(dup.n, 0) AS n_dup_lines, coalesce(rw.n, 0) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed FROM d LEFT JOIN rw USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN gone USING (doc_id))
+coalesce(dup.n, 0) AS n_dup_lines, coalesce(rw.n, 0) AS n_repeat_words, CAST(coalesce(c.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(left_, '')) AS kept_sha256 FROM d LEFT JOIN rw USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN c USING (doc_id))
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (n_removed > 0 AND (n_words - n_removed < 10 OR n_words - n_removed < 0.2::DOUBLE * n_words)) AS kept FROM m"""
+NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (n_removed > 0 AND (n_words - n_removed < 10 OR n_words - n_removed < 0.7::DOUBLE * n_words)) AS kept FROM m"""
 
-_KEY = f"translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), '{UPPER}', '{LOWER}')"
 OP9 = f"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
 k AS (SELECT doc_id, i, line, {_KEY} AS k FROM l),
 f AS (SELECT k FROM k WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10),

@@ -101,6 +101,27 @@ def quality_base(text: str | None) -> tuple:
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(repeat), failed
 
 
+def line_key(line: str) -> str:
+    return lower_ascii(line.strip(" \t\n\x0b\x0c\r"))
+
+
+def quality_lines(docs: list[tuple], least: int = 10, share: float = 0.7) -> list[tuple]:
+    """Per document ``(id, text, host)``: words removed, text left, kept."""
+    found = defaultdict(set)
+    for _, text, host in docs:
+        for line in (text or "").split("\n"):
+            if SPACE_WORD.search(line):
+                found[host, line_key(line)].add(text)
+    out = []
+    for _, text, host in docs:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if not SPACE_WORD.search(x) or len(found[host, line_key(x)]) < least]
+        n, rest = (len(SPACE_WORD.findall(x)) for x in (text or "", "\n".join(kept)))
+        depleted = rest < n and (rest < 10 or rest < share * n)
+        out.append((n - rest, "\n".join(kept), not quality_base(text)[-1] and not depleted))
+    return out
+
+
 def lines_dropped(docs: list[tuple], least: int = 10) -> list[tuple]:
     def key(line):
         return lower_ascii(line.strip(" \t\n\x0b\x0c\r"))

@@ -11,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use inside or return.
-CLASHES = ["row", "kept", "component_id", "n_words", "content", "host", "self", "h", "bands", "sequence_id", "node", "length", "offset", "found", "doc", "at", "t", "lo", "__kept"]
+CLASHES = ["row", "kept", "component_id", "n_words", "content", "host", "self", "h", "bands", "sequence_id", "node", "length", "offset", "found", "doc", "at", "t", "lo", "__kept", "__row", "__kept_key", "__kept_text"]
 
 
 def edge_rows() -> list[tuple]:
@@ -44,6 +44,11 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+@pytest.fixture(scope="session")
+def hosted():
+    return [(r[0], r[1], r[3]) for r in edge_rows()]
+
+
 @pytest.fixture(scope="session")
 def pairs():
     return [(r[0], r[1]) for r in edge_rows()]

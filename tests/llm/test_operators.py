@@ -123,22 +123,36 @@ def test_recurring_passages_of_few_words(spark):
     same([tuple(x)[:4] for x in repeats.remove_repeats(df, span=12, k=4, shard_chars=500).collect()], brute.repeats_removed(docs, 12))
 
 
-def test_quality(edge, pairs):
+def test_quality(edge, hosted):
     got = quality.quality(edge).collect()
-    same([(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got], [(d, *brute.quality_base(t)) for d, t in pairs])
-    assert all(not r.kept for r in got if r.base_failed)
+    want = [(d, *brute.quality_base(t), n, brute.sha(left), kept) for (d, t, _), (n, left, kept) in zip(hosted, brute.quality_lines(hosted), strict=True)]
+    same([(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.n_removed, r.kept_sha256, r.kept) for r in got], want)
+    assert sum(r.n_removed > 0 for r in got) == 12
+    assert all((r.kept_text is None) == (r.n_removed == 0) for r in got)
+    assert all(brute.sha(r.kept_text) == r.kept_sha256 for r in got if r.kept_text is not None)
 
 
 def test_boilerplate_is_counted_per_host_and_copies_once(spark):
     line = "\n".join(" ".join(f"menu{i}{j}" for j in range(7)) for i in range(4))
-    body = lambda i: " ".join(f"w{i}x{j}" for j in range(12))
-    docs = [(i, f"{line}\n{body(i)}", "h") for i in range(25)] + [(50, line + "\nshort", "h"), (51, line + "\nshort", "other")]
+    body = lambda i: " ".join(f"w{i}x{j}" for j in range(80))
+    docs = [(i, f"{line}\n{body(i)}", "h") for i in range(25)] + [(50, line + "\n" + body("y")[:150], "h"), (51, line + "\n" + body("y")[:150], "other")]
     docs += [(100 + i, "copied words of one clean page that many rows of this host repeat in full\n" + body(0), "h") for i in range(30)]
-    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
-    assert got[0].kept and got[0].n_removed == 28 and not got[50].kept and got[51].n_removed == 0 and got[51].kept
+    docs += [(200 + i, f"a line of a host without name that all of its pages have\n\n{body(i)}", None) for i in range(10)]
+    found = quality.quality(spark.createDataFrame(docs, "doc_id long, text string, source string"))
+    got = {r.doc_id: r for r in found.collect()}
+    for (doc, _, _), (n, left, kept) in zip(docs, brute.quality_lines(docs), strict=True):
+        assert (got[doc].n_removed, got[doc].kept_sha256, got[doc].kept) == (n, brute.sha(left), kept)
+    assert got[0].kept and got[0].n_removed == 28 and not got[50].kept and got[51].n_removed == 0 and got[51].kept and got[205].n_removed == 13
     assert all(got[100 + i].kept and not got[100 + i].n_removed for i in range(30))
 
 
+def test_boilerplate_of_one_host_in_many_partitions(spark):
+    """One host with all rows: the limit is the same for ten documents and for hundreds."""
+    docs = [(i, f" Home | About \n{' '.join(f'w{i}x{j}' for j in range(12))}\nseen {i // 9} by nine", "hot") for i in range(300)]
+    found = quality.quality(spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(9)).collect()
+    assert all(r.n_removed == 3 and r.kept for r in found) and len(found) == 300
+
+
 def test_line_dedup(edge, pairs):
     for least in (2, 10):
         got = line_dedup.drop_frequent_lines(edge, min_docs=least, columns=True)

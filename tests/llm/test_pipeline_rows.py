@@ -15,10 +15,11 @@ def counted(df):
     return Counter((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
 
 
-def test_quality_verdicts_are_of_rows(spark, edge):
+def test_quality_verdicts_are_of_rows(spark, edge, hosted):
     got = corpus_pipeline.quality_rules(spark, edge, "")
     assert got.columns == edge.columns
-    assert counted(got) == Counter((d, t) for d, t, *_ in edge_rows() if not brute.quality_base(t)[-1])
+    assert counted(got) == Counter((d, left if n else t) for (d, t, _), (n, left, kept) in zip(hosted, brute.quality_lines(hosted), strict=True) if kept)
+    assert all(r.n_chars == len(r.text) for r in got.where("doc_id >= 20").collect())
 
 
 def test_near_dedup_keeps_one_row_of_a_group(spark, edge):
@@ -44,9 +45,9 @@ def test_contaminated_rows_go_whatever_their_id(spark, edge, tmp_path, which):
 
 
 def test_line_limit_does_not_grow_with_the_host(spark):
-    """A line in 25 of a host's 226 contents is boilerplate; only the page that has little else goes."""
+    """A line in 25 of a host's 226 documents is boilerplate and leaves the texts; only the page that has little else goes."""
     line = " ".join(f"menu{j}" for j in range(12))
     body = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
     docs = [(i, f"{line}\n{body(i)}" if i < 24 else body(i), "h") for i in range(225)] + [(900, line + "\nshort", "h"), (901, line + "\nshort", "other")]
     got = corpus_pipeline.quality_rules(spark, spark.createDataFrame(docs, "doc_id long, text string, source string"), "")
-    assert {r.doc_id for r in got.collect()} == {*range(225), 901}
+    assert {r.doc_id: r.text for r in got.collect()} == {i: body(i) for i in range(225)} | {901: line + "\nshort"}

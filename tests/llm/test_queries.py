@@ -43,7 +43,7 @@ def test_query_equals_its_sql(spark, duck, name):
 
 
 def brute_pipeline(docs, bench):
-    docs = [d for d in docs if not brute.quality_base(d[1])[-1]]
+    docs = [(d, left if n else t) for (d, t, _), (n, left, kept) in zip(docs, brute.quality_lines(docs), strict=True) if kept]
     lines = {}
     for text in (t for _, t in docs):
         for k in {brute.lower_ascii(x.strip(" \t\n\x0b\x0c\r")) for x in (text or "").split("\n")}:
@@ -58,7 +58,7 @@ def brute_pipeline(docs, bench):
 
 def test_pipeline_equals_brute_force(spark):
     read = lambda t: spark.read.parquet(f"{SF}/{t}.parquet")
-    docs = [(r.doc_id, r.text) for r in read("documents").collect()]
+    docs = [(r.doc_id, r.text, r.source) for r in read("documents").collect()]
     bench = [(r.item_id, r.text) for r in read("benchmark").collect()]
     exact = tokens.Encoder(tokens.default_vocabulary()).exact
     want = brute.token_pieces(brute_pipeline(docs, bench), lambda t: exact.encode(t, add_special_tokens=False).ids)
