@@ -15,25 +15,22 @@ from gleaner import prepare
 from gleaner.llm import decontaminate, line_dedup, near_dedup, packing, quality, support
 
 
-def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` written once with a key of each row, and the key's name: ids may be null or repeat."""
-    row = "__row"
-    while row in docs.columns:
-        row += "_"
-    return support.materialize(docs.withColumn(row, F.monotonically_increasing_id()), "keyed"), row
-
-
 def _keep(keyed: DataFrame, row: str, kept: DataFrame) -> DataFrame:
     """Rows of ``keyed`` whose key is in the first column of ``kept``, without the key."""
-    keep = kept.select(F.col(kept.columns[0]).alias("__kept_key"))
-    return keyed.join(keep, keyed[row] == F.col("__kept_key"), "left_semi").drop(row)
+    key = support.unused(keyed, "__kept_key")
+    return keyed.join(kept.select(F.col(kept.columns[0]).alias(key)), F.col(row) == F.col(key), "left_semi").drop(row)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are not depleted of the lines that 20 distinct contents of their host have."""
+    """Documents that pass the base rules and are not depleted, without their host's boilerplate lines; ``n_chars`` follows the text."""
     prepare(spark)
-    keyed, row = _keyed(docs)
-    return _keep(keyed, row, quality.quality(keyed, id_col=row, min_share=0.0).where("kept"))
+    keyed, row = support.keyed(docs)
+    key, text = support.unused(keyed, "__kept_key"), support.unused(keyed, "__kept_text")
+    kept = quality.quality(keyed, id_col=row, row_col=row).where("kept").select(F.col("row").alias(key), F.col("kept_text").alias(text))
+    cut = F.col(text).isNotNull()
+    new = {"text": F.coalesce(text, "text"), "n_chars": F.when(cut, F.length(text).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    joined = keyed.join(kept, F.col(row) == F.col(key))
+    return joined.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +44,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group: the smallest id, nulls last, and of equal ids the first row."""
     prepare(spark)
-    keyed, row = _keyed(docs)
+    keyed, row = support.keyed(docs)
     found = near_dedup.near_duplicates(keyed, id_col=row).select(F.col("doc_id").alias("r"), "component_id")
     ids = keyed.select(F.col(row).alias("r"), F.col("doc_id").alias("id"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "r")
@@ -57,7 +54,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
     prepare(spark)
-    keyed, row = _keyed(docs)
+    keyed, row = support.keyed(docs)
     found = decontaminate.contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=row)
     return _keep(keyed, row, found.where("not contaminated"))
 
