@@ -6,9 +6,10 @@
    owns several different groups, one text of each group is read again and its windows are counted singly;
    runs of windows that recur are passages.  So rows number a fourteenth of the words, and copies collapse
    before they are expanded.
-3. Documents are dealt into shards by a hash of their key.  A shard asks for the passages whose owner groups
-   its documents have, each once however many of its documents share it; their words are read from one
-   confirmed example each.  Nothing says where a document has them.
+3. Documents are dealt into shards by their smallest flagged k-gram, so that copies mostly meet in one shard;
+   a k-gram that more documents have than a shard takes is dealt to several shards.  A shard asks for the
+   passages whose owner groups its documents have, each once however many of its documents share it; their
+   words are read from one confirmed example each.  Nothing says where a document has them.
 4. Each shard compiles an Aho-Corasick automaton over word numbers from its passages and streams its documents
    through it, which locates every occurrence; the words covered are removed.  Documents without any flagged
    owner have no passage and are not shuffled.
@@ -27,11 +28,13 @@ separate occurrences; an empty table gives an empty result; other columns are no
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,17 +81,17 @@ def owners(bag: Bag, k: int, span: int) -> tuple[np.ndarray, ...]:
 
 
 def remove_repeats(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = 35, k: int = 8, shard_chars: int = 1 << 20
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = 35, k: int = 8, shard_chars: int = 1 << 22
 ) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_removed, kept_sha256, kept_text`` (null where nothing was removed)."""
     kind = support.type_of(docs, id_col)
-    table, row = support.keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")))
-    base = table.select(F.col(row).alias("row"), "doc_id", "text")
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make_room()
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            texts = batch.column(2).to_pylist()
+            texts = batch.column(1).to_pylist()
             for a, b in slices(texts):
                 cut = [space_words(t) for t in texts[a:b]]
                 bag = Bag(cut)
@@ -100,11 +103,14 @@ def remove_repeats(
                     (lo - first).astype(np.int32), (hi - first).astype(np.int32), (p - first).astype(np.int32), as_long(gram), as_long(group))]
                 whole = [hashlib.sha256(b" ".join(w)).hexdigest() for w in cut]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(bag.n, pa.int64()), pa.array(whole), *lists],
-                    ["row", "doc_id", "n_words", "whole", *OWNER],
+                    [pa.array(range(row, row + b - a), pa.int64()), *(c.slice(a, b - a) for c in batch.columns), pa.array(bag.n, pa.int64()), pa.array(whole), *lists],
+                    ["row", "doc_id", "text", "n_words", "whole", *OWNER],
                 )
+                row += b - a
 
-    seen = support.materialize(base.mapInArrow(support.lean(scan), f"row long, doc_id {kind}, n_words long, whole string, {_LISTS}"), "owners")
+    # Texts are written with their row numbers, which no later run of the scan has to give again.
+    seen = support.materialize(docs.mapInArrow(support.lean(scan), f"row long, doc_id {kind}, text string, n_words long, whole string, {_LISTS}"), "owners")
+    texts = seen.select("row", "text")
     often = seen.select(F.explode("gram").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     often = support.materialize(often, "often")
     rows = _flagged(seen, support.bitmap(often, F.col("gram")), "gram")
@@ -129,7 +135,7 @@ def remove_repeats(
                 wins = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(win))
                 yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(grp), pa.array(n), wins], ["gram", "grp", "n", "wins"])
 
-    singly = support.rows_of(base.select("row", "text"), asked).select("text", "qs").mapInArrow(support.lean(windows), "gram long, grp long, n long, wins array<long>")
+    singly = support.rows_of(texts, asked).select("text", "qs").mapInArrow(support.lean(windows), "gram long, grp long, n long, wins array<long>")
     each = support.materialize(singly, "windows").select("gram", "grp", "n", F.posexplode("wins").alias("step", "win"))
     twice = each.groupBy("gram", "win").agg(F.sum("n").alias("all")).where("all > 1").select("gram", "win")
     steps = each.where("n = 1").join(twice, ["gram", "win"], "left_semi").groupBy("gram", "grp").agg(F.sort_array(F.collect_set("step")).alias("steps"))
@@ -138,11 +144,17 @@ def remove_repeats(
     confirmed = support.materialize(confirmed, "confirmed")
 
     # What each shard asks for, and the words of it.
-    n_shards = F.lit(max(1, -(-(base.agg(F.sum(F.length("text"))).first()[0] or 0) // shard_chars)))
-    shard = F.pmod(F.xxhash64("row"), n_shards).alias("shard")
-    calls = _flagged(seen, support.bitmap(confirmed, F.col("gram").bitwiseXOR(F.col("grp"))), "gram", "grp").select("row", "gram", "grp")
-    calls = support.materialize(calls, "calls")
-    wanted = calls.select(shard, "gram", "grp").distinct().join(confirmed, ["gram", "grp"])
+    told = texts.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    n_shards = max(1, -(-told.chars // shard_chars))
+    per_shard = max(1, told.rows // n_shards)
+    flags = support.bitmap(confirmed, F.col("gram").bitwiseXOR(F.col("grp")))
+    calls = support.materialize(_flagged(seen, flags, "gram", "grp").select("row", "gram", "grp", "least", "first"), "calls")
+    crowded = calls.where("first").groupBy("least").agg(F.ceil(F.count("*") / F.lit(per_shard)).alias("parts")).where("parts > 1")
+    crowded = support.materialize(crowded.select(F.col("least").alias("l"), "parts"), "crowded")  # fewer than there are shards
+    part = F.pmod(F.xxhash64("row"), F.coalesce("parts", F.lit(1)))
+    shard = F.pmod(F.xxhash64("least", part), F.lit(n_shards)).alias("shard")
+    dealt = lambda df: df.join(crowded, F.col("least") == F.col("l"), "left")
+    wanted = dealt(calls).select(shard, "gram", "grp").distinct().join(confirmed, ["gram", "grp"])
     wanted = wanted.groupBy("shard", F.col("example").alias("row")).agg(F.collect_list(F.struct("lo", "hi", "steps")).alias("parts"))
     wanted = support.materialize(wanted, "wanted")
 
@@ -162,12 +174,10 @@ def remove_repeats(
             types = (pa.int64(), pa.string(), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["shard", "text", "bounds"])
 
-    passages = support.rows_of(base.select("row", "text"), wanted).select("shard", "text", "parts").mapInArrow(support.lean(cut_passages), "shard long, text string, bounds array<int>")
-    streamed = support.pass_bitmap(base.select("row", "text"), F.xxhash64("row"), support.bitmap(calls.select("row").distinct(), F.xxhash64("row")))
+    passages = support.rows_of(texts, wanted).select("shard", "text", "parts").mapInArrow(support.lean(cut_passages), "shard long, text string, bounds array<int>")
+    streamed = dealt(_called(seen, flags)).select(shard, "row", "text", F.lit(None).cast("array<int>").alias("bounds"))
     # In each shard the passages come first, so one pass compiles the automaton and streams the documents.
-    both = passages.select("shard", F.lit(-1).cast("long").alias("row"), "text", "bounds").unionByName(
-        streamed.select(shard, "row", "text", F.lit(None).cast("array<int>").alias("bounds"))
-    )
+    both = passages.select("shard", F.lit(-1).cast("long").alias("row"), "text", "bounds").unionByName(streamed)
     cleaned = both.repartition("shard").sortWithinPartitions("shard", "row").mapInArrow(support.lean(_locate), "row long, n_removed long, kept string, kept_text string")
     out = seen.select("doc_id", "row", "n_words", "whole").join(cleaned, "row", "left")
     return out.select(
@@ -179,21 +189,48 @@ OWNER = ("lo", "hi", "p", "gram", "grp")
 _LISTS = "lo array<int>, hi array<int>, p array<int>, gram array<long>, grp array<long>"
 
 
+def _hits(batch: pa.RecordBatch, at: int, flags: support.Flags, key: tuple[str, ...]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Owners in the list columns from ``at``, the places of those whose XOR of ``key`` is flagged, and their rows in the batch."""
+    flat = [c.flatten().to_numpy() for c in batch.columns[at:]]
+    slot = flat[OWNER.index(key[0])]
+    for c in key[1:]:
+        slot = slot ^ flat[OWNER.index(c)]
+    keep = np.flatnonzero(flags.has(slot))
+    return flat, keep, np.repeat(np.arange(batch.num_rows), batch.column(at).value_lengths().to_numpy())[keep]
+
+
 def _flagged(seen: DataFrame, flags: support.Flags, *key: str) -> DataFrame:
-    """The owners ``row, lo, hi, p, gram, grp`` of all texts whose XOR of ``key`` is flagged, a row each."""
+    """The flagged owners ``row, lo, hi, p, gram, grp`` of all texts, the ``least`` k-gram of them in each text, and its ``first``."""
     shared = seen.sparkSession.sparkContext.broadcast(flags.packed)
-    at = [OWNER.index(c) for c in key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local = support.Flags(shared.value)
         for batch in batches:
-            flat = [c.flatten().to_numpy() for c in batch.columns[1:]]
-            slot = flat[at[0]] if len(at) == 1 else flat[at[0]] ^ flat[at[1]]
-            keep = np.flatnonzero(local.has(slot))
-            row = np.repeat(batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (row, *flat)], ["row", *OWNER])
+            flat, keep, of = _hits(batch, 1, local, key)
+            gram = flat[OWNER.index("gram")][keep]
+            first = np.ones(len(of), bool)
+            first[1:] = of[1:] != of[:-1]
+            least = np.minimum.reduceat(gram, np.flatnonzero(first)) if len(of) else gram
+            cols = [batch.column(0).to_numpy()[of], *(c[keep] for c in flat), least[np.cumsum(first) - 1], first]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["row", *OWNER, "least", "first"])
 
-    return seen.select("row", *OWNER).mapInArrow(support.lean(run), "row long, lo int, hi int, p int, gram long, grp long")
+    return seen.select("row", *OWNER).mapInArrow(support.lean(run), "row long, lo int, hi int, p int, gram long, grp long, least long, first boolean")
+
+
+def _called(seen: DataFrame, flags: support.Flags) -> DataFrame:
+    """``row, text, least`` of the texts that have a flagged owner."""
+    shared = seen.sparkSession.sparkContext.broadcast(flags.packed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        local = support.Flags(shared.value)
+        for batch in batches:
+            flat, keep, of = _hits(batch, 2, local, ("gram", "grp"))
+            rows, at = np.unique(of, return_index=True)
+            if len(rows):
+                least = np.minimum.reduceat(flat[OWNER.index("gram")][keep], at)
+                yield pa.RecordBatch.from_arrays([*batch.select([0, 1]).take(pa.array(rows)).columns, pa.array(least)], ["row", "text", "least"])
+
+    return seen.select("row", "text", *OWNER).mapInArrow(support.lean(run), "row long, text string, least long")
 
 
 def _bounds(part: dict, span: int) -> list[tuple[int, int]]:
@@ -207,13 +244,21 @@ def _bounds(part: dict, span: int) -> list[tuple[int, int]]:
 
 
 class _Shard:
-    """Passages of one shard and their automaton over word numbers; words that no passage has are 0."""
+    """Passages of one shard and their automaton over word numbers; words that no passage has are 0.
+
+    A word is two symbols of few values each, because a state's next states are searched one after the other.
+    """
 
     def __init__(self) -> None:
         self.number: dict[bytes, int] = {}
         self.passages: set[tuple[int, ...]] = set()
         self.automaton = None
 
+    @staticmethod
+    def symbols(code: Sequence[int]) -> tuple[int, ...]:
+        code = np.array(code, np.int32)
+        return tuple(np.stack([code >> 8, (code & 255) + (1 << 24)], axis=1).ravel().tolist())
+
     def add(self, words: list[bytes], bounds: list[int]) -> None:
         code = [self.number.setdefault(w, len(self.number) + 1) for w in words]
         self.passages.update(tuple(code[a:b]) for a, b in zip(bounds[::2], bounds[1::2], strict=True))
@@ -221,7 +266,7 @@ class _Shard:
     def compile(self) -> None:
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
         for passage in self.passages:
-            self.automaton.add_word(passage)
+            self.automaton.add_word(self.symbols(passage))
         self.passages.clear()
         self.automaton.make_automaton()
 
@@ -232,8 +277,9 @@ class _Shard:
         if self.automaton is None:
             return np.zeros(len(words), bool)
         number = self.number
-        met = np.array(list(self.automaton.iter(tuple([number.get(w, 0) for w in words]))), np.int64).reshape(-1, 2)
-        return covered(len(words), met[:, 0] - met[:, 1] + 1, met[:, 1])
+        met = self.automaton.iter(self.symbols([number.get(w, 0) for w in words]))  # last symbol and symbols of each match
+        last, size = np.fromiter(chain.from_iterable(met), np.int64).reshape(-1, 2).T >> 1
+        return covered(len(words), last - size + 1, size)
 
 
 def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
