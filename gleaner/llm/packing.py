@@ -20,6 +20,7 @@ null ids are passed through; an empty table gives no sequences.  Other columns a
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -127,8 +128,7 @@ def _documents(batch: pa.RecordBatch, vocabulary: str, end: int) -> Iterator[tup
     encode = tokens.encoder(vocabulary)
     texts, ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
     for a, b in slices(texts):
-        for doc, got in zip(ids[a:b], encode.ids(texts[a:b]), strict=True):
-            yield doc, np.append(got, encode.dtype(end))
+        yield from zip(ids[a:b], encode.ids(texts[a:b], end), strict=True)
 
 
 def pack_matrices(
@@ -194,17 +194,19 @@ def pack_matrices(
 
 
 def write_matrices(packed: DataFrame, path: str) -> None:
-    """Write packed sequences as Parquet: one id matrix row, its segment bounds and resets per record."""
-    packed.write.option("compression", "zstd").parquet(path)
+    """Write packed sequences as Parquet: one id matrix row a record, its segment bounds, resets and the position of each token."""
+    positions = F.expr("flatten(transform(resets, (r, i) -> transform(sequence(1, cu_seqlens[i + 1] - r), x -> x - 1)))")
+    packed.withColumn("position_ids", positions).write.option("compression", "zstd").parquet(path)
 
 
 def pack_hierarchically(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end: int = END,
-    vocabulary: str | None = None, spare: int | None = None,
+    vocabulary: str | None = None, spare: int | None = None, buffer_pieces: int = 1 << 18,
 ) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
-    ``spare`` is the residual up to which a bin counts as nearly full below the root (1/256 of capacity).
+    ``spare`` is the residual up to which a bin counts as nearly full below the root (1/256 of capacity).  A task
+    packs ``buffer_pieces`` at a time, which bounds its memory.
     """
     spare = capacity // 256 if spare is None else spare
     vocabulary = vocabulary or tokens.default_vocabulary()
@@ -212,32 +214,42 @@ def pack_hierarchically(
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        ids_, cols, schema = [], [[] for _ in range(4)], None
+        """Pieces with their places in nearly full bins, or else the ordinal among the task's pieces of that length that go on."""
+        part, bins, waiting = TaskContext.get().partitionId(), 0, Counter()
+
+        def flush() -> pa.RecordBatch:
+            nonlocal bins
+            length = np.array(cols[2], np.int64)
+            by_length = {int(n): np.flatnonzero(length == n) for n in np.unique(length)}
+            rows, used, made = placed(best_fit({n: len(at) for n, at in by_length.items()}, capacity), spare)
+            place = np.full((3, len(length)), -1, np.int64)  # bin, offset, ordinal
+            for n, ordinal, times, bin_, offset in rows:
+                at = by_length[n][ordinal : ordinal + times]
+                place[0, at], place[1, at] = bins + bin_ + np.arange(times), offset
+            for n, at in by_length.items():
+                rest = at[used.get(n, 0) :]
+                place[2, rest] = waiting[n] + np.arange(len(rest))
+                waiting[n] += len(rest)
+            bins += made
+            whole = [pa.array(ids_, kind_), *(pa.array(c, pa.int64()) for c in cols), pa.array(np.full(len(length), part), pa.int64()), *map(pa.array, place)]
+            return pa.RecordBatch.from_arrays(whole, names)
+
+        ids_, cols, kind_ = [], [[] for _ in range(4)], None
         for batch in batches:
-            schema = schema or batch.schema
+            kind_ = batch.schema.field(0).type
             for doc, ids in _documents(batch, vocabulary, end):
                 for i, (start, n) in enumerate(pieces_of(len(ids), capacity)):
                     ids_.append(doc)
                     crc = zlib.crc32(ids[start : start + n].astype("<u4").tobytes())
                     for col, x in zip(cols, (i, start, n, crc), strict=True):
                         col.append(x)
-        if schema is None:
-            return
-        length = np.array(cols[2], np.int64)
-        by_length = {int(n): np.flatnonzero(length == n) for n in np.unique(length)}
-        rows, used, _ = placed(best_fit({n: len(at) for n, at in by_length.items()}, capacity), spare)
-        place = np.full((3, len(length)), -1, np.int64)  # bin, offset, ordinal among the pieces that go on
-        for n, ordinal, times, bin_, offset in rows:
-            at = by_length[n][ordinal : ordinal + times]
-            place[0, at], place[1, at] = bin_ + np.arange(times), offset
-        for n, at in by_length.items():
-            rest = at[used.get(n, 0) :]
-            place[2, rest] = np.arange(len(rest))
-        whole = [pa.array(ids_, schema.field(0).type), *(pa.array(c, pa.int64()) for c in cols), pa.array(np.full(len(length), part), pa.int64()), *map(pa.array, place)]
-        table = pa.RecordBatch.from_arrays(whole, names)
-        for i in range(0, len(length), 50_000):
-            yield table.slice(i, 50_000)
+                if len(ids_) >= buffer_pieces:
+                    table = flush()
+                    ids_, cols = [], [[] for _ in range(4)]
+                    yield from (table.slice(i, 50_000) for i in range(0, table.num_rows, 50_000))
+        if ids_:
+            table = flush()
+            yield from (table.slice(i, 50_000) for i in range(0, table.num_rows, 50_000))
 
     names = ["doc_id", "piece", "start", "length", "crc", "node", "bin", "offset", "ordinal"]
     schema = ", ".join([f"doc_id {kind}", *(f"{n} long" for n in names[1:])])

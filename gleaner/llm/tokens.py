@@ -14,14 +14,16 @@ from __future__ import annotations
 import base64
 import os
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
 _PIECES = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 _LATIN = re.compile(r"[\x00-ɏ]*")
-CACHED = 600_000
+#: Pieces that a worker remembers, and their characters in all.
+CACHED, CACHED_CHARS = 600_000, 1 << 24
 
 
 def default_vocabulary() -> str:
@@ -52,26 +54,33 @@ class Encoder:
         return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
 
     def reset(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at: dict[str | None, int] = {None: 0}  # None stands for the end of a document
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.store, self.used = np.zeros(1 << 18, self.dtype), 0
+        self.store, self.used, self.chars = np.zeros(1 << 18, self.dtype), 1, 0
+        self.size[0] = 1
 
     def encode(self, piece: str) -> list[int]:
-        if self.fast is not None and _LATIN.fullmatch(piece) and not any(s in piece for s in self.special):
+        if self.fast is not None and self.plain(piece):
             return self.fast.encode_ordinary(piece)
         return self.exact.encode(piece, add_special_tokens=False).ids
 
-    def _add(self, piece: str) -> int:
-        ids, n = self.encode(piece), len(self.at)
-        if n == len(self.start):
+    def plain(self, text: str) -> bool:
+        """Latin script without the string of a special token."""
+        return (text.isascii() or _LATIN.fullmatch(text) is not None) and not any(s in text for s in self.special)
+
+    def _add(self, pieces: Sequence[str], encode: Callable[[str], list[int]]) -> None:
+        found = [encode(p) for p in pieces]
+        n, size = len(self.at), np.fromiter(map(len, found), np.int64, len(found))
+        while n + len(found) > len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        while self.used + len(ids) > len(self.store):
+        end = self.used + int(size.sum())
+        while end > len(self.store):
             self.store = np.concatenate([self.store, np.zeros_like(self.store)])
-        self.store[self.used : self.used + len(ids)] = ids
-        self.start[n], self.size[n] = self.used, len(ids)
-        self.used += len(ids)
-        self.at[piece] = n
-        return n
+        self.store[self.used : end] = np.fromiter(chain.from_iterable(found), self.dtype, end - self.used)
+        self.start[n : n + len(found)] = self.used + np.cumsum(size) - size
+        self.size[n : n + len(found)] = size
+        self.at.update(zip(pieces, range(n, n + len(found)), strict=True))
+        self.used, self.chars = end, self.chars + sum(map(len, pieces))
 
     def cut(self, text: str) -> list[str]:
         """Pieces of the text that are tokenised alone."""
@@ -87,27 +96,27 @@ class Encoder:
             return _PIECES.findall(text)
         return [text]
 
-    def ids(self, texts: Sequence[str | None]) -> list[np.ndarray]:
-        if len(self.at) > CACHED:
+    def ids(self, texts: Sequence[str | None], end: int | None = None) -> list[np.ndarray]:
+        """The ids of each text, with ``end`` behind them if one is given."""
+        if len(self.at) > CACHED or self.chars > CACHED_CHARS:
             self.reset()
-        at, add, out = self.at, self._add, []
-        for text in texts:
-            pieces = self.cut(text or "")
-            if len(pieces) == 1 and len(pieces[0]) > 200:
-                out.append(np.array(self.encode(pieces[0]), self.dtype))
-                continue
-            try:
-                where = np.fromiter(map(at.__getitem__, pieces), np.int64, len(pieces))
-            except KeyError:
-                for p in pieces:
-                    if p not in at:
-                        add(p)
-                where = np.fromiter(map(at.__getitem__, pieces), np.int64, len(pieces))
-            size = self.size[where]
-            ends = np.cumsum(size)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.store[np.repeat(self.start[where] - (ends - size), size) + np.arange(total)])
-        return out
+        tail = [] if end is None else [None]
+        cut = [[*self.cut(t or ""), *tail] for t in texts]
+        plain = [self.fast is not None and self.plain(t or "") for t in texts]
+        for quick, encode in ((True, self.fast.encode_ordinary if self.fast is not None else self.encode), (False, self.encode)):
+            new = set(chain.from_iterable(c for c, p in zip(cut, plain, strict=True) if p is quick)).difference(self.at)
+            if new:
+                self._add(list(new), encode)
+        flat = list(chain.from_iterable(cut))
+        where = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
+        if end is not None:
+            self.store[0] = end
+        size = self.size[where]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        every = self.store[np.repeat(self.start[where] - (ends - size), size) + np.arange(total)]
+        until = np.concatenate([[0], ends])[np.cumsum([len(c) for c in cut])]
+        return np.split(every, until[:-1])
 
 
 @lru_cache(maxsize=2)
