@@ -1,9 +1,11 @@
 """Line dedup in SQL functions alone: count distinct documents per line hash, drop frequent lines, reassemble.
 
 Lines are cut at newlines; a line's key has blanks stripped at both ends and A-Z lowered.  Each document sends
-one row per distinct key hash, counted with map-side combination.  Only hashes over the threshold come back to
-the documents, as the positions to drop; the kept lines are then put together by position inside the row, so
-no line text is shuffled by its (possibly very frequent) hash.
+one row per distinct key hash, counted with map-side combination, so no line text is shuffled by its (possibly
+very frequent) hash.  Hashes over the threshold are written; up to ``MOST`` of them are looked up in the scan
+itself, so no text is shuffled at all.  More than that are joined with the hashes of the lines and come back to
+the documents as the positions to drop.  Both ways drop the same lines, and put the others together by position
+inside the row.
 
 Keys are compared by two independent 64-bit hashes together.  Each row is a document of its own.
 
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 from gleaner.llm import support
 
 BLANKS = " \t\n\x0b\x0c\r"
+#: Frequent hashes that a plan takes as a set of numbers (at most 16 bytes each).
+MOST = 1 << 13
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -30,7 +34,7 @@ def line_key(line: Column) -> Column:
 
 
 def drop_frequent_lines(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, columns: bool = False
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, columns: bool = False, most: int = MOST
 ) -> DataFrame:
     """``doc_id, n_lines, n_dropped, kept_text``; with ``columns`` also the whole input row as the struct ``doc``.
 
@@ -45,15 +49,22 @@ def drop_frequent_lines(
 
     counted = keyed.select(F.explode(F.array_distinct("hs")).alias("h")).where("h is not null")
     frequent = counted.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select(F.col("h").alias("f"))
-    # Written, so that the join with all lines below is planned by its size: broadcast when small, else with split keys.
+    # Written, so that their number is known, and a join with all lines is planned by their size.
     frequent = support.materialize(frequent, "frequent")
-    placed = keyed.select("self", F.posexplode("hs").alias("pos", "h")).where("h is not null")
-    gone = placed.join(frequent, F.col("h") == F.col("f")).groupBy("self").agg(F.collect_set("pos").alias("gone"))
-
     own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if columns else []
-    rows = docs.select(F.col(id_col).alias("doc_id"), self_key.alias("me"), whole.alias("whole"), *own)
-    # The id may be null inside the struct, so the key is compared null-safely.
-    joined = rows.join(gone, F.col("me").eqNullSafe(F.col("self")), "left")
+    few = frequent.limit(most + 1).collect()
+    if len(few) <= most:
+        rows = docs.select(F.col(id_col).alias("doc_id"), whole.alias("whole"), hashes.alias("hs"), *own)
+        flags = rows.select("*", (F.transform("hs", lambda h: _among(h, [r.f for r in few])) if few else F.array().cast("array<boolean>")).alias("flags"))
+        places = F.expr("filter(transform(flags, (f, i) -> if(f, i, -1)), i -> i >= 0)")
+        joined = flags.select("doc_id", "whole", places.alias("places"), *(["doc"] if columns else []))
+        joined = joined.withColumn("gone", F.when(F.size("places") > 0, F.col("places")))
+    else:
+        placed = keyed.select("self", F.posexplode("hs").alias("pos", "h")).where("h is not null")
+        gone = placed.join(frequent, F.col("h") == F.col("f")).groupBy("self").agg(F.collect_set("pos").alias("gone"))
+        rows = docs.select(F.col(id_col).alias("doc_id"), self_key.alias("me"), whole.alias("whole"), *own)
+        # The id may be null inside the struct, so the key is compared null-safely.
+        joined = rows.join(gone, F.col("me").eqNullSafe(F.col("self")), "left")
     cut = F.split("whole", "\n", -1)
     kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col("gone")))
     text = F.when(F.col("gone").isNull(), F.col("whole")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(cut, i)), "\n"))
@@ -64,3 +75,9 @@ def drop_frequent_lines(
         text.alias("kept_text"),
         *(["doc"] if columns else []),
     )
+
+
+def _among(h: Column, hashes: list) -> Column:
+    """Whether a line's pair of hashes is one of ``hashes``; both halves are looked up."""
+    one = lambda part: h[part].isin(*[F.lit(x) for x in dict.fromkeys(getattr(f, part) for f in hashes)])
+    return F.coalesce(one("a") & one("b"), F.lit(False))
