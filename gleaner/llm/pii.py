@@ -7,8 +7,9 @@ not change what matches but keep the engine linear on long runs of letters or di
 
 Base kinds: ``email``; ``ip`` with parts up to 255; ``card`` of 14 to 19 digits passing Luhn; ``phone`` of 10 to 15
 digits.  A span that fails its check is dropped, without another try.  Added kinds: ``iban`` passing mod-97, of its
-country's length or else of the longest that passes; and ``ssn``, which has no checksum and so counts only with a context word beside it.  A span's score is its kind's
-own plus ``CONTEXT`` when one of the kind's words stands within ``REACH`` characters in the gap on either side;
+country's length or else of the longest that passes; and ``ssn``, which has no checksum and so counts only with a
+context word beside it.  A span's score is its kind's own plus ``CONTEXT`` when one of the kind's words, as a whole
+word, stands within ``REACH`` characters in the gap on either side;
 added spans need ``threshold``, base spans always stay.
 
 Defined cases: a null text is empty and has no spans; repeated rows and null ids give one row each; other
@@ -43,10 +44,10 @@ IBAN = (
 )
 #: kind, pattern, condition of a cheap first look, own score, context words
 KINDS: list[tuple[str, str, str, float, str]] = [
-    ("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "contains(t, '@')", 0.6, "mail|contact|write"),
+    ("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "contains(t, '@')", 0.6, "e-?mail|mail|contact|write"),
     ("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "contains(t, '.')", 0.4, "ip|server|host|login"),
-    ("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])", "true", 0.6, "card|visa|credit|pay"),
-    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "contains(t, '+')", 0.5, "phone|tel|call|mobile|fax"),
+    ("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])", "true", 0.6, "card|cards|visa|credit|pay"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "contains(t, '+')", 0.5, "telephone|phone|tel|call|mobile|fax"),
     ("iban", IBAN, "true", 0.6, "iban|bank|account"),
     ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "contains(t, '-')", 0.3, "ssn|social|security"),
 ]
@@ -84,6 +85,11 @@ def _iban_length(match: str) -> str:
     return _on("m", match, f"coalesce(get(filter({ends}, n -> {passes}), 0), 0)")
 
 
+def whole_words(words: str) -> str:
+    """Pattern for any of the words in lower-cased text, not inside another word."""
+    return f"(^|[^a-z0-9])({words})([^a-z0-9]|$)"
+
+
 def running_sums(steps: str) -> str:
     """SQL for the sum of the steps before each step of an array of longs, in blocks of about its square root."""
     total = "aggregate({}, 0L, (a, x) -> a + x)"
@@ -113,7 +119,7 @@ def _scored(rank: int, of: tuple[str, str, str, float, str], threshold: float) -
     if kind == "iban":
         size = _iban_length(m)
         after = f"concat(substring({m}, {size} + 1), {after})"
-    beside = f"lower(concat(right({g}, {REACH}), ' ', left({after}, {REACH}))) rlike '{words}'"
+    beside = f"lower(concat(right({g}, {REACH}), ' ', left({after}, {REACH}))) rlike '{whole_words(words)}'"
     ok = confirmed(kind, m)
     if kind == "ssn":
         ok = f"not (right({g}, 1) rlike '[0-9-]') and not (left({after}, 1) rlike '[0-9-]')"

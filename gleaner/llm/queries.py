@@ -15,26 +15,38 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def crawl(pages: DataFrame) -> DataFrame:
-    """Archive records made from every page by fixed formulas: a full response and two later or earlier revisits."""
+    """Archive records made from every page by fixed formulas: two full responses and two revisits.
+
+    A third of the second responses and revisits are of one hot URL.  Responses of a page have different
+    validators, some the same instant; URLs differ in scheme, user, case, port, fragment, tracking and order of
+    parameters.  A revisit comes before, between or after the responses.
+    """
     n = F.col("page_id")
     md5 = F.md5(F.coalesce("html", F.lit("")))
-    tag = F.concat(F.lit('"'), F.substring(md5, 1, 16), F.lit('"'))
-    at = n * 7919 % 2_592_000
-    modified = F.when(n % 3 != 0, F.concat(F.lit("day "), (n % 29).cast("string")))
+    tag = lambda at: F.when(n % 5 != 0, F.concat(F.lit('"'), F.substring(md5, at, 16), F.lit('"')))
+    day = lambda cycle, out: F.when(n % out != 0, F.concat(F.lit("day "), (n % cycle).cast("string")))
+    at, hot = n * 7919 % 2_592_000, n % 3 == 0
+    bare = F.regexp_replace("url", "#.*$", "")
+    host, rest = (F.regexp_extract(bare, r"^[a-z]+://([^/?]*)(.*)$", i) for i in (1, 2))
+    more = F.concat(F.when(F.contains("url", F.lit("?")), "&").otherwise("?"), F.lit("utm_medium=mail&gclid="), n.cast("string"))
+    other = F.concat(F.lit("HTTP://me@WWW."), F.upper(host), F.lit(":80"), rest, more)
     some = lambda **fields: F.map_filter(F.create_map(*[x for k, v in fields.items() for x in (F.lit(k.replace("_", "-")), v)]), lambda _, v: v.isNotNull())
-    full = some(ETag=F.when(n % 5 != 0, tag), Last_Modified=modified, Content_Type=F.lit("text/html"), Cache_Control=F.lit("max-age=60"), Content_Length=F.length("html").cast("string"))
-    second = some(
-        etag=F.when(n % 7 == 0, F.lit('"other"')).when(n % 5 != 0, F.concat(F.lit("W/"), tag)), Last_Modified=modified, Content_Type=F.lit("none"),
+    size = F.length("html")
+    full = lambda etag, modified, size: some(ETag=etag, Last_Modified=modified, Content_Type=F.lit("text/html"), Cache_Control=F.lit("max-age=60"), Content_Length=size.cast("string"))
+    third = some(
+        etag=F.when(n % 7 == 0, F.lit('"other"')).otherwise(F.concat(F.lit("W/"), F.when(n % 2 == 0, tag(17)).otherwise(tag(1)))),
+        Last_Modified=F.when(n % 2 == 0, day(31, 4)).otherwise(day(29, 3)), Content_Type=F.lit("none"),
         Cache_Control=F.concat(F.lit("max-age="), (n % 100).cast("string")), Content_Length=F.lit("0"), Age=F.lit("1"),
     )
-    third = some(Last_Modified=modified, Date=F.lit("later"))
+    fourth = some(Last_Modified=day(29, 3), Date=F.lit("later"))
     record = lambda i, url, ts, kind, headers, digest: F.struct(
-        (n * 3 + i).alias("record_id"), url.alias("url"), F.timestamp_seconds(F.lit(1_700_000_000) + ts).alias("ts"), F.lit(kind).alias("kind"), headers.alias("headers"), digest.alias("digest")
+        (n * 4 + i).alias("record_id"), url.alias("url"), F.timestamp_seconds(F.lit(1_700_000_000) + ts).alias("ts"), F.lit(kind).alias("kind"), headers.alias("headers"), digest.alias("digest")
     )
     rows = F.array(
-        record(0, F.col("url"), at, "response", full, md5),
-        record(1, F.concat("url", F.lit("#again")), at + 3600 + n % 400_000, "revisit", second, F.lit(None).cast("string")),
-        record(2, F.col("url"), at - 50_000 + n % 200_000, "revisit", third, md5),
+        record(0, F.col("url"), at, "response", full(tag(1), day(29, 3), size), md5),
+        record(1, F.when(hot, warc.HOT[0]).otherwise(other), F.when(n % 6 == 1, at).otherwise(at + 700_000 + n % 500_000), "response", full(tag(17), day(31, 4), size + 1), F.md5(md5)),
+        record(2, F.concat("url", F.lit("#again")), at + 3600 + n * 104_729 % 2_000_000, "revisit", third, F.lit(None).cast("string")),
+        record(3, F.when(hot, warc.HOT[1]).otherwise(F.col("url")), at - 50_000 + n * 31 % 900_000, "revisit", fourth, md5),
     )
     return pages.select(F.explode(rows).alias("r")).select("r.*")
 

@@ -93,7 +93,7 @@ def _pii() -> str:
     parts = []
     for rank, (kind, _, _, own, words) in enumerate(pii.KINDS):
         p = _PATTERNS[kind]
-        near = f"regexp_matches(lower(right(g, {pii.REACH}) || ' ' || left(a, {pii.REACH})), '{words}')"
+        near = f"regexp_matches(lower(right(g, {pii.REACH}) || ' ' || left(a, {pii.REACH})), '{pii.whole_words(words)}')"
         score = f"{own}::DOUBLE + CASE WHEN {near} THEN {pii.CONTEXT}::DOUBLE ELSE 0 END"
         ok = _CHECKS[kind] + ("" if kind in pii.BASE else f" AND {score} >= 0.5::DOUBLE")
         parts.append(f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, before + length(g) AS s, before + length(g) + length(m) AS e, {score} AS score FROM (
@@ -112,19 +112,24 @@ def _warc() -> str:
     path = "regexp_replace(regexp_extract(b, '^[^/?]*([^?]*)', 1), '/+$', '')"
     kept = f"array_to_string(list_sort(list_filter(string_split(regexp_extract(b, '\\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(lower(p), '{warc.TRACKING}'))), '&')"
     line = lambda name, value: f"'{name}: ' || {value}"
-    return f"""WITH p AS (SELECT page_id AS n, url, md5(coalesce(html, '')) AS md5, length(html) AS size, page_id * 7919 % 2592000 AS begun, CASE WHEN page_id % 3 <> 0 THEN 'day ' || (page_id % 29) END AS modified,
-CASE WHEN page_id % 5 <> 0 THEN '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' END AS tag FROM pages),
-c AS (SELECT *, {host} || {path} || CASE WHEN {kept} = '' THEN '' ELSE '?' || {kept} END AS canon FROM (SELECT *, {bare} AS b FROM p)),
-full_ AS (SELECT n * 3 AS id, canon, begun AS t, tag, modified, md5, size FROM c),
-rev AS (SELECT n * 3 + 1 AS id, canon, begun + 3600 + n % 400000 AS t, CASE WHEN n % 7 = 0 THEN '"other"' WHEN tag IS NOT NULL THEN 'W/' || tag END AS tag, modified, NULL AS md5, n, 1 AS kind FROM c
-UNION ALL SELECT n * 3 + 2, canon, begun - 50000 + n % 200000, NULL, modified, md5, n, 2 FROM c),
+    hot = [url.replace("'", "''") for url in warc.HOT]
+    other = "'HTTP://me@WWW.' || upper(regexp_extract(bare, '^[a-z]+://([^/?]*)(.*)$', 1)) || ':80' || regexp_extract(bare, '^[a-z]+://([^/?]*)(.*)$', 2) || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'utm_medium=mail&gclid=' || n"
+    return f"""WITH p AS (SELECT page_id AS n, url, regexp_replace(url, '#.*$', '') AS bare, md5(coalesce(html, '')) AS md5, length(html) AS size, page_id * 7919 % 2592000 AS begun,
+CASE WHEN page_id % 3 <> 0 THEN 'day ' || (page_id % 29) END AS day1, CASE WHEN page_id % 4 <> 0 THEN 'day ' || (page_id % 31) END AS day2,
+CASE WHEN page_id % 5 <> 0 THEN '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' END AS tag1, CASE WHEN page_id % 5 <> 0 THEN '"' || substr(md5(coalesce(html, '')), 17, 16) || '"' END AS tag2 FROM pages),
+rec AS (SELECT n * 4 AS id, n, 0 AS kind, url, begun AS t, tag1 AS tag, day1 AS modified, md5, size FROM p
+UNION ALL SELECT n * 4 + 1, n, 1, CASE WHEN n % 3 = 0 THEN '{hot[0]}' ELSE {other} END, CASE WHEN n % 6 = 1 THEN begun ELSE begun + 700000 + n % 500000 END, tag2, day2, md5(md5), size + 1 FROM p
+UNION ALL SELECT n * 4 + 2, n, 2, url, begun + 3600 + n * 104729 % 2000000, CASE WHEN n % 7 = 0 THEN '"other"' ELSE 'W/' || CASE WHEN n % 2 = 0 THEN tag2 ELSE tag1 END END, CASE WHEN n % 2 = 0 THEN day2 ELSE day1 END, NULL, NULL FROM p
+UNION ALL SELECT n * 4 + 3, n, 3, CASE WHEN n % 3 = 0 THEN '{hot[1]}' ELSE url END, begun - 50000 + n * 31 % 900000, NULL, day1, md5, NULL FROM p),
+c AS (SELECT *, {host} || {path} || CASE WHEN {kept} = '' THEN '' ELSE '?' || {kept} END AS canon FROM (SELECT *, {bare} AS b FROM rec)),
+full_ AS (SELECT * FROM c WHERE kind < 2), rev AS (SELECT * FROM c WHERE kind > 1),
 one AS (SELECT canon, t, max(id) AS id FROM full_ GROUP BY canon, t),
 j AS (SELECT r.*, o.id AS f FROM rev r ASOF LEFT JOIN one o ON r.canon = o.canon AND r.t > o.t),
 m AS (SELECT j.*, x.tag AS ftag, x.modified AS fmodified, x.md5 AS fmd5, x.size AS fsize, coalesce(regexp_replace(j.tag, '^W/', '') = x.tag, j.modified = x.modified, j.md5 = x.md5) AS ok FROM j LEFT JOIN full_ x ON x.id = j.f),
 s AS (SELECT *, CASE WHEN f IS NULL THEN 'no_response' WHEN ok IS NULL THEN 'unverified' WHEN ok THEN 'not_modified' ELSE 'validator_mismatch' END AS status FROM m)
 SELECT id AS record_id, canon AS canonical_url, f AS refers_to, status, CASE WHEN status IN ('not_modified', 'unverified') THEN array_to_string(list_filter([
-CASE WHEN kind = 1 THEN 'age: 1' END, {line('cache-control', "'max-age=' || CASE WHEN kind = 1 THEN n % 100 ELSE 60 END")}, {line('content-length', 'fsize')}, 'content-type: text/html',
-CASE WHEN kind = 2 THEN 'date: later' END, {line('etag', 'coalesce(tag, ftag)')}, {line('last-modified', 'coalesce(modified, fmodified)')}], lambda v: v IS NOT NULL), chr(10)) END AS headers FROM s"""
+CASE WHEN kind = 2 THEN 'age: 1' END, {line('cache-control', "'max-age=' || CASE WHEN kind = 2 THEN n % 100 ELSE 60 END")}, {line('content-length', 'fsize')}, 'content-type: text/html',
+CASE WHEN kind = 3 THEN 'date: later' END, {line('etag', 'coalesce(tag, ftag)')}, {line('last-modified', 'coalesce(modified, fmodified)')}], lambda v: v IS NOT NULL), chr(10)) END AS headers FROM s"""
 
 
 ORACLES: dict[str, str] = {

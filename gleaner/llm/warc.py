@@ -29,6 +29,9 @@ NOT_UPDATED = [
 #: Query parameters that name a visit and not a page.
 TRACKING = r"^(utm_[a-z]+|ref|gclid|fbclid|sessionid|phpsessid|jsessionid)(=|$)"
 
+#: Two ways to write one URL, which the registered query gives to a third of its pages.
+HOT = ("http://hot.example.com/list?b=2&a=1", "https://www.HOT.example.com:443/list/?utm_source=x&a=1&b=2")
+
 
 def canonical_url(url: Column) -> Column:
     """Scheme, user, ``www``, default port, fragment, tracking parameters and closing slash off; host in lower case; parameters sorted."""

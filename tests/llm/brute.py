@@ -122,16 +122,17 @@ def quality_lines(docs: list[tuple], least: int = 10, share: float = 0.7) -> lis
     return out
 
 
-def lines_dropped(docs: list[tuple], least: int = 10) -> list[tuple]:
-    def key(line):
-        return lower_ascii(line.strip(" \t\n\x0b\x0c\r"))
+def lines_left(texts: list, least: int = 10) -> list[str]:
+    count = Counter(k for text in texts for k in {line_key(x) for x in (text or "").split("\n")})
+    return ["\n".join(x for x in (text or "").split("\n") if not line_key(x) or count[line_key(x)] < least) for text in texts]
+
 
-    count = Counter(k for _, text in docs for k in {key(x) for x in (text or "").split("\n")})
+def lines_dropped(docs: list[tuple], least: int = 10) -> list[tuple]:
     out = []
-    for doc, text in docs:
+    for (doc, text), left in zip(docs, lines_left([t for _, t in docs], least), strict=True):
         lines = (text or "").split("\n")
-        kept = [x for x in lines if not key(x) or count[key(x)] < least]
-        out.append((doc, len(lines), len(lines) - len(kept), sha("\n".join(kept))))
+        n = sum(Counter(lines).values()) - (len(left.split("\n")) if left or "" in lines else 0)
+        out.append((doc, len(lines), n, sha(left)))
     return out
 
 

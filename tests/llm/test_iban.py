@@ -15,3 +15,10 @@ def test_ibans_end_where_their_country_says(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id int, text string")
     got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("iban")] for r in pii.digests(pii.find_spans(df)).collect()}
     assert got == {i: want for i, (_, want) in enumerate(texts)}
+
+
+def test_context_words_are_whole_words(spark):
+    texts = ["security 123-45-6789", "insecurity 123-45-6789", "123-45-6789 (ssn)", "the lessn 123-45-6789", "SSN:123-45-6789", "BE68 5390 0754 7034 EUR", "NO93 8601 1117 947"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: (r.n_ssn, r.n_iban) for r in pii.digests(pii.find_spans(df)).collect()}
+    assert got == {0: (1, 0), 1: (0, 0), 2: (1, 0), 3: (0, 0), 4: (1, 0), 5: (0, 1), 6: (0, 1)}
