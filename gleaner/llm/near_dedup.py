@@ -192,7 +192,7 @@ def near_duplicates(
 
     pairs = members.where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
     sets = _Texts(base, nodes, signed, kind, shingle)
-    links = support.materialize(_verify(pairs, sets, percent), "links")
+    links = _verify(pairs, sets, percent)
     roots = support.components(links)
 
     # Buckets that are not settled: members of several components (a node without links is its own).
@@ -202,8 +202,9 @@ def near_duplicates(
     marked = support.materialize(_may_link(left, signed, block, percent, m), "marked")
     if not marked.isEmpty():
         more = _link_blocks(marked, sets, percent)
-        links = support.materialize(links.unionByName(more), "links")
-        roots = support.components(links)
+        roots = support.components(links.unionByName(more))
+        support.discard(more)
+    support.discard(members, links, left, marked)
 
     of_set = nodes.join(roots, "node", "left").select("set", "least", F.coalesce("root", "node").alias("root"), "node")
     ids = of_set.groupBy("root").agg(F.min("least").alias("component_id"), F.min("node").alias("lead"))
@@ -244,7 +245,9 @@ class _Texts:
                     yield whole.filter(ok)
 
         found = both.select("node", "set", "text").mapInArrow(support.lean(same), "node long, shingles binary")
-        return support.materialize(found, "sets")
+        sets = support.materialize(found, "sets")
+        support.discard(need)
+        return sets
 
 
 def _verify(pairs: DataFrame, sets: _Texts, percent: int) -> DataFrame:
@@ -264,7 +267,9 @@ def _verify(pairs: DataFrame, sets: _Texts, percent: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     joined = left.join(right, ["v", "slice"]).select("u", "v", "a", "b")
-    return joined.mapInArrow(support.lean(run), "u long, v long")
+    links = support.materialize(joined.mapInArrow(support.lean(run), "u long, v long"), "links")
+    support.discard(pairs, have)
+    return links
 
 
 def _blocked(members: DataFrame) -> DataFrame:
@@ -332,7 +337,9 @@ def _link_blocks(marked: DataFrame, sets: _Texts, percent: int) -> DataFrame:
         u, v = zip(*out, strict=True) if out else ((), ())
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    have = sets.of(marked.select("node")).dropDuplicates(["node"])
-    spread = _blocked(marked).join(have, "node")
+    have = sets.of(marked.select("node"))
+    spread = _blocked(marked).join(have.dropDuplicates(["node"]), "node")
     flat = spread.select("key", "node", "root", "own", "shingles", F.col("at.i").alias("i"), F.col("at.j").alias("j"))
-    return flat.groupBy("key", "i", "j").applyInArrow(run, "u long, v long").distinct()
+    links = support.materialize(flat.groupBy("key", "i", "j").applyInArrow(run, "u long, v long").distinct(), "links")
+    support.discard(have)
+    return links

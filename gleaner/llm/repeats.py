@@ -119,6 +119,8 @@ def remove_repeats(
     several = groups.groupBy("gram").agg(F.count("*").alias("ways"), F.sum("n").alias("all")).where("all > 1")
     recurring = support.materialize(groups.join(several, "gram").select("gram", "grp", "n", "ways", "at.*"), "recurring")
 
+    support.discard(often, groups)
+
     # Windows of grams that own different groups, counted singly from one text of each group.
     asked = recurring.where("ways > 1").groupBy("row").agg(F.collect_list(F.struct("lo", "hi", "p", "gram", "grp", "n")).alias("qs"))
     asked = support.materialize(asked, "asked")
@@ -136,12 +138,14 @@ def remove_repeats(
                 yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(grp), pa.array(n), wins], ["gram", "grp", "n", "wins"])
 
     singly = support.rows_of(texts, asked).select("text", "qs").mapInArrow(support.lean(windows), "gram long, grp long, n long, wins array<long>")
-    each = support.materialize(singly, "windows").select("gram", "grp", "n", F.posexplode("wins").alias("step", "win"))
+    singly = support.materialize(singly, "windows")
+    each = singly.select("gram", "grp", "n", F.posexplode("wins").alias("step", "win"))
     twice = each.groupBy("gram", "win").agg(F.sum("n").alias("all")).where("all > 1").select("gram", "win")
     steps = each.where("n = 1").join(twice, ["gram", "win"], "left_semi").groupBy("gram", "grp").agg(F.sort_array(F.collect_set("step")).alias("steps"))
     confirmed = recurring.join(steps, ["gram", "grp"], "left").where("n > 1 or steps is not null")
     confirmed = confirmed.select("gram", "grp", "lo", "hi", F.col("row").alias("example"), F.when(F.col("n") == 1, F.col("steps")).alias("steps"))
     confirmed = support.materialize(confirmed, "confirmed")
+    support.discard(recurring, asked, singly)
 
     # What each shard asks for, and the words of it.
     told = texts.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()

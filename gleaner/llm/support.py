@@ -43,7 +43,9 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/gleaner/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._gleaner_path = path
+    return table
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -60,17 +62,35 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def mark() -> int:
+    """How many intermediate tables there are now, for ``release``."""
+    return len(_written)
+
+
 @atexit.register
-def release() -> None:
-    """Delete the intermediate tables of this driver; lazy results that read them end with it."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the session may be gone already; the folder is the cluster's to purge
-            pass
+def release(since: int = 0, last: int = 0) -> None:
+    """Delete the intermediate tables written after ``since`` but for the ``last`` ones; lazy results that read them end with it."""
+    gone = _written[since : len(_written) - last]
+    del _written[since : len(_written) - last]
+    for spark, path in gone:
+        _delete(spark, path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for table in tables:
+        path = table._gleaner_path
+        _written[:] = [w for w in _written if w[1] != path]
+        _delete(table.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  the session may be gone already; the folder is the cluster's to purge
+        pass
 
 
 def type_of(df: DataFrame, column: str) -> str:
@@ -192,7 +212,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.where("u <> v").distinct(), "stars")
+        old, edges = edges, materialize(small.where("u <> v").distinct(), "stars")
+        discard(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
