@@ -77,9 +77,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each stage's table is written and read again by the next."""
+    """All stages over the documents; each stage's table is written and read again by the next, and what the stage wrote beside it goes."""
     prepare(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, began = spark.read.parquet(f"{sf_dir}/documents.parquet"), support.mark()
     for name, stage in STAGES[:-1]:
         docs = support.materialize(stage(spark, docs, sf_dir), name)
+        support.release(began, last=1)
     return STAGES[-1][1](spark, docs, sf_dir)
