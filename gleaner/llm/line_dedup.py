@@ -54,27 +54,25 @@ def drop_frequent_lines(
     own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if columns else []
     few = frequent.limit(most + 1).collect()
     if len(few) <= most:
-        rows = docs.select(F.col(id_col).alias("doc_id"), whole.alias("whole"), hashes.alias("hs"), *own)
-        flags = rows.select("*", (F.transform("hs", lambda h: _among(h, [r.f for r in few])) if few else F.array().cast("array<boolean>")).alias("flags"))
-        places = F.expr("filter(transform(flags, (f, i) -> if(f, i, -1)), i -> i >= 0)")
-        joined = flags.select("doc_id", "whole", places.alias("places"), *(["doc"] if columns else []))
-        joined = joined.withColumn("gone", F.when(F.size("places") > 0, F.col("places")))
+        rows = docs.select(F.col(id_col).alias("doc_id"), whole.alias("whole"), lines.alias("ls"), hashes.alias("hs"), *own)
+        lookup = (lambda h: _among(h, [r.f for r in few])) if few else (lambda h: F.lit(False))
+        # Two arrays walked together, because the planner would compute an array that a function looks into at each of its steps.
+        left = F.zip_with("ls", "hs", lambda x, h: F.when(~lookup(h), x))
+        joined = rows.select("doc_id", "whole", left.alias("left"), *(["doc"] if columns else []))
+        n, gone = F.size("left"), F.size(F.filter("left", lambda x: x.isNull()))
+        text = F.when(gone == 0, F.col("whole")).otherwise(F.array_join("left", "\n"))  # nulls are left out
     else:
         placed = keyed.select("self", F.posexplode("hs").alias("pos", "h")).where("h is not null")
         gone = placed.join(frequent, F.col("h") == F.col("f")).groupBy("self").agg(F.collect_set("pos").alias("gone"))
         rows = docs.select(F.col(id_col).alias("doc_id"), self_key.alias("me"), whole.alias("whole"), *own)
         # The id may be null inside the struct, so the key is compared null-safely.
         joined = rows.join(gone, F.col("me").eqNullSafe(F.col("self")), "left")
-    cut = F.split("whole", "\n", -1)
-    kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col("gone")))
-    text = F.when(F.col("gone").isNull(), F.col("whole")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(cut, i)), "\n"))
-    return joined.select(
-        "doc_id",
-        F.size(cut).cast("long").alias("n_lines"),
-        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"),
-        text.alias("kept_text"),
-        *(["doc"] if columns else []),
-    )
+        cut = F.split("whole", "\n", -1)
+        kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col("gone")))
+        put = F.transform(F.array(cut), lambda c: F.array_join(F.transform(kept, lambda i: F.get(c, i)), "\n"))
+        n, gone = F.size(cut), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
+        text = F.when(F.col("gone").isNull(), F.col("whole")).otherwise(F.get(put, F.lit(0)))
+    return joined.select("doc_id", n.cast("long").alias("n_lines"), gone.cast("long").alias("n_dropped"), text.alias("kept_text"), *(["doc"] if columns else []))
 
 
 def _among(h: Column, hashes: list) -> Column:
