@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
+from itertools import batched
 
 from gleaner.memory.records import Recordset, newest_first
 
@@ -63,17 +64,17 @@ class DefaultPolicy:
         return candidate.count > 0
 
     def digest(self, available: Sequence[Recordset], *, page: int = 1) -> DigestPage:
-        live = [r for r in available if not r.tombstoned]
-        if not live:
+        """One page of what is stored, newest first, as aligned columns; a page number outside is moved to the nearest."""
+        pages = [p for p in batched((r for r in available if not r.tombstoned), self.page_size)]
+        if not pages:
             return DigestPage("Nothing is stored in this session yet.")
-        pages = -(-len(live) // self.page_size)
-        page = max(1, min(page, pages))
-        part = live[(page - 1) * self.page_size : page * self.page_size]
-        lines = [f"Stored data for input= (showing {len(part)} of {len(live)}" + (f", page {page}/{pages}" if pages > 1 else "") + "):"]
-        for r in part:
-            size = "by ref" if r.is_reference else human_bytes(r.size_bytes)
-            lines.append(f"  {r.handle} | {r.count} {r.object_type} | {size} | {r.origin()} | {age_phrase(r.created_at)}")
-        return DigestPage("\n".join(lines), page, pages, len(part), len(live), [r.handle for r in part])
+        at, total = min(max(page, 1), len(pages)), sum(map(len, pages))
+        shown = pages[at - 1]
+        cells = [(r.handle, f"{r.count} {r.object_type}", "by reference" if r.is_reference else human_bytes(r.size_bytes), age_phrase(r.created_at), r.origin()) for r in shown]
+        widths = [max(map(len, column)) for column in zip(*cells, strict=True)]
+        table = "\n".join("  ".join(c.ljust(w) for c, w in zip(row, widths, strict=True)).rstrip() for row in cells)
+        heading = f"{len(shown)} of {total} recordsets that a tool can take as input" + (f", page {at}/{len(pages)}" if len(pages) > 1 else "")
+        return DigestPage(f"{heading}:\n{table}", at, len(pages), len(shown), total, [r.handle for r in shown])
 
     def evictable(self, available: Sequence[Recordset], *, now: datetime | None = None) -> list[tuple[Recordset, str]]:
         live, out = [r for r in available if not r.tombstoned], {}

@@ -19,13 +19,12 @@ from gleaner.operators import chunking, curation, evaluation, ranking, reranking
 from gleaner.operators import graph as kg
 from gleaner.sources import corpus as cp
 from gleaner.sources.corpus import POSITION, Corpus
+from gleaner.tools.arguments import Arg, BadArgument, count, data
 from gleaner.tools.framework import BaseTool, ToolContext, ToolInputError, run_id_of
 
-_STRING, _INT, _LIST = {"type": "string"}, {"type": "integer", "minimum": 1}, {"type": "array", "items": {"type": "string"}}
-
-
-def _object(required: list[str], **properties: Any) -> dict[str, Any]:
-    return {"type": "object", "properties": properties, "required": required}
+TEXT = Arg()
+SOURCES = {"input": data("string"), "corpus": data("string")}
+MODEL = Arg(default=lambda tool: models.model_for(tool.role))
 
 
 # -- inputs --------------------------------------------------------------------------------------------
@@ -82,12 +81,12 @@ def bind_passages(tool: BaseTool, args: dict[str, Any], context: ToolContext) ->
     if result and listed is None:
         listed = result.get("passages")
         if listed is None:
-            raise tool.input_error("input has no passages.", argument="input")
+            raise tool.refusal("input has no passages.", argument="input")
     if listed is not None:
         corpus = str(args.get("corpus") or result.get("corpus") or "").strip() or None
         return passages_with_text(listed, corpus, tool_name=tool.tool_name), corpus, None, result.get("query"), run_id_of(result)
     if context.recordsets is None:
-        raise tool.input_error("Pass passages, or the result that has them.", code="missing_required_arguments", missing=["passages"])
+        raise tool.refusal("Pass passages, or the result that has them.", code="missing_required_arguments", missing=["passages"])
     record = context.recordsets.bind(object_type="passages", tool_name=tool.tool_name, requested=(given or "").strip() or None)
     name = str(record.ref.get("corpus") or str(record.ref.get("store", "")).partition(":")[2])
     c = corpus_or_error(name, tool.tool_name)
@@ -121,13 +120,9 @@ class IngestCorpusTool(BaseTool):
 
     tool_name, prefix, stage = "ingest_corpus", "ingest_", "gather"
     description = "Read a CSV, TSV, JSON, JSONL or Parquet table as a corpus."
-    input_schema = _object(["path"], path=_STRING, name=_STRING, id_field=_STRING, text_field=_STRING, limit=_INT, parse_lists={"type": "boolean"})
-
-    def settings(self, args: dict[str, Any]) -> dict[str, Any]:
-        return {
-            "path": self.text_arg(args, "path", required=True), "name": self.text_arg(args, "name") or None, "id_field": self.text_arg(args, "id_field") or "id",
-            "text_field": self.text_arg(args, "text_field") or "text", "limit": self.int_arg(args, "limit", None), "parse_lists": bool(args.get("parse_lists")),
-        }
+    arguments: ClassVar[dict[str, Arg]] = {
+        "path": Arg(required=True), "name": TEXT, "id_field": Arg(default="id"), "text_field": Arg(default="text"), "limit": count(), "parse_lists": Arg("boolean"),
+    }
 
     def load(self, settings: dict[str, Any], context: ToolContext) -> Corpus:
         options = {k: v for k, v in settings.items() if k != "path"}
@@ -141,14 +136,14 @@ class IngestCorpusTool(BaseTool):
         try:
             corpus = cp.register_corpus(self.prepare(self.load(settings, context), settings))
         except (ValueError, FileNotFoundError) as error:
-            raise self.input_error(str(error)) from error
+            raise self.refusal(str(error)) from error
         told = corpus.describe()
         handle = None
         if context.recordsets is not None:
             ref = {"mode": "reference", "store": f"local:{corpus.name}", "corpus": corpus.name}
             handle = remember(self, context, "corpus", ref=ref, args={"corpus": corpus.name}, count=told["count"], summary=f"{told['count']} records")
         shown = settings | {"path": settings["path"].rstrip("/").rsplit("/", 1)[-1]}
-        return told | {"corpus": corpus.name, "handle": handle, "provenance": self.provenance(shown), "frame": corpus.df}
+        return self.made(told | {"corpus": corpus.name, "handle": handle}, shown, frame=corpus.df)
 
 
 class IngestKnowledgeGraphTool(BaseTool):
@@ -156,12 +151,11 @@ class IngestKnowledgeGraphTool(BaseTool):
 
     tool_name, prefix, stage = "ingest_knowledge_graph", "ingest_", "gather"
     description = "Read an edge table or a node-link file as a knowledge graph."
-    input_schema = _object(["path"], path=_STRING, name=_STRING, schema_path=_STRING)
+    arguments: ClassVar[dict[str, Arg]] = {"path": Arg(required=True), "name": TEXT, "schema_path": TEXT}
 
-    def settings(self, args: dict[str, Any]) -> dict[str, Any]:
-        path = self.text_arg(args, "path", required=True)
-        stem = path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
-        return {"path": path, "name": self.text_arg(args, "name") or stem, "schema_path": self.text_arg(args, "schema_path") or None}
+    def checked(self, settings: dict[str, Any]) -> dict[str, Any]:
+        stem = settings["path"].rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
+        return settings | {"name": settings["name"] or stem}
 
     def load(self, settings: dict[str, Any], context: ToolContext) -> kg.Graph:
         return kg.from_file(context.session, settings["path"], name=settings["name"], schema=self.load_schema(settings["schema_path"], context))
@@ -180,8 +174,8 @@ class IngestKnowledgeGraphTool(BaseTool):
         try:
             graph = kg.register_graph(self.prepare(self.load(settings, context), settings))
         except (ValueError, FileNotFoundError) as error:
-            raise self.input_error(str(error)) from error
-        return graph.describe() | {"graph": graph.name, "has_schema": graph.schema is not None, "provenance": self.provenance(settings), "frame": graph.facts}
+            raise self.refusal(str(error)) from error
+        return self.made(graph.describe() | {"graph": graph.name, "has_schema": graph.schema is not None}, settings, frame=graph.facts)
 
 
 class RewriteQueryForRetrievalTool(BaseTool):
@@ -194,18 +188,14 @@ class RewriteQueryForRetrievalTool(BaseTool):
         "decompose": "Split the question into up to {n} simpler ones that together answer it.",
         "clarify": "Phrase the question once, clearly and completely.",
     }
-    input_schema = _object(["question"], question=_STRING, strategy={"type": "string", "enum": ["expand", "decompose", "clarify"]}, max_queries={"type": "integer", "minimum": 1, "maximum": 8}, collection=_STRING, model=_STRING)
+    arguments: ClassVar[dict[str, Arg]] = {
+        "question": Arg(required=True), "strategy": Arg(default="expand", choices=lambda tool: tool.strategies, shown=("expand", "decompose", "clarify")),
+        "max_queries": count(3, most=8), "collection": TEXT, "model": MODEL,
+    }
     MAX_TERMS = 10
 
-    def settings(self, args: dict[str, Any]) -> dict[str, Any]:
-        n = self.int_arg(args, "max_queries", 3)
-        if n > 8:
-            raise self.input_error(f"max_queries must be at most 8, got {n}.", argument="max_queries", value=n)
-        strategy = self.choice_arg(args, "strategy", "expand", self.strategies)
-        return {
-            "question": self.text_arg(args, "question", required=True), "strategy": strategy, "max_queries": 1 if strategy == "clarify" else n,
-            "collection": self.text_arg(args, "collection") or None, "model": self.text_arg(args, "model") or models.model_for(self.role),
-        }
+    def checked(self, settings: dict[str, Any]) -> dict[str, Any]:
+        return settings | {"max_queries": 1 if settings["strategy"] == "clarify" else settings["max_queries"]}
 
     def system_prompt(self, settings: dict[str, Any]) -> str:
         about = f" The collection covers {settings['collection']}." if settings["collection"] else ""
@@ -244,7 +234,14 @@ class RewriteQueryForRetrievalTool(BaseTool):
         out = {k: settings[k] for k in ("question", "strategy", "model")} | cleaned | {"query_texts": [q["query"] for q in cleaned["queries"]]}
         used = {k: settings[k] for k in ("question", "strategy", "max_queries", "model")}
         out["handle"] = remember(self, context, "queries", ref=value_ref(cleaned["queries"]), args=used, summary=f"{len(cleaned['queries'])} queries")
-        return out | {"provenance": self.provenance(settings)}
+        return self.made(out, settings)
+
+
+def _filters(name: str, sent: Any) -> dict[str, list] | None:
+    """Allowed values by field; a single value is a list of one."""
+    if sent and (not isinstance(sent, dict) or not all(isinstance(k, str) for k in sent)):
+        raise BadArgument("filters must map field names to values.", argument=name, value=sent)
+    return {k: list(v) if isinstance(v, (list, tuple, set)) else [v] for k, v in sent.items()} if sent else None
 
 
 class RetrievePassagesTool(BaseTool):
@@ -253,35 +250,11 @@ class RetrievePassagesTool(BaseTool):
     tool_name, prefix, stage, render_type = "retrieve_passages", "retrieve_", "gather", "table"
     description = "Rank a corpus for a question by BM25 (sparse), vectors (dense) or both fused (hybrid)."
     strategies: ClassVar[tuple[str, ...]] = ranking.STRATEGIES
-    input_schema = _object(
-        ["query"], query=_STRING, strategy={"type": "string", "enum": list(ranking.STRATEGIES)}, size=_INT, corpus=_STRING, input=_STRING, date_from=_STRING,
-        date_to=_STRING, date_field=_STRING, queries=_LIST, queries_input=_STRING, filters={"type": "object"}, recency_half_life_days={"type": "number"},
-        recency_reference_date=_STRING,
-    )
-
-    def settings(self, args: dict[str, Any]) -> dict[str, Any]:
-        life = args.get("recency_half_life_days")
-        if life is not None and (isinstance(life, bool) or not isinstance(life, (int, float)) or life <= 0):
-            raise self.input_error(f"recency_half_life_days must be a positive number, got {life!r}.", argument="recency_half_life_days", value=life)
-        filters = args.get("filters") or {}
-        if not isinstance(filters, dict) or not all(isinstance(k, str) for k in filters):
-            raise self.input_error("filters must map field names to values.", argument="filters", value=filters)
-        return {
-            "query": self.text_arg(args, "query", required=True), "strategy": self.choice_arg(args, "strategy", "sparse", self.strategies),
-            "size": self.int_arg(args, "size", 10), "date_field": self.text_arg(args, "date_field") or "date",
-            **{k: self._date(args, k) for k in ("date_from", "date_to", "recency_reference_date")},
-            "filters": {k: list(v) if isinstance(v, (list, tuple, set)) else [v] for k, v in filters.items()} or None,
-            "recency_half_life_days": None if life is None else float(life),
-        }
-
-    def _date(self, args: dict[str, Any], name: str) -> str | None:
-        from datetime import date
-
-        value = str(args.get(name) or "").strip()
-        try:
-            return date.fromisoformat(value[:10]).isoformat() if value else None
-        except ValueError:
-            raise self.input_error(f"{name} must be an ISO date, got {value!r}.", argument=name, value=value) from None
+    arguments: ClassVar[dict[str, Arg]] = {
+        "query": Arg(required=True), "strategy": Arg(default="sparse", choices=lambda tool: tool.strategies, shown=ranking.STRATEGIES), "size": count(10), **SOURCES,
+        "date_from": Arg("date"), "date_to": Arg("date"), "date_field": Arg(default="date"), "queries": data("strings"), "queries_input": data("string"),
+        "filters": Arg("object", read=lambda name, sent: _filters(name, sent)), "recency_half_life_days": Arg("number"), "recency_reference_date": Arg("date"),
+    }
 
     def scores(self, questions: DataFrame, corpus: Corpus, settings: dict[str, Any]) -> DataFrame:
         """``(qid, _pos, score)`` over the whole corpus for every question."""
@@ -336,15 +309,15 @@ class RetrievePassagesTool(BaseTool):
         extra, given = args.get("queries") or [], args.get("queries_input")
         extra = [extra] if isinstance(extra, str) else extra
         if not isinstance(extra, list) or not all(isinstance(q, str) for q in extra):
-            raise self.input_error("queries must be a list of strings.", argument="queries", value=extra)
+            raise self.refusal("queries must be a list of strings.", argument="queries", value=extra)
         if isinstance(given, dict):
             stored = [str(q).strip() for q in given.get("query_texts") or [] if str(q).strip()]
             if not stored:
-                raise self.input_error("queries_input has no queries.", argument="queries_input")
+                raise self.refusal("queries_input has no queries.", argument="queries_input")
             return [*extra, *stored], None, run_id_of(given)
         if isinstance(given, str) and given.strip():
             if context.recordsets is None:
-                raise self.input_error("queries_input needs recordset memory.", code="missing_required_arguments", argument="queries_input")
+                raise self.refusal("queries_input needs recordset memory.", code="missing_required_arguments", argument="queries_input")
             record = context.recordsets.bind(object_type="queries", tool_name=self.tool_name, requested=given.strip())
             rows = context.recordsets.records(record)
             return [*extra, *(str(r.get("query") if isinstance(r, dict) else r).strip() for r in rows)], record.handle, record.handle
@@ -372,7 +345,7 @@ class RetrievePassagesTool(BaseTool):
             self, context, "passages", ref=local_ref(corpus.name, [p["id"] for p in passages]), args=used, count=len(passages),
             summary=f"{len(passages)} passages for {settings['query']!r}", derived_from=[h for h in (handle, queries_handle) if h],
         )
-        return out | {"provenance": self.provenance(settings | {"corpus": corpus.name}, [source, queries_ref]), "frame": frame}
+        return self.made(out, settings | {"corpus": corpus.name}, source, queries_ref, frame=frame)
 
     def render(self, data: dict[str, Any]) -> dict[str, Any]:
         columns = ["rank", "score", "id", "snippet"]
@@ -385,14 +358,13 @@ class RerankPassagesTool(BaseTool):
 
     tool_name, prefix, stage, render_type = "rerank_passages", "rerank_", "gather", "table"
     description = "Order candidate passages by a second, closer score."
-    input_schema = _object([], query=_STRING, passages={"type": "array"}, input=_STRING, corpus=_STRING, keep=_INT, max_per_source=_INT, max_chars=_INT)
+    arguments: ClassVar[dict[str, Arg]] = {
+        "query": TEXT, "passages": data("array"), **SOURCES, "keep": count(reranking.KEEP), "max_per_source": count(), "max_chars": count(reranking.MAX_CHARS),
+    }
     RANKING = ("text", "score", "rank", "snippet", "rerank_score", "retrieval_rank", "rank_change")
 
-    def settings(self, args: dict[str, Any]) -> dict[str, Any]:
-        return {
-            "query": self.text_arg(args, "query") or None, "keep": self.int_arg(args, "keep", reranking.KEEP), "max_per_source": self.int_arg(args, "max_per_source", None),
-            "max_chars": self.int_arg(args, "max_chars", reranking.MAX_CHARS), "reranker": models.reranker_label(),
-        }
+    def checked(self, settings: dict[str, Any]) -> dict[str, Any]:
+        return settings | {"reranker": models.reranker_label()}
 
     def scorer(self, settings: dict[str, Any]):
         return models.reranker_column()
@@ -402,9 +374,9 @@ class RerankPassagesTool(BaseTool):
         candidates, corpus, handle, asked, upstream = bind_passages(self, args, context)
         settings["query"] = settings["query"] or asked
         if not settings["query"]:
-            raise self.input_error("A query is required.", code="missing_required_arguments", missing=["query"])
+            raise self.refusal("A query is required.", code="missing_required_arguments", missing=["query"])
         if not candidates:
-            raise self.input_error("There are no candidates to order.", code="no_candidates", input_handle=handle)
+            raise self.refusal("There are no candidates to order.", code="no_candidates", input_handle=handle)
         frame = frame_of(context, candidates).withColumn("question", F.lit(settings["query"])).withColumnRenamed("rank", "retrieval_rank")
         kept = reranking.rerank(frame, scorer=self.scorer(settings), keep=settings["keep"], max_per_source=settings["max_per_source"], max_chars=settings["max_chars"])
         rows = kept.orderBy("rank").collect()
@@ -419,7 +391,7 @@ class RerankPassagesTool(BaseTool):
             self, context, "passages", ref=local_ref(corpus, [p["id"] for p in passages]), args={"query": settings["query"], "keep": settings["keep"]},
             count=len(passages), summary=f"{len(passages)} reranked passages", derived_from=[handle] if handle else [],
         )
-        return out | {"provenance": self.provenance(settings, [upstream]), "frame": kept}
+        return self.made(out, settings, upstream, frame=kept)
 
     def render(self, data: dict[str, Any]) -> dict[str, Any]:
         columns = ["rank", "rerank_score", "rank_change", "id", "snippet"]
@@ -447,13 +419,14 @@ class ChunkBySizeTool(BaseTool):
 
     tool_name, prefix, stage, variant = "chunk_by_size", "chunk_", "preprocess", None
     description = "Split a corpus into overlapping chunks of a number of words."
-    input_schema = _object([], input=_STRING, corpus=_STRING, size=_INT, overlap={"type": "integer", "minimum": 0}, context=_STRING, name=_STRING, tokenizer=_STRING)
+    arguments: ClassVar[dict[str, Arg]] = {
+        **SOURCES, "size": count(200), "overlap": count(0, least=0), "context": Arg(default="none", choices=lambda tool: _contexts), "name": TEXT, "tokenizer": TEXT,
+    }
 
-    def settings(self, args: dict[str, Any]) -> dict[str, Any]:
-        s = {"size": self.int_arg(args, "size", 200), "overlap": self.int_arg(args, "overlap", 0, minimum=0), "context": self.choice_arg(args, "context", "none", _contexts), "name": self.text_arg(args, "name") or None, "tokenizer": self.text_arg(args, "tokenizer") or None}
-        if s["overlap"] >= s["size"]:
-            raise self.input_error(f"overlap must be less than size, got {s['overlap']} and {s['size']}.", argument="overlap", value=s["overlap"])
-        return s
+    def checked(self, settings: dict[str, Any]) -> dict[str, Any]:
+        if settings["overlap"] >= settings["size"]:
+            raise BadArgument(f"overlap must be less than size, got {settings['overlap']} and {settings['size']}.", argument="overlap", value=settings["overlap"])
+        return settings
 
     def context(self, corpus: Corpus, settings: dict[str, Any]) -> Column | None:
         return _contexts[settings["context"]](corpus)
@@ -477,16 +450,16 @@ class ChunkBySizeTool(BaseTool):
         try:
             made = self.chunk(corpus, settings)
         except ValueError as error:
-            raise self.input_error(str(error), argument="name") from error
+            raise self.refusal(str(error), argument="name") from error
         stats = chunking.chunk_stats(corpus.df, made.df).first().asDict()
         if not stats["chunks"]:
-            raise self.input_error("No record has a word to chunk.", code="nothing_to_chunk", corpus=corpus.name)
+            raise self.refusal("No record has a word to chunk.", code="nothing_to_chunk", corpus=corpus.name)
         cp.register_corpus(made)
         handle = source if not isinstance(args.get("input"), dict) else None
         out = settings | stats | {"corpus": made.name, "source_corpus": corpus.name, "input_handle": handle}
         ref = {"mode": "reference", "store": f"local:{made.name}", "corpus": made.name}
         out["handle"] = remember(self, context, "corpus", ref=ref, args={"corpus": made.name}, count=stats["chunks"], summary=f"{stats['chunks']} chunks", derived_from=[handle] if handle else [])
-        return out | {"provenance": self.provenance(settings | {"name": made.name}, [source]), "frame": made.df}
+        return self.made(out, settings | {"name": made.name}, source, frame=made.df)
 
 
 # -- extract, analyze, enrich --------------------------------------------------------------------------
@@ -497,19 +470,15 @@ class ExtractTestQuestionsTool(BaseTool):
 
     tool_name, prefix, stage, role, render_type = "extract_test_questions", "extract_", "extract", "default", "table"
     description = "Write test questions with answers from a sample of a corpus."
-    input_schema = _object([], input=_STRING, corpus=_STRING, size=_INT, questions_per_record={"type": "integer", "minimum": 1, "maximum": 5}, min_chars=_INT, max_chars=_INT, seed={"type": "integer"}, types=_LIST, model=_STRING)
-
-    def settings(self, args: dict[str, Any]) -> dict[str, Any]:
-        per = self.int_arg(args, "questions_per_record", 1)
-        if per > 5:
-            raise self.input_error(f"questions_per_record must be at most 5, got {per}.", argument="questions_per_record", value=per)
-        types = args.get("types") or list(evaluation.QUESTION_TYPES)
-        if unknown := [t for t in types if t not in evaluation.QUESTION_TYPES]:
-            raise self.input_error(f"unknown types {unknown}.", argument="types", value=types)
-        return {
-            "size": self.int_arg(args, "size", 20), "questions_per_record": per, "min_chars": self.int_arg(args, "min_chars", 500, minimum=0), "types": types,
-            "max_chars": self.int_arg(args, "max_chars", 6000), "seed": self.int_arg(args, "seed", 0, minimum=0), "model": self.text_arg(args, "model") or models.model_for(self.role),
-        }
+    arguments: ClassVar[dict[str, Arg]] = {
+        **SOURCES, "size": count(20), "questions_per_record": count(1, most=5), "min_chars": count(500, least=0), "max_chars": count(6000), "seed": count(0, least=0),
+        "types": Arg("strings", lambda tool: list(evaluation.QUESTION_TYPES)), "model": MODEL,
+    }
+
+    def checked(self, settings: dict[str, Any]) -> dict[str, Any]:
+        if unknown := [t for t in settings["types"] if t not in evaluation.QUESTION_TYPES]:
+            raise BadArgument(f"unknown types {unknown}.", argument="types", value=settings["types"])
+        return settings
 
     def sample(self, corpus: Corpus, settings: dict[str, Any]) -> DataFrame:
         return evaluation.sample(corpus.df, corpus.id, corpus.text, size=settings["size"], seed=settings["seed"], min_chars=settings["min_chars"])
@@ -533,7 +502,7 @@ class ExtractTestQuestionsTool(BaseTool):
         corpus, source = bind_corpus(args, context, tool_name=self.tool_name)
         picked = [r.asDict() for r in self.sample(corpus, settings).withColumn("__text", corpus.text).collect()]  # a sample's size
         if not picked:
-            raise self.input_error(f"No record has {settings['min_chars']} characters.", code="nothing_to_sample", corpus=corpus.name)
+            raise self.refusal(f"No record has {settings['min_chars']} characters.", code="nothing_to_sample", corpus=corpus.name)
         rows, system, skipped = [], self.system_prompt(settings), 0
         for i, record in enumerate(picked):
             try:
@@ -556,26 +525,30 @@ class ExtractTestQuestionsTool(BaseTool):
             })
         counts = {t: sum(q["type"] == t for q in questions) for t in settings["types"]}
         out = settings | {"corpus": corpus.name, "sampled": len(picked), "skipped_records": skipped, "questions": questions, "type_counts": counts}
-        return out | {"provenance": self.provenance(settings | {"corpus": corpus.name}, [source])}
+        return self.made(out, settings | {"corpus": corpus.name}, source)
 
     def render(self, data: dict[str, Any]) -> dict[str, Any]:
         columns = ["id", "type", "question", "reference_answer"]
         return {"render_type": "table", "columns": columns, "rows": [{c: q.get(c) for c in columns} for q in data["questions"]], "caption": f"{len(data['questions'])} questions"}
 
 
+def _cuts(name: str, sent: Any) -> list[int]:
+    """One or more cuts of a ranking, in order."""
+    ks = list(evaluation.DEFAULT_K) if sent is None else sent if isinstance(sent, list) else [sent]
+    if not ks or any(type(k) is not int or k < 1 for k in ks):
+        raise BadArgument(f"k must be one or more positive integers, got {sent!r}.", argument=name, value=sent)
+    return sorted(set(ks))
+
+
 class CalculateRetrievalMetricsTool(BaseTool):
     """Hook: ``metrics(questions, runs, qrels, settings) -> DataFrame`` with one row per question."""
 
     tool_name, prefix, stage, render_type = "calculate_retrieval_metrics", "calculate_", "analyze", "table"
     description = "Precision, recall, hits and reciprocal rank of retrieved against relevant ids."
-    input_schema = _object(["items"], items={"type": "array"}, k={}, match_on={"type": "string", "enum": ["source", "id"]})
-
-    def settings(self, args: dict[str, Any]) -> dict[str, Any]:
-        k = args.get("k", list(evaluation.DEFAULT_K))
-        ks = [k] if isinstance(k, int) else k
-        if not isinstance(ks, list) or not ks or any(isinstance(x, bool) or not isinstance(x, int) or x < 1 for x in ks):
-            raise self.input_error(f"k must be one or more positive integers, got {k!r}.", argument="k", value=k)
-        return {"k": sorted(set(ks)), "match_on": self.choice_arg(args, "match_on", "source", ("source", "id"))}
+    arguments: ClassVar[dict[str, Arg]] = {
+        "items": data("array", required=True), "k": Arg("any", read=lambda name, sent: _cuts(name, sent)),
+        "match_on": Arg(default="source", choices=lambda tool: ("source", "id"), shown=("source", "id")),
+    }
 
     def metrics(self, questions: DataFrame, runs: DataFrame, qrels: DataFrame, settings: dict[str, Any]) -> DataFrame:
         return evaluation.retrieval_metrics(questions, runs, qrels, ks=settings["k"])
@@ -583,7 +556,7 @@ class CalculateRetrievalMetricsTool(BaseTool):
     def run(self, args: dict[str, Any], *, context: ToolContext) -> dict[str, Any]:
         settings, items = self.settings(args), args.get("items")
         if not isinstance(items, list) or not items or not all(isinstance(i, dict) for i in items):
-            raise self.input_error("items must be a list of objects with relevant and retrieved.", argument="items")
+            raise self.refusal("items must be a list of objects with relevant and retrieved.", argument="items")
         questions, runs, qrels, upstream = [], [], [], []
         for n, item in enumerate(items):
             questions.append((n, str(item.get("id") or f"q{n + 1}")))
@@ -602,7 +575,7 @@ class CalculateRetrievalMetricsTool(BaseTool):
         names = dict(questions)
         rows = [{"id": names[r["qid"]]} | {k: v for k, v in r.asDict().items() if k != "qid"} for r in frame.orderBy("qid").collect()]
         summary = evaluation.metric_means(frame).first().asDict()
-        return settings | {"questions": len(items), "rows": rows, "summary": summary, "provenance": self.provenance(settings, upstream), "frame": frame}
+        return self.made(settings | {"questions": len(items), "rows": rows, "summary": summary}, settings, *upstream, frame=frame)
 
     def render(self, data: dict[str, Any]) -> dict[str, Any]:
         return {"render_type": "table", "columns": list(data["summary"]), "rows": [data["summary"]], "caption": f"means over {data['questions']} questions"}
@@ -613,17 +586,20 @@ class ScoreRagAnswerTool(BaseTool):
 
     tool_name, prefix, stage, role = "score_rag_answer", "score_", "analyze", "evaluation"
     description = "Judge an answer by criteria against its sources."
-    input_schema = _object(["answer"], answer={"type": "object"}, criteria=_LIST, reference_answer=_STRING, corpus=_STRING, passages={"type": "array"}, max_chars=_INT, model=_STRING)
+    arguments: ClassVar[dict[str, Arg]] = {
+        "answer": data("object", required=True), "criteria": Arg("strings"), "reference_answer": TEXT, "corpus": data("string"), "passages": data("array"),
+        "max_chars": count(3000), "model": MODEL,
+    }
     criteria: ClassVar[dict[str, str]] = evaluation.CRITERIA
 
-    def settings(self, args: dict[str, Any]) -> dict[str, Any]:
-        reference = self.text_arg(args, "reference_answer") or None
-        chosen = args.get("criteria") or [c for c in self.criteria if c != "correctness" or reference]
-        if not isinstance(chosen, list) or (unknown := [c for c in chosen if c not in self.criteria]):
-            raise self.input_error(f"criteria are among {list(self.criteria)}; unknown: {unknown if isinstance(chosen, list) else chosen}.", argument="criteria")
+    def checked(self, settings: dict[str, Any]) -> dict[str, Any]:
+        reference = settings["reference_answer"]
+        chosen = settings["criteria"] or [c for c in self.criteria if c != "correctness" or reference]
+        if unknown := [c for c in chosen if c not in self.criteria]:
+            raise BadArgument(f"criteria are among {list(self.criteria)}; unknown: {unknown}.", argument="criteria")
         if "correctness" in chosen and not reference:
-            raise self.input_error("correctness needs a reference_answer.", argument="criteria")
-        return {"criteria": chosen, "reference_answer": reference, "max_chars": self.int_arg(args, "max_chars", 3000), "model": self.text_arg(args, "model") or models.model_for(self.role)}
+            raise BadArgument("correctness needs a reference_answer.", argument="criteria")
+        return settings | {"criteria": chosen}
 
     def system_prompt(self, settings: dict[str, Any]) -> str:
         asked = "\n".join(f"- {c}: {self.criteria[c]}" for c in settings["criteria"])
@@ -646,25 +622,26 @@ class ScoreRagAnswerTool(BaseTool):
     def run(self, args: dict[str, Any], *, context: ToolContext) -> dict[str, Any]:
         answer = args.get("answer")
         if not isinstance(answer, dict) or not isinstance(answer.get("answer"), str):
-            raise self.input_error("answer must be a result with an answer and its sources.", code="missing_required_arguments", missing=["answer"])
+            raise self.refusal("answer must be a result with an answer and its sources.", code="missing_required_arguments", missing=["answer"])
         settings = self.settings(args)
         sources = sorted((s for s in answer.get("sources") or [] if s.get("id")), key=lambda s: s.get("rank") or 0)
         if not sources:
-            raise self.input_error("The answer lists no sources.", code="no_candidates")
-        corpus = self.text_arg(args, "corpus") or answer.get("corpus")
+            raise self.refusal("The answer lists no sources.", code="no_candidates")
+        corpus = str(args.get("corpus") or "").strip() or answer.get("corpus")
         if args.get("passages") is None and not corpus:
-            raise self.input_error("Name the corpus of the sources, or pass passages.", code="missing_required_arguments", missing=["corpus"])
+            raise self.refusal("Name the corpus of the sources, or pass passages.", code="missing_required_arguments", missing=["corpus"])
         told = args.get("passages") if args.get("passages") is not None else [{"id": s["id"]} for s in sources]
         texts = {p["id"]: p["text"] for p in passages_with_text(told, corpus, tool_name=self.tool_name)}
         if lacking := [s["id"] for s in sources if str(s["id"]) not in texts]:
-            raise self.input_error(f"passages lack {lacking[:5]}.", argument="passages")
+            raise self.refusal(f"passages lack {lacking[:5]}.", argument="passages")
         sources = [s | {"text": texts[str(s["id"])]} for s in sources]
         facts = [f for f in answer.get("facts") or [] if f.get("label")]
         question = str(answer.get("question") or "")
         reply = self.judge(self.system_prompt(settings), self.user_prompt(question, answer["answer"], sources, settings, facts), settings, context)
         judged = self.review(reply, settings, context)
         shared = {k: answer.get(k) for k in ("coverage", "unknown_citations")}
-        return {"question": question, "model": settings["model"], "answer_model": answer.get("model"), **judged, **shared, "facts": len(facts), "provenance": self.provenance(settings, [run_id_of(answer)])}
+        told = {"question": question, "model": settings["model"], "answer_model": answer.get("model"), **judged, **shared, "facts": len(facts)}
+        return self.made(told, settings, run_id_of(answer))
 
     def review(self, reply: Any, settings: dict[str, Any], context: ToolContext) -> dict[str, Any]:
         """Clean scores and reasons, and what about them a person should look at."""
@@ -692,20 +669,13 @@ class SynthesizeAnswerTool(BaseTool):
         "grounded": "Use the sources and facts below and nothing else; say so when they do not answer the question.",
         "blended": "Prefer the sources and facts below; what you add from elsewhere must be marked as such and carries no citation.",
     }
-    input_schema = _object(
-        ["question"], question=_STRING, passages={"type": "array"}, input=_STRING, corpus=_STRING, mode={"type": "string", "enum": ["grounded", "blended"]},
-        order={"type": "string", "enum": ["edges", "relevance"]}, max_passages=_INT, max_chars_per_passage=_INT, max_per_source=_INT, instructions=_STRING, model=_STRING,
-        max_tokens=_INT, facts={}, max_facts=_INT,
-    )
-
-    def settings(self, args: dict[str, Any]) -> dict[str, Any]:
-        return {
-            "question": self.text_arg(args, "question", required=True), "mode": self.choice_arg(args, "mode", "grounded", self.modes),
-            "order": self.choice_arg(args, "order", "edges", ("edges", "relevance")), "max_passages": self.int_arg(args, "max_passages", curation.MAX_PASSAGES),
-            "max_chars_per_passage": self.int_arg(args, "max_chars_per_passage", curation.MAX_CHARS), "max_per_source": self.int_arg(args, "max_per_source", None),
-            "max_facts": self.int_arg(args, "max_facts", curation.MAX_FACTS), "max_tokens": self.int_arg(args, "max_tokens", None),
-            "instructions": self.text_arg(args, "instructions") or None, "model": self.text_arg(args, "model") or models.model_for(self.role),
-        }
+    arguments: ClassVar[dict[str, Arg]] = {
+        "question": Arg(required=True), "passages": data("array"), **SOURCES,
+        "mode": Arg(default="grounded", choices=lambda tool: tool.modes, shown=("grounded", "blended")),
+        "order": Arg(default="edges", choices=lambda tool: ("edges", "relevance"), shown=("edges", "relevance")),
+        "max_passages": count(curation.MAX_PASSAGES), "max_chars_per_passage": count(curation.MAX_CHARS), "max_per_source": count(), "max_facts": count(curation.MAX_FACTS),
+        "max_tokens": count(), "instructions": TEXT, "model": MODEL, "facts": data(),
+    }
 
     def curate(self, passages: DataFrame, settings: dict[str, Any]) -> DataFrame:
         return curation.curate(passages, max_passages=settings["max_passages"], max_chars=settings["max_chars_per_passage"], order=settings["order"], max_per_source=settings["max_per_source"])
@@ -729,7 +699,7 @@ class SynthesizeAnswerTool(BaseTool):
         listed = given.get("facts") if isinstance(given, dict) else given
         ok = isinstance(listed, list) and all(isinstance(f, dict) and all(str(f.get(c) or "").strip() for c in kg.CORE) for f in listed)
         if not ok:
-            raise self.input_error("facts must each have subject, relation and object.", argument="facts")
+            raise self.refusal("facts must each have subject, relation and object.", argument="facts")
         if not listed:
             return None, run_id_of(given)
         return kg.from_records(context.session, listed).facts.withColumn("qid", F.lit(0)), run_id_of(given)
@@ -741,7 +711,7 @@ class SynthesizeAnswerTool(BaseTool):
         curated = self.curate(frame_of(context, passages), settings).persist()
         sources = [r.asDict() for r in curated.orderBy(F.length("label"), "label").collect()]  # at most max_passages
         if not sources:
-            raise self.input_error("There are no passages with text.", code="no_candidates", input_handle=handle)
+            raise self.refusal("There are no passages with text.", code="no_candidates", input_handle=handle)
         chosen = None if facts is None else self.curate_facts(facts, settings)
         spark, fact_rows = context.session, [] if chosen is None else [r.asDict() for r in chosen.orderBy(POSITION).collect()]
         asked = spark.createDataFrame([(0, settings["question"])], "qid int, question string")
@@ -760,7 +730,7 @@ class SynthesizeAnswerTool(BaseTool):
         }
         out["handle"] = remember(self, context, "answer", ref=value_ref([{k: out[k] for k in ("question", "answer", "cited", "coverage")}]), args={"question": settings["question"], "model": settings["model"]}, summary="an answer", derived_from=[handle] if handle else [])
         curated.unpersist()
-        return out | {"provenance": self.provenance(settings | {"facts": len(fact_rows)}, [upstream, facts_ref])}
+        return self.made(out, settings | {"facts": len(fact_rows)}, upstream, facts_ref)
 
     def render(self, data: dict[str, Any]) -> dict[str, Any]:
         about = lambda s: " · ".join(str(s[k]) for k in ("title", "date", "url") if s.get(k))

@@ -32,6 +32,21 @@ def test_windows_are_those_of_the_formula(spark, size, overlap):
     assert got == sorted((n, *c) for n, t in enumerate(texts) for c in brute(t or "", size, overlap))
 
 
+def test_blanks_are_those_of_unicode(spark):
+    texts = ["a\u00a0b\u2003c d", "\u3000 x\u2028y\x85z\x1cq\x1f", "\x1c\x1d", "zero\u200bwidth stays"]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    rows = chunking.chunk_spans(df, F.col("text"), size=2, overlap=1).collect()
+    got = sorted((r.n, r.chunk_index, r.tokens, r.token_start, r.token_end, r.char_start, r.char_end, r.chunk_text) for r in rows)
+    assert got == sorted((n, *c) for n, t in enumerate(texts) for c in brute(t, 2, 1))
+
+
+def test_chunks_need_no_shuffle(spark, tmp_path):
+    spark.range(100).selectExpr("id", "repeat('word ', 400) as text").write.parquet(str(tmp_path / "t"))
+    plan = chunking.chunk_spans(spark.read.parquet(str(tmp_path / "t")).repartition(2), F.col("text"), size=12, overlap=4).drop("text")
+    shown = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in shown and "Python" not in shown and "hashpartitioning" not in shown
+
+
 def test_sizes_are_checked():
     for size, overlap in ((0, 0), (5, 5), (5, -1)):
         with pytest.raises(ValueError):

@@ -10,7 +10,7 @@ from gleaner.memory.policy import DefaultPolicy, RetainAllPolicy
 from gleaner.memory.records import value_ref
 from gleaner.memory.stores import JsonFileStore, NullStore
 from gleaner.memory.working import WorkingMemory
-from gleaner.tools import ToolContext, ToolInputError, registry, render
+from gleaner.tools import ToolContext, ToolInputError, arguments, registry, render
 from gleaner.tools import shipped as t
 from gleaner.tools.contracts import CONTRACTS, prefixes_for_stage, stage_for_tool_name
 from gleaner.tools.framework import BaseTool, lineage, validate_tool_args, with_properties
@@ -159,8 +159,14 @@ def test_render_and_schema_extension():
         render.build_tool_result(render_type="json", render={"render_type": "table"})
     own = json.dumps({"render": {"render_type": "table", "rows": []}})
     assert render.resolve_forced_tool_render(tool_name="x", result=own, is_error=False)["render_type"] == "table"
-    assert "**Error:** bad" in render.resolve_forced_tool_render(tool_name="x", result='{"error": {"message": "bad"}}', is_error=True)["content"]
-    assert "`/a {" in render.format_tool_help_markdown(name="a", description="d", input_schema={"required": ["q"]})
+    shown = render.resolve_forced_tool_render(tool_name="x", result='{"error": {"code": "c", "message": "bad", "tool": "x"}}', is_error=True)["content"]
+    assert shown.startswith("`x` failed at ") and "> c: bad" in shown and '"tool": "x"' in shown
+    plain = render.resolve_forced_tool_render(tool_name="x", result="just text", is_error=False)
+    assert plain["render_type"] == "markdown" and plain["content"].endswith("    just text\n")
+    told = render.format_tool_help_markdown(name="a", description="d", input_schema={"properties": {"q": {"type": "string"}, "n": {}}, "required": ["q"]})
+    assert "| q | string | required |" in told and "| n | any |  |" in told and 'Call: `/a {"q": "<string>"}`' in told
+    assert "| `chunk_by_size` |" in render.format_tools_list_markdown([t.ChunkBySizeTool()])
+    assert "note" not in render.render_types() and render.register_render_type("note", structured=False) not in render.structured_render_types()
     wider = with_properties(BaseTool.input_schema, {"n": {"type": "integer"}})
     assert wider["properties"] and not BaseTool.input_schema["properties"]
 
@@ -187,6 +193,23 @@ def test_memory_policies_and_stores(tmp_path):
     assert e.value.code == "missing_required_input"
 
 
+def test_arguments_are_declared_once():
+    class Sized(BaseTool):
+        tool_name = "chunk_sized"
+        arguments = {"size": arguments.count(5, most=9), "mode": arguments.Arg(default="a", choices=lambda tool: tool.modes), "day": arguments.Arg("date"), "rows": arguments.data("array")}
+        modes = ("a", "b")
+
+    class Wider(Sized):
+        modes = ("a", "b", "c")
+
+    assert Sized.input_schema["properties"]["size"] == {"type": "integer", "minimum": 1, "maximum": 9} and Wider().schema.input_schema == Sized.input_schema
+    assert Wider().settings({"mode": "c", "rows": [1]}) == {"size": 5, "mode": "c", "day": None}
+    for bad in ({"size": 0}, {"size": 10}, {"size": True}, {"size": "3"}, {"mode": "c"}, {"day": "soon"}):
+        with pytest.raises(ToolInputError) as e:
+            Sized().settings(bad)
+        assert e.value.code == "invalid_argument_value" and e.value.tool_name == "chunk_sized" and e.value.details["argument"] in bad
+
+
 class Refused(Exception):
     def __init__(self, message):
         super().__init__(message)
