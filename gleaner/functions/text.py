@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,6 +117,24 @@ def link_citations(answer: Column, urls: Column) -> Column:
     return F.array_join(pieces, "")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running_totals(steps: Column) -> Column:
+    """The total of the longs before each element of an array, by blocks of about the square root of its size."""
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+
+    def by_blocks(s: Column, w: Column) -> Column:
+        sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / w).cast("int")), lambda k: total(F.slice(s, k * w + 1, w)))
+        ahead = let(sums, lambda b: F.transform(b, lambda _, k: total(F.slice(b, F.lit(1), k))))
+        return let(ahead, lambda h: F.transform(s, lambda _, i: F.get(h, F.floor(i / w).cast("int")) + total(F.slice(s, F.floor(i / w).cast("int") * w + 1, i % w))))
+
+    width = lambda s: F.greatest(F.lit(1), F.sqrt(F.size(s)).cast("int"))
+    return let(steps, lambda s: F.when(F.size(s) > 0, let(width(s), lambda w: by_blocks(s, w))).otherwise(F.array().cast("array<bigint>")))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays of numbers in double precision; null when either is zero or the sizes differ."""
     x, y = a.cast("array<double>"), b.cast("array<double>")

@@ -1,8 +1,11 @@
 """Chunking: overlapping windows of words, sentences, and contexts before chunks, as exploded rows.
 
-Offsets follow from the lengths of contiguous blocks of ``size - overlap`` words that one regular expression
-cuts with possessive repeats, so there is no Python on the path and no backtracking.  Running sums over the
-blocks are taken by a window per record when steps are small, in the row otherwise.
+One regular expression with possessive repeats cuts a text into contiguous blocks of ``size - overlap`` words, so
+there is no Python on the path and no backtracking.  A chunk is a few blocks after each other; its offset is
+the running total of the blocks' lengths.  All of a record's chunks are made inside its row and exploded last:
+nothing is shuffled, and no text is copied to a chunk but its own.
+
+Blanks are those of Unicode, the four ASCII separators and the next-line character among them.
 """
 
 from __future__ import annotations
@@ -11,13 +14,15 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions import text as tx
+from gleaner.session import spread
 from gleaner.sources.corpus import POSITION, Corpus, numbered
 
-#: Below this step a text has so many windows that sums per row would cost more than a window.
-SMALL_STEP = 25
+#: A word character's and a blank's class, for patterns with (?U).
+W, B = r"[^\s\x1c-\x1f]", r"[\s\x1c-\x1f]"
 
 
 def check_size(size: int, overlap: int) -> None:
@@ -36,28 +41,29 @@ def chunk_spans(df: DataFrame, text: Column, *, size: int = 200, overlap: int =
     check_size(size, overlap)
     step = size - overlap
     t = F.coalesce(text, F.lit(""))
-    words = F.regexp_count(t, F.lit(r"\S+"))
-    blocks = F.regexp_extract_all(t, F.lit(r"(\S++(?:\s++\S++){0,%d}+\s*+)" % (step - 1)), F.lit(1))
-    lead = F.length(F.regexp_extract(t, r"^(\s*)", 1))
-    base = df.select("*", t.alias("__t"), words.alias("__n"), blocks.alias("__b"), lead.alias("__lead")).where("__n > 0")
-    count = F.when(F.col("__n") <= size, 1).otherwise(F.ceil((F.col("__n") - size) / F.lit(step)) + 1).cast("int")
-    base = base.withColumn("chunk_count", count)
-    if step >= SMALL_STEP:
-        rows = base.withColumn("chunk_index", F.explode(F.sequence(F.lit(0), F.col("chunk_count") - 1)))
-        ahead = F.aggregate(F.slice("__b", F.lit(1), F.col("chunk_index")), F.lit(0), lambda a, b: a + F.length(b))
-        rows = rows.withColumn("char_start", F.col("__lead") + ahead)
-    else:
-        rows = base.withColumn("__row", F.monotonically_increasing_id()).select("*", F.posexplode("__b").alias("chunk_index", "__one"))
-        before = Window.partitionBy("__row").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
-        ahead = F.coalesce(F.sum(F.length("__one")).over(before), F.lit(0)).cast("int")
-        rows = rows.withColumn("char_start", F.col("__lead") + ahead).where("chunk_index < chunk_count").drop("__row", "__one")
-    tail = F.substr(F.col("__t"), F.col("char_start") + 1)
-    rows = rows.withColumn("chunk_text", F.regexp_extract(tail, r"^(\S++(?:\s++\S++){0,%d}+)" % (size - 1), 1))
-    start = F.col("chunk_index") * step
-    end = F.least(start + size, F.col("__n"))
+    blocks = F.regexp_extract_all(t, F.lit(rf"(?U)({W}++(?:{B}++{W}++){{0,{step - 1}}}+{B}*+)"), F.lit(1))
+    lead = F.length(F.regexp_extract(t, rf"(?U)^({B}*+)", 1))
+    base = spread(df).select("*", blocks.alias("__b"), lead.cast("long").alias("__lead")).where("size(__b) > 0")
+    last = F.regexp_count(F.try_element_at("__b", F.lit(-1)), F.lit(rf"(?U){W}++"))
+    base = base.select("*", ((F.size("__b") - 1) * step + last).alias("__n"), tx.running_totals(F.transform("__b", lambda x: F.length(x).cast("long"))).alias("__at"))
+    n = F.col("__n")
+    count = F.when(n <= size, 1).otherwise(F.ceil((n - size) / F.lit(step)) + 1).cast("int")
+    many, words = -(-size // step), rf"(?U)^({W}++(?:{B}++{W}++){{0,{size - 1}}}+)"
+
+    def chunk(row: Column, k: Column) -> Column:
+        whole = F.array_join(F.slice(row.blocks, k + 1, many), "")
+        return F.struct(k.alias("k"), (row.lead + F.get(row.at, k)).cast("int").alias("start"), F.regexp_extract(whole, words, 1).alias("text"))
+
+    # Bound to a variable, because the planner would put the expressions themselves into the function of each chunk.
+    bound = F.struct(F.col("__b").alias("blocks"), F.col("__at").alias("at"), F.col("__lead").alias("lead"))
+    base = base.select("*", count.alias("chunk_count"))
+    made = base.select("*", tx.let(bound, lambda row: F.transform(F.sequence(F.lit(0), F.col("chunk_count") - 1), lambda k: chunk(row, k))).alias("__c"))
+    rows = made.select(*[F.col(f"`{c}`") for c in df.columns], "chunk_count", "__n", F.explode("__c").alias("__c"))
+    start = F.col("__c.k") * step
+    end = F.least(start + size, n)
     return rows.select(
-        *[F.col(f"`{c}`") for c in df.columns], "chunk_index", "chunk_count", (end - start).alias("tokens"), start.alias("token_start"), end.alias("token_end"),
-        "char_start", (F.col("char_start") + F.length("chunk_text")).alias("char_end"), "chunk_text",
+        *[F.col(f"`{c}`") for c in df.columns], F.col("__c.k").alias("chunk_index"), "chunk_count", (end - start).alias("tokens"), start.alias("token_start"),
+        end.alias("token_end"), F.col("__c.start").alias("char_start"), (F.col("__c.start") + F.length("__c.text")).alias("char_end"), F.col("__c.text").alias("chunk_text"),
     )
 
 
@@ -101,8 +107,8 @@ def token_chunks(df: DataFrame, text: Column, spans: Callable[[str], list[tuple[
 
 def sentence_chunks(df: DataFrame, text: Column, *, size: int = 200, max_sentences: int | None = None) -> DataFrame:
     """Whole sentences packed up to ``size`` words (or ``max_sentences``); a longer sentence is a chunk of its own."""
-    sentences = F.filter(F.split(F.trim(F.coalesce(text, F.lit(""))), r"(?<=[.!?])\s+"), lambda s: F.trim(s) != "")
-    n = lambda s: F.regexp_count(s, F.lit(r"\S+"))
+    sentences = F.filter(F.split(F.trim(F.coalesce(text, F.lit(""))), rf"(?U)(?<=[.!?]){B}+"), lambda s: F.trim(s) != "")
+    n = lambda s: F.regexp_count(s, F.lit(rf"(?U){W}++"))
     empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("words"), F.lit(0).alias("count"))
 
     def add(a: Column, s: Column) -> Column:

@@ -57,8 +57,10 @@ def clean_questions(replies: DataFrame, *, per_record: int = 1, types: Sequence[
     df = replies.where(ok).select("record", "at", q.alias("question"), a.alias("answer"), F.when(F.col("type").isin(list(types)), F.col("type")).alias("type"))
     df = df.withColumn("__n", F.row_number().over(Window.partitionBy("record", F.lower("question")).orderBy("at"))).where("__n = 1")
     df = df.withColumn("__n", F.row_number().over(Window.partitionBy("record").orderBy("at"))).where(F.col("__n") <= per_record).drop("__n")
-    number = F.row_number().over(Window.orderBy("record", "at"))  # a test set is as large as its sample
-    return df.withColumn("qid", F.concat(F.lit("q"), number.cast("string")))
+    from gleaner.sources.corpus import numbered
+
+    rows = numbered(df, ["record", "at"], "__q")
+    return rows.withColumn("qid", F.concat(F.lit("q"), (F.col("__q") + 1).cast("string"))).drop("__q")
 
 
 def type_counts(questions: DataFrame, types: Sequence[str] = QUESTION_TYPES) -> DataFrame:

@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.functions import text as tx
-from gleaner.sources.corpus import POSITION, Corpus
+from gleaner.session import checkpointed, spread
+from gleaner.sources.corpus import POSITION, Corpus, numbered
 
 K1, B = 1.5, 0.75
 RRF_K = 60
+#: Distinct terms of questions that a plan looks for while it reads the texts.
+ASKED_TERMS = 8192
 STRATEGIES = ("sparse", "dense", "hybrid")
 
 
@@ -31,21 +34,65 @@ class Index:
     stats: DataFrame
 
 
+    def save(self, path: str) -> None:
+        """Write the index under ``path``; postings are clustered by term, so a reader finds a term's in few files."""
+        self.tf.repartition("term").sortWithinPartitions("term", POSITION).write.mode("overwrite").parquet(f"{path}/tf")
+        spark = self.tf.sparkSession
+        spark.read.parquet(f"{path}/tf").groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/df")
+        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Index:
+        return cls(*[spark.read.parquet(f"{path}/{part}") for part in ("tf", "df", "stats")])
+
+
+def _tokens(texts: DataFrame) -> DataFrame:
+    return spread(texts.select(POSITION, "text")).select(POSITION, tx.tokens(F.col("text")).alias("tokens"))
+
+
+def _index(sized: DataFrame, words: str) -> Index:
+    """From ``(_pos, len, words)``.  Counting combines within tasks, so each distinct term of a document is shuffled once."""
+    # explode_outer, because a filter on the array's size would be derived from explode and cut the text a second time.
+    terms = sized.select(POSITION, "len", F.explode_outer(words).alias("term")).where("term is not null")
+    tf = terms.groupBy(POSITION, "len", "term").agg(F.count("*").alias("tf"))
+    stats = sized.agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avg_len"))
+    return Index(tf, tf.groupBy("term").agg(F.count("*").alias("df")), stats)
+
+
 def build_index(texts: DataFrame) -> Index:
-    """From ``(_pos, text)``.  Counting combines within tasks, so each distinct term of a document is shuffled once."""
-    cut = texts.select(POSITION, tx.tokens(F.col("text")).alias("tokens"))
-    sized = cut.select(POSITION, F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-    tf = sized.groupBy(POSITION, "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    stats = cut.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("tokens")), F.lit(0.0)).alias("avg_len"))
-    return Index(tf, df, stats)
+    """The whole index of ``(_pos, text)``: lazy, so keep or save what is read more than once."""
+    return _index(_tokens(texts).select(POSITION, F.size("tokens").alias("len"), "tokens"), "tokens")
+
+
+def index_for(texts: DataFrame, asked: DataFrame, *, most: int = ASKED_TERMS) -> Index:
+    """As much of the index as ``asked(qid, question)`` needs, from one pass over the texts and without shuffling them.
+
+    Each document keeps its length and the words that are asked for, in a checkpointed table from which all
+    statistics follow.  Questions with more than ``most`` distinct terms together get the whole index.
+    """
+    terms = question_terms(asked).select("term").distinct().limit(most + 1).collect()
+    if len(terms) > most:
+        return build_index(texts)
+    wanted = ", ".join(f"'{r.term}'" for r in terms) or "''"  # terms hold letters, digits and underscores only
+    met = F.expr(f"filter(tokens, t -> t in ({wanted}))")
+    return _index(checkpointed(_tokens(texts).select(POSITION, F.size("tokens").alias("len"), met.alias("met"))), "met")
+
+
+def term_statistics(texts: DataFrame) -> DataFrame:
+    """``(term, df, total)``: documents that have a term and its occurrences, in one pass; each task sends a term once."""
+    cut = _tokens(texts)
+    count = lambda words, df, total: F.transform(words, lambda t: F.struct(t.alias("term"), F.lit(df).alias("df"), F.lit(total).alias("total")))
+    both = F.concat(count(F.col("tokens"), 0, 1), count(F.array_distinct("tokens"), 1, 0))
+    rows = cut.select(F.explode_outer(both).alias("t")).select("t.*").where("term is not null")
+    return rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
 
 
 def corpus_index(corpus: Corpus) -> Index:
     """The index of a corpus, built and kept once per corpus object."""
     if "bm25" not in corpus.cache:
         built = build_index(corpus.texts())
-        corpus.cache["bm25"] = Index(built.tf.persist(), built.df.persist(), built.stats.persist())
+        tf = built.tf.persist()
+        corpus.cache["bm25"] = Index(tf, tf.groupBy("term").agg(F.count("*").alias("df")).persist(), built.stats.persist())
     return corpus.cache["bm25"]
 
 
@@ -81,10 +128,11 @@ def dense(vectors: DataFrame, query_vectors: DataFrame) -> DataFrame:
     """``(qid, _pos, score)`` by exact cosine of every vector for each of the caller's query vectors, positive only.
 
     ``vectors`` has ``(_pos, embedding)``; ``query_vectors`` ``(qid, embedding)`` are a stated set of questions,
-    gathered into one array per block of 256 so that each vector is read once per block.
+    gathered into one array per block of about 256 so that each vector is read once per block.
     """
     asked = query_vectors.select("qid", F.col("embedding").cast("array<double>").alias("e"))
-    blocks = asked.withColumn("block", F.floor((F.row_number().over(Window.orderBy("qid")) - 1) / 256)).groupBy("block")
+    n_blocks = max(1, -(-asked.count() // 256))
+    blocks = asked.groupBy(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)).alias("block"))
     blocks = blocks.agg(F.collect_list(F.struct("qid", "e")).alias("qs"))
     paired = vectors.select(POSITION, F.col("embedding").cast("array<double>").alias("v")).crossJoin(blocks)
     scored = paired.select(POSITION, F.explode("qs").alias("q"), "v").select(
@@ -101,13 +149,16 @@ def by_score(partition: str = "qid", score: str = "score") -> Window:
 
 
 def ranked(scores: DataFrame) -> DataFrame:
-    """``rank`` from 1 within each question."""
-    return scores.withColumn("rank", F.row_number().over(by_score()))
+    """``rank`` from 1 within each question, for all hits: sorted by ranges, so one question's hits are not one task's."""
+    order = ["qid", F.desc(F.round("score", 9)), POSITION]
+    rows = numbered(scores, order, "__at")
+    first = rows.groupBy("qid").agg(F.min("__at").alias("__first"))  # a row a question
+    return rows.join(first, "qid").withColumn("rank", (F.col("__at") - F.col("__first") + 1).cast("int")).drop("__at", "__first")
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:
     """The best ``k`` of each question, with ranks; only ``k`` rows a task and question are shuffled."""
-    return ranked(scores).where(F.col("rank") <= k)
+    return scores.withColumn("rank", F.row_number().over(by_score())).where(F.col("rank") <= k)
 
 
 def rrf(rankings: Sequence[DataFrame], *, k: int = RRF_K) -> DataFrame:
@@ -121,9 +172,10 @@ def rrf(rankings: Sequence[DataFrame], *, k: int = RRF_K) -> DataFrame:
 
 def minmax(scores: DataFrame) -> DataFrame:
     """Scores scaled to 0..1 within each question; 1 where all are equal."""
-    w = Window.partitionBy("qid")
-    low, high = F.min("score").over(w), F.max("score").over(w)
-    return scores.select("qid", POSITION, F.when(high == low, 1.0).otherwise((F.col("score") - low) / F.nullif(high - low, F.lit(0.0))).alias("score"))
+    bounds = scores.groupBy("qid").agg(F.min("score").alias("low"), F.max("score").alias("high"))  # a row a question
+    low, high = F.col("low"), F.col("high")
+    scaled = F.when(high == low, 1.0).otherwise((F.col("score") - low) / F.nullif(high - low, F.lit(0.0)))
+    return scores.join(bounds, "qid").select("qid", POSITION, scaled.alias("score"))
 
 
 def weighted(dense_scores: DataFrame, sparse_scores: DataFrame, alpha: float) -> DataFrame:

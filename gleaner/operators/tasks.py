@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as tx
+from gleaner.session import checkpointed, spread
 
 
 def aggregate_by_month(df: DataFrame, date: Column) -> DataFrame:
@@ -59,18 +60,37 @@ def resolve_entities(df: DataFrame, name: str, key: Column) -> DataFrame:
     return keyed.join(canon, "__k").drop("__k")
 
 
-def clean_boilerplate(df: DataFrame, key: str, group: str, text: str, *, least: int) -> DataFrame:
-    """Texts without the lines that at least ``least`` rows of their group share."""
-    lines = df.select(key, group, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("pos", "line")).withColumn("h", F.xxhash64(F.trim("line")))
-    common = lines.where(F.trim("line") != "").select(key, group, "h").distinct().groupBy(group, "h").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    kept = lines.join(common.select(group, "h"), [group, "h"], "left_anti").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"))
-    joined = df.select(key, group).join(kept, key, "left")
-    return joined.select(key, group, F.coalesce(F.array_join(F.transform("l", lambda x: x.line), "\n"), F.lit("")).alias("text"))
+def clean_boilerplate(df: DataFrame, key: str, group: str, text: str, *, least: int, most: int = 4096) -> DataFrame:
+    """Texts without the lines that at least ``least`` rows of their group share; ``key`` is unique.
+
+    Rows send one hash for each distinct line.  Up to ``most`` shared lines are looked up where the texts are
+    read; more are joined with the lines' hashes and come back as places.  Lines are put together in the row.
+    """
+    lines = F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", -1)
+    hashes = F.transform(lines, lambda x: F.when(F.trim(x) != "", F.xxhash64(F.col(group), F.trim(x))))
+    rows = spread(df.select(key, group, text)).select(key, group, lines.alias("__l"), hashes.alias("__h"))
+    each = rows.select(F.explode_outer(F.array_distinct("__h")).alias("h")).where("h is not null")
+    common = checkpointed(each.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("h"))
+    few = common.limit(most + 1).collect()
+    if len(few) <= most:
+        gone = f"coalesce(h in ({', '.join(f'{r.h}L' for r in few)}), false)" if few else "false"
+        return rows.select(key, group, F.expr(f"array_join(zip_with(__l, __h, (x, h) -> if({gone}, null, x)), '\n')").alias("text"))
+    placed = rows.select(key, F.posexplode("__h").alias("at", "h")).join(common, "h").groupBy(key).agg(F.collect_set("at").alias("__gone"))
+    joined = rows.select(key, group, "__l").join(placed, key, "left")
+    return joined.select(key, group, F.expr("array_join(transform(__l, (x, i) -> if(array_contains(__gone, i), null, x)), '\n')").alias("text"))
+
+
+def deduplicate_near(df: DataFrame, text: Column, order: str) -> DataFrame:
+    """The first row of the texts that have the same distinct words, whatever their order, case and punctuation, with the size of its group."""
+    words = F.array_sort(F.array_distinct(tx.tokens(text)))
+    keyed = df.select(order, F.sha2(F.array_join(words, " "), 256).alias("key"))
+    groups = keyed.groupBy("key").agg(F.min(order).alias(order), F.count("*").alias("copies"))
+    return df.join(groups.drop("key"), order)
 
 
 def parse_pages(df: DataFrame, html: str) -> DataFrame:
     """``title``, ``page_lang`` and ``body`` of raw pages: scripts, styles, comments and tags off, blanks collapsed."""
-    bare = F.regexp_replace(F.col(html), r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ")
+    bare = F.regexp_replace(F.col(html), r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", " ")
     body = F.trim(F.regexp_replace(F.regexp_replace(bare, r"<[^>]*>", " "), r"\s+", " "))
     first = lambda p: F.nullif(F.trim(F.regexp_extract(F.col(html), p, 1)), F.lit(""))
     return df.withColumn("title", first(r"(?is)<title[^>]*>(.*?)</title>")).withColumn("page_lang", first(r"(?i)<html[^>]*\blang=\"([^\"]*)\"")).withColumn("body", body)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import text as tx
 from gleaner.operators import evaluation, ranking, reranking
 from gleaner.plans.registry import documents, items, query, table
+from gleaner.session import spread
 from gleaner.sources.corpus import POSITION, asked_ids
 
 QUESTION = "the and of that inea thwhst"
@@ -73,19 +74,19 @@ def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TF} SELECT term, df, (SELECT sum(t.tf) FROM tf t WHERE t.term = df.term)::BIGINT AS total FROM df")
 def bm25_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tf = ranking.build_index(documents(spark, sf_dir).texts()).tf
-    return tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    return ranking.term_statistics(documents(spark, sf_dir).texts())
 
 
 @query(f"WITH {TF} SELECT term, round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM df CROSS JOIN stats")
 def bm25_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = ranking.build_index(documents(spark, sf_dir).texts())
-    return index.df.crossJoin(index.stats).select("term", F.round(ranking.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+    texts = documents(spark, sf_dir).texts()
+    return ranking.term_statistics(texts).crossJoin(texts.agg(F.count("*").alias("n"))).select("term", F.round(ranking.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
 def _sparse(spark: SparkSession, sf_dir: str, texts: list[str]):
     c = documents(spark, sf_dir)
-    return c, ranking.bm25(ranking.build_index(c.texts()), ranking.questions(spark, texts))
+    asked = ranking.questions(spark, texts)
+    return c, ranking.bm25(ranking.index_for(c.texts(), asked), asked)
 
 
 @query(f"{_bm25(_asked([QUESTION]))}, {RANKED}, top AS (SELECT * FROM ranked WHERE rank <= 10) {SHOW}")
@@ -173,7 +174,8 @@ ITEMS = "asked AS (SELECT item_id AS qid, text AS question FROM benchmark)"
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = documents(spark, sf_dir)
-    return ranking.top_k(ranking.bm25(ranking.build_index(c.texts()), items(spark, sf_dir)), 10)
+    asked = items(spark, sf_dir)
+    return ranking.top_k(ranking.bm25(ranking.index_for(c.texts(), asked), asked), 10)
 
 
 @query(f"{_bm25(ITEMS)}, {RANKED} SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM ranked WHERE rank <= 10")
@@ -185,13 +187,23 @@ QRELS = "qrels AS (SELECT item_id AS qid, doc_id FROM benchmark b JOIN documents
 
 
 def _qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that contain an item word for word: candidates share its longest words, so no text meets all items."""
+    """Documents that contain an item word for word.
+
+    A containing document has every word of the item that is neither its first nor its last, whole; candidates
+    share the longest of these.  Items with fewer than three words are looked for in every text.
+    """
     asked = items(spark, sf_dir)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rare = lambda c: F.array_sort(F.array_distinct(tx.tokens(c)), lambda a, b: F.length(b) - F.length(a))
-    key = asked.select("qid", "question", F.get(rare(F.col("question")), F.lit(0)).alias("term"))
-    inner = docs.select("doc_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term")).join(key, "term").select("qid", "doc_id", "question")
-    return inner.join(docs, "doc_id").where(F.contains("text", "question")).select("qid", F.col("doc_id").alias("id"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    words = tx.tokens(F.col("question"))
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    longest = F.get(F.array_sort(F.array_distinct(inner), lambda a, b: F.length(b) - F.length(a)), F.lit(0))
+    key = asked.select("qid", "question", longest.alias("term"))
+    terms = docs.select("doc_id", F.explode_outer(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
+    met = terms.join(key, "term").select("qid", "doc_id", "question").join(docs, "doc_id")
+    short = key.where("term is null").select("qid", "question")  # a stated set of questions, met by every text
+    every = docs.crossJoin(F.broadcast(short)) if short.limit(1000).count() < 1000 else docs.crossJoin(short)
+    both = met.select("qid", "doc_id", "question", "text").unionByName(every.select("qid", "doc_id", "question", "text"))
+    return both.where(F.contains("text", "question")).select("qid", F.col("doc_id").alias("id"))
 
 
 def _metric_sql(tail: str) -> str:

@@ -35,6 +35,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, *, per_core: int = 64 << 20) -> DataFrame:
+    """``df`` dealt to all cores when it is small enough that its files may make fewer tasks than there are cores.
+
+    Larger tables have a task for each split already and are left alone, so no large text is shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * per_core else df
+
+
 def local(cores: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
     """A session for tests, benchmarks and notebooks on one machine."""
     settings = {

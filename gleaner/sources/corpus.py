@@ -98,21 +98,26 @@ def asked_ids(spark: SparkSession, ids: Sequence[Any]) -> DataFrame:
     return spark.createDataFrame([(i, str(x)) for i, x in enumerate(ids)], "__at long, __asked string")
 
 
-def numbered(df: DataFrame, order: str | Sequence[str] | None = None) -> DataFrame:
-    """Rows numbered from 0, each partition from the counts of those before it; no task sees all rows.
+def numbered(df: DataFrame, order: str | Sequence[str | Column] | None = None, name: str = POSITION) -> DataFrame:
+    """Rows numbered from 0 in the column ``name``; no task sees all rows.
 
     With ``order`` the sorted rows are checkpointed first, so that a lost task cannot sort them into other
-    partitions; without, rows keep the order in which files are read.
+    partitions.  Without, rows have the order of their files' names and of their places in a file, however
+    Spark deals the files' splits to tasks; rows that come from no file have the order of their partitions.
     """
+    where = [F.input_file_name(), F.expr("input_file_block_start()")]
     if order is not None:
         df = checkpointed(df.orderBy(*([order] if isinstance(order, str) else order)))
-    marked = df.withColumn("__m", F.monotonically_increasing_id())
-    part, inside = F.shiftright("__m", 33), F.col("__m").bitwiseAND((1 << 33) - 1)
-    counts = marked.groupBy(part.alias("__part")).agg((F.max(inside) + 1).alias("n"))
-    before = F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # a row a partition
-    offsets = counts.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
-    placed = marked.join(F.broadcast(offsets), part == F.col("__part"))
-    return placed.withColumn(POSITION, F.col("__before") + inside).drop("__m", "__part", "__before")
+        where = [F.lit(""), F.lit(-1).cast("long")]
+    marked = df.select("*", F.monotonically_increasing_id().alias("__m"), where[0].alias("__file"), where[1].alias("__split"))
+    part, file = F.shiftright("__m", 33), F.xxhash64("__file")
+    # A row for each split that a task reads: where it begins among the task's rows, and among all rows.
+    splits = marked.groupBy(part.alias("p"), "__file", F.col("__split").alias("s")).agg(F.min("__m").alias("first"), F.count("*").alias("n"))
+    ahead = F.sum("n").over(Window.orderBy("__file", "s", "p").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("p", F.xxhash64("__file").alias("f"), "s", "first", F.coalesce(ahead, F.lit(0)).alias("before"))
+    placed = marked.join(F.broadcast(splits), (part == F.col("p")) & (file == F.col("f")) & (F.col("__split") == F.col("s")))
+    own = [c for c in df.columns if c != name]
+    return placed.select(*[F.col(f"`{c}`") for c in own], (F.col("before") + F.col("__m") - F.col("first")).alias(name))
 
 
 def positioned(df: DataFrame, key: str) -> DataFrame:
@@ -148,7 +153,13 @@ def read(spark: SparkSession, path: str, *, limit: int | None = None) -> DataFra
         df = _unwrapped(spark.read.json(path, multiLine=True))
     else:
         df = spark.read.parquet(path)
-    return df if limit is None else df.limit(limit)
+    return df if limit is None else first_rows(df, limit).drop(POSITION)
+
+
+def first_rows(df: DataFrame, limit: int | None) -> DataFrame:
+    """Numbered rows, the first ``limit`` of them in the order of the files."""
+    rows = numbered(df)
+    return rows if limit is None else rows.where(F.col(POSITION) < limit)
 
 
 def _unwrapped(df: DataFrame) -> DataFrame:
@@ -167,7 +178,7 @@ def from_file(
     """A corpus from a file or folder of files; its name defaults to the file's stem."""
     stem = os.path.splitext(os.path.basename(path.rstrip("/")))[0]
     try:
-        df = read(spark, path, limit=limit)
+        df = first_rows(read(spark, path), limit)
     except Exception as error:
         if "PATH_NOT_FOUND" in str(error):
             raise FileNotFoundError(f"no file at {path}") from error
@@ -230,6 +241,20 @@ def save_embeddings(vectors: DataFrame, path: str) -> None:
     vectors.select("id", "embedding").write.mode("overwrite").parquet(path)
 
 
+def save_rows(rows: DataFrame, path: str) -> None:
+    """Results as JSON lines, Parquet or CSV by the path's suffix, for whoever reads them next."""
+    suffix = os.path.splitext(path.rstrip("/"))[1].lower()
+    writer = rows.write.mode("overwrite")
+    if suffix == ".jsonl":
+        writer.option("ignoreNullFields", "false").json(path)
+    elif suffix in (".parquet", ".pq"):
+        writer.parquet(path)
+    elif suffix in (".csv", ".tsv"):
+        writer.options(header=True, sep="," if suffix == ".csv" else "\t", quote='"', escape='"', quoteAll=True, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    else:
+        raise ValueError(f"unsupported file type {suffix!r}; results go to .jsonl, .parquet, .csv or .tsv")
+
+
 def load_embeddings(corpus: Corpus, path: str) -> DataFrame:
     """Vectors for exactly this corpus; an error when any record has none."""
     vectors = corpus.df.sparkSession.read.parquet(path)
