@@ -113,7 +113,7 @@ def link_citations(answer: Column, urls: Column) -> Column:
         one = lambda s: F.concat(F.lit("["), s, F.lit("]"), F.coalesce(F.concat(F.lit("("), F.try_element_at(urls, s), F.lit(")")), F.lit("")))
         return F.array_join(F.transform(labels, one), "")
 
-    pieces = F.transform(gaps, lambda gap, i: F.concat(gap, F.coalesce(linked(F.get(groups, i)), F.lit(""))))
+    pieces = F.zip_with(gaps, groups, lambda gap, group: F.concat(gap, F.coalesce(linked(group), F.lit(""))))
     return F.array_join(pieces, "")
 
 

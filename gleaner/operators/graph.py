@@ -145,6 +145,7 @@ class Graph:
         names = names.select("key", "name", F.size("w").alias("n"), F.when(F.size("w") > 0, F.array_join("w", " ")).otherwise(_folded(F.col("key"))).alias("gram"))
         sizes = sorted(r.n for r in names.select("n").distinct().collect())  # as many as there are lengths of a name in words
         flat = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", " ")
+        flat = F.regexp_replace(flat, "[\u00df\u1e9e]", "ss")  # as in the keys of names
         # Texts whose hashes collide share their proposals, which the pattern sorts out.
         told = texts.select("id", flat.alias("flat"), F.xxhash64(flat).alias("h"))
         cut = told.select("h", _folded(F.col("flat")).alias("t")).select("h", "t", F.regexp_extract_all("t", F.lit(_RUN), F.lit(1)).alias("w"))

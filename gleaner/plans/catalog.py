@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.plans import evidence, graphs, retrieval, tasks
+from gleaner.plans import evidence, files, graphs, hosts, retrieval, tasks
 from gleaner.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "evidence", "graphs", "retrieval", "tasks"]
+__all__ = ["ORACLES", "QUERIES", "evidence", "files", "graphs", "hosts", "retrieval", "tasks"]

@@ -59,7 +59,16 @@ def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_stats(table(spark, sf_dir, "documents"), chunks)
 
 
-@query()
+#: Sentences by a marker after their ends, since this engine has no lookbehind; then packed one after the other.
+SENTENCES = """WITH RECURSIVE s AS (SELECT doc_id, list_filter(string_split(regexp_replace(trim(coalesce(text, '')), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS l FROM documents),
+u AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM s), w AS (SELECT *, len(regexp_extract_all(t, '\\S+')) AS n FROM u),
+p AS (SELECT doc_id, i, t, n AS words, 0 AS k FROM w WHERE i = 1
+UNION ALL SELECT w.doc_id, w.i, w.t, CASE WHEN p.words + w.n > 60 THEN w.n ELSE p.words + w.n END, CASE WHEN p.words + w.n > 60 THEN p.k + 1 ELSE p.k END FROM p JOIN w ON w.doc_id = p.doc_id AND w.i = p.i + 1),
+c AS (SELECT doc_id, k, string_agg(t, ' ' ORDER BY i) AS chunk_text FROM p GROUP BY doc_id, k)
+SELECT doc_id, CAST(k AS INTEGER) AS chunk_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS chunk_count, CAST(len(regexp_extract_all(chunk_text, '\\S+')) AS INTEGER) AS tokens, chunk_text FROM c"""
+
+
+@query(SENTENCES)
 def chunk_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "documents").select("doc_id", "text")
     return chunking.sentence_chunks(df, F.col("text"), size=60).select("doc_id", "chunk_index", "chunk_count", "tokens", "chunk_text")
@@ -122,7 +131,18 @@ def citations_unknown_uncited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("qid", *[F.array_join(c, ",").alias(n) for c, n in (("cited", "cited"), ("unknown_citations", "unknown"), ("uncited_sources", "uncited"))])
 
 
-@query()
+GROUP = "\\[\\s*[SG]\\d+(?:\\s*[,;]\\s*[SG]\\d+)*\\s*\\]"
+COVERAGE = f"""WITH {ANSWERS}, l AS (SELECT qid, trim(unnest(string_split(answer, chr(10)))) AS b, generate_subscripts(string_split(answer, chr(10)), 1) AS line FROM a),
+h AS (SELECT *, max(CASE WHEN regexp_matches(trim(regexp_replace(regexp_replace(b, '^[*#_ ]+|[*#_ ]+$', '', 'g'), ':+$', '', 'g')), '(?i)^(?:sources?|references|bibliography)$') THEN 1 ELSE 0 END) OVER (PARTITION BY qid ORDER BY line) AS over_ FROM l),
+k AS (SELECT qid, line, string_split(regexp_replace(b, '([.!?]["''”’)\\]]?)\\s+', '\\1' || chr(1), 'g'), chr(1)) AS ps FROM h WHERE over_ = 0 AND NOT regexp_matches(b, '^#') AND NOT regexp_matches(b, '^(?:[-*]\\s*)?\\[\\s*[SG]\\d+')),
+p AS (SELECT qid, line, unnest(ps) AS part, generate_subscripts(ps, 1) AS i FROM k),
+f AS (SELECT *, regexp_matches(regexp_replace(part, '{GROUP}', ' ', 'g'), '[\\p{{L}}\\p{{N}}]') AS word, regexp_matches(part, '{GROUP}') AS cite FROM p),
+n AS (SELECT *, sum(word::INT) OVER (PARTITION BY qid, line ORDER BY i) AS st FROM f),
+g AS (SELECT qid, line, st, max(cite::INT) AS cite FROM n WHERE st > 0 GROUP BY ALL), t AS (SELECT qid, count(*) AS statements, CAST(sum(cite) AS BIGINT) AS cited_statements FROM g GROUP BY qid)
+SELECT qid, coalesce(statements, 0) AS statements, coalesce(cited_statements, 0) AS cited_statements, round_even(cited_statements / statements::DOUBLE, 3) AS coverage FROM a LEFT JOIN t USING (qid)"""
+
+
+@query(COVERAGE)
 def citation_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.citation_coverage(_answers(spark, sf_dir))
 
@@ -165,3 +185,55 @@ def judge_clean_and_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.review_flags(evaluation.clean_judgements(replies)).select("doc_id", "score", F.array_join("flags", ",").alias("flags"))
 
 
+LINKS = "CASE s WHEN 'S1' THEN '(http://a/1)' WHEN 'S3' THEN '(http://a/3)' ELSE '' END"
+
+
+@query(f"""WITH {ANSWERS}, g AS (SELECT qid, string_split_regex(answer, '{GROUP}') AS gaps, regexp_extract_all(answer, '{GROUP}') AS gs FROM a)
+SELECT qid, array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || coalesce(array_to_string(list_transform(regexp_extract_all(gs[i], '[SG]\\d+'), lambda s: '[' || s || ']' || {LINKS}), ''), '')), '') AS linked FROM g""")
+def link_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    urls = F.create_map(F.lit("S1"), F.lit("http://a/1"), F.lit("S3"), F.lit("http://a/3"))
+    return _answers(spark, sf_dir).select("qid", tx.link_citations(F.col("answer"), urls).alias("linked"))
+
+
+@query(f"""WITH c AS ({CURATED.format(cap=2, at=EDGES)}) SELECT qid, 'Question: What is in ' || qid || '?' || chr(10) || chr(10) || 'Sources:' || chr(10) || chr(10) || string_agg('[' || label || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY position)
+|| chr(10) || chr(10) || 'Instructions: Be brief.' || chr(10) || chr(10) || 'Answer the question and cite the sources and facts used by their labels.' AS prompt FROM c GROUP BY qid""")
+def build_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    curated = curation.curate(_passages(spark, sf_dir), max_per_source=2)
+    asked = curated.select("qid").distinct().withColumn("question", F.concat(F.lit("What is in "), F.col("qid").cast("string"), F.lit("?")))
+    return curation.prompts(curated, asked, instructions="Be brief.")
+
+
+@query("SELECT doc_id, trim(regexp_replace('<think>' || substr(text, 1, 40) || '</think> ' || lang || ' <think>' || chr(10) || '</think>', '(?s)<think>.*?</think>', '', 'g')) AS said FROM documents")
+def strip_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.concat(F.lit("<think>"), F.substring("text", 1, 40), F.lit("</think> "), F.col("lang"), F.lit(" <think>\n</think>"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.strip_reasoning(said).alias("said"))
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS i, count(*) OVER () AS n FROM documents) JOIN range(50) t(j) ON i = (j * n) // 50")
+def sample_evenly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return evaluation.even_sample(d, ["n_chars", "doc_id"], 50).select("doc_id")
+
+
+TYPES = ", ".join(f"({i}, '{t}')" for i, t in enumerate(evaluation.QUESTION_TYPES))
+
+
+@query(f"SELECT type, count(item_id) AS n FROM (VALUES {TYPES}) v(i, type) LEFT JOIN benchmark ON item_id % 7 = i GROUP BY type")
+def question_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    types = F.array(*[F.lit(t) for t in evaluation.QUESTION_TYPES])
+    asked = table(spark, sf_dir, "benchmark").select(F.get(types, (F.col("item_id") % 7).cast("int")).alias("type"))
+    return evaluation.type_counts(asked)
+
+
+@query("""WITH r AS (SELECT doc_id % 50 AS record, doc_id AS place, 'Who is ' || lang || '?' AS question, source AS answer, CASE WHEN doc_id % 2 = 0 THEN 'factual' END AS type FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 7 <> 0),
+o AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY record, lower(question) ORDER BY place) = 1), p AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY record ORDER BY place) <= 2)
+SELECT record, question, answer, type, 'q' || row_number() OVER (ORDER BY record, place) AS qid FROM p""")
+def clean_test_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies with questions that are blank, that point at their article, or that come twice."""
+    n = F.col("doc_id")
+    question = F.when(n % 11 == 0, "What does this article say?").when(n % 7 == 0, "  ").otherwise(F.concat(F.lit(" Who is "), F.when(n % 3 == 0, F.upper("lang")).otherwise(F.col("lang")), F.lit("? ")))
+    replies = table(spark, sf_dir, "documents").select(
+        (n % 50).alias("record"), n.alias("at"), question.alias("question"), F.col("source").alias("answer"), F.when(n % 2 == 0, "factual").otherwise("odd").alias("type")
+    )
+    cleaned = evaluation.clean_questions(replies, per_record=2)
+    return cleaned.select("record", F.concat(F.lit("Who is "), F.lower(F.regexp_extract("question", r"^Who is (.*)\?$", 1)), F.lit("?")).alias("question"), "answer", "type", "qid")

@@ -88,3 +88,51 @@ def kg_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = facts(spark, sf_dir)
     asked = spark.createDataFrame([(0, "who trades in Nation_6?"), (1, "and in Africa?")], "qid int, question string")
     return g.evidence(asked, max_facts=15).select("qid", F.col(POSITION).alias("pos"), "subject", "relation", "object")
+
+
+@query(f"WITH {FACTS_SQL}, {ENDS_SQL} SELECT key, arg_min(name, pos * 2 + role) AS name, arg_min(type, pos * 2 + role) AS type, min(pos) AS first_pos FROM ends GROUP BY key")
+def kg_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts(spark, sf_dir).entities
+
+
+@query("SELECT o_orderkey AS id, c_name || ',' || n_name AS entities FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
+def kg_link_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every name of the graph, suppliers and customers too, looked for in a text for every order."""
+    o, c, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    text = F.concat(F.lit("An order of "), F.upper("c_name"), F.lit("  to "), F.lower("n_name"), F.lit("; not of "), F.col("c_name"), F.lit("0."))
+    found = facts(spark, sf_dir).find_entities(rows.select(F.col("o_orderkey").alias("id"), text.alias("text")))
+    return found.select("id", F.array_join("entities", ",").alias("entities"))
+
+
+@query("SELECT n_name AS subject, CASE WHEN n_nationkey % 2 = 0 THEN 'part_of' ELSE 'related_to' END AS relation, r_name AS object, 'nation' AS subject_type, 'region' AS object_type, n_nationkey::BIGINT AS weight FROM nation JOIN region ON n_regionkey = r_regionkey")
+def kg_node_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A node-link object: types come from the nodes, and links without a relation are related_to."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    nodes = n.select(F.col("n_name").alias("id"), F.lit("nation").alias("type")).unionByName(r.select(F.col("r_name").alias("id"), F.lit("region").alias("type")))
+    links = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("n_name").alias("source"), F.col("r_name").alias("target"), F.when(F.col("n_nationkey") % 2 == 0, "part_of").alias("relation"), F.col("n_nationkey").cast("long").alias("weight")
+    )
+    whole = nodes.agg(F.collect_list(F.struct("id", "type")).alias("nodes")).crossJoin(links.agg(F.collect_list(F.struct("source", "target", "relation", "weight")).alias("links")))  # one row each
+    return graph.from_node_link(whole).facts.select("subject", "relation", "object", "subject_type", "object_type", "weight")
+
+
+@query("SELECT DISTINCT unnest(['S' || (s_suppkey % 7), 'N' || s_nationkey]) AS source_id FROM supplier")
+def kg_fact_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    listed = F.concat(F.lit("S"), (F.col("s_suppkey") % 7).cast("string"), F.lit(" ; N"), F.col("s_nationkey").cast("string"), F.lit(";"))
+    rows = s.select(F.col("s_suppkey").alias(POSITION), F.col("s_name").alias("subject"), F.lit("in").alias("relation"), F.lit("x").alias("object"), listed.alias("source_ids"))
+    return graph.fact_source_ids(graph.Graph.of(rows, check=False).facts)
+
+
+@query(f"""WITH {FACTS_SQL}, w AS (SELECT pos % 5 AS qid, pos, subject, relation, object, subject_type, object_type FROM facts UNION ALL SELECT pos % 5, pos + 5000000000, upper(subject), relation, object, subject_type, object_type FROM facts),
+d AS (SELECT qid, pos, subject || ' [' || subject_type || '] --' || relation || '--> ' || object || ' [' || object_type || ']' AS description FROM w),
+o AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY qid, lower(description) ORDER BY pos) = 1)
+SELECT qid, 'G' || n AS label, description FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pos) AS n FROM o) WHERE n <= 20""")
+def curate_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first distinct facts for each of five questions; every fact comes a second time in capitals."""
+    from gleaner.operators import curation
+
+    once = facts(spark, sf_dir).facts.withColumn("qid", F.col(POSITION) % 5)
+    twice = once.withColumn(POSITION, F.col(POSITION) + 5_000_000_000).withColumn("subject", F.upper("subject"))
+    return curation.curate_facts(once.unionByName(twice)).select("qid", "label", "description")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as tx
-from gleaner.operators import evaluation, ranking, reranking
+from gleaner.operators import evaluation, graph, ranking, reranking
 from gleaner.plans.registry import documents, items, query, table
 from gleaner.session import spread
 from gleaner.sources.corpus import POSITION, asked_ids
@@ -89,7 +89,10 @@ def _sparse(spark: SparkSession, sf_dir: str, texts: list[str]):
     return c, ranking.bm25(ranking.index_for(c.texts(), asked), asked)
 
 
-@query(f"{_bm25(_asked([QUESTION]))}, {RANKED}, top AS (SELECT * FROM ranked WHERE rank <= 10) {SHOW}")
+BM25_ONE = _bm25(_asked([QUESTION]))
+
+
+@query(f"{BM25_ONE}, {RANKED}, top AS (SELECT * FROM ranked WHERE rank <= 10) {SHOW}")
 def retrieve_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, scores = _sparse(spark, sf_dir, [QUESTION])
     return _shown(ranking.top_k(scores, 10), c)
@@ -231,6 +234,37 @@ def retrieval_metrics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.metric_means(_metrics(spark, sf_dir), digits=6)
 
 
+OF_LANG = "g AS (SELECT qid, min(lang) AS lang FROM qrels JOIN documents USING (doc_id) GROUP BY qid)"
+
+
+@query(_metric_sql(f", {OF_LANG} SELECT lang, count(*) AS questions, " + ", ".join(f"round(avg({m}_at_{k}), 6) AS {m}_at_{k}" for k in (1, 3, 5, 10) for m in ("precision", "recall", "hit")) + ", round(avg(reciprocal_rank), 6) AS mrr FROM m JOIN g USING (qid) GROUP BY lang"))
+def metrics_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
+    of = _qrels(spark, sf_dir).join(docs, "id").groupBy("qid").agg(F.min("lang").alias("lang"))
+    return evaluation.metric_means(_metrics(spark, sf_dir).join(of, "qid"), by=["lang"], digits=6)
+
+
+@query(f"""{_bm25(ITEMS)}, {RANKED}, {QRELS}, n AS (SELECT qid, count(*) AS nrel FROM qrels GROUP BY qid),
+h AS (SELECT qid, rank, row_number() OVER (PARTITION BY qid ORDER BY rank) AS nth FROM ranked JOIN qrels USING (qid, doc_id) WHERE rank <= 10),
+t AS (SELECT qid, sum(nth / rank::DOUBLE) AS ap, sum(1 / log2(rank + 1)) AS dcg, count(*) FILTER (WHERE rank <= nrel) AS r FROM h JOIN n USING (qid) GROUP BY qid)
+SELECT qid, round(coalesce(ap, 0) / nrel, 6) AS average_precision, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, nrel + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg, round(coalesce(r, 0) / nrel::DOUBLE, 6) AS r_precision FROM n LEFT JOIN t USING (qid)""")
+def retrieval_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = _runs(spark, sf_dir).select("qid", "rank", F.col(POSITION).alias("id"))
+    told = evaluation.average_precision(runs, _qrels(spark, sf_dir))
+    return told.select("qid", *[F.round(c, 6).alias(c) for c in ("average_precision", "ndcg", "r_precision")])
+
+
+@query(f"{BM25_ONE}, boosted AS (SELECT qid, doc_id, score * CASE WHEN doc_id % 10 IN (0, 3) THEN 1.5::DOUBLE ELSE 1 END AS score FROM scores), {RANKED.replace('FROM scores', 'FROM boosted')}, top AS (SELECT * FROM ranked WHERE rank <= 10) {SHOW}")
+def retrieve_boost_by_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that facts name as their sources count half as much again."""
+    c, scores = _sparse(spark, sf_dir, [QUESTION])
+    d = table(spark, sf_dir, "documents").where("doc_id % 10 = 0")
+    told = d.select(F.col("doc_id").alias(POSITION), F.lit("s").alias("subject"), F.lit("r").alias("relation"), F.lit("o").alias("object"), F.concat_ws("; ", "doc_id", F.col("doc_id") + 3).alias("source_ids"))
+    named = graph.fact_source_ids(graph.Graph.of(told, check=False).facts).withColumn("named", F.lit(True))
+    boosts = c.df.select(POSITION, c.id.alias("source_id")).join(named, "source_id", "left").select(POSITION, F.when(F.col("named"), 1.5).otherwise(1.0).alias("boost"))
+    return _shown(ranking.top_k(ranking.boosted(scores, boosts), 10), c)
+
+
 CANDIDATES = f"{_bm25(_asked(PHRASINGS))}, {RANKED}, c AS (SELECT qid, question, rank AS retrieval_rank, doc_id, source, text FROM ranked JOIN asked USING (qid) JOIN documents USING (doc_id) WHERE rank <= 30), l AS (SELECT *, len(list_intersect(list_distinct({WORDS.format('question')}), {WORDS.format('substr(text, 1, 4000)')})) / len(list_distinct({WORDS.format('question')}))::DOUBLE AS s FROM c)"
 
 

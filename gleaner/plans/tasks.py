@@ -50,6 +50,11 @@ def deduplicate_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.deduplicate_exact(table(spark, sf_dir, "documents"), F.col("text"), "doc_id").select("doc_id", "copies")
 
 
+@query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+'))), ' ') AS k FROM documents) GROUP BY k")
+def deduplicate_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tasks.deduplicate_near(table(spark, sf_dir, "documents"), F.col("text"), "doc_id").select("doc_id", "copies")
+
+
 @query("SELECT min(c_name) OVER (PARTITION BY lower(substr(c_name, 1, 16))) AS canonical, c_custkey, c_name FROM customer")
 def resolve_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.resolve_entities(table(spark, sf_dir, "customer"), "c_name", F.lower(F.substring("c_name", 1, 16))).select("canonical", "c_custkey", "c_name")
@@ -67,7 +72,10 @@ def parse_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.parse_pages(table(spark, sf_dir, "pages"), "html").select("page_id", "title", "page_lang")
 
 
-@query()
+BODY = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')"
+
+
+@query(f"SELECT page_id, trim({BODY}) AS body FROM pages")
 def parse_page_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.parse_pages(table(spark, sf_dir, "pages"), "html").select("page_id", "body")
 
