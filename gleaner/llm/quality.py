@@ -8,9 +8,11 @@ is depleted and rejected, as are documents that fail the base rules.  Rows of on
 are one document in this count, so that copying alone makes no line boilerplate and no clean document fails
 for it; copies are the business of the deduplication operators.
 
-Rows are keyed once in a written table.  Counting pre-aggregates before each shuffle and groups by (host, line),
-never by host, so one host with a third of all rows stays spread over all tasks.  Only texts that lose a line
-are shuffled, by their key.
+Two passes read the texts.  The first sends a hash of every distinct line of a document, seeded by its host, and
+counts them with map-side combination, so one host with a third of all rows stays spread over all tasks.  The
+second measures the texts and cuts them: up to ``MOST`` boilerplate hashes (a bounded set of numbers) go to the
+workers, so no text is shuffled.  More than that are joined with the documents' hashes instead, and the texts
+with those; both ways remove the same lines.
 
 Defined cases: a null or wordless text has no words and fails the base rules; a null host is a host of its
 own; lines without words are never removed; repeated rows and ids give one row each; an empty table gives an
@@ -20,12 +22,12 @@ empty result.  Other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import support
@@ -55,112 +57,122 @@ def repeated_words(bag: Bag, width: int = 5) -> np.ndarray:
     return np.bincount(bag.doc[hit], minlength=len(bag.n)).astype(np.int64) if hit.any() else out
 
 
-def _line_hash(line: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(line.strip(BLANKS).lower())
+#: Boilerplate hashes that are sent to the workers (512 KB).
+MOST = 1 << 16
 
 
-def _lines(data: bytes) -> tuple[int, np.ndarray, np.ndarray]:
-    """Repeated lines; hash and words of each distinct normalised line that has words."""
-    seen: set[bytes] = set()
-    again = 0
-    words: dict[int, int] = {}
-    for line in data.split(b"\n"):
-        n = len(line.split())
-        if not n:
-            continue
-        if line in seen:
-            again += 1
-        else:
-            seen.add(line)
-        h = _line_hash(line)
-        words[h] = words.get(h, 0) + n
-    return again, np.fromiter(words.keys(), np.uint64, len(words)), np.fromiter(words.values(), np.int64, len(words))
+def _seed(host: str | None) -> int:
+    """Hashes of lines of different hosts do not meet."""
+    return xxhash.xxh3_64_intdigest(b"none" if host is None else b"host " + host.encode("utf-8", "surrogatepass"))
+
+
+def _line_hash(line: bytes, seed: int) -> int:
+    return xxhash.xxh3_64_intdigest(line.strip(BLANKS).lower(), seed)
 
 
 def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def _lines(data: bytes, seed: int, gone: Set[int]) -> tuple[int, int, bytes]:
+    """Repeated lines, words in lines that are gone, and the text without these lines."""
+    seen: set[bytes] = set()
+    again = removed = 0
+    kept = []
+    for line in data.split(b"\n"):
+        n = len(line.split())
+        if n:
+            if line in seen:
+                again += 1
+            else:
+                seen.add(line)
+            if gone and _line_hash(line, seed) in gone:
+                removed += n
+                continue
+        kept.append(line)
+    return again, removed, b"\n".join(kept) if removed else data
+
+
 def quality(
     docs: DataFrame,
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
     host_col: str = "source",
-    row_col: str | None = None,
     least_words: int = 10,
     repeat_percent: int = 20,
     min_docs: int = 10,
     min_words: int = 10,
     min_left: float = 0.7,
+    columns: bool = False,
+    most: int = MOST,
 ) -> DataFrame:
-    """One row per document: its counts, ``n_removed`` (words in boilerplate lines), ``base_failed``, ``kept``, ``kept_sha256``, ``kept_text``, ``row``.
+    """One row per document: its counts, ``n_removed`` (words in boilerplate lines), ``base_failed``, ``kept``, ``kept_sha256``, ``kept_text``.
 
     ``kept_text`` is the text without boilerplate lines, null where nothing was removed; ``kept_sha256`` is the
-    digest of what is left in either case.  ``row_col`` names a key of the rows, if the table already has one.
+    digest of what is left in either case.  With ``columns`` also the whole input row as the struct ``doc``.
     """
-    if row_col is None:
-        docs, row_col = support.keyed(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys((id_col, host_col, text_col))]))
     kind = support.type_of(docs, id_col)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if columns else F.lit(None).cast("int")
     base = docs.select(
-        F.col(row_col).alias("row"), F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text")
+        F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"), whole.alias("doc")
     )
-    content = F.struct(F.xxhash64("text").alias("a"), F.hash("text").alias("b"))
+    content = F.struct(F.xxhash64("host", "text").alias("a"), F.hash("host", "text").alias("b"))
+
+    def line_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
+        for batch in batches:
+            found = []
+            for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seed = _seed(host)
+                found.append(list({_line_hash(x, seed) for x in set(_bytes(text).split(b"\n")) if x.split()}))
+            lists = [as_long(np.array(x, np.uint64)) for x in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(lists, pa.list_(pa.int64()))], [*batch.schema.names[2:], "lines"])
+
+    def hashes_of(rows: DataFrame, key: Column, of: str) -> DataFrame:
+        return rows.select("host", "text", key.alias("key")).mapInArrow(support.lean(line_hashes), f"key {of}, lines array<long>")
+
+    seen = support.materialize(hashes_of(base, content, "struct<a: long, b: int>"), "lines")
+    one = seen.groupBy("key").agg(F.first("lines").alias("lines"))  # copies on one host once
+    common = one.select(F.explode("lines").alias("line")).groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("line")
+    common = support.materialize(common, "boilerplate")
+    support.discard(seen)
+    few = common.limit(most + 1).toArrow().column(0).to_numpy()
+    rows, shared = base.withColumn("drop", F.lit(None).cast("array<long>")), few.view(np.uint64)
+    if len(few) > most:
+        keyed, row = support.keyed(base)
+        lines = hashes_of(keyed, F.col(row), "long").select("key", F.explode("lines").alias("line"))
+        drop = lines.join(common, "line").groupBy("key").agg(F.collect_list("line").alias("drop"))
+        rows, shared = keyed.join(drop, F.col(row) == F.col("key"), "left").drop(row, "key"), np.empty(0, np.uint64)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make_room()
+        common = set(shared.tolist())
         for batch in batches:
-            texts = batch.column(4).to_pylist()
+            hosts, texts, drops = (batch.column(i).to_pylist() for i in (1, 2, 4))
             for a, b in slices(texts):
                 data = [_bytes(t) for t in texts[a:b]]
                 bag = Bag([x.split() for x in data])
-                lines = [_lines(x) for x in data]
+                gone = [common if d is None else {h & 0xFFFFFFFFFFFFFFFF for h in d} for d in drops[a:b]]
+                cut = [_lines(x, _seed(host), g) for x, host, g in zip(data, hosts[a:b], gone, strict=True)]
                 cols = [
-                    *(batch.column(i).slice(a, b - a) for i in range(4)),
+                    batch.column(0).slice(a, b - a),
                     pa.array(bag.n, pa.int64()),
                     pa.array([len(x.translate(None, _KEEP_STARTS)) for x in data], pa.int64()),
                     pa.array([len(x) - len(x.translate(*_DROP_SYMBOLS)) for x in data], pa.int64()),
-                    pa.array([n for n, _, _ in lines], pa.int64()),
+                    pa.array([again for again, _, _ in cut], pa.int64()),
                     pa.array(repeated_words(bag), pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in data]),
-                    pa.array([as_long(h) for _, h, _ in lines], pa.list_(pa.int64())),
-                    pa.array([n for _, _, n in lines], pa.list_(pa.int64())),
+                    pa.array([removed for _, removed, _ in cut], pa.int64()),
+                    pa.array([hashlib.sha256(kept).hexdigest() for _, _, kept in cut]),
+                    pa.array([kept.decode("utf-8", "surrogatepass") if removed else None for _, removed, kept in cut], pa.string()),
+                    batch.column(3).slice(a, b - a),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for text, drop in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                gone = {h & 0xFFFFFFFFFFFFFFFF for h in drop}
-                kept.append(b"\n".join([x for x in _bytes(text).split(b"\n") if not x.split() or _line_hash(x) not in gone]))
-            cols = [batch.column(0), batch.column(1), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array([x.decode("utf-8", "surrogatepass") for x in kept])]
-            yield pa.RecordBatch.from_arrays(cols, ["row", "n_removed", "cut_sha256", "kept_text"])
-
-    names = ["row", "doc_id", "host", "content", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "whole", "lines", "line_words"]
-    schema = (
-        f"row long, doc_id {kind}, host string, content struct<a: long, b: int>, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-        "whole string, lines array<long>, line_words array<long>"
-    )
-    seen = base.select("row", "doc_id", "host", content.alias("content"), "text").mapInArrow(support.lean(measure), schema)
-    seen = support.materialize(seen, "measured")
-    contents = seen.groupBy("host", "content").agg(F.min("row").alias("row"))
-    lines = seen.select("host", "row", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select(
-        "host", "row", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words")
-    )
-    one = lines.join(contents.select("row"), "row", "left_semi")
-    common = one.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    # Written, so that the join with all lines is planned by its size.
-    common = support.materialize(common.select(F.col("host").alias("h"), F.col("line").alias("l")), "boilerplate")
-    gone = lines.join(common, (F.col("line") == F.col("l")) & F.col("host").eqNullSafe(F.col("h")))
-    gone = support.materialize(gone.groupBy("row").agg(F.sum("words").alias("n_removed"), F.collect_list("line").alias("drop")), "gone")
-    cleaned = support.rows_of(base.select("row", "text"), gone).select("row", "n_removed", "text", "drop").mapInArrow(support.lean(cut), "row long, n_removed long, cut_sha256 string, kept_text string")
-
-    n, removed = F.col("n_words"), F.coalesce("n_removed", F.lit(0)).cast("long")
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed", "kept_sha256", "kept_text", "doc"]
+    schema = f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names[1:7]) + f", kept_sha256 string, kept_text string, doc {support.type_of(base, 'doc')}"
+    measured = rows.select("doc_id", "host", "text", "doc", "drop").mapInArrow(support.lean(measure), schema)
+    n, removed = F.col("n_words"), F.col("n_removed")
     failed = (n < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * n)
     depleted = (removed > 0) & ((n - removed < min_words) | (n - removed < min_left * n))
-    out = seen.drop("lines", "line_words", "content", "host").join(cleaned, "row", "left")
-    return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", removed.alias("n_removed"),
-        failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), F.coalesce("cut_sha256", "whole").alias("kept_sha256"), "kept_text", "row",
-    )
+    return measured.select(*names[:7], failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), *names[7:9], *(["doc"] if columns else []))

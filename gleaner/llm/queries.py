@@ -97,7 +97,7 @@ def op7_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(_table(spark, sf_dir, "documents")).drop("row", "kept_text")
+    return quality.quality(_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,8 +177,10 @@ def test_more_words_than_one_symbol_holds():
     assert np.flatnonzero(gone).tolist() == [*range(101, 151), *range(40_001, 40_036), *range(69_901, 70_001)]
 
 
-def test_quality(edge, hosted):
-    got = quality.quality(edge).collect()
+@pytest.mark.parametrize("most", [0, quality.MOST])
+def test_quality(edge, hosted, most):
+    got = quality.quality(edge, most=most, columns=True).collect()
+    assert got[0]["doc"]["kept"] == "other" and all(r["doc"]["doc_id"] == r.doc_id for r in got)
     want = [(d, *brute.quality_base(t), n, brute.sha(left), kept) for (d, t, _), (n, left, kept) in zip(hosted, brute.quality_lines(hosted), strict=True)]
     same([(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.n_removed, r.kept_sha256, r.kept) for r in got], want)
     assert sum(r.n_removed > 0 for r in got) == 12
