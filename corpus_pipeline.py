@@ -21,16 +21,19 @@ def _keep(keyed: DataFrame, row: str, kept: DataFrame) -> DataFrame:
     return keyed.join(kept.select(F.col(kept.columns[0]).alias(key)), F.col(row) == F.col(key), "left_semi").drop(row)
 
 
+def _with_text(docs: DataFrame, done: DataFrame, text: str) -> DataFrame:
+    """The columns of ``docs`` out of the struct ``doc``, with a new text where there is one; ``n_chars`` follows it."""
+    there = F.col(text).isNotNull()
+    new = {"text": F.coalesce(text, "doc.text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(there, F.length(text).cast("long")).otherwise(F.col("doc.n_chars"))
+    return done.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are not depleted, without their host's boilerplate lines; ``n_chars`` follows the text."""
     prepare(spark)
-    keyed, row = support.keyed(docs)
-    key, text = support.unused(keyed, "__kept_key"), support.unused(keyed, "__kept_text")
-    kept = quality.quality(keyed, id_col=row, row_col=row).where("kept").select(F.col("row").alias(key), F.col("kept_text").alias(text))
-    cut = F.col(text).isNotNull()
-    new = {"text": F.coalesce(text, "text"), "n_chars": F.when(cut, F.length(text).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    joined = keyed.join(kept, F.col(row) == F.col(key))
-    return joined.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    return _with_text(docs, quality.quality(docs, columns=True).where("kept"), "kept_text")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
