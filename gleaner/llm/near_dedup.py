@@ -254,11 +254,14 @@ def _verify(pairs: DataFrame, sets: _Texts, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough; a node with many partners is dealt to several slices."""
     pairs = support.materialize(pairs, "pairs")
     have = sets.of(pairs.select(F.explode(F.array("u", "v")).alias("node")))
-    hubs = pairs.groupBy("v").agg(F.ceil(F.count("*") / F.lit(SLICE)).cast("int").alias("slices"))
-    dealt = pairs.join(hubs, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.col("slices")).cast("int").alias("slice"))
+    # Few nodes have more than one slice: written, so that the planner sees how few and joins them without a shuffle.
+    hubs = pairs.groupBy(F.col("v").alias("hub")).agg(F.ceil(F.count("*") / F.lit(SLICE)).cast("int").alias("slices")).where("slices > 1")
+    hubs = support.materialize(hubs, "hubs")
+    slices = F.coalesce("slices", F.lit(1))
+    dealt = pairs.join(hubs, F.col("v") == F.col("hub"), "left").select("u", "v", F.pmod(F.xxhash64("u"), slices).cast("int").alias("slice"))
     left = dealt.join(have.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
-    copies = hubs.select("v", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
-    right = copies.join(have.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    right = have.join(hubs, F.col("node") == F.col("hub"), "left")
+    right = right.select(F.col("node").alias("v"), F.col("shingles").alias("b"), F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,7 +271,7 @@ def _verify(pairs: DataFrame, sets: _Texts, percent: int) -> DataFrame:
 
     joined = left.join(right, ["v", "slice"]).select("u", "v", "a", "b")
     links = support.materialize(joined.mapInArrow(support.lean(run), "u long, v long"), "links")
-    support.discard(pairs, have)
+    support.discard(pairs, have, hubs)
     return links
 
 
