@@ -51,6 +51,8 @@ class Encoder:
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.width = np.zeros(1 + max(ranks.values()), np.int64)
+        self.width[list(ranks.values())] = [len(b) for b in ranks]
         return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
 
     def reset(self) -> None:
@@ -68,20 +70,51 @@ class Encoder:
         """Latin script without the string of a special token."""
         return (text.isascii() or _LATIN.fullmatch(text) is not None) and not any(s in text for s in self.special)
 
-    def _add(self, pieces: Sequence[str], encode: Callable[[str], list[int]]) -> None:
-        found = [encode(p) for p in pieces]
-        n, size = len(self.at), np.fromiter(map(len, found), np.int64, len(found))
-        while n + len(found) > len(self.start):
+    def _add(self, pieces: list[str], ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        """Remember pieces whose ids are ``size`` of ``ids`` from ``start``."""
+        n, end = len(self.at), self.used + len(ids)
+        while n + len(pieces) > len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        end = self.used + int(size.sum())
         while end > len(self.store):
             self.store = np.concatenate([self.store, np.zeros_like(self.store)])
-        self.store[self.used : end] = np.fromiter(chain.from_iterable(found), self.dtype, end - self.used)
-        self.start[n : n + len(found)] = self.used + np.cumsum(size) - size
-        self.size[n : n + len(found)] = size
-        self.at.update(zip(pieces, range(n, n + len(found)), strict=True))
+        self.store[self.used : end] = ids
+        self.start[n : n + len(pieces)] = self.used + start
+        self.size[n : n + len(pieces)] = size
+        self.at.update(zip(pieces, range(n, n + len(pieces)), strict=True))
         self.used, self.chars = end, self.chars + sum(map(len, pieces))
 
+    def _each(self, pieces: list[str], encode: Callable[[str], list[int]]) -> None:
+        """Encode pieces one by one."""
+        found = [encode(p) for p in pieces]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        self._add(pieces, np.fromiter(chain.from_iterable(found), self.dtype, int(size.sum())), np.cumsum(size) - size, size)
+
+    def _together(self, pieces: list[str]) -> None:
+        """Encode plain pieces in one call: no token crosses from a non-blank to a blank, and widths tell whose each token is.
+
+        Pieces without a blank before them stand after a newline, which is a token of its own there.  Pieces
+        that end with a blank go one by one, and so do all if any end is not the end of a token.
+        """
+        blank = " \t\n\x0b\x0c\r"
+        after, bare, rest = [], [], []
+        for p in pieces:
+            (rest if p[-1] in blank else after if p[0] in blank else bare).append(p)
+        parts = [*after, *chain.from_iterable(("\n", p) for p in bare)]
+        if parts:
+            ids = np.array(self.fast.encode_ordinary("".join(parts)), np.int64)
+            until = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in parts])
+            ends = np.cumsum(self.width[ids])
+            last = np.searchsorted(ends, until)
+            if last[-1] >= len(ends) or (ends[last] != until).any():
+                rest = pieces
+            else:
+                bound = np.concatenate([[0], last + 1])
+                start, size = bound[:-1], np.diff(bound)
+                own = np.concatenate([np.arange(len(after)), np.arange(len(after) + 1, len(parts), 2)])
+                self._add([*after, *bare], ids.astype(self.dtype), start[own], size[own])
+        if rest:
+            self._each(rest, self.fast.encode_ordinary)
+
     def cut(self, text: str) -> list[str]:
         """Pieces of the text that are tokenised alone."""
         if not text:
@@ -103,10 +136,10 @@ class Encoder:
         tail = [] if end is None else [None]
         cut = [[*self.cut(t or ""), *tail] for t in texts]
         plain = [self.fast is not None and self.plain(t or "") for t in texts]
-        for quick, encode in ((True, self.fast.encode_ordinary if self.fast is not None else self.encode), (False, self.encode)):
-            new = set(chain.from_iterable(c for c, p in zip(cut, plain, strict=True) if p is quick)).difference(self.at)
-            if new:
-                self._add(list(new), encode)
+        if new := set(chain.from_iterable(c for c, p in zip(cut, plain, strict=True) if p)).difference(self.at):
+            self._together(list(new))
+        if new := set(chain.from_iterable(c for c, p in zip(cut, plain, strict=True) if not p)).difference(self.at):
+            self._each(list(new), self.encode)
         flat = list(chain.from_iterable(cut))
         where = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
         if end is not None:
