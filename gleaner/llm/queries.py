@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import chat, decontaminate, line_dedup, near_dedup, packing, pii, quality, repeats, sql, warc
+from gleaner.llm import centroids, chat, decontaminate, langid, line_dedup, near_dedup, packing, pii, quality, repeats, spelling, sql, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,6 +109,18 @@ def op10_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_hierarchically(_table(spark, sf_dir, "documents"))
 
 
+def op11_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.delta_lloyd(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_revisits": op1_warc_revisits,
     "op2_superminhash_dedup": op2_superminhash_dedup,
@@ -120,5 +132,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
     "op10_hierarchical_packing": op10_hierarchical_packing,
+    "op11_delta_lloyd": op11_delta_lloyd,
+    "op12_language_id": op12_language_id,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLES: dict[str, str] = {k: v for k, v in sql.ORACLES.items() if k in QUERIES}

@@ -132,7 +132,78 @@ CASE WHEN kind = 2 THEN 'age: 1' END, {line('cache-control', "'max-age=' || CASE
 CASE WHEN kind = 3 THEN 'date: later' END, {line('etag', 'coalesce(tag, ftag)')}, {line('last-modified', 'coalesce(modified, fmodified)')}], lambda v: v IS NOT NULL), chr(10)) END AS headers FROM s"""
 
 
+def _lloyd(k: int = 16, dim: int = 64, rounds: int = 3) -> str:
+    """Plain Lloyd rounds: every vector against every centroid each time."""
+    far = "list_sum(list_transform(range(1, {d}), lambda i: (v.q[i] - c.c[i]) * (v.q[i] - c.c[i])))::BIGINT".format(d=dim + 1)
+    steps = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h NULLS LAST, q) - 1 AS n, q AS c FROM (SELECT sha256('1:' || vec_id) AS h, q FROM v) ORDER BY h NULLS LAST, q LIMIT {k})",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT r, min((d, n))[1] AS d, min((d, n))[2] AS n FROM (SELECT v.r, c.n, {far} AS d FROM v CROSS JOIN c{i} c) GROUP BY r)")
+        if i < rounds:
+            steps.append(f"""s{i} AS (SELECT n, i, sum(q[i])::BIGINT AS s, count(*) AS m FROM (SELECT a.n, v.q, unnest(range(1, {dim + 1})) AS i FROM a{i} a JOIN v USING (r)) GROUP BY n, i),
+c{i + 1} AS MATERIALIZED (SELECT c.n, coalesce(x.c, c.c) AS c FROM c{i} c LEFT JOIN (SELECT n, list((s - ((s % m) + m) % m) // m ORDER BY i) AS c FROM s{i} GROUP BY n) x USING (n))""")
+    return f"""WITH {', '.join(steps)}
+SELECT vec_id, CAST(a.n AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.n) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (r) JOIN c{rounds} c ON c.n = a.n"""
+
+
+#: The CRC-32 table (polynomial EDB88320) and the checksum of a text's UTF-8 bytes.
+_CRC_TABLE = "crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) x(i)))"
+
+
+def _crc(text: str, table: str = "crc.t") -> str:
+    byte = f"list_transform(range(1, 1 + length(hex(encode({text}))) // 2), lambda i: ('0x' || substr(hex(encode({text})), 2 * i - 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {byte}), lambda c, b: xor(c // 256, {table}[xor(c % 256, b) + 1])), 4294967295)"
+
+
+def _language(sample: int = 4000, words: int = 100_000, grams: int = 200_000) -> str:
+    top = "QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, g) <= {most} // (SELECT count(*) FROM p)"
+    log = "CAST(round(1000 * ln((coalesce(n, 0) + 0.5::DOUBLE) / (a + v / 2::DOUBLE))) AS BIGINT)"
+    return f"""WITH {_CRC_TABLE},
+d AS MATERIALIZED (SELECT doc_id, lang, text, regexp_extract_all(lower(text), '\\p{{L}}+') AS w, coalesce({_crc('doc_id::VARCHAR')} % 4 = 2, false) AS held_out FROM documents, crc),
+t AS MATERIALIZED (SELECT lang, w FROM d WHERE NOT held_out AND lang IS NOT NULL AND text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR), text) <= {sample}),
+p AS (SELECT lang, CAST(round(1000 * ln(count(*) / (SELECT count(*) FROM t)::DOUBLE)) AS BIGINT) AS s FROM t GROUP BY lang),
+wc AS MATERIALIZED (SELECT lang, g, count(*) AS n FROM (SELECT lang, unnest(w) AS g FROM t) GROUP BY ALL),
+gc AS MATERIALIZED (SELECT lang, z, g, sum(n) AS n FROM (SELECT lang, z, n, unnest(list_transform(range(1, length(g) + 4 - z), lambda i: substr(' ' || g || ' ', i, z))) AS g FROM wc, range(1, 6) x(z)) WHERE g <> ' ' GROUP BY ALL),
+kw AS MATERIALIZED (SELECT DISTINCT g FROM (SELECT lang, g, n FROM wc {top.format(most=words)})),
+kg AS MATERIALIZED (SELECT DISTINCT z, g FROM (SELECT lang, z, g, n FROM gc QUALIFY row_number() OVER (PARTITION BY lang, z ORDER BY n DESC, g) <= {grams // 5} // (SELECT count(*) FROM p))),
+wn AS MATERIALIZED (SELECT kw.g, p.lang, n FROM kw CROSS JOIN p LEFT JOIN wc ON wc.g = kw.g AND wc.lang = p.lang),
+gn AS MATERIALIZED (SELECT kg.z, kg.g, p.lang, n FROM kg CROSS JOIN p LEFT JOIN gc ON gc.g = kg.g AND gc.z = kg.z AND gc.lang = p.lang),
+wl AS MATERIALIZED (SELECT g, lang, {log} AS s FROM wn JOIN (SELECT lang, coalesce(sum(n), 0) AS a, count(*) AS v FROM wn GROUP BY lang) USING (lang)),
+gl AS MATERIALIZED (SELECT z, g, lang, {log} AS s FROM gn JOIN (SELECT z, lang, coalesce(sum(n), 0) AS a, count(*) AS v FROM gn GROUP BY z, lang) USING (z, lang)),
+x AS MATERIALIZED (SELECT doc_id, g, count(*) AS n FROM (SELECT doc_id, unnest(w) AS g FROM d) GROUP BY ALL),
+u AS (SELECT DISTINCT g FROM x ANTI JOIN kw USING (g)),
+b AS (SELECT g AS word, z, unnest(list_transform(range(1, length(g) + 4 - z), lambda i: substr(' ' || g || ' ', i, z))) AS g FROM u, range(1, 6) y(z)),
+bs AS MATERIALIZED (SELECT word AS g, lang, z, CAST(floor(sum(s) / count(*)::DOUBLE) AS BIGINT) AS s FROM b JOIN gl USING (z, g) GROUP BY word, lang, z QUALIFY z = max(z) OVER (PARTITION BY word)),
+a AS MATERIALIZED (SELECT g, lang, s FROM wl UNION ALL SELECT g, lang, s FROM bs),
+tot AS MATERIALIZED (SELECT doc_id, lang, sum(x.n * s) AS s, sum(x.n) AS n FROM x JOIN a USING (g) GROUP BY ALL),
+f AS (SELECT d.doc_id, p.lang, p.s + coalesce(tot.s, 0) AS s, coalesce(tot.n, 0) AS n FROM d CROSS JOIN p LEFT JOIN tot ON tot.doc_id = d.doc_id AND tot.lang = p.lang WHERE len(d.w) > 0),
+m AS (SELECT *, max(s) OVER (PARTITION BY doc_id) AS best FROM f),
+r AS (SELECT doc_id, min(lang) FILTER (WHERE s = best) AS lang, round(1 / sum(exp((s - best)::DOUBLE / (1000 * greatest(1, sqrt(n))))), 6) AS score FROM m GROUP BY doc_id)
+SELECT doc_id, held_out, coalesce(r.lang, 'und') AS lang_pred, coalesce(score, 0::DOUBLE) AS score FROM d LEFT JOIN r USING (doc_id)"""
+
+
+def _spelling() -> str:
+    cut = "substr({w}, 1, {i}) || substr({w}, {i} + 2)"
+    return f"""WITH RECURSIVE {_CRC_TABLE},
+r AS MATERIALIZED (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({LOWERED}, '[A-Za-zÀ-ÿ]+')) AS w FROM documents) GROUP BY ALL),
+h AS MATERIALIZED (SELECT w, n, {_crc("doc_id || ':' || w")} AS h FROM r, crc),
+t AS (SELECT CASE WHEN h % 97 = 0 THEN {cut.format(w='w', i='CAST(h % length(w) AS BIGINT)')} ELSE w END AS w, n FROM h),
+v AS MATERIALIZED (SELECT w, CAST(sum(n) AS BIGINT) AS n FROM t GROUP BY w HAVING length(w) >= 5 AND sum(n) >= 3),
+c AS MATERIALIZED (SELECT w, i, {cut.format(w='w', i='i')} AS s FROM (SELECT w, unnest(range(length(w))) AS i FROM v)),
+e AS MATERIALIZED (SELECT a.w AS a, b.w AS b FROM c a JOIN c b ON a.s = b.s AND a.i = b.i AND a.w <> b.w UNION SELECT c.w, v.w FROM c JOIN v ON c.s = v.w UNION SELECT v.w, c.w FROM c JOIN v ON c.s = v.w),
+b AS (SELECT e.a AS w, count(*) AS n_near, max(v.n) AS most, arg_min(e.b, (-v.n, e.b)) AS best FROM e JOIN v ON v.w = e.b GROUP BY e.a),
+f AS MATERIALIZED (SELECT v.w, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * v.n THEN best END AS form, CASE WHEN most >= 2 * v.n THEN most END AS form_n FROM v LEFT JOIN b USING (w)),
+g AS (SELECT w, form AS at FROM f WHERE form IS NOT NULL UNION ALL SELECT g.w, f.form FROM g JOIN f ON f.w = g.at WHERE f.form IS NOT NULL),
+o AS (SELECT g.w, g.at FROM g JOIN f ON f.w = g.at WHERE f.form IS NULL)
+SELECT f.w AS word, form, coalesce(o.at, f.w) AS root, n, n_near, form_n FROM f LEFT JOIN o USING (w)"""
+
+
 ORACLES: dict[str, str] = {
     "op1_warc_revisits": _warc(), "op2_superminhash_dedup": OP2, "op3_pii": _pii(), "op5_winnowing_decontamination": OP5, "op6_recurring_passages": OP6,
     "op7_reply_trees": OP7, "op8_quality_rules": OP8, "op9_line_dedup": OP9,
+    "op11_delta_lloyd": _lloyd(), "op12_language_id": _language(), "op13_spelling_variants": _spelling(),
 }

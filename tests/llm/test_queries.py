@@ -17,7 +17,7 @@ from gleaner.llm import queries, tokens
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
-TABLES = ["documents", "pages", "benchmark", "conversations"]
+TABLES = ["documents", "embeddings", "pages", "benchmark", "conversations"]
 
 
 @pytest.fixture(scope="module")
@@ -28,8 +28,8 @@ def duck():
     return con
 
 
-def test_all_ten_are_registered():
-    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+def test_all_are_registered():
+    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries()) and set(queries.ORACLES) <= set(entry.oracle_sql())
 
 
