@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as tx
+from gleaner.operators.similarity import similarity_groups
 from gleaner.session import checkpointed, spread
 
 
@@ -80,7 +81,7 @@ def clean_boilerplate(df: DataFrame, key: str, group: str, text: str, *, least:
     return joined.select(key, group, F.expr("array_join(transform(__l, (x, i) -> if(array_contains(__gone, i), null, x)), '\n')").alias("text"))
 
 
-def deduplicate_near(df: DataFrame, text: Column, order: str) -> DataFrame:
+def deduplicate_same_words(df: DataFrame, text: Column, order: str) -> DataFrame:
     """The first row of the texts that have the same distinct words, whatever their order, case and punctuation, with the size of its group."""
     words = F.array_sort(F.array_distinct(tx.tokens(text)))
     keyed = df.select(order, F.sha2(F.array_join(words, " "), 256).alias("key"))
@@ -88,6 +89,17 @@ def deduplicate_near(df: DataFrame, text: Column, order: str) -> DataFrame:
     return df.join(groups.drop("key"), order)
 
 
+def deduplicate_near(df: DataFrame, text: Column, order: str, *, threshold: float = 0.8) -> DataFrame:
+    """The first row of each near-duplicate group, with the size of its group.
+
+    Texts are linked when the Jaccard similarity of their distinct words is ``threshold`` or more, and grouped with
+    all that they reach.  ``order`` is unique; texts without words are one group.
+    """
+    found = similarity_groups(df.select(F.col(order).alias("id"), text.alias("text")), tx.tokens(F.col("text")), F.col("id"), threshold=threshold)
+    groups = found.groupBy(F.col("root").alias(order)).agg(F.sum("copies").alias("copies"))
+    return df.join(groups, order)
+
+
 def parse_pages(df: DataFrame, html: str) -> DataFrame:
     """``title``, ``page_lang`` and ``body`` of raw pages: scripts, styles, comments and tags off, blanks collapsed."""
     bare = F.regexp_replace(F.col(html), r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", " ")

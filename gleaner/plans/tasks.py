@@ -51,7 +51,17 @@ def deduplicate_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+'))), ' ') AS k FROM documents) GROUP BY k")
+def deduplicate_same_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tasks.deduplicate_same_words(table(spark, sf_dir, "documents"), F.col("text"), "doc_id").select("doc_id", "copies")
+
+
+@query("""WITH RECURSIVE s AS MATERIALIZED (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+'), lambda x: hash(x))) AS w FROM documents),
+e AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.doc_id <> b.doc_id AND 10 * least(len(a.w), len(b.w)) >= 8 * greatest(len(a.w), len(b.w))
+AND (len(a.w) = 0 OR 10 * len(list_intersect(a.w, b.w)) >= 8 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))))),
+r AS (SELECT doc_id, doc_id AS m FROM s UNION SELECT e.b, r.m FROM r JOIN e ON r.doc_id = e.a), c AS (SELECT doc_id, min(m) AS m FROM r GROUP BY doc_id)
+SELECT m AS doc_id, count(*) AS copies FROM c GROUP BY m""")
 def deduplicate_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brute force in SQL: every pair of documents whose sizes allow it."""
     return tasks.deduplicate_near(table(spark, sf_dir, "documents"), F.col("text"), "doc_id").select("doc_id", "copies")
 
 
