@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_stored: list[tuple[SparkSession, str]] = []
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -38,11 +42,32 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage by files in the shared checkpoint folder, which survive lost executors."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """``df`` cut from its lineage by a table in the shared checkpoint folder, which survives lost executors.
+
+    Written once, as columns of known size, so a reader prunes it and the planner sees how small it is.  Types that
+    Parquet has no form for go through Spark's own checkpoint.
+    """
+    spark = df.sparkSession
+    if any(isinstance(f.dataType, T.NullType) for f in df.schema) or len({c.lower() for c in df.columns}) < len(df.columns):
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(shared_folder(spark))
+        return df.checkpoint()
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    _stored.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def drop_stored() -> None:
+    """Delete the tables of ``checkpointed``; lazy results that read them end with it."""
+    while _stored:
+        spark, path = _stored.pop()
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the session may be gone already; the folder is the cluster's to purge
+            pass
 
 
 def spread(df: DataFrame, *, per_core: int = 64 << 20) -> DataFrame:

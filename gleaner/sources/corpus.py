@@ -101,14 +101,20 @@ def asked_ids(spark: SparkSession, ids: Sequence[Any]) -> DataFrame:
 def numbered(df: DataFrame, order: str | Sequence[str | Column] | None = None, name: str = POSITION) -> DataFrame:
     """Rows numbered from 0 in the column ``name``; no task sees all rows.
 
-    With ``order`` the sorted rows are checkpointed first, so that a lost task cannot sort them into other
-    partitions.  Without, rows have the order of their files' names and of their places in a file, however
-    Spark deals the files' splits to tasks; rows that come from no file have the order of their partitions.
+    With ``order`` the sorted rows are written first with their partition and place, so that a lost task cannot
+    sort them into other partitions.  Without, rows have the order of their files' names and of their places in a
+    file, however Spark deals the files' splits to tasks; rows that come from no file have the order of their partitions.
     """
-    where = [F.input_file_name(), F.expr("input_file_block_start()")]
+    own = [F.col(f"`{c}`") for c in df.columns if c != name]
     if order is not None:
-        df = checkpointed(df.orderBy(*([order] if isinstance(order, str) else order)))
-        where = [F.lit(""), F.lit(-1).cast("long")]
+        held = df.orderBy(*([order] if isinstance(order, str) else order)).select(*own, F.monotonically_increasing_id().alias("__m"))
+        marked = checkpointed(held)
+        part = F.shiftright("__m", 33)
+        parts = marked.groupBy(part.alias("p")).agg(F.count("*").alias("n"))
+        ahead = F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1))  # a row for each partition of the sort
+        parts = parts.select("p", F.coalesce(ahead, F.lit(0)).alias("before"))
+        return marked.join(F.broadcast(parts), part == F.col("p")).select(*own, (F.col("before") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
+    where = [F.input_file_name(), F.expr("input_file_block_start()")]
     marked = df.select("*", F.monotonically_increasing_id().alias("__m"), where[0].alias("__file"), where[1].alias("__split"))
     part, file = F.shiftright("__m", 33), F.xxhash64("__file")
     # A row for each split that a task reads: where it begins among the task's rows, and among all rows.
@@ -116,8 +122,7 @@ def numbered(df: DataFrame, order: str | Sequence[str | Column] | None = None, n
     ahead = F.sum("n").over(Window.orderBy("__file", "s", "p").rowsBetween(Window.unboundedPreceding, -1))
     splits = splits.select("p", F.xxhash64("__file").alias("f"), "s", "first", F.coalesce(ahead, F.lit(0)).alias("before"))
     placed = marked.join(F.broadcast(splits), (part == F.col("p")) & (file == F.col("f")) & (F.col("__split") == F.col("s")))
-    own = [c for c in df.columns if c != name]
-    return placed.select(*[F.col(f"`{c}`") for c in own], (F.col("before") + F.col("__m") - F.col("first")).alias(name))
+    return placed.select(*own, (F.col("before") + F.col("__m") - F.col("first")).alias(name))
 
 
 def positioned(df: DataFrame, key: str) -> DataFrame:
