@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as tx
-from gleaner.operators import evaluation, graph, postings, ranking, reranking
+from gleaner.operators import evaluation, graph, postings, ranking, reranking, vectors
 from gleaner.plans.registry import documents, items, query, table
-from gleaner.session import shared_folder, spread
+from gleaner.session import checkpointed, shared_folder, spread
 from gleaner.sources.corpus import POSITION, asked_ids
 
 QUESTION = "the and of that inea thwhst"
@@ -167,8 +167,29 @@ def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query(f"WITH {VECTORS}, {DENSE.replace('dense AS', 'scores AS')}, {RANKED}, top AS (SELECT * FROM ranked WHERE rank <= 10) {SHOW}")
 def retrieve_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors, asked = _vectors(spark, sf_dir)
-    return _shown(ranking.top_k(ranking.dense(vectors, asked), 10), documents(spark, sf_dir))
+    rows, asked = _vectors(spark, sf_dir)
+    return _shown(ranking.top_k(ranking.dense(rows, asked), 10), documents(spark, sf_dir))
+
+
+@query("SELECT vec_id AS qid, CAST((SELECT least(10, count(*)) FROM embeddings e WHERE list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) > 0) AS BIGINT) AS n, true AS recall_is_enough, true AS fewer_cells FROM embeddings q WHERE vec_id % 100 = 0")
+def retrieve_dense_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector as a question to an index of all of them: whether 0.9 of the exact best ten were found in a part of the cells."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias(POSITION), "embedding")
+    asked = rows.where(F.col(POSITION) % 100 == 0).select(F.col(POSITION).alias("qid"), "embedding")
+    index = vectors.write_vectors(rows, f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}")
+    told = checkpointed(vectors.recall(vectors.nearest(index, asked, 10), ranking.top_k(ranking.dense(rows, asked), 10)))
+    whole = told.agg((F.sum("hit") >= 0.9 * F.sum("n")).alias("recall_is_enough"))  # one row
+    part = index.cells.select((8 * F.col("probes") * F.col("dim") < F.octet_length("centroids")).alias("fewer_cells"))  # one row
+    return told.select("qid", "n").crossJoin(whole).crossJoin(part)
+
+
+@query(f"WITH {VECTORS}, {DENSE.replace('dense AS', 'scores AS')}, {RANKED} SELECT qid, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM ranked WHERE rank <= 10")
+def retrieve_dense_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact path through the index: with every cell probed its answers are those of the full scan."""
+    rows, asked = _vectors(spark, sf_dir)
+    index = vectors.write_vectors(rows, f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}")
+    top = vectors.nearest(index, asked, 10, probes=vectors.CELLS)
+    return top.select(F.col("qid").cast("int").alias("qid"), F.col("rank").cast("int").alias("rank"), F.col(POSITION).alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query(f"""{_bm25(_asked([QUESTION]))}, {VECTORS}, {DENSE}, a AS (SELECT doc_id, row_number() OVER ({ORDER}) AS r FROM scores),
@@ -176,8 +197,8 @@ b AS (SELECT doc_id, row_number() OVER ({ORDER}) AS r FROM dense), fused AS (SEL
 {RANKED.replace('FROM scores', 'FROM fused')}, top AS (SELECT * FROM ranked WHERE rank <= 20) {SHOW}""")
 def retrieve_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, scores = _sparse(spark, sf_dir, [QUESTION])
-    vectors, asked = _vectors(spark, sf_dir)
-    fused = ranking.rrf([ranking.ranked(scores), ranking.ranked(ranking.dense(vectors, asked))])
+    rows, asked = _vectors(spark, sf_dir)
+    fused = ranking.rrf([ranking.ranked(scores), ranking.ranked(ranking.dense(rows, asked))])
     return _shown(ranking.top_k(fused, 20), c)
 
 
@@ -187,8 +208,8 @@ mixed AS (SELECT 0 AS qid, doc_id, 0.6::DOUBLE * coalesce(d, 0) + 0.4::DOUBLE *
 {RANKED.replace('FROM scores', 'FROM mixed')}, top AS (SELECT * FROM ranked WHERE rank <= 20) {SHOW}""")
 def retrieve_weighted_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, scores = _sparse(spark, sf_dir, [QUESTION])
-    vectors, asked = _vectors(spark, sf_dir)
-    return _shown(ranking.top_k(ranking.weighted(ranking.dense(vectors, asked), scores, 0.6), 20), c)
+    rows, asked = _vectors(spark, sf_dir)
+    return _shown(ranking.top_k(ranking.weighted(ranking.dense(rows, asked), scores, 0.6), 20), c)
 
 
 @query(f"""{_bm25(_asked(PHRASINGS))}, {RANKED.replace('ranked AS', 'each AS')}, fused AS (SELECT 0 AS qid, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM each WHERE rank <= 30 GROUP BY doc_id),
