@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.results import Results
+
 # -- embedders and rerankers ---------------------------------------------------------------------------
 
 Embedder = Callable[[list[str]], Sequence[Sequence[float]]]
@@ -91,6 +93,14 @@ def embed(texts: DataFrame, embedder: Embedder | None = None) -> DataFrame:
     return texts.select(F.col("_pos").cast("long").alias("_pos"), "text").mapInArrow(run, "_pos long, embedding array<float>")
 
 
+def embed_once(texts: DataFrame, path: str, label: str, embedder: Embedder | None = None, *, waves: int = 1) -> DataFrame:
+    """``embed``, with the vectors kept under ``path`` by the hash of their text: only texts that are new are embedded."""
+    fn = embedder or _seams.embedder
+    kept = Results(texts.sparkSession, path, label, "array<float>")
+    kept.fill(texts, "text", lambda batch: [np.asarray(v, np.float32) for v in fn(batch)], waves=waves)
+    return kept.joined(texts.select(F.col("_pos").cast("long").alias("_pos"), "text"), "text", "embedding").drop("text")
+
+
 def corpus_vectors(corpus: Any) -> DataFrame:
     """The vectors of a corpus, made once per corpus and embedder."""
     key = ("vectors", _seams.generation)
@@ -324,8 +334,16 @@ def without_reasoning(chunks: Iterable[str]) -> Iterator[str]:
     yield from chunks
 
 
-def map_llm(prompts: DataFrame, call: Callable[[str], str], *, concurrency: int = 4) -> DataFrame:
-    """``(qid, reply)`` of ``(qid, prompt)`` by at most ``concurrency`` tasks at once; write it before using it twice."""
+def map_llm(prompts: DataFrame, call: Callable[[str], str], *, concurrency: int = 4, path: str | None = None, label: str = "default", waves: int = 8) -> DataFrame:
+    """``(qid, reply)`` of ``(qid, prompt)`` by at most ``concurrency`` tasks at once.
+
+    With ``path`` replies are kept there by their prompt, in ``waves``, so only new prompts are sent and a lost job goes
+    on where it was; without, write the result before using it twice.
+    """
+    if path is not None:
+        kept = Results(prompts.sparkSession, path, label, "string")
+        kept.fill(prompts, "prompt", lambda batch: [call(p) for p in batch], waves=waves, concurrency=concurrency)
+        return kept.joined(prompts.select("qid", "prompt"), "prompt", "reply").drop("prompt")
     kind = prompts.schema["qid"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,4 +351,5 @@ def map_llm(prompts: DataFrame, call: Callable[[str], str], *, concurrency: int
             replies = [call(p) for p in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(replies, pa.string())], ["qid", "reply"])
 
-    return prompts.select("qid", "prompt").coalesce(concurrency).mapInArrow(run, f"qid {kind}, reply string")
+    # Dealt anew, because fewer tasks without a shuffle would make the prompts as well.
+    return prompts.select("qid", "prompt").repartition(concurrency).mapInArrow(run, f"qid {kind}, reply string")

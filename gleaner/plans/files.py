@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner import models
 from gleaner.operators import ranking
 from gleaner.plans.registry import documents, query, table
 from gleaner.plans.retrieval import BM25_ONE, QUESTION, RANKED, SHOW
+from gleaner.results import Results
 from gleaner.session import shared_folder
 from gleaner.sources import corpus as cp
 from gleaner.sources.corpus import POSITION
@@ -122,3 +124,19 @@ def events_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.streaming.windows import sessions
 
     return sessions(table(spark, sf_dir, "events"))
+
+
+@query("""SELECT 'first' AS run, count(DISTINCT text) FILTER (WHERE lang = 'en') AS called, 0::BIGINT AS without FROM documents
+UNION ALL SELECT 'second', (SELECT count(DISTINCT text) FROM documents) - (SELECT count(DISTINCT text) FROM documents WHERE lang = 'en'), 0 FROM documents WHERE doc_id = (SELECT min(doc_id) FROM documents)
+UNION ALL SELECT 'third', 0, 0 FROM documents WHERE doc_id = (SELECT min(doc_id) FROM documents)""")
+def embed_only_new_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors kept by content: a run over one language, one over all documents, which embeds only what is new, and one that finds everything."""
+    texts = documents(spark, sf_dir).df.select(F.col(POSITION), "text", "lang")
+    kept = Results(spark, _path(spark, "vectors"), "hashed words, 64", "array<float>")
+    embedder = models.hashed_words(64)
+    for run, rows in (("first", texts.where("lang = 'en'")), ("second", texts), ("third", texts)):
+        kept.fill(rows, "text", lambda batch: list(embedder(batch)), run=run, waves=2)
+    called = kept.rows().groupBy("run").agg(F.count("*").alias("called"))
+    without = kept.joined(texts.where("text is not null"), "text", "embedding").agg(F.count_if(F.col("embedding").isNull()).alias("without"))  # one row
+    runs = spark.createDataFrame([("first",), ("second",), ("third",)], "run string")
+    return runs.join(called, "run", "left").select("run", F.coalesce("called", F.lit(0)).alias("called")).crossJoin(without)
