@@ -150,7 +150,7 @@ def near_duplicates(
     """
     m = bands * rows
     kind = support.type_of(docs, id_col)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("content", F.xxhash64("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
@@ -174,15 +174,16 @@ def near_duplicates(
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.array(keys, pa.list_(pa.int64())),
                         pa.array(low, pa.binary()),
+                        batch.column(2).slice(a, b - a),
                     ],
-                    ["doc_id", "row", "n", "set", "bands", "sig"],
+                    ["doc_id", "row", "n", "set", "bands", "sig", "content"],
                 )
                 row += b - a
 
-    signed = support.materialize(base.mapInArrow(support.lean(sign), f"doc_id {kind}, row long, n long, set binary, bands array<long>, sig binary"), "signed")
-    # Equal sets are one node, named by its smallest row; its text is read through that row's id.
+    signed = support.materialize(base.mapInArrow(support.lean(sign), f"doc_id {kind}, row long, n long, set binary, bands array<long>, sig binary, content long"), "signed")
+    # Equal sets are one node, named by its smallest row; its text is read through that row's id and content, as ids may be null or repeat.
     grouped = signed.where("n > 0").groupBy("set").agg(
-        F.min("row").alias("node"), F.min("doc_id").alias("least"), F.min_by("doc_id", "row").alias("home")
+        F.min("row").alias("node"), F.min("doc_id").alias("least"), F.min_by(F.struct("doc_id", "content"), "row").alias("home")
     )
     nodes = support.materialize(grouped, "nodes")
     reps = signed.select("row", "bands", "sig", "n").join(nodes.select(F.col("node").alias("row")), "row")
@@ -227,14 +228,15 @@ class _Texts:
         self.base, self.nodes, self.signed, self.kind, self.shingle = base, nodes, signed, kind, shingle
 
     def of(self, wanted: DataFrame) -> DataFrame:
-        """``(node, text)`` for the distinct nodes in ``wanted(node)``; a repeated id may give a node twice."""
-        need = support.materialize(self.nodes.join(wanted.distinct(), "node", "left_semi").select("node", "home", "set"), "need")
-        near = support.pass_bitmap(self.base, F.xxhash64("doc_id"), support.bitmap(need, F.xxhash64("home")))
-        both = near.join(need, F.col("doc_id").eqNullSafe(F.col("home")))
+        """``(node, shingles)``, one row for each distinct node in ``wanted(node)``."""
+        need = self.nodes.join(wanted.distinct(), "node", "left_semi").select("node", F.col("home.doc_id").alias("home"), F.col("home.content").alias("of"), "set")
+        need = support.materialize(need, "need")
+        near = support.pass_bitmap(self.base, F.xxhash64("doc_id", "content"), support.bitmap(need, F.xxhash64("home", "of")))
+        both = near.join(need, (F.col("content") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("home")))
         shingle = self.shingle
 
         def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Rows whose text has the node's set, so that repeated ids do no harm, with that set as bytes."""
+            """Rows whose text has the node's set, so that contents of one hash do no harm, with that set as bytes."""
             for batch in batches:
                 texts = batch.column(2).to_pylist()
                 for a, b in slices(texts):
@@ -246,6 +248,10 @@ class _Texts:
 
         found = both.select("node", "set", "text").mapInArrow(support.lean(same), "node long, shingles binary")
         sets = support.materialize(found, "sets")
+        if sets.count() > need.count():  # rows that repeat both id and text
+            once = support.materialize(sets.dropDuplicates(["node"]), "sets")
+            support.discard(sets)
+            sets = once
         support.discard(need)
         return sets
 
@@ -341,7 +347,7 @@ def _link_blocks(marked: DataFrame, sets: _Texts, percent: int) -> DataFrame:
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     have = sets.of(marked.select("node"))
-    spread = _blocked(marked).join(have.dropDuplicates(["node"]), "node")
+    spread = _blocked(marked).join(have, "node")
     flat = spread.select("key", "node", "root", "own", "shingles", F.col("at.i").alias("i"), F.col("at.j").alias("j"))
     links = support.materialize(flat.groupBy("key", "i", "j").applyInArrow(run, "u long, v long").distinct(), "links")
     support.discard(have)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,7 +19,16 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import words
 
-_written: list[tuple[SparkSession, str]] = []
+class _Written(threading.local):
+    """The intermediate tables that a thread has written, so that one run's cleanup never takes another's."""
+
+    def __init__(self) -> None:
+        self.tables: list[tuple[SparkSession, str]] = []
+        _everyones.append(self.tables)
+
+
+_everyones: list[list[tuple[SparkSession, str]]] = []
+_own = _Written()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,7 +52,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gleaner/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
+    _own.tables.append((spark, path))
     table = spark.read.schema(df.schema).parquet(path)
     table._gleaner_path = path
     return table
@@ -63,24 +73,32 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def mark() -> int:
-    """How many intermediate tables there are now, for ``release``."""
-    return len(_written)
+    """How many intermediate tables this thread has now, for ``release``."""
+    return len(_own.tables)
 
 
-@atexit.register
 def release(since: int = 0, last: int = 0) -> None:
-    """Delete the intermediate tables written after ``since`` but for the ``last`` ones; lazy results that read them end with it."""
-    gone = _written[since : len(_written) - last]
-    del _written[since : len(_written) - last]
+    """Delete the intermediate tables that this thread wrote after ``since`` but for the ``last`` ones; lazy results that read them end with it."""
+    tables = _own.tables
+    gone = tables[since : len(tables) - last]
+    del tables[since : len(tables) - last]
     for spark, path in gone:
         _delete(spark, path)
 
 
+@atexit.register
+def _release_all() -> None:
+    for tables in _everyones:
+        while tables:
+            _delete(*tables.pop())
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more."""
     for table in tables:
         path = table._gleaner_path
-        _written[:] = [w for w in _written if w[1] != path]
+        for tables in _everyones:
+            tables[:] = [w for w in tables if w[1] != path]
         _delete(table.sparkSession, path)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -60,6 +61,45 @@ def test_one_large_bucket_of_wide_texts(spark, monkeypatch):
     same([(x.doc_id, x.n_shingles, x.component_id, x.kept) for x in got.collect()], brute.near_groups(docs))
 
 
+def test_many_null_and_repeated_ids_stay_linear(spark):
+    """Thousands of near copies without an id, or all with one: each node's text is read once, not once a node."""
+    r = random.Random(21)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(1500):
+        w = list(base)
+        w[r.randrange(60)] = f"edit{i % 700}"
+        texts.append(" ".join(w))
+    docs = [(None, t) for t in texts[:750]] + [(5, t) for t in texts[750:]] + [(None, texts[0])] * 300 + [(5, "other words that are alone here")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    made = []
+    whole = near_dedup.support.materialize
+
+    def counting(table, tag):
+        out = whole(table, tag)
+        if tag == "sets":
+            made.append((out.count(), out.select("node").distinct().count()))
+        return out
+
+    near_dedup.support.materialize = counting
+    try:
+        got = near_dedup.near_duplicates(df).collect()
+    finally:
+        near_dedup.support.materialize = whole
+    assert {x.component_id for x in got if x.n_shingles > 2} == {5} and len(got) == len(docs)
+    assert made and made[-1][0] == made[-1][1] and all(rows <= len(docs) for rows, _ in made)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
+def test_links_of_a_whole_table_are_all_found(spark):
+    """Recall on a table: every pair at 0.75 or more lies in one component."""
+    rows = [(x.doc_id, x.text) for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [(i, set(near_dedup.shingle_sets([t], 5)[0].tolist())) for i, t in rows]
+    links = [(i, j) for n, (i, a) in enumerate(sets) for j, b in sets[:n] if a and b and 100 * len(a & b) >= 75 * len(a | b)]
+    assert len(links) > 5 and all(got[i] == got[j] for i, j in links)
+
+
 def test_superminhash_estimates_and_is_a_permutation_per_element():
     r = np.random.default_rng(1)
     common, a, b = (r.integers(0, 2**63, n).astype(np.uint64) for n in (300, 100, 100))
