@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.functions import text as tx
+from gleaner.operators import bloom
 from gleaner.session import checkpointed
 from gleaner.sources import corpus as cp
 from gleaner.sources.corpus import POSITION
@@ -140,6 +141,7 @@ class Graph:
         """One way for any number of names: joins propose names for a text, a pattern of those alone finds them.
 
         A name's key is its words, or all of it when it has none; every name that a text has shares a key with it.
+        A Bloom filter of the names' keys stands where the texts are read, so few other n-grams reach the join.
         """
         names = self.entities.where("key <> ''").select("key", "name", F.regexp_extract_all(_folded(F.col("key")), F.lit(_RUN), F.lit(1)).alias("w"))
         names = names.select("key", "name", F.size("w").alias("n"), F.when(F.size("w") > 0, F.array_join("w", " ")).otherwise(_folded(F.col("key"))).alias("gram"))
@@ -149,9 +151,10 @@ class Graph:
         # Texts whose hashes collide share their proposals, which the pattern sorts out.
         told = texts.select("id", flat.alias("flat"), F.xxhash64(flat).alias("h"))
         cut = told.select("h", _folded(F.col("flat")).alias("t")).select("h", "t", F.regexp_extract_all("t", F.lit(_RUN), F.lit(1)).alias("w"))
-        sized = cut.select("h", "w", F.explode(F.array(*[F.lit(n) for n in sizes if n]).cast("array<int>")).alias("n")).where(F.size("w") >= F.col("n"))
-        gram = lambda i: F.array_join(F.slice("w", i, F.col("n")), " ")
-        grams = sized.select("h", "n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), gram))).alias("gram"))
+        cut = cut.withColumn("hashes", F.transform("w", lambda w: F.xxhash64(w)))
+        with_words = names.where("n > 0")
+        packed = bloom.filter_of(with_words.select(F.transform(F.split("gram", " "), lambda w: F.xxhash64(w)).alias("hashes")))
+        grams = bloom.likely_grams(cut, [n for n in sizes if n], packed)
         if 0 in sizes:
             longest = names.where("n = 0").agg(F.max(F.length("gram"))).first()[0]
             gaps = cut.select("h", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"(?U)(\W+)"), F.lit(1)))).alias("gap"))
