@@ -1,8 +1,8 @@
 """Chunking: overlapping windows of words, sentences, and contexts before chunks, as exploded rows.
 
-One regular expression with possessive repeats cuts a text into contiguous blocks of ``size - overlap`` words, so
-there is no Python on the path and no backtracking.  A chunk is a few blocks after each other; its offset is
-the running total of the blocks' lengths.  All of a record's chunks are made inside its row and exploded last:
+One regular expression with possessive repeats cuts a text into contiguous blocks of as many words as divide both the
+window and its step, so there is no Python on the path and no backtracking.  A chunk is a few whole blocks after each
+other without the blanks at its end; its offset is the running total of the blocks' lengths.  All of a record's chunks are made inside its row and exploded last:
 nothing is shuffled, and no text is copied to a chunk but its own.
 
 Blanks are those of Unicode, the four ASCII separators and the next-line character among them.
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from math import gcd
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,8 @@ from gleaner.sources.corpus import POSITION, Corpus, numbered
 
 #: A word character's and a blank's class, for patterns with (?U).
 W, B = r"[^\s\x1c-\x1f]", r"[\s\x1c-\x1f]"
+#: The characters of the class B.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def check_size(size: int, overlap: int) -> None:
@@ -41,18 +44,19 @@ def chunk_spans(df: DataFrame, text: Column, *, size: int = 200, overlap: int =
     check_size(size, overlap)
     step = size - overlap
     t = F.coalesce(text, F.lit(""))
-    blocks = F.regexp_extract_all(t, F.lit(rf"(?U)({W}++(?:{B}++{W}++){{0,{step - 1}}}+{B}*+)"), F.lit(1))
+    part = gcd(size, step)
+    blocks = F.regexp_extract_all(t, F.lit(rf"(?U)({W}++(?:{B}++{W}++){{0,{part - 1}}}+{B}*+)"), F.lit(1))
     lead = F.length(F.regexp_extract(t, rf"(?U)^({B}*+)", 1))
     base = spread(df).select("*", blocks.alias("__b"), lead.cast("long").alias("__lead")).where("size(__b) > 0")
     last = F.regexp_count(F.try_element_at("__b", F.lit(-1)), F.lit(rf"(?U){W}++"))
-    base = base.select("*", ((F.size("__b") - 1) * step + last).alias("__n"), tx.running_totals(F.transform("__b", lambda x: F.length(x).cast("long"))).alias("__at"))
+    base = base.select("*", ((F.size("__b") - 1) * part + last).alias("__n"), tx.running_totals(F.transform("__b", lambda x: F.length(x).cast("long"))).alias("__at"))
     n = F.col("__n")
     count = F.when(n <= size, 1).otherwise(F.ceil((n - size) / F.lit(step)) + 1).cast("int")
-    many, words = -(-size // step), rf"(?U)^({W}++(?:{B}++{W}++){{0,{size - 1}}}+)"
 
     def chunk(row: Column, k: Column) -> Column:
-        whole = F.array_join(F.slice(row.blocks, k + 1, many), "")
-        return F.struct(k.alias("k"), (row.lead + F.get(row.at, k)).cast("int").alias("start"), F.regexp_extract(whole, words, 1).alias("text"))
+        first = k * (step // part)
+        whole = F.array_join(F.slice(row.blocks, first + 1, size // part), "")
+        return F.struct(k.alias("k"), (row.lead + F.get(row.at, first)).cast("int").alias("start"), F.rtrim(whole, F.lit(BLANKS)).alias("text"))
 
     # Bound to a variable, because the planner would put the expressions themselves into the function of each chunk.
     bound = F.struct(F.col("__b").alias("blocks"), F.col("__at").alias("at"), F.col("__lead").alias("lead"))

@@ -7,9 +7,11 @@ Statistics come from the whole corpus: filters stand between scoring and the cut
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,11 +81,22 @@ def index_for(texts: DataFrame, asked: DataFrame, *, most: int = ASKED_TERMS) ->
 
 
 def term_statistics(texts: DataFrame) -> DataFrame:
-    """``(term, df, total)``: documents that have a term and its occurrences, in one pass; each task sends a term once."""
-    cut = _tokens(texts)
-    count = lambda words, df, total: F.transform(words, lambda t: F.struct(t.alias("term"), F.lit(df).alias("df"), F.lit(total).alias("total")))
-    both = F.concat(count(F.col("tokens"), 0, 1), count(F.array_distinct("tokens"), 1, 0))
-    rows = cut.select(F.explode_outer(both).alias("t")).select("t.*").where("term is not null")
+    """``(term, df, total)``: documents that have a term and its occurrences, in one pass.
+
+    A batch of documents is counted as a whole and sends each of its terms once; tasks add their batches up before the shuffle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch.column(0)
+            words = tokens.flatten().dictionary_encode()
+            at, known = words.indices.to_numpy(), len(words.dictionary)
+            row = np.repeat(np.arange(len(tokens)), tokens.value_lengths().fill_null(0).to_numpy())
+            own = np.unique(row * known + at) % known if known else at
+            counts = [pa.array(np.bincount(x, minlength=known), pa.int64()) for x in (own, at)]
+            yield pa.RecordBatch.from_arrays([words.dictionary, *counts], ["term", "df", "total"])
+
+    rows = _tokens(texts).select("tokens").mapInArrow(run, "term string, df long, total long")
     return rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
 
 
