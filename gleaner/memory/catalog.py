@@ -7,6 +7,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.session import checkpointed
 from gleaner.memory.records import Recordset
 from gleaner.memory.stores import Store
 
@@ -50,19 +51,19 @@ class Catalog:
 
 
 def lineage_table(records: DataFrame) -> DataFrame:
-    """``(handle, ancestor, distance)`` of records ``(handle, parent)``: one self-join per generation of a run's few recordsets.
+    """``(handle, ancestor, distance)`` of records ``(handle, parent)``, however many: each round doubles the distance.
 
     A path cannot be longer than there are records; a longer one comes from a cycle, which is an error.
     """
-    step = records.where("parent is not null").select("handle", F.col("parent").alias("ancestor"))
-    found = now = step.withColumn("distance", F.lit(1))
-    up = step.select(F.col("handle").alias("ancestor"), F.col("ancestor").alias("next"))
-    distance, most = 1, records.count()
+    found = checkpointed(records.where("parent is not null").select("handle", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")))
+    reach, most = 1, records.count()
     while True:
-        distance += 1
-        now = now.join(up, "ancestor").select("handle", F.col("next").alias("ancestor"), F.lit(distance).alias("distance"))
-        if now.isEmpty():
+        ahead = found.select(F.col("handle").alias("ancestor"), F.col("ancestor").alias("next"), F.col("distance").alias("more"))
+        far = found.where(F.col("distance") == reach).join(ahead, "ancestor")
+        new = checkpointed(far.select("handle", F.col("next").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance")))
+        if new.isEmpty():
             return found
-        if distance > most:
+        reach *= 2
+        if reach > most:
             raise ValueError("the records derive from each other in a cycle")
-        found = found.unionByName(now)
+        found = checkpointed(found.unionByName(new))

@@ -15,9 +15,11 @@ from dataclasses import dataclass, field, replace
 from typing import Any
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleaner.results import Results
 
@@ -307,6 +309,31 @@ def parse_json_reply(text: str) -> Any:
     raise ValueError(f"no JSON in the reply: {bare[:200]!r}")
 
 
+def parsed_reply(reply: Column) -> Column:
+    """``parse_json_reply`` of a column, as JSON text; null where a reply holds no JSON.
+
+    A reply that is JSON, or whose first fenced block is, is parsed as a VARIANT by the engine; only the others (JSON
+    inside prose, several blocks) go to Python, in Arrow batches in which the settled ones are null.
+    """
+    bare = F.trim(F.regexp_replace(reply, r"(?s)<think>.*?</think>", ""))
+    fenced = F.regexp_extract(bare, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    clean = F.to_json(F.try_parse_json(F.when(bare.contains("```"), fenced).otherwise(bare)))
+    return F.coalesce(clean, _prose_json(F.when(clean.isNull(), reply)))
+
+
+@F.pandas_udf(T.StringType())
+def _prose_json(replies: pd.Series) -> pd.Series:
+    def parsed(text: str | None) -> str | None:
+        if text is None:
+            return None
+        try:
+            return json.dumps(parse_json_reply(text), separators=(",", ":"), ensure_ascii=False)
+        except ValueError:
+            return None
+
+    return replies.map(parsed, na_action="ignore")
+
+
 def without_reasoning(chunks: Iterable[str]) -> Iterator[str]:
     """A stream without a reasoning block at its start, wherever the chunks are cut."""
     chunks, held = iter(chunks), ""

@@ -159,20 +159,33 @@ def sample_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.sample_stratified(d, F.col("doc_id"), F.col("source"), per_stratum=3, seed=7).select("doc_id", "source")
 
 
-ASKED = ["What changed since last year?", "What may happen in May?", "Sales in Q3 2024", "Who wrote this article?", "How do budgets compare before 2020?", "past 3 months of errors"]
+#: Ways of asking, of which an order takes one by its key; {} is a word of the order.
+WAYS = ["What changed since {}?", "What may happen to {} in May?", "Sales of {} in Q3 2024", "Who wrote this article on {}?", "How do budgets of {} compare before 2020?", "past 3 months of {}", "Is {} the passage meant?", "who is {}"]
+PERIOD_SQL = r"\b((19|20)[0-9]{2}|q[1-4]|january|february|march|april|june|july|august|september|october|november|december|since|until|before|after|between|during|(last|this|past|previous)\s+([0-9]+\s+)?(day|week|month|quarter|year)s?)\b"
+SOURCE_SQL = r"\b(this|the|that)\s+(article|text|passage|document|report|piece|story|excerpt)\b"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{q}', {str(p).lower()}, {str(s).lower()})" for i, (q, p, s) in enumerate(zip(ASKED, [True, False, True, False, True, True], [False, False, False, True, False, False], strict=True))) + ") AS v(qid, question, period, points)")
+@query(f"WITH q AS (SELECT o_orderkey AS qid, replace(list_extract({WAYS}, CAST(o_orderkey % 8 + 1 AS BIGINT)), '{{}}', CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE o_orderpriority END) AS question FROM orders) SELECT qid, question, regexp_matches(lower(question), '{PERIOD_SQL}') AS period, regexp_matches(lower(question), '{SOURCE_SQL}') AS points FROM q")
 def question_names_period(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = spark.createDataFrame(list(enumerate(ASKED)), "qid int, question string")
+    """A question for every order: whether it names a period, and whether it points at its source."""
+    n = F.col("o_orderkey")
+    word = F.when(n % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.col("o_orderpriority"))
+    way = F.element_at(F.array(*[F.lit(w) for w in WAYS]), (n % 8 + 1).cast("int"))
+    q = table(spark, sf_dir, "orders").select(n.alias("qid"), F.replace(way, F.lit("{}"), word).alias("question"))
     return q.select("qid", "question", tx.names_a_period(F.col("question")).alias("period"), tx.points_at_source(F.col("question")).alias("points"))
 
 
-@query("SELECT * FROM (VALUES (0, 'a b,c'), (1, 'only the question'), (2, 'x,y,z')) AS v(qid, queries)")
+@query("""WITH l AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '  ' WHEN o_orderkey % 2 = 0 THEN ' ' || lower(o_orderpriority) || ' ' ELSE o_orderpriority END AS t FROM orders),
+u AS (SELECT o_custkey, trim(t) AS t, o_orderkey FROM l WHERE trim(t) <> '' QUALIFY row_number() OVER (PARTITION BY o_custkey, lower(trim(t)) ORDER BY o_orderkey) = 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM u)
+SELECT o_custkey AS qid, coalesce(string_agg(t, ',' ORDER BY n) FILTER (WHERE n <= 3), 'of ' || o_custkey) AS queries FROM (SELECT DISTINCT o_custkey FROM orders) LEFT JOIN k USING (o_custkey) GROUP BY o_custkey""")
 def clean_query_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(0, "q", [" a b ", "A B", "", "c"]), (1, "only the question", ["  "]), (2, "q", ["x", "y", "z", "w"])]
-    r = spark.createDataFrame(rows, "qid int, question string, replies array<string>")
-    return evaluation.clean_rewrites(r).select("qid", F.array_join("queries", ",").alias("queries"))
+    """A customer's orders as the phrasings that a model replied: blank ones, repeats in another case, too many."""
+    n, p = F.col("o_orderkey"), F.col("o_orderpriority")
+    said = F.when(n % 5 == 0, F.lit("  ")).when(n % 2 == 0, F.concat(F.lit(" "), F.lower(p), F.lit(" "))).otherwise(p)
+    each = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(n.alias("n"), said.alias("t")))).alias("r"))
+    replies = each.select(F.col("o_custkey").alias("qid"), F.concat(F.lit("of "), F.col("o_custkey").cast("string")).alias("question"), F.col("r.t").alias("replies"))
+    return evaluation.clean_rewrites(replies).select("qid", F.array_join("queries", ",").alias("queries"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE greatest(1, least(5, CAST(doc_id % 9 - 1 AS INTEGER))) END AS score, CASE WHEN doc_id % 7 = 0 THEN 'no_judgement' WHEN doc_id % 9 - 1 >= 5 AND doc_id % 2 = 1 THEN 'full_score_with_unsupported_claims' ELSE '' END AS flags FROM labels")

@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Iterator
+from functools import reduce
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner import models
+from gleaner.memory.commits import CommitLogStore
 from gleaner.memory.facade import Memory
 from gleaner.memory.oplog import VERBOSE, ListSink, OpLog
-from gleaner.memory.policy import DefaultPolicy, age_phrase, human_bytes
+from gleaner.memory.policy import DefaultPolicy, human_bytes
 from gleaner.memory.records import value_ref
 from gleaner.plans.evidence import _chunk_sql
 from gleaner.plans.registry import documents, query, table
 from gleaner.plans.retrieval import BM25_ONE, QUESTION, RANKED, SHOW
+from gleaner.session import shared_folder
 from gleaner.sources import corpus as cp
 
 
@@ -90,29 +96,43 @@ CASES: list[tuple[str, Any, str]] = [
 ]
 
 
-@query(_values([(name, code) for name, _, code in CASES], "sent, outcome"))
+@query("SELECT c_custkey, list_extract([" + ", ".join(f"'{code}'" for _, _, code in CASES) + f"], CAST(c_custkey % {len(CASES)} + 1 AS BIGINT)) AS outcome FROM customer")
 def tool_argument_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gleaner.tools.framework import ToolInputError, validate_tool_args
-    from gleaner.tools.shipped import RetrievePassagesTool
-
+    """Arguments for every customer, one of the cases by its key, checked where the rows are."""
     def outcome(args: Any) -> str:
+        from gleaner.tools.framework import ToolInputError, validate_tool_args
+        from gleaner.tools.shipped import RetrievePassagesTool
+
         try:
             validate_tool_args(args, RetrievePassagesTool().schema)
         except ToolInputError as error:
             return json.loads(error.to_result())["error"]["code"]
         return "ok"
 
-    return spark.createDataFrame([(name, outcome(args)) for name, args, _ in CASES], "sent string, outcome string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [outcome(json.loads(args)) for args in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(told, pa.string())], ["c_custkey", "outcome"])
+
+    sent = F.element_at(F.array(*[F.lit(json.dumps(args)) for _, args, _ in CASES]), (F.col("c_custkey") % len(CASES) + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", sent.alias("sent")).mapInArrow(run, "c_custkey long, outcome string")
 
 
-@query(_values([("analyze", 2), ("enrich", 1), ("extract", 1), ("gather", 5), ("preprocess", 1), ("unknown", 1)], "stage, tools"))
+#: Stages of the registered tools, in the order of stage and name.
+STAGES = ["analyze"] * 2 + ["enrich", "extract"] + ["gather"] * 5 + ["preprocess", "unknown"]
+
+
+@query(f"SELECT list_extract({STAGES}, CAST(o_orderkey % {len(STAGES)} + 1 AS BIGINT)) AS stage, count(*) AS asked FROM orders GROUP BY 1")
 def tools_by_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders ask for a tool each; the registry says to which stage it belongs."""
     from gleaner.tools import registry
 
     registry.register_reference_tools(registry="query")
-    counted = [(stage, len(names)) for stage, names in registry.tools_by_stage("query").items()]
+    named = [(stage, name) for stage, names in sorted(registry.tools_by_stage("query").items()) for name in sorted(names)]
     registry.clear_registry("query")
-    return spark.createDataFrame(counted, "stage string, tools int")
+    tools = spark.createDataFrame([(i, stage, name) for i, (stage, name) in enumerate(named)], "at long, stage string, tool string")  # the registry's few rows
+    asked = table(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % len(named)).alias("at")).agg(F.count("*").alias("n"))
+    return asked.join(tools, "at").groupBy("stage").agg(F.sum("n").alias("asked"))
 
 
 @query("SELECT 'rows_' || (r_regionkey + 1) AS handle, r_regionkey + 1 AS n, CASE WHEN r_regionkey > 0 THEN 'rows_' || r_regionkey END AS parent, r_regionkey < (SELECT max(r_regionkey) FROM region) - 1 AS tombstoned FROM region")
@@ -128,15 +148,14 @@ def recordset_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "handle string, n int, parent string, tombstoned boolean")
 
 
-@query(_values([("bind", 1), ("bind_failed", 1), ("digest", 1), ("purge", 1), ("read", 1), ("turn_summary", 1), ("write", 3)], "op, n"))
+@query("""SELECT op, CASE op WHEN 'write' THEN (SELECT count(*) FROM region) + 1 ELSE 1 END AS n FROM (VALUES ('bind'), ('bind_failed'), ('digest'), ('purge'), ('read'), ('turn_summary'), ('write')) v(op)""")
 def recordset_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the log of one turn says: two recordsets and an empty one, one bound and read, a failed request, one purged."""
+    """What the log of one turn says: a recordset for every region and an empty one, one bound and read, a failed request, one purged."""
     from gleaner.tools.framework import ToolInputError
 
     sink = ListSink()
     memory = Memory(session_id="s", oplog=OpLog(sink, level=VERBOSE))
-    first = memory.remember(object_type="rows", stage="gather", produced_by="p", ref=value_ref([1]))
-    memory.remember(object_type="rows", stage="gather", produced_by="p", ref=value_ref([1, 2]), derived_from=[first.handle])
+    made = [memory.remember(object_type="rows", stage="gather", produced_by="p", ref=value_ref([r.r_name])) for r in table(spark, sf_dir, "region").orderBy("r_regionkey").collect()]
     memory.remember(object_type="rows", stage="gather", produced_by="p", ref=value_ref([]))
     memory.records(memory.bind(object_type="rows", tool_name="t"))
     try:
@@ -144,33 +163,46 @@ def recordset_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     except ToolInputError:
         pass
     memory.digest()
-    memory.purge(first.handle)
+    memory.purge(made[0].handle)
     memory.end_turn()
     return spark.createDataFrame([(op,) for op in sink.ops()], "op string").groupBy("op").agg(F.count("*").alias("n"))
 
 
-PHRASES = [
-    ("512 B", human_bytes, 512), ("1.5 KB", human_bytes, 1536), ("2.0 MB", human_bytes, 2 << 20), ("3.0 GB", human_bytes, 3 << 30), ("age unknown", age_phrase, "never"),
-]
-
-
-@query(_values([(str(sent), phrase) for phrase, _, sent in PHRASES], "sent, phrase"))
+@query("""WITH s AS (SELECT o_orderstatus, row_number() OVER (ORDER BY o_orderstatus) AS k, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_orderstatus)
+SELECT 'orders_' || k AS handle, n, CASE WHEN k > 1 THEN 'orders_' || (k - 1) END AS parent, total FROM s WHERE k <> 2""")
+def recordset_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders of each status as a stored recordset: written by Spark, named in a commit log, one purged, read back from the log."""
+    store = CommitLogStore(spark, f"{shared_folder(spark)}/recordsets-{uuid.uuid4().hex}")
+    memory, orders = Memory(store, session_id="s"), table(spark, sf_dir, "orders")
+    made: list[str] = []
+    for status in sorted(r.o_orderstatus for r in orders.select("o_orderstatus").distinct().collect()):  # a few codes
+        ref, n = store.put_rows(orders.where(F.col("o_orderstatus") == status))
+        made.append(memory.remember(object_type="orders", stage="gather", produced_by="query", ref=ref, count=n, derived_from=made[-1:]).handle)
+    store.delete(made[1], owner="session:s")
+    told = store.table().select("handle", "n", F.get("parents", F.lit(0)).alias("parent"))
+    sums = [store.rows(r).agg(F.round(F.sum("o_totalprice"), 2).alias("total")).select(F.lit(r.handle).alias("handle"), "total") for r in memory.list()]
+    return told.join(reduce(DataFrame.unionByName, sums), "handle")
+
+
+@query("""SELECT o_orderkey, CASE WHEN b < 1024 THEN printf('%.0f B', b) WHEN b < 1048576 THEN printf('%.1f KB', b / 1024) WHEN b < 1073741824 THEN printf('%.1f MB', b / 1048576) ELSE printf('%.1f GB', b / 1073741824) END AS phrase
+FROM (SELECT o_orderkey, CAST(floor(pow(1.7::DOUBLE, o_orderkey % 45)) AS DOUBLE) AS b FROM orders)""")
 def memory_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(str(sent), say(sent)) for _, say, sent in PHRASES], "sent string, phrase string")
-
+    """A size for every order, said in words where the rows are."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([human_bytes(b) for b in batch.column(1).to_pylist()], pa.string())], ["o_orderkey", "phrase"])
 
-REPLIES = [
-    ("plain", '{"a": 1}', '{"a": 1}'), ("fenced", 'Sure:\n```json\n[1, 2]\n```', "[1, 2]"), ("after thought", '<think>{"b": 2}</think> it is {"a": [3]} then', '{"a": [3]}'),
-    ("none", "no value here", "ValueError"),
-]
+    size = F.floor(F.pow(F.lit(1.7), F.col("o_orderkey") % 45)).cast("long")
+    return table(spark, sf_dir, "orders").select("o_orderkey", size.alias("b")).mapInArrow(run, "o_orderkey long, phrase string")
 
 
-@query(_values([(name, want) for name, _, want in REPLIES], "reply, parsed"))
+@query("SELECT doc_id, CASE WHEN doc_id % 5 < 4 THEN lang END AS lang, CASE WHEN doc_id % 5 < 4 THEN n_chars END AS n FROM documents")
 def parse_json_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def parsed(text: str) -> str:
-        try:
-            return json.dumps(models.parse_json_reply(text))
-        except ValueError:
-            return "ValueError"
-
-    return spark.createDataFrame([(name, parsed(text)) for name, text, _ in REPLIES], "reply string, parsed string")
+    """A reply for every document: bare JSON, fenced after a thought, inside prose, in the second of two blocks, or none."""
+    value, n = F.to_json(F.struct("lang", F.col("n_chars").alias("n"), F.struct(F.lit("a { b").alias("text")).alias("more"))), F.col("doc_id") % 5
+    reply = (
+        F.when(n == 0, value).when(n == 1, F.concat(F.lit('<think>{"n": 0}</think> Sure:\n```json\n'), value, F.lit("\n```\ndone")))
+        .when(n == 2, F.concat(F.lit("It is [so]: "), value, F.lit(" as asked."))).when(n == 3, F.concat(F.lit("```\nnone\n``` and ```json\n"), value, F.lit("```"))).otherwise(F.lit("no value here"))
+    )
+    parsed = table(spark, sf_dir, "documents").select("doc_id", models.parsed_reply(reply).alias("p"))
+    return parsed.select("doc_id", F.get_json_object("p", "$.lang").alias("lang"), F.get_json_object("p", "$.n").cast("long").alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.operators import tasks
@@ -123,19 +123,24 @@ def events_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hourly(e).select("start", "event_type", "n", F.round("total", 4).alias("total"))
 
 
-LINEAGE = [("corpus_1", "corpus", 1, None), ("corpus_2", "corpus", 2, "corpus_1"), ("passages_1", "passages", 3, "corpus_2"), ("passages_2", "passages", 4, "passages_1"), ("answer_1", "answer", 5, "passages_2")]
-VALUES = ", ".join(f"('{h}', '{t}', {c}, {repr(p) if p else 'NULL'})" for h, t, c, p in LINEAGE)
+DERIVED = "r AS (SELECT 'rows_' || o_orderkey AS handle, o_orderstatus AS object_type, o_orderkey AS created, 'rows_' || lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS parent FROM orders)"
 
 
-@query(f"WITH RECURSIVE r AS (SELECT * FROM (VALUES {VALUES}) v(handle, object_type, created, parent)), a AS (SELECT handle, parent AS ancestor, 1 AS distance FROM r WHERE parent IS NOT NULL UNION ALL SELECT a.handle, r.parent, a.distance + 1 FROM a JOIN r ON r.handle = a.ancestor WHERE r.parent IS NOT NULL) SELECT * FROM a")
+def _recordsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recordset for every order, derived from the same customer's order before."""
+    n = F.col("o_orderkey")
+    named = F.concat(F.lit("rows_"), n.cast("string")).alias("handle")
+    before = F.concat(F.lit("rows_"), F.lag(n).over(Window.partitionBy("o_custkey").orderBy(n)).cast("string")).alias("parent")
+    return table(spark, sf_dir, "orders").select(named, F.col("o_orderstatus").alias("object_type"), n.alias("created"), before)
+
+
+@query(f"WITH RECURSIVE {DERIVED}, a AS (SELECT handle, parent AS ancestor, 1 AS distance FROM r WHERE parent IS NOT NULL UNION ALL SELECT a.handle, r.parent, a.distance + 1 FROM a JOIN r ON r.handle = a.ancestor WHERE r.parent IS NOT NULL) SELECT * FROM a")
 def recordset_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gleaner.memory.catalog import lineage_table
 
-    rows = spark.createDataFrame(LINEAGE, "handle string, object_type string, created int, parent string")
-    return lineage_table(rows)
+    return lineage_table(_recordsets(spark, sf_dir))
 
 
-@query(f"SELECT object_type, arg_max(handle, created) AS handle FROM (VALUES {VALUES}) v(handle, object_type, created, parent) GROUP BY object_type")
+@query(f"WITH {DERIVED} SELECT object_type, arg_max(handle, created) AS handle FROM r GROUP BY object_type")
 def recordset_newest_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(LINEAGE, "handle string, object_type string, created int, parent string")
-    return rows.groupBy("object_type").agg(F.max_by("handle", "created").alias("handle"))
+    return _recordsets(spark, sf_dir).groupBy("object_type").agg(F.max_by("handle", "created").alias("handle"))
