@@ -20,7 +20,7 @@ from gleaner.operators import graph as kg
 from gleaner.sources import corpus as cp
 from gleaner.sources.corpus import POSITION, Corpus
 from gleaner.tools.arguments import Arg, BadArgument, count, data
-from gleaner.tools.framework import BaseTool, ToolContext, ToolInputError, run_id_of
+from gleaner.tools.framework import BaseTool, ToolContext, ToolInputError, run_of
 
 TEXT = Arg()
 SOURCES = {"input": data("string"), "corpus": data("string")}
@@ -45,7 +45,7 @@ def bind_corpus(args: dict[str, Any], context: ToolContext, *, tool_name: str) -
     if isinstance(given, dict):
         if not str(given.get("corpus") or "").strip():
             raise ToolInputError(code="invalid_argument_value", message="input names no corpus.", tool_name=tool_name, details={"argument": "input"})
-        return corpus_or_error(given["corpus"], tool_name), run_id_of(given)
+        return corpus_or_error(given["corpus"], tool_name), run_of(given)
     if context.recordsets is None:
         raise ToolInputError(code="missing_required_arguments", message="Name a corpus, or pass a result as input.", tool_name=tool_name, details={"missing": ["corpus"]})
     record = context.recordsets.bind(object_type="corpus", tool_name=tool_name, requested=(given or "").strip() or None)
@@ -84,7 +84,7 @@ def bind_passages(tool: BaseTool, args: dict[str, Any], context: ToolContext) ->
             raise tool.refusal("input has no passages.", argument="input")
     if listed is not None:
         corpus = str(args.get("corpus") or result.get("corpus") or "").strip() or None
-        return passages_with_text(listed, corpus, tool_name=tool.tool_name), corpus, None, result.get("query"), run_id_of(result)
+        return passages_with_text(listed, corpus, tool_name=tool.tool_name), corpus, None, result.get("query"), run_of(result)
     if context.recordsets is None:
         raise tool.refusal("Pass passages, or the result that has them.", code="missing_required_arguments", missing=["passages"])
     record = context.recordsets.bind(object_type="passages", tool_name=tool.tool_name, requested=(given or "").strip() or None)
@@ -311,10 +311,10 @@ class RetrievePassagesTool(BaseTool):
         if not isinstance(extra, list) or not all(isinstance(q, str) for q in extra):
             raise self.refusal("queries must be a list of strings.", argument="queries", value=extra)
         if isinstance(given, dict):
-            stored = [str(q).strip() for q in given.get("query_texts") or [] if str(q).strip()]
-            if not stored:
+            told = list(filter(None, (str(text).strip() for text in given.get("query_texts") or ())))
+            if not told:
                 raise self.refusal("queries_input has no queries.", argument="queries_input")
-            return [*extra, *stored], None, run_id_of(given)
+            return extra + told, None, run_of(given)
         if isinstance(given, str) and given.strip():
             if context.recordsets is None:
                 raise self.refusal("queries_input needs recordset memory.", code="missing_required_arguments", argument="queries_input")
@@ -562,7 +562,7 @@ class CalculateRetrievalMetricsTool(BaseTool):
             questions.append((n, str(item.get("id") or f"q{n + 1}")))
             found = item.get("retrieved") or []
             if isinstance(found, dict):
-                upstream.append(run_id_of(found))
+                upstream.append(run_of(found))
                 found = found.get("passages") or []
             for rank, p in enumerate(found, 1):
                 own = (p.get("source_id") if settings["match_on"] == "source" else None) or p.get("id") if isinstance(p, dict) else p
@@ -641,7 +641,7 @@ class ScoreRagAnswerTool(BaseTool):
         judged = self.review(reply, settings, context)
         shared = {k: answer.get(k) for k in ("coverage", "unknown_citations")}
         told = {"question": question, "model": settings["model"], "answer_model": answer.get("model"), **judged, **shared, "facts": len(facts)}
-        return self.made(told, settings, run_id_of(answer))
+        return self.made(told, settings, run_of(answer))
 
     def review(self, reply: Any, settings: dict[str, Any], context: ToolContext) -> dict[str, Any]:
         """Clean scores and reasons, and what about them a person should look at."""
@@ -701,8 +701,8 @@ class SynthesizeAnswerTool(BaseTool):
         if not ok:
             raise self.refusal("facts must each have subject, relation and object.", argument="facts")
         if not listed:
-            return None, run_id_of(given)
-        return kg.from_records(context.session, listed).facts.withColumn("qid", F.lit(0)), run_id_of(given)
+            return None, run_of(given)
+        return kg.from_records(context.session, listed).facts.withColumn("qid", F.lit(0)), run_of(given)
 
     def run(self, args: dict[str, Any], *, context: ToolContext) -> dict[str, Any]:
         settings = self.settings(args)

@@ -2,6 +2,7 @@ import json
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from gleaner import models
 from gleaner.memory.facade import Memory
@@ -247,3 +248,17 @@ def test_embedder_runs_on_workers(spark):
     asked = spark.createDataFrame([(1, "p")], "qid int, prompt string")
     assert models.map_llm(asked, lambda p: p + "!").first().reply == "p!"
     assert SimpleNamespace(x=1).x == 1
+
+
+def test_parsed_reply_is_the_python_parser_on_every_kind(spark):
+    """Clean replies are parsed by the engine, prose in Arrow; both agree with the parser of one reply."""
+    texts = ['{"a": [1, 2.5, "x"]}', "[1]", "7", '"s"', "```json\n{\"b\": null}\n```", "<think>{\"no\": 1}</think>\n{\"c\": true}", 'Well, {"d": {"e": "}"}} is it', "```\nnothing\n```\n```json\n[2]\n```", "none", "", None, "{broken", '{"k": 1, "k": 2}', "[NaN]", "text [3] and {\"z\": 1}", "```{\"f\": 1}", "nul\x00 {\"g\": 1}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(3)
+    got = {r.i: r.p for r in df.select("i", models.parsed_reply(F.col("t")).alias("p")).collect()}
+    for i, t in enumerate(texts):
+        try:
+            want = models.parse_json_reply(t)
+        except ValueError:
+            assert got[i] is None, t
+        else:
+            assert repr(json.loads(got[i])) == repr(want), t
