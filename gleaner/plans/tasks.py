@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.operators import tasks
+from gleaner.operators.resolution import resolve_names
 from gleaner.plans.registry import documents, query, table
 
 DATE = "(DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER))"
@@ -70,6 +71,21 @@ def resolve_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.resolve_entities(table(spark, sf_dir, "customer"), "c_name", F.lower(F.substring("c_name", 1, 16))).select("canonical", "c_custkey", "c_name")
 
 
+@query("""WITH RECURSIVE m AS (SELECT p_partkey, p_name AS w, CAST(p_partkey // 4 % length(p_name) AS BIGINT) AS i FROM part),
+p AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN w WHEN 1 THEN upper(w) WHEN 2 THEN substr(w, 1, i) || substr(w, i + 2) ELSE substr(w, 1, i) || 'x' || substr(w, i + 2) END AS name FROM m),
+k AS (SELECT *, lower(trim(regexp_replace(name, '\\s+', ' ', 'g'))) AS k FROM p), c AS (SELECT k, name, count(*) AS n FROM k GROUP BY ALL), d AS MATERIALIZED (SELECT k, min((-n, name)) AS best FROM c GROUP BY k),
+e AS MATERIALIZED (SELECT a.k AS a, b.k AS b FROM d a JOIN d b ON a.k <> b.k AND abs(length(a.k) - length(b.k)) <= 1 AND levenshtein(a.k, b.k) <= 1),
+r AS (SELECT k, k AS m FROM d UNION SELECT e.b, r.m FROM r JOIN e ON r.k = e.a), o AS (SELECT k, min(m) AS root FROM r GROUP BY k), z AS (SELECT root, min(best)[2] AS canonical FROM o JOIN d USING (k) GROUP BY root)
+SELECT p_partkey, name, canonical FROM k JOIN o USING (k) JOIN z USING (root)""")
+def resolve_misspelt_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts, a quarter in capitals, a quarter without a letter and a quarter with a wrong one."""
+    n, w = F.col("p_partkey"), F.col("p_name")
+    i = (F.floor(n / 4) % F.length(w)).cast("int")
+    head, tail = F.substring(w, F.lit(1), i), F.substring(w, i + 2, F.length(w))
+    name = F.when(n % 4 == 0, w).when(n % 4 == 1, F.upper(w)).when(n % 4 == 2, F.concat(head, tail)).otherwise(F.concat(head, F.lit("x"), tail))
+    return resolve_names(table(spark, sf_dir, "part").select("p_partkey", name.alias("name")), "name")
+
+
 @query("""WITH l AS (SELECT doc_id, source, i, line FROM (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
 c AS (SELECT source, trim(line) AS t FROM l WHERE trim(line) <> '' GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3), k AS (SELECT l.* FROM l LEFT JOIN c ON l.source = c.source AND trim(l.line) = c.t WHERE c.t IS NULL)
 SELECT d.doc_id, d.source, coalesce(string_agg(line, chr(10) ORDER BY i), '') AS text FROM documents d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id, d.source""")
