@@ -113,6 +113,26 @@ def stream_index_document_frequency(spark: SparkSession, sf_dir: str) -> DataFra
     return index(spark, path).df
 
 
+@query("""WITH d AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'changed ' || source ELSE coalesce(text, '') END AS t FROM documents WHERE doc_id % 5 <> 0), w AS (SELECT regexp_extract_all(lower(t), '[\\p{L}\\p{N}_]+') AS w FROM d)
+SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(w)) AS term FROM w) GROUP BY term""")
+def stream_changes_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a stream of changes: all come, a third is replaced by other texts later, then a fifth is deleted."""
+    from gleaner.streaming import changes
+
+    folder, path, n = _path(spark, "in"), _path(spark, "index"), F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").select(n, n.alias(POSITION), "text", "source")
+    change = lambda text, gone: [POSITION, text.alias("text"), F.lit(gone).alias("gone"), F.lit(0).cast("long").alias("at")]
+    for step in (
+        rows.select(*change(F.col("text"), False)).repartition(3),
+        rows.where(n % 3 == 0).select(*change(F.concat(F.lit("changed "), F.col("source")), False)).coalesce(1),
+        rows.where(n % 5 == 0).select(*change(F.lit(None).cast("string"), True)).coalesce(1),
+    ):
+        step.write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(f"{POSITION} long, text string, gone boolean, at long").option("maxFilesPerTrigger", 1).parquet(folder)
+    changes.maintain(stream, path, _path(spark, "progress"), fan=2, availableNow=True).awaitTermination()
+    return changes.index(spark, path, fan=2).df
+
+
 @query("SELECT CAST(doc_id AS VARCHAR) AS id, lang FROM documents WHERE doc_id IN (7, 3)")
 def corpus_get_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).get([7, 100000000, 3], ["lang"]).select(F.col("doc_id").alias("id"), "lang")

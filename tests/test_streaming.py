@@ -29,3 +29,45 @@ def test_windows_on_a_stream(spark, tmp_path):
     query.awaitTermination()
     assert [(r.event_type, r.n, r.total) for r in spark.table("hours").collect()] == [("a", 2, 5.0)]
     assert windows.sessions(spark.read.parquet(str(tmp_path / "ev"))).count() == 3
+
+
+def test_changes_and_deletions_equal_a_batch_build(spark, tmp_path):
+    """Documents come, change, go and come again over 14 batches; after each the index is that of the state."""
+    import random
+
+    from gleaner.operators import ranking
+    from gleaner.streaming import changes
+
+    r = random.Random(3)
+    path, state = f"file://{tmp_path}/index", {}
+    schema = "_pos long, text string, gone boolean, at long"
+    sizes = []
+    for number in range(14):
+        rows = []
+        for at in range(r.randint(1, 12)):
+            pos = r.randrange(9)
+            text = None if r.random() < 0.1 else " ".join(r.choice(["a", "b", "c", "dd"]) for _ in range(r.randrange(6)))
+            gone = r.random() < 0.3
+            rows.append((pos, text, gone if r.random() < 0.8 or gone else None, at))
+            state[pos] = None if gone else text or ""
+        for again in range(2 if number in (3, 7) else 1):  # a repeated batch changes nothing
+            changes.apply_batch(spark.createDataFrame(rows, schema), number, path, fan=2)
+        if number in (0, 1, 6, 7, 12, 13):
+            want = ranking.build_index(spark.createDataFrame([(p, t) for p, t in state.items() if t is not None], "_pos long, text string"))
+            got = changes.index(spark, path, fan=2)
+            for a, b in ((got.tf, want.tf), (got.df, want.df)):
+                assert sorted(map(str, a.select(*sorted(a.columns)).collect())) == sorted(map(str, b.select(*sorted(b.columns)).collect())), number
+            assert tuple(got.stats.first()) == tuple(want.stats.first())
+            sizes.append(len(changes.runs_of(number + 1, changes._complete(spark, path), 2)))
+    assert sizes[-1] == 3  # 8 + 4 + 2 batches
+    assert changes.vacuum(spark, path, fan=2) > 10 and len(changes._complete(spark, path)) == 3
+    assert sorted(x.term for x in changes.index(spark, path, fan=2).df.collect()) == sorted(x.term for x in want.df.collect())
+
+
+def test_runs_of_an_unfinished_merge_are_its_parts():
+    from gleaner.streaming.changes import runs_of
+
+    there = {(i, i) for i in range(13)} | {(0, 3), (4, 7)}
+    assert runs_of(13, there) == [(0, 3), (4, 7), (8, 8), (9, 9), (10, 10), (11, 11), (12, 12)]
+    assert runs_of(16, there | {(13, 13), (14, 14), (15, 15), (8, 11), (12, 15), (0, 15)}) == [(0, 15)]
+    assert runs_of(0, set()) == []
