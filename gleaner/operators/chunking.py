@@ -47,7 +47,7 @@ def chunk_spans(df: DataFrame, text: Column, *, size: int = 200, overlap: int =
     part = gcd(size, step)
     blocks = F.regexp_extract_all(t, F.lit(rf"(?U)({W}++(?:{B}++{W}++){{0,{part - 1}}}+{B}*+)"), F.lit(1))
     lead = F.length(F.regexp_extract(t, rf"(?U)^({B}*+)", 1))
-    base = spread(df).select("*", blocks.alias("__b"), lead.cast("long").alias("__lead")).where("size(__b) > 0")
+    base = spread(df).select("*", blocks.alias("__b"), lead.cast("long").alias("__lead"))
     last = F.regexp_count(F.try_element_at("__b", F.lit(-1)), F.lit(rf"(?U){W}++"))
     base = base.select("*", ((F.size("__b") - 1) * part + last).alias("__n"), tx.running_totals(F.transform("__b", lambda x: F.length(x).cast("long"))).alias("__at"))
     n = F.col("__n")
@@ -61,8 +61,10 @@ def chunk_spans(df: DataFrame, text: Column, *, size: int = 200, overlap: int =
     # Bound to a variable, because the planner would put the expressions themselves into the function of each chunk.
     bound = F.struct(F.col("__b").alias("blocks"), F.col("__at").alias("at"), F.col("__lead").alias("lead"))
     base = base.select("*", count.alias("chunk_count"))
-    made = base.select("*", tx.let(bound, lambda row: F.transform(F.sequence(F.lit(0), F.col("chunk_count") - 1), lambda k: chunk(row, k))).alias("__c"))
-    rows = made.select(*[F.col(f"`{c}`") for c in df.columns], "chunk_count", "__n", F.explode("__c").alias("__c"))
+    chunks = tx.let(bound, lambda row: F.transform(F.sequence(F.lit(0), F.col("chunk_count") - 1), lambda k: chunk(row, k)))
+    made = base.select("*", F.when(F.size("__b") > 0, chunks).alias("__c"))
+    # explode_outer, because from explode the planner derives a filter on the whole array and computes it once more where the texts are read.
+    rows = made.select(*[F.col(f"`{c}`") for c in df.columns], "chunk_count", "__n", F.explode_outer("__c").alias("__c")).where("__c is not null")
     start = F.col("__c.k") * step
     end = F.least(start + size, n)
     return rows.select(
