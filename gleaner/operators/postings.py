@@ -18,6 +18,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,6 +83,33 @@ def counted(texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"{POSITION} long, len int, term string, tf int")
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted postings ``(term, frequent, block, _pos, tf, len, part)`` as a row a block; a block may go on in the next batch."""
+
+    def rows(part: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        pos, tf, length = (part.column(c).combine_chunks() for c in (POSITION, "tf", "len"))
+        ends = np.append(starts, len(part))
+        hits = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pos, tf, length], ["pos", "tf", "len"]))
+        first = part.select(["term", "frequent", "block"]).take(pa.array(starts)).combine_chunks()
+        peak = np.maximum.reduceat(part.column("part").to_numpy(), starts)
+        columns = [*(c.combine_chunks() for c in first.columns), pa.array(np.diff(ends), pa.int32()), pa.array(peak), hits]
+        return pa.RecordBatch.from_arrays(columns, ["term", "frequent", "block", "n", "peak", "hits"])
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+        term = held.column("term").combine_chunks().dictionary_encode().indices.to_numpy()
+        starts = np.append(0, np.flatnonzero((np.diff(term) != 0) | (np.diff(held.column("block").to_numpy()) != 0)) + 1)
+        if len(starts) > 1:
+            yield rows(held.slice(0, starts[-1]), starts[:-1])
+        held = held.slice(starts[-1])
+    if held is not None:
+        yield rows(held, np.array([0]))
+
+
 def write_blocks(texts: DataFrame, path: str, *, k1: float = ranking.K1, b: float = ranking.B, width: int = WIDTH, frequent: int = FREQUENT) -> BlockIndex:
     """Build the index of ``(_pos, text)`` under ``path``."""
     spark = texts.sparkSession
@@ -97,11 +125,11 @@ def write_blocks(texts: DataFrame, path: str, *, k1: float = ranking.K1, b: floa
     # Few terms are frequent, so the planner sends them to the postings.
     marked = tf.join(terms.where("frequent").select("term", "frequent"), "term", "left").withColumn("frequent", F.coalesce("frequent", F.lit(False))).crossJoin(avg)
     block = F.when(F.col("frequent"), window(F.col(POSITION), F.col("len"), F.lit(width))).otherwise(F.floor(F.col(POSITION) / F.lit(ZONE))).alias("block")
-    hit = F.struct(F.col(POSITION).alias("pos"), F.col("tf").cast("int").alias("tf"), F.col("len").cast("int").alias("len"))
-    each = marked.select("term", "frequent", block, hit.alias("hit"), factor(F.col("tf"), F.col("len"), F.col("avg_len"), k1, b).alias("part"))
-    # One shuffle: what is dealt by term and block is grouped, sorted and written where it is.
-    grouped = each.repartition("term", "block").groupBy("term", "frequent", "block").agg(F.count("*").cast("int").alias("n"), F.max("part").alias("peak"), F.array_sort(F.collect_list("hit")).alias("hits"))
-    grouped.sortWithinPartitions("term", "block").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/blocks")
+    part = factor(F.col("tf"), F.col("len"), F.col("avg_len"), k1, b).alias("part")
+    # One shuffle: what is dealt by term and block is sorted, packed and written where it is.
+    dealt = marked.select("term", "frequent", block, POSITION, "tf", "len", part).repartition("term", "block").sortWithinPartitions("term", "block", POSITION)
+    hits = "array<struct<pos: long, tf: int, len: int>>"
+    dealt.mapInArrow(_pack, f"term string, frequent boolean, block long, n int, peak double, hits {hits}").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/blocks")
     return BlockIndex.load(spark, path)
 
 
