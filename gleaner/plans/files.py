@@ -55,11 +55,12 @@ def ingest_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS text, n_regionkey::BIGINT AS region FROM nation")
 def ingest_json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One JSON object that holds its records under a key."""
+    """JSON objects that hold their records under a key, each of a bounded number of records and in a file of its own."""
     record = F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("text"), F.col("n_regionkey").alias("region"))
-    whole = table(spark, sf_dir, "nation").agg(F.to_json(F.struct(F.collect_list(record).alias("records"))).alias("value"))
+    parts = table(spark, sf_dir, "nation").groupBy(F.floor(F.col("n_nationkey") / 10).alias("part"))
+    objects = parts.agg(F.to_json(F.struct(F.collect_list(record).alias("records"))).alias("value"))
     path = _path(spark, "nations.json")
-    whole.write.text(path)
+    objects.write.partitionBy("part").text(path)
     return cp.from_file(spark, path).df.select("id", "text", F.col("region").cast("long").alias("region"))
 
 
