@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 from gleaner.functions import text as tx
 from gleaner.operators import bloom
-from gleaner.session import checkpointed
+from gleaner.session import checkpointed, drop_at_exit, drop_folder, shared_folder
 from gleaner.sources import corpus as cp
 from gleaner.sources.corpus import POSITION
 
@@ -58,6 +59,7 @@ class Graph:
     name: str = "graph"
     schema: Any = None
     source: str | None = None
+    index: tuple[str, DataFrame] | None = None
 
     @classmethod
     def of(cls, df: DataFrame, *, name: str = "graph", schema: Any = None, source: str | None = None, check: bool = True, **columns: str) -> Graph:
@@ -106,31 +108,82 @@ class Graph:
         other = F.when((s == key) & (o != key), F.col("object")).when((o == key) & (s != key), F.col("subject"))
         return self._allowed(relations).select(POSITION, other.alias("name")).where("name is not null").groupBy("name").agg(F.min(POSITION).alias("p")).orderBy("p").select("name")
 
-    def subgraph(self, seeds: Sequence[str], *, hops: int = 1, relations: Sequence[str] | None = None, max_facts: int | None = None) -> DataFrame:
-        """Facts within ``hops`` of the seeds, each once, ordered by hop, then by the order entities were reached, then position."""
+    def indexed(self, *, buckets: int | None = None, hot: int = 100_000) -> Graph:
+        """This graph with its adjacency written once, bucketed by key, for any number of later searches.
+
+        A search then shuffles its frontier only.  The facts of a key with more than ``hot`` of them are dealt to parts
+        of about that many, so that no bucket holds a hub alone; a table of such keys tells a frontier how many to ask.
+        """
         spark = self.facts.sparkSession
-        asked = spark.createDataFrame([(i, s) for i, s in enumerate(seeds)], "i long, name string")
-        keys = asked.groupBy(tx.collapse(F.col("name")).alias("key")).agg(F.min("i").alias("fr"))
-        frontier = keys.join(self.ends.select("key"), "key", "left_semi")
-        adjacent = self.adjacency(relations)
-        reached, found = frontier.select("key"), None
+        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        plain = checkpointed(self.facts.select(POSITION, "relation", tx.collapse(F.col("subject")).alias("s"), tx.collapse(F.col("object")).alias("o")))
+        each = plain.select("*", F.explode(F.array_distinct(F.array("s", "o"))).alias("key"))
+        hubs = each.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key", F.ceil(F.col("n") / hot).alias("parts"))
+        hubs = checkpointed(hubs)  # fewer than two facts' ends for each ``hot``
+        dealt = each.join(hubs, "key", "left").withColumn("part", F.pmod(F.xxhash64(POSITION), F.coalesce("parts", F.lit(1))))
+        name = f"adjacency_{uuid.uuid4().hex}"
+        rows = dealt.select("key", "part", POSITION, "relation", "s", "o").repartition(n, "key", "part")
+        path = f"{shared_folder(spark)}/{name}"
+        rows.write.bucketBy(n, "key", "part").sortBy("key", "part").option("path", path).saveAsTable(name)
+        drop_at_exit(spark, path)
+        return replace(self, index=(name, hubs))
+
+    def drop_index(self) -> None:
+        """Delete the written adjacency; graphs that share it go back to their facts."""
+        if self.index:
+            spark = self.facts.sparkSession
+            spark.sql(f"DROP TABLE IF EXISTS {self.index[0]}")
+            drop_folder(spark, f"{shared_folder(spark)}/{self.index[0]}")
+
+    def _around(self, frontier: DataFrame, relations: Sequence[str] | None) -> DataFrame:
+        """``(qid, path, _pos, s, o)``: the facts of every key ``(qid, key, path)`` of a frontier."""
+        if self.index is None:
+            return self.adjacency(relations).join(frontier, "key").select("qid", "path", POSITION, "s", "o")
+        name, hubs = self.index
+        kept = self.facts.sparkSession.table(name)
+        if relations is not None:
+            kept = kept.where(F.col("relation").isin(list(relations)))
+        asked = frontier.join(hubs, "key", "left").select("qid", "path", "key", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        return kept.join(asked, ["key", "part"]).select("qid", "path", POSITION, "s", "o")
+
+    def subgraphs(self, seeds: DataFrame, *, hops: int = 1, relations: Sequence[str] | None = None, max_facts: int | None = None) -> DataFrame:
+        """``(qid, hop, path, facts…)``: the facts within ``hops`` of each question's seeds ``(qid, fr, name)``, once a question.
+
+        All questions go out together, one written table a hop.  Facts come by hop, then by the order in which entities
+        were reached, then position.  That order is the entity's ``path``: its seed's place, then position and role of
+        every fact on the way, so neighbours need no numbering.  With ``max_facts`` each question keeps its first, and
+        ``n`` counts them from 1.  Unknown and null names and questions without facts give no rows; equal names count once.
+        """
+        key = tx.collapse(F.col("name"))
+        frontier = seeds.groupBy("qid", key.alias("key")).agg(F.array(F.min("fr").cast("long")).alias("path")).where("key is not null")
+        reached, found = frontier.select("qid", "key"), None
         for hop in range(1, hops + 1):
-            hit = adjacent.join(frontier, "key")
-            new = hit.groupBy(POSITION).agg(F.min("fr").alias("fr"))
-            if found is not None:
-                new = new.join(found.select(POSITION), POSITION, "left_anti")
-            new = new.select(F.lit(hop).alias("hop"), "fr", POSITION)
-            found = checkpointed(new if found is None else found.unionByName(new))
-            if hop == hops:
-                break
-            ends = hit.select(POSITION, "fr", F.posexplode(F.array("s", "o")).alias("role", "key"))
-            ends = ends.join(reached, "key", "left_anti").groupBy("key").agg(F.min(F.struct("fr", POSITION, "role")).alias("at"))
-            # The order of entities reached is a running number; sorting by the struct itself carries it further.
-            frontier = checkpointed(cp.numbered(ends, "at").select("key", F.col(POSITION).alias("fr")))
-            reached = checkpointed(reached.unionByName(frontier.select("key")))
+            hit = self._around(frontier, relations)
+            if hop < hops:
+                hit = checkpointed(hit)
+            # An end is in one frontier only, so a fact comes again in the next hop at most; the least of both stays.
+            rows = hit.select("qid", POSITION, F.struct(F.lit(hop).alias("hop"), "path").alias("at"))
+            found = rows if found is None else found.unionByName(rows)
+            if hop < hops:
+                ends = hit.select("qid", "path", POSITION, F.posexplode(F.array("s", "o")).alias("role", "key"))
+                way = F.concat("path", F.array(F.col(POSITION), F.col("role").cast("long")))
+                # What was reached before could only repeat facts; a null question keeps it, to the same result.
+                new = ends.join(reached, ["qid", "key"], "left_anti").groupBy("qid", "key").agg(F.min(way).alias("path"))
+                frontier = checkpointed(new)
+                reached = reached.unionByName(frontier.select("qid", "key"))
         if found is None:
-            return self.facts.limit(0)
-        out = self.facts.join(found, POSITION).orderBy("hop", "fr", POSITION)
+            return self.facts.join(seeds.select("qid", F.lit(0).alias("hop"), F.array().cast("array<long>").alias("path")), F.lit(False))
+        first = found.groupBy("qid", POSITION).agg(F.min("at").alias("at"))
+        kept = ["qid", "at.hop", "at.path", POSITION]
+        if max_facts is not None:
+            first = first.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("at", POSITION))).where(F.col("n") <= max_facts)
+            kept.append("n")
+        return self.facts.join(first.select(*kept), POSITION)
+
+    def subgraph(self, seeds: Sequence[str], *, hops: int = 1, relations: Sequence[str] | None = None, max_facts: int | None = None) -> DataFrame:
+        """Facts within ``hops`` of the seeds, each once, ordered by hop, then by the order entities were reached, then position."""
+        asked = self.facts.sparkSession.createDataFrame([(0, i, s) for i, s in enumerate(seeds)], "qid int, fr long, name string")
+        out = self.subgraphs(asked, hops=hops, relations=relations).orderBy("hop", "path", POSITION).drop("qid")
         return out if max_facts is None else out.limit(max_facts)
 
     def find_entities(self, texts: DataFrame) -> DataFrame:

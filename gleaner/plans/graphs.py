@@ -56,6 +56,47 @@ def kg_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts(spark, sf_dir).neighbors("EUROPE")
 
 
+#: With the parts that suppliers supply, by the line items; positions are a range of their own.
+SUPPLY_SQL = f"""{FACTS_SQL}, supply AS (SELECT * FROM facts UNION ALL SELECT DISTINCT 3000000000 + l_suppkey::BIGINT * 10000000 + l_partkey, s_name, 'supplies', p_name || ' #' || p_partkey, 'supplier', 'part'
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey)"""
+
+
+def supply(spark: SparkSession, sf_dir: str) -> graph.Graph:
+    """The trade graph and, from the line items, which supplier supplies which part."""
+    t = lambda name: table(spark, sf_dir, name)
+    pairs = t("lineitem").select("l_suppkey", "l_partkey").distinct()
+    named = pairs.join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+    place = F.lit(3_000_000_000) + F.col("l_suppkey").cast("long") * 10_000_000 + F.col("l_partkey")
+    rows = named.select(
+        place.alias(POSITION), F.col("s_name").alias("subject"), F.lit("supplies").alias("relation"), F.concat("p_name", F.lit(" #"), "p_partkey").alias("object"),
+        F.lit("supplier").alias("subject_type"), F.lit("part").alias("object_type"),
+    )
+    every = facts(spark, sf_dir).facts.select(*rows.columns).unionByName(rows)
+    return graph.Graph.of(every, name="supply", check=False)
+
+
+#: Every hop in SQL: ends reached with their ways, the facts around them, and what is reached from there.
+SUBGRAPHS_SQL = f"""WITH {SUPPLY_SQL}, e AS MATERIALIZED (SELECT pos, subject, relation, object, {KEY.format('subject')} AS s, {KEY.format('object')} AS o FROM supply),
+adj AS MATERIALIZED (SELECT s AS key, * FROM e UNION ALL SELECT o, * FROM e WHERE s <> o),
+f1 AS (SELECT n_nationkey AS qid, {KEY.format('n_name')} AS key, [0::BIGINT] AS path FROM nation),
+h1 AS MATERIALIZED (SELECT qid, path, adj.* FROM f1 JOIN adj USING (key)),
+f2 AS MATERIALIZED (SELECT qid, x.key, min(list_concat(path, [pos, x.role])) AS path FROM (SELECT *, unnest([{{'key': s, 'role': 0::BIGINT}}, {{'key': o, 'role': 1::BIGINT}}]) AS x FROM (SELECT qid, path, pos, s, o FROM h1)) h
+  WHERE (qid, x.key) NOT IN (SELECT (qid, key) FROM f1) GROUP BY ALL),
+h2 AS MATERIALIZED (SELECT qid, path, adj.* FROM f2 JOIN adj USING (key)),
+a AS (SELECT qid, pos, 1 AS hop, path FROM h1 UNION ALL SELECT qid, pos, 2, path FROM h2),
+b AS (SELECT *, row_number() OVER (PARTITION BY qid, pos ORDER BY hop, path) AS again FROM a),
+c AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hop, path, pos) AS n FROM b WHERE again = 1)
+SELECT qid, n::INTEGER AS n, hop, pos, subject, relation, object FROM c JOIN supply USING (pos) WHERE n <= 500"""
+
+
+@query(SUBGRAPHS_SQL)
+def kg_subgraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 500 facts within two hops of every nation, over an adjacency written once, in the order of a breadth-first search."""
+    g = supply(spark, sf_dir).indexed()
+    seeds = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("qid"), F.lit(0).alias("fr"), F.col("n_name").alias("name"))
+    return g.subgraphs(seeds, hops=2, max_facts=500).select("qid", "n", "hop", F.col(POSITION).alias("pos"), "subject", "relation", "object")
+
+
 @query(f"""WITH {FACTS_SQL}, {ENDS_SQL}, h1 AS (SELECT DISTINCT pos FROM ends WHERE key = 'europe'), f AS (SELECT DISTINCT key FROM ends WHERE pos IN (SELECT pos FROM h1)),
 h2 AS (SELECT DISTINCT pos FROM ends WHERE key IN (SELECT key FROM f) AND pos NOT IN (SELECT pos FROM h1))
 SELECT 1 AS hop, pos, subject, relation, object FROM facts JOIN h1 USING (pos) UNION ALL SELECT 2, pos, subject, relation, object FROM facts JOIN h2 USING (pos)""")

@@ -54,18 +54,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
         return df.checkpoint()
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _stored.append((spark, path))
+    drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    _stored.append((spark, path))
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system its path names."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @atexit.register
 def drop_stored() -> None:
     """Delete the tables of ``checkpointed``; lazy results that read them end with it."""
     while _stored:
         spark, path = _stored.pop()
         try:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            drop_folder(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone already; the folder is the cluster's to purge
             pass
 
