@@ -155,7 +155,7 @@ class Graph:
         ``n`` counts them from 1.  Unknown and null names and questions without facts give no rows; equal names count once.
         """
         key = tx.collapse(F.col("name"))
-        frontier = seeds.groupBy("qid", key.alias("key")).agg(F.array(F.min("fr").cast("long")).alias("path")).where("key is not null")
+        frontier = seeds.groupBy("qid", key.alias("key")).agg(F.array(F.min("fr").cast("long")).alias("path")).where("key <> ''")
         reached, found = frontier.select("qid", "key"), None
         for hop in range(1, hops + 1):
             hit = self._around(frontier, relations)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +65,36 @@ def ingest_json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cp.from_file(spark, path).df.select("id", "text", F.col("region").cast("long").alias("region"))
 
 
+@query("SELECT doc_id AS id, text, lang, octet_length(encode(coalesce(text, ''))) AS bytes, true AS several FROM documents WHERE lang IS NOT NULL AND doc_id >= 0")
+def read_wrapped_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as JSON files with their records under a key, decoded record by record in several partitions."""
+    from gleaner.sources import wrapped
+
+    path = _path(spark, "wrapped")
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    wrapped.write(rows, path, files=6)
+    wrapped.register(spark)
+    conditions = json.dumps([["lang", "null", False], ["id", ">=", 0]])
+    back = spark.read.format("wrapped_json").schema("id long, text string, lang string").options(partitionBytes=1 << 20, where=conditions).load(path)
+    several = F.lit(back.rdd.getNumPartitions() > 1)
+    return back.select("id", "text", "lang", F.octet_length(F.coalesce("text", F.lit(""))).alias("bytes"), several.alias("several"))
+
+
+@query("""SELECT lang, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY lang""")
+def stream_wrapped_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Such files as a stream: one run takes the files of one language, the next, from its checkpoint, those that came since."""
+    from gleaner.sources import wrapped
+
+    path, out, progress = (_path(spark, name) for name in ("wrapped", "rows", "progress"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    wrapped.register(spark)
+    for part in (rows.where("lang = 'en'"), rows.where("lang is distinct from 'en'")):
+        wrapped.write(part, path, files=3)
+        stream = spark.readStream.format("wrapped_json").schema(rows.schema).load(path)
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out).groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
 @query("SELECT CAST(doc_id AS VARCHAR) AS id, quality || '+' || toxic || '+it''s' AS tags FROM labels")
 def ingest_list_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells that are list literals, in JSON or in Python quoting, become arrays."""
