@@ -16,6 +16,7 @@ from gleaner.functions import text as tx
 from gleaner.operators import bloom
 from gleaner.session import checkpointed, drop_at_exit, drop_folder, shared_folder
 from gleaner.sources import corpus as cp
+from gleaner.sources import wrapped
 from gleaner.sources.corpus import POSITION
 
 CORE = ("subject", "relation", "object")
@@ -102,11 +103,11 @@ class Graph:
         return self._allowed(relations).where((tx.collapse(F.col("subject")) == key) | (tx.collapse(F.col("object")) == key)).orderBy(POSITION)
 
     def neighbors(self, entity: str, relations: Sequence[str] | None = None) -> DataFrame:
-        """The other ends of its facts, by their spelling, in order of first appearance."""
+        """``name, first_pos``: the other ends of its facts, by their spelling, in order of first appearance."""
         key = tx.collapse(F.lit(entity))
         s, o = tx.collapse(F.col("subject")), tx.collapse(F.col("object"))
         other = F.when((s == key) & (o != key), F.col("object")).when((o == key) & (s != key), F.col("subject"))
-        return self._allowed(relations).select(POSITION, other.alias("name")).where("name is not null").groupBy("name").agg(F.min(POSITION).alias("p")).orderBy("p").select("name")
+        return self._allowed(relations).select(POSITION, other.alias("name")).where("name is not null").groupBy("name").agg(F.min(POSITION).alias("first_pos")).orderBy("first_pos")
 
     def indexed(self, *, buckets: int | None = None, hot: int = 100_000) -> Graph:
         """This graph with its adjacency written once, bucketed by key, for any number of later searches.
@@ -283,11 +284,38 @@ def from_records(spark: SparkSession, records: Iterable[dict[str, Any]], **optio
 
 
 def from_node_link(df: DataFrame, *, relation: str = "relation", kind: str = "type", **options: Any) -> Graph:
-    """From one row with ``nodes`` and ``links`` (or ``edges``): node types reach their facts by two joins."""
+    """From one row with ``nodes`` and ``links`` (or ``edges``)."""
     links = "links" if "links" in df.columns else "edges"
-    nodes = df.select(F.inline("nodes"))
-    typed = nodes.select(F.col("id").cast("string").alias("id"), (F.col(kind) if kind in nodes.columns else F.lit(None)).cast("string").alias("t"))
     edges = df.select(F.posexplode(links).alias(POSITION, "l")).select(F.col(POSITION).cast("long").alias(POSITION), "l.*")
+    return _linked(df.select(F.inline("nodes")), edges, relation, kind, options)
+
+
+def read_node_link(spark: SparkSession, path: str, *, relation: str = "relation", kind: str = "type", **options: Any) -> Graph:
+    """From node-link JSON objects of any size, one or a folder of them: nodes and links are decoded one by one.
+
+    A file may have both arrays or one; facts have the order of the files' names and of the links in them.
+    """
+    wrapped.register(spark)
+
+    def of(key: str) -> DataFrame:
+        schema = f"{wrapped.FILE} string, {wrapped.RECORD} long, {wrapped.RAW} string"
+        return spark.read.format("wrapped_json").schema(schema).options(key=key, missing="empty").load(path)
+
+    def parsed(rows: DataFrame, *kept: str) -> DataFrame:
+        fields = spark.read.json(rows.select(wrapped.RAW).rdd.map(lambda r: r[0])).schema
+        return rows.select(*kept, F.from_json(wrapped.RAW, fields).alias("r")).select(*kept, "r.*")
+
+    links = of("links")
+    links = of("edges") if links.isEmpty() else links
+    numbered = cp.numbered(links, [wrapped.FILE, wrapped.RECORD])  # a written table, which inference and facts read
+    return _linked(parsed(checkpointed(of("nodes"))), parsed(numbered, POSITION), relation, kind, options)
+
+
+def _linked(nodes: DataFrame, edges: DataFrame, relation: str, kind: str, options: dict[str, Any]) -> Graph:
+    """Node types reach their facts by two joins; a link without a relation is ``related_to``."""
+    if "id" not in nodes.columns:
+        nodes = nodes.select(F.lit(None).cast("string").alias("id")).limit(0)
+    typed = nodes.select(F.col("id").cast("string").alias("id"), (F.col(kind) if kind in nodes.columns else F.lit(None)).cast("string").alias("t"))
     told = F.coalesce(F.col(relation).cast("string"), F.lit("related_to")) if relation in edges.columns else F.lit("related_to")
     extra = [c for c in edges.columns if c not in ("source", "target", "key", relation, POSITION)]
     base = edges.select(POSITION, F.col("source").cast("string").alias("subject"), told.alias("relation"), F.col("target").cast("string").alias("object"), *extra)

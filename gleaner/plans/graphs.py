@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as tx
 from gleaner.operators import graph
 from gleaner.plans.registry import query, table
-from gleaner.sources.corpus import POSITION
+from gleaner.session import shared_folder
+from gleaner.sources import wrapped
+from gleaner.sources.corpus import POSITION, numbered
 
 #: Facts by formula: suppliers and customers are located in nations, nations are part of regions; positions are disjoint ranges.
 FACTS_SQL = """facts AS (
@@ -53,7 +57,7 @@ def kg_facts_about(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {FACTS_SQL} SELECT DISTINCT CASE WHEN lower(object) = 'europe' THEN subject ELSE object END AS name FROM facts WHERE lower(subject) = 'europe' OR lower(object) = 'europe'")
 def kg_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts(spark, sf_dir).neighbors("EUROPE")
+    return facts(spark, sf_dir).neighbors("EUROPE").select("name")
 
 
 #: With the parts that suppliers supply, by the line items; positions are a range of their own.
@@ -158,16 +162,26 @@ def kg_link_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.array_join("entities", ",").alias("entities"))
 
 
-@query("SELECT n_name AS subject, CASE WHEN n_nationkey % 2 = 0 THEN 'part_of' ELSE 'related_to' END AS relation, r_name AS object, 'nation' AS subject_type, 'region' AS object_type, n_nationkey::BIGINT AS weight FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query(f"""SELECT c_name AS subject, CASE WHEN c_custkey % 2 = 0 THEN 'buys_in' ELSE 'related_to' END AS relation, n_name AS object, 'customer' AS subject_type, 'nation' AS object_type, c_custkey::BIGINT AS weight
+FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def kg_node_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A node-link object: types come from the nodes, and links without a relation are related_to."""
-    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    nodes = n.select(F.col("n_name").alias("id"), F.lit("nation").alias("type")).unionByName(r.select(F.col("r_name").alias("id"), F.lit("region").alias("type")))
-    links = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(
-        F.col("n_name").alias("source"), F.col("r_name").alias("target"), F.when(F.col("n_nationkey") % 2 == 0, "part_of").alias("relation"), F.col("n_nationkey").cast("long").alias("weight")
+    """Node-link objects written and read one node or link at a time: types come from the nodes, and links without a relation are related_to."""
+    n, c = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    nodes = n.select(F.col("n_name").alias("id"), F.lit("nation").alias("type")).unionByName(c.select(F.col("c_name").alias("id"), F.lit("customer").alias("type")))
+    links = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_name").alias("source"), F.col("n_name").alias("target"), F.when(F.col("c_custkey") % 2 == 0, "buys_in").alias("relation"), F.col("c_custkey").cast("long").alias("weight")
     )
-    whole = nodes.agg(F.collect_list(F.struct("id", "type")).alias("nodes")).crossJoin(links.agg(F.collect_list(F.struct("source", "target", "relation", "weight")).alias("links")))  # one row each
-    return graph.from_node_link(whole).facts.select("subject", "relation", "object", "subject_type", "object_type", "weight")
+    path = f"{shared_folder(spark)}/gleaner-files/{uuid.uuid4().hex}"
+    wrapped.write(nodes, path, files=2, key="nodes")
+    wrapped.write(links, path, files=3, key="links")
+    return graph.read_node_link(spark, path, check=False).facts.select("subject", "relation", "object", "subject_type", "object_type", "weight")
+
+
+@query(f"""WITH {FACTS_SQL}, m AS (SELECT CASE WHEN lower(object) = 'asia' THEN subject ELSE object END AS name, min(pos) AS p FROM facts WHERE lower(subject) = 'asia' OR lower(object) = 'asia' GROUP BY 1)
+SELECT name, row_number() OVER (ORDER BY p) - 1 AS place FROM m""")
+def kg_neighbors_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbours of an entity with their places, as they come."""
+    return numbered(facts(spark, sf_dir).neighbors("Asia"), "first_pos", "place").select("name", "place")
 
 
 @query("SELECT DISTINCT unnest(['S' || (s_suppkey % 7), 'N' || s_nationkey]) AS source_id FROM supplier")

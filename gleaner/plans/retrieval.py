@@ -155,6 +155,33 @@ def retrieve_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(ranking.top_k(ranking.boosted(scores, boosts), 10), c)
 
 
+#: Labels of a document in SQL: its language and source in a list, none for every fourth.
+LABELS = "CASE WHEN doc_id % 4 > 0 THEN [lang, 'from ' || source] END"
+
+
+@query(f"{_bm25(_asked([QUESTION]))}, kept AS (SELECT s.* FROM scores s JOIN documents USING (doc_id) WHERE list_has_any({LABELS}, ['fr', 'from src1', '7'])), {RANKED.replace('FROM scores', 'FROM kept')}, top AS (SELECT * FROM ranked WHERE rank <= 10) {SHOW}")
+def retrieve_filtered_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter on a field that holds lists, null in some rows: any of the values in any place of the list."""
+    c, scores = _sparse(spark, sf_dir, [QUESTION])
+    told = c.df.withColumn("labels", F.when(F.col(POSITION) % 4 > 0, F.array(F.col("lang"), F.concat(F.lit("from "), "source"))))
+    return _shown(ranking.top_k(ranking.kept(scores, told.where(ranking.matches(told, {"labels": ["fr", "from src1", 7]}))), 10), c)
+
+
+#: Dates of which every third row has none and every seventh one that is no date.
+PARTLY = f"CASE WHEN doc_id % 3 > 0 AND doc_id % 7 > 0 THEN {DATE} END"
+
+
+@query(f"{_bm25(_asked([QUESTION]))}, boosted AS (SELECT qid, doc_id, score * pow(0.5::DOUBLE, greatest(0, date_diff('day', {PARTLY}, DATE '2024-06-30')) / 30.0::DOUBLE) AS score FROM scores WHERE {PARTLY} IS NOT NULL), {RANKED.replace('FROM scores', 'FROM boosted')}, top AS (SELECT * FROM ranked WHERE rank <= 2000) SELECT rank, doc_id, round(score, 6) AS score FROM top")
+def retrieve_recency_undated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recency to a day in the middle of the year: later rows are as new as can be, undated ones and texts that are no date sink to nothing."""
+    c, scores = _sparse(spark, sf_dir, [QUESTION])
+    n = F.col(POSITION)
+    date = F.when(n % 3 == 0, None).when(n % 7 == 0, "some day").otherwise(F.col("date"))
+    boosts = c.df.select(POSITION, ranking.recency(date, F.lit("2024-06-30").cast("date"), 30).alias("boost"))
+    found = ranking.top_k(ranking.boosted(scores, boosts), 2000).where("score > 0")
+    return found.select(F.col("rank").cast("int").alias("rank"), F.col(POSITION).alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 VECTORS = "vecs AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)), qv AS (SELECT 0 AS qid, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 1)"
 DENSE = "dense AS (SELECT qid, doc_id, list_cosine_similarity(e, q) AS score FROM vecs CROSS JOIN qv WHERE list_cosine_similarity(e, q) > 0)"
 

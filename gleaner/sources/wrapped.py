@@ -8,14 +8,15 @@ queries over the same DataFrame, even for the other side of a union.  As a strea
 modification times.
 
 Options: ``path`` (a file or folder of any file system that pyarrow knows), ``key`` (where an object holds its array;
-without it the first of ``WRAPPERS`` that holds one, which costs objects a first pass), ``partitionbytes`` (64 MB), ``where`` (a JSON list of ``[column, test, value]``, all of
+without it the first of ``WRAPPERS`` that holds one, which costs objects a first pass), ``partitionbytes`` (64 MB), ``missing`` (``empty``: an object
+without an array under ``key`` gives no rows), ``where`` (a JSON list of ``[column, test, value]``, all of
 which must hold; tests are =, <>, <, <=, >, >=, in, prefix, suffix, contains, null with the value true or false; columns are
 those of the schema with text, whole number or truth value; a null satisfies only the test for null, as in SQL).
 
 Written with ``mode("append")``, every task's rows become one file of that form, row by row; ``key`` names the array.
 
 A schema must be given.  Besides the records' fields it may name ``_file string`` and ``_record long``, the file and
-the place in it.  A value that does not fit its column is null; a string column takes other values as JSON.  A file
+the place in it, and ``_json string``, the whole record.  A value that does not fit its column is null; a string column takes other values as JSON.  A file
 that ends inside a record, or has no array, is an error; an empty array gives no rows; array elements that are not
 objects give rows of nulls.
 """
@@ -38,7 +39,7 @@ from pyspark.sql import types as T
 from gleaner.session import prepare
 from gleaner.sources.corpus import WRAPPERS
 
-FILE, RECORD = "_file", "_record"
+FILE, RECORD, RAW = "_file", "_record", "_json"
 _BLOCK = 1 << 18
 _SPACE = " \t\r\n"
 
@@ -146,7 +147,7 @@ def _wrapper(text: _Text) -> str | None:
     return next((w for w in WRAPPERS if w in seen), None)
 
 
-def records(blocks: Callable[[], Iterator[str]], key: str | None = None) -> Iterator[Any]:
+def records(blocks: Callable[[], Iterator[str]], key: str | None = None, *, missing: str = "error") -> Iterator[Any]:
     """The records of a JSON text, which ``blocks()`` begins anew each time."""
     text = _Text(blocks())
     if text.peek() == "[":
@@ -159,6 +160,8 @@ def records(blocks: Callable[[], Iterator[str]], key: str | None = None) -> Iter
                 yield from text.elements(text.value)
                 return
             text.value()
+        if key and missing == "empty":
+            return
     raise ValueError(f"expected a JSON array of records, or an object with one of {', '.join(WRAPPERS)}")
 
 
@@ -274,7 +277,7 @@ class _Rows:
             raise ValueError("wrapped_json needs a path")
         for f in schema.fields:
             caster(f.dataType)  # an unfit column is told before any task runs
-        self.where = options.get("where")
+        self.where, self.missing = options.get("where"), options.get("missing", "error")
         self.tests()
 
     def tests(self) -> list[tuple[str, Callable[[Any], bool]]]:
@@ -287,12 +290,12 @@ class _Rows:
     def rows(self, paths: Sequence[str]) -> Iterator[tuple]:
         tests = self.tests()
         casts = {f.name: caster(f.dataType) for f in self.schema.fields}
-        first = [(name, test) for name, test in tests if name not in (FILE, RECORD)]
-        later = [(name, test) for name, test in tests if name in (FILE, RECORD)]
+        first = [(name, test) for name, test in tests if name not in (FILE, RECORD, RAW)]
+        later = [(name, test) for name, test in tests if name in (FILE, RECORD, RAW)]
         for path in paths:
-            for place, record in enumerate(records(lambda p=path: _blocks(p), self.key)):
+            for place, record in enumerate(records(lambda p=path: _blocks(p), self.key, missing=self.missing)):
                 got = record if isinstance(record, dict) else {}
-                known = {FILE: path, RECORD: place}
+                known = {FILE: path, RECORD: place} | ({RAW: _text(record)} if RAW in casts else {})
                 if all(test(casts[name](got.get(name))) for name, test in first) and all(test(known[name]) for name, test in later):
                     yield tuple(known[name] if name in known else cast(got.get(name)) for name, cast in casts.items())
 
