@@ -8,7 +8,8 @@ best-fit and emits the nearly full bins; the pieces of underfull bins go on as i
 nodes into one, with best-fit again at each node, up to a root that emits everything.  Above the tasks only
 counts by length move (at most ``capacity`` numbers a node), because pieces of one length are
 interchangeable: a node decides for ranges of ordinals, and each piece finds its place by its ordinal.  So no
-node, not even the root, ever holds the pieces themselves, however many are left.
+node, not even the root, ever holds the pieces themselves, however many are left.  With ``whole_bins`` the items
+that go on are the closed bins, counted by their fill, and a piece also keeps its place inside its bin.
 
 Both use the same best-fit-decreasing search: bins of equal residual capacity stand together, and a segment
 tree over residuals finds the smallest one that takes the next length.
@@ -100,20 +101,27 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, tupl
     return [(n, residual, what) for residual, stack in stacks.items() for n, what in stack]
 
 
-def placed(groups: Sequence[tuple], spare: int) -> tuple[list[tuple[int, int, int, int, int]], dict[int, int], int]:
-    """Ranges ``(length, ordinal, n, bin, offset)`` of the groups with residual up to ``spare``; pieces used by length; bins."""
-    rows, used, bins = [], {}, 0
+def placed(groups: Sequence[tuple], spare: int, capacity: int, whole_bins: bool = False) -> tuple[list[tuple[int, ...]], dict[int, int], int, dict[int, int]]:
+    """Ranges ``(size, ordinal, n, bin, offset, fill, first)`` of the items of the groups, items used by size, bins emitted, closed bins by fill.
+
+    Groups with residual up to ``spare`` are emitted.  Of the others, whole bins become items of their fill, with
+    ordinals from ``first`` and ``bin`` -1, or else their items are left as they were.
+    """
+    rows, used, bins, closed = [], {}, 0, {}
     for n, residual, what in groups:
-        if residual > spare:
+        if residual > spare and not whole_bins:
             continue
-        offset = 0
-        for length, times in what:
+        emitted, fill, offset = residual <= spare, capacity - residual, 0
+        for size, times in what:
             for _ in range(times):
-                rows.append((length, used.get(length, 0), n, bins, offset))
-                used[length] = used.get(length, 0) + n
-                offset += length
-        bins += n
-    return rows, used, bins
+                rows.append((size, used.get(size, 0), n, bins if emitted else -1, offset, fill, closed.get(fill, 0)))
+                used[size] = used.get(size, 0) + n
+                offset += size
+        if emitted:
+            bins += n
+        else:
+            closed[fill] = closed.get(fill, 0) + n
+    return rows, used, bins, closed
 
 
 def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -201,10 +209,13 @@ def write_matrices(packed: DataFrame, path: str) -> None:
 
 def pack_hierarchically(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end: int = END,
-    vocabulary: str | None = None, spare: int | None = None, buffer_pieces: int = 1 << 18,
+    vocabulary: str | None = None, spare: int | None = None, buffer_pieces: int = 1 << 18, whole_bins: bool = False,
 ) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
+    With ``whole_bins`` an underfull bin goes up closed, as one item of its fill; without, its pieces go up by
+    themselves, which packs tighter.
+
     ``spare`` is the residual up to which a bin counts as nearly full below the root (1/256 of capacity).  A task
     packs ``buffer_pieces`` at a time, which bounds its memory.
     """
@@ -221,15 +232,20 @@ def pack_hierarchically(
             nonlocal bins
             length = np.array(cols[2], np.int64)
             by_length = {int(n): np.flatnonzero(length == n) for n in np.unique(length)}
-            rows, used, made = placed(best_fit({n: len(at) for n, at in by_length.items()}, capacity), spare)
-            place = np.full((3, len(length)), -1, np.int64)  # bin, offset, ordinal
-            for n, ordinal, times, bin_, offset in rows:
-                at = by_length[n][ordinal : ordinal + times]
-                place[0, at], place[1, at] = bins + bin_ + np.arange(times), offset
+            rows, used, made, closed = placed(best_fit({n: len(at) for n, at in by_length.items()}, capacity), spare, capacity, whole_bins)
+            place = np.stack([np.full(len(length), -1), np.zeros(len(length), np.int64), length, np.full(len(length), -1)])  # bin, offset, size, ordinal
+            for n, ordinal, times, bin_, offset, fill, first in rows:
+                at, each = by_length[n][ordinal : ordinal + times], np.arange(times)
+                place[1, at] = offset
+                if bin_ >= 0:
+                    place[0, at] = bins + bin_ + each
+                else:
+                    place[2, at], place[3, at] = fill, waiting[fill] + first + each
             for n, at in by_length.items():
                 rest = at[used.get(n, 0) :]
-                place[2, rest] = waiting[n] + np.arange(len(rest))
+                place[3, rest] = waiting[n] + np.arange(len(rest))
                 waiting[n] += len(rest)
+            waiting.update(closed)
             bins += made
             whole = [pa.array(ids_, kind_), *(pa.array(c, pa.int64()) for c in cols), pa.array(np.full(len(length), part), pa.int64()), *map(pa.array, place)]
             return pa.RecordBatch.from_arrays(whole, names)
@@ -251,69 +267,67 @@ def pack_hierarchically(
             table = flush()
             yield from (table.slice(i, 50_000) for i in range(0, table.num_rows, 50_000))
 
-    names = ["doc_id", "piece", "start", "length", "crc", "node", "bin", "offset", "ordinal"]
+    names = ["doc_id", "piece", "start", "length", "crc", "node", "bin", "offset", "size", "ordinal"]
     schema = ", ".join([f"doc_id {kind}", *(f"{n} long" for n in names[1:])])
     now = support.materialize(base.mapInArrow(support.lean(local), schema), "pieces")
     number = lambda level: F.lit(level << 60) + F.shiftleft("node", 32) + F.col("bin")
     now = now.withColumn("sequence_id", F.when(F.col("bin") >= 0, number(0)))
-    waiting = now.where("bin < 0")
-    counts = support.materialize(waiting.groupBy("node", "length").agg(F.count("*").alias("n")), "counts")
+    waiting = now.where("bin < 0 and offset = 0")  # the first piece of each item
+    counts = support.materialize(waiting.groupBy("node", "size").agg(F.count("*").alias("n")), "counts")
     top, level = counts.agg(F.max("node")).first()[0], 0
     while top is not None:
         level += 1
         root = top < FAN_IN
-        decided = support.materialize(_decide(counts, capacity, capacity if root else spare), "decided")
-        step = decided.select(F.col("child").alias("node"), "length", F.col("before"), F.col("used"), "cuts")
-        joined = now.join(step, ["node", "length"], "left")
+        decided = support.materialize(_decide(counts, capacity, capacity if root else spare, whole_bins), "decided")
+        step = decided.select(F.col("child").alias("node"), "size", F.col("before"), F.col("used"), "cuts")
+        joined = now.join(step, ["node", "size"], "left")
         at = F.col("ordinal") + F.col("before")
         mine = F.col("sequence_id").isNull()
         cut = F.filter("cuts", lambda c: (c.ordinal <= F.col("at")) & (F.col("at") < c.ordinal + c.n))
         joined = joined.withColumn("at", at).withColumn("cut", F.when(mine & (F.col("at") < F.col("used")), F.get(cut, F.lit(0))))
-        up = F.shiftrightunsigned("node", 3)
+        up, each, emitted = F.shiftrightunsigned("node", 3), F.col("at") - F.col("cut.ordinal"), F.col("cut.bin") >= 0
+        closed = F.col("cut.bin") < 0
         now = joined.select(
             *names[:5],
             F.when(mine, up).otherwise(F.col("node")).alias("node"),
-            F.coalesce(F.col("cut.bin") + F.col("at") - F.col("cut.ordinal"), F.col("bin")).alias("bin"),
-            F.coalesce("cut.offset", "offset").alias("offset"),
-            F.when(mine, F.col("at") - F.col("used")).otherwise(F.col("ordinal")).alias("ordinal"),
-            F.when(F.col("cut").isNotNull(), F.lit(level << 60) + F.shiftleft(up, 32) + F.col("cut.bin") + F.col("at") - F.col("cut.ordinal"))
-            .otherwise(F.col("sequence_id")).alias("sequence_id"),
+            F.when(emitted, F.col("cut.bin") + each).otherwise(F.col("bin")).alias("bin"),
+            F.when(F.col("cut").isNotNull(), F.col("cut.offset") + F.col("offset")).otherwise(F.col("offset")).alias("offset"),
+            F.when(closed, F.col("cut.fill")).otherwise(F.col("size")).alias("size"),
+            F.when(closed, F.col("cut.first") + each).when(mine, F.col("at") - F.col("used")).otherwise(F.col("ordinal")).alias("ordinal"),
+            F.when(emitted, F.lit(level << 60) + F.shiftleft(up, 32) + F.col("cut.bin") + each).otherwise(F.col("sequence_id")).alias("sequence_id"),
         )
         if root:
             break
-        counts = decided.where("rest > 0").groupBy(F.col("up").alias("node"), "length").agg(F.sum("rest").alias("n"))
+        counts = decided.where("rest > 0").groupBy(F.col("up").alias("node"), "size").agg(F.sum("rest").alias("n"))
         counts = support.materialize(counts, "counts")
         top = counts.agg(F.max("node")).first()[0]
     return now.select("doc_id", F.col("piece").cast("int").alias("piece"), "start", "length", F.col("crc").alias("ids_crc32"), "sequence_id", "offset")
 
 
-def _decide(counts: DataFrame, capacity: int, spare: int) -> DataFrame:
-    """Best-fit at each node one level up, from its children's counts by length.
+def _decide(counts: DataFrame, capacity: int, spare: int, whole_bins: bool) -> DataFrame:
+    """Best-fit at each node one level up, from its children's counts by size.
 
-    Per child and length: the ordinals ``before`` it at the node, how many the node has ``used``, the ``cuts``
-    of ordinals into bins, and on one child the ``rest`` that goes up.
+    Per child and size: the ordinals ``before`` it at the node, how many the node has ``used``, the ``cuts`` of
+    ordinals into bins, and on one child the ``rest`` that goes up.  Closed bins that go up have rows without a child.
     """
 
     def run(node: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "child"])
-        total = rows.groupby("length")["n"].sum()
-        ranges, used, _ = placed(best_fit({int(k): int(v) for k, v in total.items()}, capacity), spare)
+        rows = rows.sort_values(["size", "child"])
+        sizes = rows["size"]
+        total = rows.groupby("size")["n"].sum()
+        ranges, used, _, closed = placed(best_fit({int(k): int(v) for k, v in total.items()}, capacity), spare, capacity, whole_bins)
         cuts: dict[int, list] = {}
-        for length, ordinal, n, bin_, offset in ranges:
-            cuts.setdefault(length, []).append({"ordinal": ordinal, "n": n, "bin": bin_, "offset": offset})
-        lengths = rows["length"].tolist()
-        spent = [used.get(k, 0) for k in lengths]
-        fresh = ~rows["length"].duplicated()
-        rest = [int(total[k]) - u if f else 0 for k, u, f in zip(lengths, spent, fresh, strict=True)]
-        return pd.DataFrame(
-            {
-                "up": node[0], "child": rows["child"], "length": rows["length"],
-                "before": rows.groupby("length")["n"].cumsum() - rows["n"], "used": spent,
-                "cuts": [cuts.get(k, []) for k in lengths], "rest": rest,
-            }
-        )
-
-    grouped = counts.select(F.shiftrightunsigned("node", 3).alias("up"), F.col("node").alias("child"), "length", "n").groupBy("up")
-    return grouped.applyInPandas(
-        run, "up long, child long, length long, before long, used long, cuts array<struct<ordinal: long, n: long, bin: long, offset: long>>, rest long"
-    )
+        for size, ordinal, n, bin_, offset, fill, first in ranges:
+            cuts.setdefault(size, []).append({"ordinal": ordinal, "n": n, "bin": bin_, "offset": offset, "fill": fill, "first": first})
+        spent = [used.get(k, 0) for k in sizes.tolist()]
+        fresh = ~sizes.duplicated()
+        rest = [int(total[k]) - u if f else 0 for k, u, f in zip(sizes.tolist(), spent, fresh, strict=True)]
+        told = {"child": rows["child"], "size": sizes, "before": rows.groupby("size")["n"].cumsum() - rows["n"], "used": spent, "cuts": [cuts.get(k, []) for k in sizes.tolist()], "rest": rest}
+        made = pd.DataFrame(told | {"up": node[0]})
+        bins = pd.DataFrame([{"child": None, "size": k, "before": 0, "used": 0, "cuts": [], "rest": n, "up": node[0]} for k, n in closed.items()])
+        return pd.concat([made.astype({"child": object}), bins])[fields] if closed else made[fields]
+
+    grouped = counts.select(F.shiftrightunsigned("node", 3).alias("up"), F.col("node").alias("child"), "size", "n").groupBy("up")
+    fields = ["up", "child", "size", "before", "used", "cuts", "rest"]
+    cut = "struct<ordinal: long, n: long, bin: long, offset: long, fill: long, first: long>"
+    return grouped.applyInPandas(run, f"up long, child long, size long, before long, used long, cuts array<{cut}>, rest long")

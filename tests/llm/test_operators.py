@@ -371,15 +371,27 @@ def _check_sequences(rows, capacity):
 
 
 def test_hierarchical_packing(edge, pairs, encode):
-    for df, held in ((edge, 1 << 18), (edge.repartition(20), 1 << 18), (edge, 7)):
-        rows = packing.pack_hierarchically(df, capacity=256, buffer_pieces=held).collect()
+    for df, held, whole in ((edge, 1 << 18, False), (edge.repartition(20), 1 << 18, False), (edge, 7, False), (edge.repartition(20), 1 << 18, True), (edge.repartition(9), 5, True)):
+        rows = packing.pack_hierarchically(df, capacity=256, buffer_pieces=held, whole_bins=whole).collect()
         want = Counter()
         for doc, text in pairs:
             want.update((doc, i, *v) for (_, i), v in brute.token_pieces([(doc, text)], encode, 256).items())
         assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
         used = _check_sequences(rows, 256)
         least = -(-sum(r.length for r in rows) // 256)
-        assert used <= least + (2 if held > 7 else 4)
+        assert used <= least + (2 if held > 7 else 4) + (4 if whole else 0)
+
+
+def test_closed_bins_are_items_of_their_fill(spark):
+    """Bins of tasks stay together on their way up, over several levels, and every piece finds its place."""
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice(["a", "bee", "sea"]) for _ in range(r.choice([3, 9, 20, 31, 45, 58])))) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id int, text string").repartition(70)
+    tight, closed = (packing.pack_hierarchically(df, capacity=64, whole_bins=w).collect() for w in (False, True))
+    key = lambda rows: sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
+    assert key(tight) == key(closed)
+    few, more = _check_sequences(tight, 64), _check_sequences(closed, 64)
+    assert few <= more < 1.15 * few
 
 
 def test_best_fit_equals_a_plain_loop():
