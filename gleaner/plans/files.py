@@ -13,7 +13,7 @@ from gleaner.operators import ranking
 from gleaner.plans.registry import documents, query, table
 from gleaner.plans.retrieval import BM25_ONE, QUESTION, RANKED, SHOW
 from gleaner.results import Results
-from gleaner.session import shared_folder
+from gleaner.session import shared_folder, spread
 from gleaner.sources import corpus as cp
 from gleaner.sources.corpus import POSITION
 
@@ -72,7 +72,7 @@ def read_wrapped_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = _path(spark, "wrapped")
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
-    wrapped.write(rows, path, files=6)
+    wrapped.write(spread(rows), path)  # a file a task; only a small table is dealt first
     wrapped.register(spark)
     conditions = json.dumps([["lang", "null", False], ["id", ">=", 0]])
     back = spark.read.format("wrapped_json").schema("id long, text string, lang string").options(partitionBytes=1 << 20, where=conditions).load(path)
