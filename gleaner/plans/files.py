@@ -65,9 +65,9 @@ def ingest_json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cp.from_file(spark, path).df.select("id", "text", F.col("region").cast("long").alias("region"))
 
 
-@query("SELECT doc_id AS id, text, lang, octet_length(encode(coalesce(text, ''))) AS bytes, true AS several FROM documents WHERE lang IS NOT NULL AND doc_id >= 0")
+@query("SELECT doc_id AS id, text, lang, octet_length(encode(coalesce(text, ''))) AS bytes FROM documents WHERE lang IS NOT NULL AND doc_id >= 0")
 def read_wrapped_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents as JSON files with their records under a key, decoded record by record in several partitions."""
+    """The documents as JSON files with their records under a key, decoded record by record, partitions of about 1 MB."""
     from gleaner.sources import wrapped
 
     path = _path(spark, "wrapped")
@@ -76,8 +76,7 @@ def read_wrapped_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     wrapped.register(spark)
     conditions = json.dumps([["lang", "null", False], ["id", ">=", 0]])
     back = spark.read.format("wrapped_json").schema("id long, text string, lang string").options(partitionBytes=1 << 20, where=conditions).load(path)
-    several = F.lit(back.rdd.getNumPartitions() > 1)
-    return back.select("id", "text", "lang", F.octet_length(F.coalesce("text", F.lit(""))).alias("bytes"), several.alias("several"))
+    return back.select("id", "text", "lang", F.octet_length(F.coalesce("text", F.lit(""))).alias("bytes"))
 
 
 @query("""SELECT lang, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY lang""")
