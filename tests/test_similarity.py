@@ -94,3 +94,16 @@ def test_components_of_chains_and_stars(spark):
         up[max(p, q)] = min(p, q)
     got = {x.node: x.root for x in components(spark.createDataFrame(links, "u long, v long").repartition(4)).collect()}
     assert got == {x: find(x) for a, b in links for x in (a, b) if a != b}
+
+
+def test_signatures_leave_few_pairs_and_lose_none(spark):
+    """Pairs that only share rare tokens do not meet their whole sets; every similar pair does."""
+    r = random.Random(5)
+    sets = [(i, sorted(r.sample(range(-(1 << 40), 1 << 40), r.choice((1, 30, 300, 3000))))) for i in range(60)]
+    sets += [(100 + i, sorted({*ids[: max(1, len(ids) - len(ids) // 10)], *range(len(ids) // 20)})) for i, ids in sets]
+    nodes = spark.createDataFrame([(i, ids, len(ids)) for i, ids in sets], "node long, ids array<long>, n int")
+    pairs = spark.createDataFrame([(u, v) for u, _ in sets for v, _ in sets if v < u], "u long, v long")
+    left = {tuple(x) for x in similarity.candidates(pairs, nodes, similarity.signatures(nodes, similarity.LONG), 800).collect()}
+    tokens = {i: set(ids) for i, ids in sets}
+    true = {(u, v) for u in tokens for v in tokens if v < u and 10 * len(tokens[u] & tokens[v]) >= 8 * len(tokens[u] | tokens[v])}
+    assert len(true) >= 60 and true <= left and len(left) < 1.2 * len(true)
