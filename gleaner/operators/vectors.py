@@ -25,6 +25,8 @@ from gleaner.session import checkpointed, spread
 from gleaner.sources.corpus import POSITION
 
 SAMPLE, CELLS, BLOCK, CHUNK = 20_000, 4096, 1024, 256
+#: Rows of best vectors that a task of a full scan holds before it sends them.
+HELD = 1_000_000
 #: Cells that hold too few vectors cost more than they save.
 LEAST_CELL = 24
 
@@ -182,6 +184,72 @@ def nearest(index: VectorIndex, asked: DataFrame, k: int, *, probes: int | None
     return ranking.top_k(joined.mapInArrow(score, f"qid long, {POSITION} long, score double"), k)
 
 
+def exact(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """``(qid, _pos, score, rank)``: the best ``k`` of all vectors for each question ``(qid, embedding)``, positive cosines only.
+
+    Every vector meets every question, as a matrix of up to ``BLOCK`` vectors and one of up to ``4 * CHUNK`` questions.  A
+    task holds the best k of the questions that it has met and sends them once, so little is shuffled; what it holds
+    goes out early when it is more than ``HELD`` rows.
+    """
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.filter(batch.column(1).is_valid())
+            sizes = rows.column(1).value_lengths().to_numpy()
+            for dim in np.unique(sizes):
+                some = rows.filter(pa.array(sizes == dim))
+                for i in range(0, len(some), BLOCK):
+                    part = some.slice(i, BLOCK)
+                    data = _unit(_matrix(part.column(1))).astype("<f8").tobytes()
+                    pos = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.column(0))
+                    yield pa.RecordBatch.from_arrays([pos, pa.array([int(dim)], pa.int32()), pa.array([data], pa.binary())], ["pos", "dim", "matrix"])
+
+    wide = lambda df, id_: df.select(F.col(id_).alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).where(_usable(F.col("embedding")))
+    blocks = spread(wide(vectors, POSITION)).mapInArrow(packed, "pos array<long>, dim int, matrix binary")
+    questions = wide(asked, "qid")
+    chunks = -(-questions.count() // (4 * CHUNK)) or 1
+    told = questions.groupBy(F.pmod(F.xxhash64("id"), F.lit(chunks)).alias("chunk"), F.size("embedding").alias("size"))
+    told = told.agg(F.collect_list(F.struct("id", "embedding")).alias("qs"))
+    told = checkpointed(told.select("size", F.col("qs.id").alias("qids"), F.flatten("qs.embedding").alias("asked")))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+
+        def send() -> Iterator[pa.RecordBatch]:
+            for ids, at, pos, cos in held.values():
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(pos), pa.array(cos)], ["qid", POSITION, "score"])
+            held.clear()
+
+        for batch in batches:
+            for i in range(len(batch)):
+                pos = batch.column(0)[i].values.to_numpy(zero_copy_only=False)
+                dim, ids = batch.column(1)[i].as_py(), batch.column(4)[i].values.to_numpy(zero_copy_only=False)
+                if batch.column(3)[i].as_py() != dim:
+                    raise ValueError("query and document vectors differ in length: they come from different embedding models")
+                rows = np.frombuffer(batch.column(2)[i].as_buffer(), "<f8").reshape(-1, dim)
+                cos = _unit(batch.column(5)[i].values.to_numpy(zero_copy_only=False).reshape(-1, dim)) @ rows.T
+                key = (len(ids), int(ids[0]))
+                _, at, place, best = held.get(key, (ids, *(np.zeros(0, t) for t in (np.int64, np.int64, np.float64))))
+                # The least of a question's k best so far is a floor; scores go by nine digits.
+                floor = np.zeros(len(ids))
+                full = np.bincount(at, minlength=len(ids)) == k
+                least = np.full(len(ids), np.inf)
+                np.minimum.at(least, at, best)
+                floor[full] = least[full] - 2e-9
+                q, j = np.nonzero((cos > 0) & (cos >= floor[:, None]))
+                at, place, best = np.concatenate([at, q]), np.concatenate([place, pos[j]]), np.concatenate([best, cos[q, j]])
+                order = np.lexsort((place, -best.round(9), at))
+                at, place, best = at[order], place[order], best[order]
+                first = np.flatnonzero(np.diff(at, prepend=-1))
+                keep = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at)))) < k
+                held[key] = ids, at[keep], place[keep], best[keep]
+            if sum(len(h[1]) for h in held.values()) > HELD:
+                yield from send()
+        yield from send()
+
+    return ranking.top_k(blocks.crossJoin(told).mapInArrow(score, f"qid long, {POSITION} long, score double"), k)
+
+
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """``qid, n, hit``: of each question's exact best, how many there are and how many were found."""
     got = found.select("qid", POSITION, F.lit(1).alias("met"))

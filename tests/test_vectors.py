@@ -54,3 +54,16 @@ def test_vectors_of_another_length(spark, tmp_path):
         vectors.nearest(index, spark.createDataFrame([(5, [1.0])], "qid long, embedding array<float>"), 3).collect()
     with pytest.raises(Exception, match="differ in length"):
         vectors.write_vectors(spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0])], SCHEMA), f"file://{tmp_path}/b")
+
+
+def test_the_full_scan_in_matrices_gives_the_exact_best(spark, monkeypatch):
+    """Ties by position, questions in several chunks, blocks smaller than a batch, held rows sent early: as in ``ranking.dense``."""
+    monkeypatch.setattr(vectors, "BLOCK", 32)
+    monkeypatch.setattr(vectors, "CHUNK", 4)
+    monkeypatch.setattr(vectors, "HELD", 50)
+    table = spark.createDataFrame(_rows(seed=4), SCHEMA).repartition(3)
+    asked = table.where(F.col(POSITION) % 20 == 0).where("size(embedding) = 8").select(F.col(POSITION).alias("qid"), "embedding")
+    want = ranking.top_k(ranking.dense(table.where("size(embedding) = 8 and embedding[0] is not null"), asked), 10)
+    assert sorted(map(_key, vectors.exact(table, asked, 10).collect())) == sorted(map(_key, want.collect()))
+    with pytest.raises(Exception, match="differ in length"):
+        vectors.exact(table, spark.createDataFrame([(1, [1.0])], "qid long, embedding array<float>"), 3).collect()
