@@ -14,7 +14,6 @@ are left out.  So a document is skipped only if it cannot be among the best k.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions import text as tx
 from gleaner.operators import ranking
-from gleaner.session import checkpointed, spread
+from gleaner.operators.ranking import counted
+from gleaner.session import checkpointed
 from gleaner.sources.corpus import POSITION
 
 WIDTH, ZONE, STEPS = 512, 1 << 16, 4
@@ -62,27 +61,6 @@ class BlockIndex:
         return cls(*[spark.read.parquet(f"{path}/{part}") for part in ("blocks", "terms", "stats")])
 
 
-def counted(texts: DataFrame) -> DataFrame:
-    """``_pos, len, term, tf`` of every term of every document, and a row without a term for the document itself.
-
-    Words are counted inside their document, so nothing is shuffled for it.
-    """
-    rows = spread(texts.select(POSITION, "text")).select(POSITION, tx.tokens(F.col("text")).alias("tokens"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pos, length, term, tf = [], [], [], []
-            for p, words in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = Counter(words.as_py())
-                pos += [p] * (len(found) + 1)
-                length += [found.total()] * (len(found) + 1)
-                term += [*found, None]
-                tf += [*found.values(), 0]
-            yield pa.RecordBatch.from_arrays([pa.array(pos, pa.int64()), pa.array(length, pa.int32()), pa.array(term, pa.string()), pa.array(tf, pa.int32())], [POSITION, "len", "term", "tf"])
-
-    return rows.mapInArrow(run, f"{POSITION} long, len int, term string, tf int")
-
-
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted postings ``(term, frequent, block, _pos, tf, len, part)`` as a row a block; a block may go on in the next batch."""
 

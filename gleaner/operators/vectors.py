@@ -229,20 +229,7 @@ def exact(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
                 rows = np.frombuffer(batch.column(2)[i].as_buffer(), "<f8").reshape(-1, dim)
                 cos = _unit(batch.column(5)[i].values.to_numpy(zero_copy_only=False).reshape(-1, dim)) @ rows.T
                 key = (len(ids), int(ids[0]))
-                _, at, place, best = held.get(key, (ids, *(np.zeros(0, t) for t in (np.int64, np.int64, np.float64))))
-                # The least of a question's k best so far is a floor; scores go by nine digits.
-                floor = np.zeros(len(ids))
-                full = np.bincount(at, minlength=len(ids)) == k
-                least = np.full(len(ids), np.inf)
-                np.minimum.at(least, at, best)
-                floor[full] = least[full] - 2e-9
-                q, j = np.nonzero((cos > 0) & (cos >= floor[:, None]))
-                at, place, best = np.concatenate([at, q]), np.concatenate([place, pos[j]]), np.concatenate([best, cos[q, j]])
-                order = np.lexsort((place, -best.round(9), at))
-                at, place, best = at[order], place[order], best[order]
-                first = np.flatnonzero(np.diff(at, prepend=-1))
-                keep = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at)))) < k
-                held[key] = ids, at[keep], place[keep], best[keep]
+                held[key] = ids, *ranking.best_of(held.get(key, (ids, *ranking.NONE_HELD))[1:], cos, pos, k)
             if sum(len(h[1]) for h in held.values()) > HELD:
                 yield from send()
         yield from send()
