@@ -131,6 +131,11 @@ def retrieve_from_saved_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select(F.col("rank").cast("int").alias("rank"), F.col(POSITION).alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+def _files(rows: DataFrame) -> int:
+    """Files for each batch of a stream made of a table, as many as a third of the table's splits, so that none grows with it."""
+    return -(-rows.rdd.getNumPartitions() // 3)
+
+
 @query("WITH d AS (SELECT regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') AS w FROM documents) SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(w)) AS term FROM d) GROUP BY term")
 def stream_index_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as a stream of files: each batch adds its postings, and the tables are read as one index."""
@@ -138,8 +143,9 @@ def stream_index_document_frequency(spark: SparkSession, sf_dir: str) -> DataFra
 
     folder, path = _path(spark, "in"), _path(spark, "index")
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias(POSITION), "text")
-    rows.repartition(3).write.parquet(folder)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    files = _files(rows)
+    rows.repartition(3 * files).write.parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2 * files).parquet(folder)
     maintain(stream, path, _path(spark, "progress"), availableNow=True).awaitTermination()
     return index(spark, path).df
 
@@ -152,14 +158,16 @@ def stream_changes_document_frequency(spark: SparkSession, sf_dir: str) -> DataF
 
     folder, path, n = _path(spark, "in"), _path(spark, "index"), F.col("doc_id")
     rows = table(spark, sf_dir, "documents").select(n, n.alias(POSITION), "text", "source")
-    change = lambda text, gone: [POSITION, text.alias("text"), F.lit(gone).alias("gone"), F.lit(0).cast("long").alias("at")]
+    files = _files(rows)
+    # Later steps count, should a batch have files of two of them.
+    change = lambda text, gone, at: [POSITION, text.alias("text"), F.lit(gone).alias("gone"), F.lit(at).cast("long").alias("at")]
     for step in (
-        rows.select(*change(F.col("text"), False)).repartition(3),
-        rows.where(n % 3 == 0).select(*change(F.concat(F.lit("changed "), F.col("source")), False)).coalesce(1),
-        rows.where(n % 5 == 0).select(*change(F.lit(None).cast("string"), True)).coalesce(1),
+        rows.select(*change(F.col("text"), False, 0)).repartition(3 * files),
+        rows.where(n % 3 == 0).select(*change(F.concat(F.lit("changed "), F.col("source")), False, 1)).repartition(files),
+        rows.where(n % 5 == 0).select(*change(F.lit(None).cast("string"), True, 2)).repartition(files),
     ):
         step.write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(f"{POSITION} long, text string, gone boolean, at long").option("maxFilesPerTrigger", 1).parquet(folder)
+    stream = spark.readStream.schema(f"{POSITION} long, text string, gone boolean, at long").option("maxFilesPerTrigger", files).parquet(folder)
     changes.maintain(stream, path, _path(spark, "progress"), fan=2, availableNow=True).awaitTermination()
     return changes.index(spark, path, fan=2).df
 

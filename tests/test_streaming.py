@@ -71,3 +71,10 @@ def test_runs_of_an_unfinished_merge_are_its_parts():
     assert runs_of(13, there) == [(0, 3), (4, 7), (8, 8), (9, 9), (10, 10), (11, 11), (12, 12)]
     assert runs_of(16, there | {(13, 13), (14, 14), (15, 15), (8, 11), (12, 15), (0, 15)}) == [(0, 15)]
     assert runs_of(0, set()) == []
+
+
+def test_files_of_a_stream_follow_the_splits_of_its_table(spark):
+    from gleaner.plans.files import _files
+
+    rows = spark.range(100)
+    assert [_files(rows.repartition(n)) for n in (1, 3, 4, 30)] == [1, 1, 2, 10]
