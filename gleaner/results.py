@@ -74,4 +74,5 @@ class Results:
     def joined(self, texts: DataFrame, column: str, name: str) -> DataFrame:
         """``texts`` with the stored result of ``column`` as ``name``, null where there is none."""
         known = self.known().select(F.col("key").alias(KEY), F.col("value").alias(name))
-        return texts.join(known, content_key(F.col(column)) == F.col(KEY), "left").drop(KEY)
+        # The key is a column before the join, so a text that nobody reads afterwards is not shuffled.
+        return texts.withColumn("__own_key", content_key(F.col(column))).join(known, F.col("__own_key") == F.col(KEY), "left").drop(KEY, "__own_key")

@@ -90,3 +90,18 @@ def test_embed_once_and_map_llm(spark, tmp_path):
     replies = {r.qid: r.reply for r in models.map_llm(asked, lambda p: p + "!", path=f"file://{tmp_path}/l", label="m", waves=2).collect()}
     assert replies == {0: "one two!", 1: None, 2: "one two!", 3: "three!"}
     assert {r.reply for r in models.map_llm(asked.where("prompt is not null"), lambda p: p + "?").collect()} == {"one two?", "three?"}
+
+
+def test_a_text_that_is_not_read_is_not_shuffled(spark, tmp_path):
+    kept = Results(spark, f"file://{tmp_path}/r", "m", "int")
+    texts = spark.createDataFrame([(1, "a"), (2, None)], "_pos long, text string").repartition(2)
+    kept.fill(texts, "text", lambda batch: [len(t) for t in batch])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        node = kept.joined(texts, "text", "n").select("_pos", "n")._jdf.queryExecution().optimizedPlan()
+        while node.children().size() == 1:
+            node = node.children().head()
+        assert "text" not in node.children().head().output().mkString(",")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted((r._pos, r.n) for r in kept.joined(texts, "text", "n").collect()) == [(1, 1), (2, None)]
