@@ -192,6 +192,10 @@ def near_duplicates(
     members = support.materialize(banded.join(crowded, "key"), "members")
 
     pairs = members.where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
+    # Sets whose sizes alone rule a link out are not read; sizes are narrow.
+    size = lambda c: signed.select(F.col("row").alias(c), F.col("n").alias(f"n_{c}"))
+    fits = 100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")
+    pairs = pairs.join(size("u"), "u").join(size("v"), "v").where(fits).select("u", "v")
     sets = _Texts(base, nodes, signed, kind, shingle)
     links = _verify(pairs, sets, percent)
     roots = support.components(links)
