@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +18,13 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of the ``n`` words from each place of an array of word hashes."""
     size = max(len(words) - n + 1, 0)
-    out = np.full(size, n, np.uint64)
-    for j in range(n):
-        out = (out ^ words[j : j + size]) * _STEP
+    return _mixed([words[j : j + size] for j in range(n)], size)
+
+
+def _mixed(columns: Sequence[np.ndarray], size: int) -> np.ndarray:
+    out = np.full(size, len(columns), np.uint64)
+    for column in columns:
+        out = (out ^ column) * _STEP
         out ^= out >> np.uint64(29)
     return out
 
@@ -36,10 +41,13 @@ def filter_of(grams: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.zeros(1 << (bits - 6), np.uint64)
         for batch in batches:
-            for row in batch.column(0):
-                words = row.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                for at in _places(gram_hashes(words, len(words)), bits):
-                    flags[at >> 6] |= np.uint64(1) << (at & 63).astype(np.uint64)
+            words = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            size = np.asarray(batch.column(0).value_lengths(), np.int64)
+            begin = np.cumsum(size) - size
+            for n in np.unique(size).tolist():
+                first = begin[size == n]
+                for at in _places(_mixed([words[first + j] for j in range(n)], len(first)), bits):
+                    np.bitwise_or.at(flags, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
         some = np.flatnonzero(flags)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(flags[some].view(np.int64))], ["w", "m"])
 
@@ -73,9 +81,9 @@ def likely_grams(texts: DataFrame, sizes: Sequence[int], packed: np.ndarray) ->
                 at = np.flatnonzero(may_have(shared.value, h) & (left[: len(h)] >= n))
                 if not len(at):
                     continue
-                _, first = np.unique(np.stack([row[at].astype(np.uint64), h[at]]), axis=1, return_index=True)
-                at = at[first]
-                grams = [" ".join(words.slice(i, n).to_pylist()) for i in at.tolist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[at])), pa.array([n] * len(at), pa.int32()), pa.array(grams, pa.string())], ["h", "n", "gram"])
+                at = at[np.lexsort((h[at], row[at]))]
+                at = at[np.r_[True, (row[at[1:]] != row[at[:-1]]) | (h[at[1:]] != h[at[:-1]])]]
+                grams = pc.binary_join_element_wise(*[words.take(pa.array(at + j)) for j in range(n)], pa.scalar(" ", words.type)).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[at])), pa.array(np.full(len(at), n, np.int32)), grams], ["h", "n", "gram"])
 
     return texts.select("h", "w", "hashes").mapInArrow(run, f"h {kind}, n int, gram string")
