@@ -8,7 +8,7 @@ No bucket is expanded into pairs.  First each member is compared with its bucket
 settles a bucket of copies in linear work; the members of a crowded bucket are dealt into slices, each with
 its own copy of that node's set, so no task reads a whole bucket.  Buckets that still hold several components
 are then searched in blocks against blocks: signatures find members that may have a partner in another
-component, the sets of those alone are read, and each block reports a spanning forest of verified links.  So
+component, parity bits of their sets rule most of those out (never a link), the sets of the rest alone meet, and each block reports a spanning forest of verified links.  So
 no partner is capped or skipped, and one task never holds more than two blocks, whose number follows from the
 members and from the bytes of their sets.
 
@@ -39,6 +39,8 @@ from gleaner.llm.words import BASE, NONE, U64, Bag, as_long, grams, hashed, lowe
 CHUNK = 1 << 16
 #: Members of a bucket that one copy of its smallest node's set is compared with, and bytes of sets in a block.
 SLICE, BLOCK_BYTES = 2048, 4 << 20
+#: Most parity bits of a set, which stand before the set itself in the second search.
+PARITY = 1 << 16
 #: Offsets that give each step of a signature its own hash of an element.
 STRIDE = np.arange(1, 1025, dtype=U64) * BASE
 
@@ -206,7 +208,7 @@ def near_duplicates(
     left = support.materialize(named.join(loose.select("key", "size"), "key"), "loose")
     marked = support.materialize(_may_link(left, signed, block, percent, m), "marked")
     if not marked.isEmpty():
-        more = _link_blocks(marked, sets, percent)
+        more = _link_blocks(marked, sets, percent, block)
         roots = support.components(links.unionByName(more))
         support.discard(more)
     support.discard(members, links, left, marked)
@@ -294,38 +296,100 @@ def _blocked(members: DataFrame) -> DataFrame:
     )
 
 
-def _may_link(left: DataFrame, signed: DataFrame, block: int, percent: int, m: int) -> DataFrame:
-    """Members whose signature comes near that of a member of another component in the same bucket.
+def _mark(left: DataFrame, evidence: DataFrame, near: Callable, percent: int, block: int) -> DataFrame:
+    """Members of ``left(key, node, root, blocks)`` that may have a link to another component in their bucket, with new ``blocks``.
 
-    The margin is six standard deviations of an independent estimate below the threshold.
+    Sizes must allow it, and the function ``(x, others)`` that ``near`` makes of a block's rows of ``evidence(node, told, n)``.
     """
-    t = percent / 100
-    least = max(0.0, t - 6 * (t * (1 - t) / m) ** 0.5)
-    need = least + (1 - least) / 256
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        node, root, own = (np.asarray(rows.column(c)) for c in ("node", "root", "own"))
-        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(len(node), -1)
+        node, root, own, n = (np.asarray(rows.column(c)) for c in ("node", "root", "own", "n"))
+        allowed = near(rows.column("told").to_pylist(), n)
         i, j = key[1].as_py(), key[2].as_py()
         a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
         hit = np.zeros(len(node), bool)
         for x in a:
-            other = b[root[b] != root[x]]
-            near = other[(sig[other] == sig[x]).mean(axis=1) >= need] if len(other) else other
-            hit[near] = True
-            hit[x] |= len(near) > 0
+            fits = 100 * np.minimum(n[b], n[x]) >= percent * np.maximum(n[b], n[x])
+            other = b[(root[b] != root[x]) & fits]
+            found = other[allowed(x, other)] if len(other) else other
+            hit[found] = True
+            hit[x] |= len(found) > 0
         return rows.select(["key", "node", "root", "n"]).filter(pa.array(hit))
 
-    counted = left.withColumn("blocks", F.ceil(F.col("size") / F.lit(block)).cast("int"))
-    spread = _blocked(counted).join(signed.select(F.col("row").alias("node"), "sig", "n"), "node")
-    flat = spread.select("key", "node", "root", "n", "own", "sig", F.col("at.i").alias("i"), F.col("at.j").alias("j"))
+    spread = _blocked(left.select("key", "node", "root", "blocks")).join(evidence, "node")
+    flat = spread.select("key", "node", "root", "n", "own", "told", F.col("at.i").alias("i"), F.col("at.j").alias("j"))
     found = flat.groupBy("key", "i", "j").applyInArrow(run, "key long, node long, root long, n long").distinct()
     sizes = found.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.col("n") * 8).alias("bytes"))
     blocks = F.ceil(F.greatest(F.col("size") / F.lit(block), F.col("bytes") / F.lit(BLOCK_BYTES))).cast("int")
     return found.drop("n").join(sizes.select("key", blocks.alias("blocks")), "key")
 
 
-def _link_blocks(marked: DataFrame, sets: _Texts, percent: int) -> DataFrame:
+def _may_link(left: DataFrame, signed: DataFrame, block: int, percent: int, m: int) -> DataFrame:
+    """Members whose signature comes near that of a member of another component in the same bucket.
+
+    The margin is six standard deviations of an independent estimate below the threshold.
+    """
+    t = percent / 100
+    least = max(0.0, t - 6 * (t * (1 - t) / m) ** 0.5)
+    need = least + (1 - least) / 256
+
+    def near(told: list[bytes], n: np.ndarray) -> Callable:
+        sig = np.frombuffer(b"".join(told), np.uint8).reshape(len(told), -1)
+        return lambda x, other: (sig[other] == sig[x]).mean(axis=1) >= need
+
+    counted = left.withColumn("blocks", F.ceil(F.col("size") / F.lit(block)).cast("int"))
+    return _mark(counted, signed.select(F.col("row").alias("node"), F.col("sig").alias("told"), "n"), near, percent, block)
+
+
+def parities(e: np.ndarray) -> bytes:
+    """Bits of a set, each whether an odd number of its elements fall on it: at least four for an element, up to ``PARITY``.
+
+    Two sets' bits differ in no more places than there are elements in one of the sets alone, also when the longer bits
+    are folded, half upon half, to the length of the shorter ones.
+    """
+    size = min(PARITY, 1 << max(9, (4 * len(e) - 1).bit_length()))
+    odd = np.bincount((mix(e) & U64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def differing(told: list[bytes]) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Of the parities ``told``, a function ``(x, others)``: in how many places those of x differ from each of others."""
+    size = np.array([len(t) for t in told])
+    folded = {}
+    for w in np.unique(size).tolist():
+        folded[w] = np.zeros((len(told), w // 8), U64)
+        for at in np.flatnonzero(size >= w).tolist():
+            folded[w][at] = np.bitwise_xor.reduce(np.frombuffer(told[at], U64).reshape(-1, w // 8), axis=0)
+
+    def run(x: int, other: np.ndarray) -> np.ndarray:
+        out, least = np.zeros(len(other), np.int64), np.minimum(size[other], size[x])
+        for w in np.unique(least).tolist():
+            at, bits = np.flatnonzero(least == w), folded[w]
+            out[at] = np.bitwise_count(bits[other[at]] ^ bits[x]).sum(axis=1, dtype=np.int64)
+        return out
+
+    return run
+
+
+def _parities_allow(marked: DataFrame, have: DataFrame, block: int, percent: int) -> DataFrame:
+    """The members of ``marked`` that parity bits do not rule out; no link is lost, and bits are shuffled in place of sets."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(x.as_buffer(), U64) for x in batch.column(1)]
+            bits = pa.array([parities(e) for e in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), bits, pa.array([len(e) for e in sets], pa.int64())], ["node", "told", "n"])
+
+    def near(told: list[bytes], n: np.ndarray) -> Callable:
+        differ = differing(told)
+        # Elements in one set alone of two that are similar enough.
+        return lambda x, other: differ(x, other) * (100 + percent) <= (100 - percent) * (n[other] + n[x])
+
+    told = have.select("node", "shingles").mapInArrow(support.lean(sketch), "node long, told binary, n long")
+    return _mark(marked, told, near, percent, block)
+
+
+def _link_blocks(marked: DataFrame, sets: _Texts, percent: int, block: int) -> DataFrame:
     """Verified links across components, a spanning forest for each pair of blocks."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
@@ -351,8 +415,10 @@ def _link_blocks(marked: DataFrame, sets: _Texts, percent: int) -> DataFrame:
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     have = sets.of(marked.select("node"))
-    spread = _blocked(marked).join(have, "node")
+    close = support.materialize(_parities_allow(marked, have, block, percent), "close")
+    node = F.xxhash64("node")
+    spread = _blocked(close).join(support.pass_bitmap(have, node, support.bitmap(close, node)), "node")
     flat = spread.select("key", "node", "root", "own", "shingles", F.col("at.i").alias("i"), F.col("at.j").alias("j"))
     links = support.materialize(flat.groupBy("key", "i", "j").applyInArrow(run, "u long, v long").distinct(), "links")
-    support.discard(have)
+    support.discard(have, close)
     return links

@@ -457,3 +457,39 @@ def test_native_operators_run_no_python(spark, edge):
     for df in (pii.find_spans(edge), line_dedup.drop_frequent_lines(edge), chat.read_back(chat.format_paths(chat.reply_paths(chat.chain(turns))))):
         plan = df._jdf.queryExecution().toString()
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_parities_rule_out_no_link_and_most_of_the_rest():
+    rng = np.random.default_rng(3)
+    sets, percent = [], 75
+    for size in (1, 5, 40, 127, 129, 1000, 3000, 40_000):
+        base = rng.integers(0, 2**63, size, np.uint64)
+        for share in (0.0, 0.1, 0.15, 0.45):  # of the elements replaced
+            e = base.copy()
+            k = int(share * size)
+            e[:k] = rng.integers(0, 2**63, k, np.uint64)
+            sets.append(np.unique(np.concatenate([e, rng.integers(0, 2**63, size // 9, np.uint64)])))
+    told = [near_dedup.parities(e) for e in sets]
+    differ, n = near_dedup.differing(told), np.array([len(e) for e in sets])
+    out = within = 0
+    for x, e in enumerate(sets):
+        others = np.arange(len(sets))
+        for y, d in zip(others, differ(x, others), strict=True):
+            alone = len(np.setxor1d(e, sets[y]))
+            assert d <= alone
+            allowed = d * (100 + percent) <= (100 - percent) * (n[x] + n[y])
+            assert allowed or not near_dedup.similar(e, sets[y], percent)
+            if 100 <= n[x] <= 4000 and x // 4 == y // 4 and not near_dedup.similar(e, sets[y], percent):
+                out, within = out + (not allowed), within + 1
+    assert within > 10 and out > 0.7 * within
+
+
+def test_second_search_reads_sets_of_members_that_parities_leave(spark):
+    marked_rows = [(7, 1, 1, 1), (7, 2, 2, 1), (7, 3, 3, 1), (7, 4, 4, 1), (8, 1, 1, 1), (8, 3, 3, 1)]
+    marked = spark.createDataFrame(marked_rows, "key long, node long, root long, blocks int")
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, 200, np.uint64)
+    sets = {1: base, 2: np.concatenate([base[:190], base[:10] + np.uint64(1)]), 3: np.concatenate([base[:120], rng.integers(0, 2**63, 80, np.uint64)]), 4: base[:20]}
+    have = spark.createDataFrame([(k, bytearray(np.unique(e).tobytes())) for k, e in sets.items()], "node long, shingles binary")
+    got = near_dedup._parities_allow(marked, have, 512, 75).select("key", "node", "root", "blocks").collect()
+    assert sorted(map(tuple, got)) == [(7, 1, 1, 1), (7, 2, 2, 1)]
